@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import transaction_id
 from ..plans.config import MAX_COMPILED_MATCHINGS, DerivedRule
 from ..sources.schemas import DERIVED_COLUMNS, ENTRY_COLUMNS
-from .sequencing import HOUR, HOURS_PER_SPAN, SEQ_CHUNK, floor_div, running_totals
+from .sequencing import SEQ_CHUNK, SPAN_SECONDS, floor_div, running_totals
 
 _CHUNK = 256  # branches per array literal; arrays are concatenated, still one scan
 
@@ -103,8 +103,7 @@ def derived_transactions(txn: DataFrame, rules: Sequence[DerivedRule] | DataFram
     order = ["epoch", "matching_no", "source_account", "source_seq"]
     levels = [
         [F.col("epoch"), F.col("matching_no"), F.col("source_account"), floor_div("source_seq", SEQ_CHUNK)],
-        [floor_div("epoch", HOUR)],
-        [floor_div("epoch", HOUR * HOURS_PER_SPAN)],
+        [floor_div("epoch", SPAN_SECONDS)],
     ]
     numbered = running_totals(d, ["derived_account"], order, levels, index="seq")
     return numbered.withColumn(

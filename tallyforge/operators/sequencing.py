@@ -26,8 +26,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Bucket widths.  Rows per finest bucket <= SEQ_CHUNK because the tie-break column is unique in
-# it; HOUR and SPAN bound the coarser levels in time.
+# it; a SPAN (2^20 s, about 12 days) holds at most 2^20 distinct seconds, so the second level is
+# bounded too, and a key has at most one top-level row per span.
 SEQ_CHUNK = 1 << 20
+SPAN_SECONDS = 1 << 20
 HOUR = 3600
 HOURS_PER_SPAN = 1024
 
@@ -45,8 +47,7 @@ def time_levels(epoch: str, ties: Sequence[str], tie_break: str) -> list[list[Co
     """Levels for an order (epoch, *ties, tie_break) with tie_break unique per (key, epoch, ties)."""
     return [
         [F.col(epoch), *[F.col(t) for t in ties], floor_div(tie_break, SEQ_CHUNK)],
-        [floor_div(epoch, HOUR)],
-        [floor_div(epoch, HOUR * HOURS_PER_SPAN)],
+        [floor_div(epoch, SPAN_SECONDS)],
     ]
 
 
@@ -153,15 +154,16 @@ def _bucket_expr(cols: list[Column], bounds: list[tuple], types) -> Column:
 
 def global_offsets(df: DataFrame, order: Sequence[str], weight: str, out: str = "offset",
                    single_task_rows: int = 1_000_000, rows_per_range: int = 1_000_000,
-                   max_ranges: int = 1024, seed: int = 17) -> DataFrame:
+                   max_ranges: int = 1024, seed: int = 17, n_hint: int | None = None) -> DataFrame:
     """Add ``out`` = sum of ``weight`` over all rows strictly before this one in ``order``.
 
     ``order`` must be unique per row.  Up to ``single_task_rows`` rows one ordered window does it
     (a proven bound).  Beyond that the order is cut into ranges at boundaries taken from a
     bounded sample; each range is numbered in its own task and the few range totals are
-    prefix-summed and broadcast (at most ``max_ranges`` rows).
+    prefix-summed and broadcast (at most ``max_ranges`` rows).  ``n_hint``, an upper bound on
+    the row count known from elsewhere, spares counting ``df``.
     """
-    n = df.count()
+    n = n_hint if n_hint is not None else df.count()
     w_all = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     if n <= single_task_rows:
         return df.withColumn(out, F.coalesce(F.sum(weight).over(w_all), F.lit(0)))

@@ -142,6 +142,7 @@ def queries() -> dict[str, Query]:
         "duplicate_claims": q_duplicate_claims,
         "unaccounted": q_unaccounted,
         "events_unaccounted": q_events_unaccounted,
+        **geo_queries(),
     }
 
 
@@ -231,4 +232,210 @@ def oracle_sql() -> dict[str, str]:
                                         "GROUP BY account, id HAVING count(*) > 1",
         "unaccounted": _orders() + UNACCOUNTED,
         "events_unaccounted": _events() + UNACCOUNTED,
+        **geo_oracle(),
+    }
+
+
+# ------------------------------------------------------------------------------------------
+# Category tree over the driver tables: All -> region -> nation -> customer account
+
+from ..functions.timefmt import bound_epoch  # noqa: E402
+from ..operators import hierarchy as H  # noqa: E402
+from ..operators import series as S  # noqa: E402
+from ..operators.balances import account_kinds  # noqa: E402
+
+SERIES_FROM = "1995-Mar-15"
+SERIES_TO = "1996-Feb-29"
+OPEN_NODES = ["AMERICA", "ASIA", "NATION_7"]
+SWITCHES = [(1, "ASIA", False), (2, "NATION_8", True), (3, "NATION_12", False)]
+
+
+def _geo(spark, sf):
+    return dt.geo_tree_edges(spark, sf)
+
+
+def q_geo_closure(spark, sf):
+    return H.closure(_geo(spark, sf)).select("ancestor", "node", F.col("depth").cast("bigint").alias("depth"))
+
+
+def q_geo_subtree_leaves(spark, sf):
+    return H.subtree_leaves(_geo(spark, sf))
+
+
+def q_geo_heights(spark, sf):
+    return H.heights(_geo(spark, sf)).select("node", F.col("height").cast("bigint").alias("height"))
+
+
+def q_geo_tree_problems(spark, sf):
+    """H1-H5 on the geo tree used as a category tree of the orders ledger."""
+    e = _geo(spark, sf)
+    lf = orders_ledger(spark, sf)
+    dup = H.duplicate_children(e).select(F.col("child").alias("name"), F.lit("duplicate child").alias("problem"))
+    iso = H.isolated_nodes(e, dt.ROOT).select(F.col("node").alias("name"), F.lit("isolated node").alias("problem"))
+    cyc = H.cycle_nodes(e, dt.ROOT).select(F.col("node").alias("name"), F.lit("cycle").alias("problem"))
+    bad = H.invalid_leaves(e, account_kinds(lf.accounts), dt.ROOT).select(
+        "name", F.lit("invalid leaf").alias("problem"))
+    cov = H.coverage(e, lf.accounts)
+    return dup.unionByName(iso).unionByName(cyc).unionByName(bad).unionByName(cov)
+
+
+def _group_leaves(spark, sf):
+    e = _geo(spark, sf)
+    return H.subtree_leaves(e).join(H.interior(e).withColumnRenamed("node", "grp"), "grp", "left_semi")
+
+
+def _series(spark, sf, group_leaves=None):
+    lf = orders_ledger(spark, sf)
+    gl = group_leaves if group_leaves is not None else _group_leaves(spark, sf)
+    full = S.full_series(gl, lf.txn, lf.source_accounts)
+    starts = S.group_start(gl, lf.source_accounts)
+    return full, starts
+
+
+def q_geo_series(spark, sf):
+    return _series(spark, sf)[0]
+
+
+def q_geo_clipped_series(spark, sf):
+    full, starts = _series(spark, sf)
+    return S.clip_series(full, starts, bound_epoch(SERIES_FROM), bound_epoch(SERIES_TO))
+
+
+def q_geo_series_totals(spark, sf):
+    return S.series_totals(q_geo_clipped_series(spark, sf))
+
+
+def q_geo_series_range(spark, sf):
+    return S.series_range(q_geo_clipped_series(spark, sf))
+
+
+def _open(spark):
+    return spark.createDataFrame([(n,) for n in OPEN_NODES], "node string")
+
+
+def _switches(spark):
+    return spark.createDataFrame(SWITCHES, "switch_no bigint, node string, active boolean")
+
+
+def q_geo_frontier(spark, sf):
+    return H.frontier(_geo(spark, sf), dt.ROOT, _open(spark))
+
+
+def q_geo_selection(spark, sf):
+    return H.selection(_geo(spark, sf), _switches(spark))
+
+
+def q_selected_series_totals(spark, sf):
+    e = _geo(spark, sf)
+    groups = H.selected_groups(e, dt.ROOT, _open(spark), _switches(spark))
+    gl = H.subtree_leaves(e).join(groups, "grp", "left_semi")
+    full, starts = _series(spark, sf, gl)
+    clipped = S.clip_series(full, starts, bound_epoch(SERIES_FROM), bound_epoch(SERIES_TO))
+    return S.series_totals(clipped)
+
+
+GEO_EDGES = """geo_edges AS (
+  SELECT 'All' AS parent, r_name AS child FROM region
+  UNION ALL SELECT r.r_name, n.n_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
+  UNION ALL SELECT n.n_name, printf('C%010d', c.c_custkey) FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey),
+geo_nodes AS (SELECT parent AS node FROM geo_edges UNION SELECT child FROM geo_edges),
+geo_leaves AS (SELECT DISTINCT child AS node FROM geo_edges WHERE child NOT IN (SELECT parent FROM geo_edges)),
+clo(ancestor, node, depth) AS (
+  SELECT node, node, 0 FROM geo_nodes
+  UNION ALL SELECT c.ancestor, e.child, c.depth + 1 FROM clo c JOIN geo_edges e ON e.parent = c.node),
+sub_leaves AS (SELECT ancestor AS grp, node AS leaf FROM clo WHERE node IN (SELECT node FROM geo_leaves))"""
+
+
+def _geo_sql(*extra: str) -> str:
+    return "WITH RECURSIVE " + _orders()[len("WITH "):].rstrip() + ",\n" + ",\n".join((GEO_EDGES,) + extra) + "\n"
+
+
+def _series_ctes(groups_sql: str) -> str:
+    s, e = bound_epoch(SERIES_FROM), bound_epoch(SERIES_TO)
+    return f"""gl AS (SELECT grp, leaf FROM sub_leaves WHERE grp IN ({groups_sql})),
+g_start AS (SELECT gl.grp, -cast(sum(a.start_value) AS bigint) AS start
+            FROM gl JOIN src_accounts a ON a.name = gl.leaf GROUP BY gl.grp),
+net AS (SELECT gl.grp, t.epoch, -cast(sum(t.amount) AS bigint) AS net
+        FROM gl JOIN txn t ON t.account = gl.leaf GROUP BY gl.grp, t.epoch),
+series AS (
+  SELECT n.grp, n.epoch, g.start + cast(sum(n.net) OVER (PARTITION BY n.grp ORDER BY n.epoch) AS bigint) AS balance
+  FROM net n JOIN g_start g ON g.grp = n.grp
+  UNION ALL SELECT grp, cast(0 AS bigint), start FROM g_start),
+asof_s AS (SELECT grp, max_by(balance, epoch) AS b FROM series WHERE epoch < {s} GROUP BY grp),
+asof_e AS (SELECT grp, max_by(balance, epoch) AS b FROM series WHERE epoch < {e} GROUP BY grp),
+clipped AS (
+  SELECT grp, epoch, balance FROM series WHERE epoch BETWEEN {s} AND {e}
+  UNION ALL SELECT g.grp, cast({s} AS bigint), coalesce(a.b, g.start) FROM g_start g LEFT JOIN asof_s a ON a.grp = g.grp
+    WHERE g.grp NOT IN (SELECT grp FROM series WHERE epoch = {s})
+  UNION ALL SELECT g.grp, cast({e} AS bigint), coalesce(a.b, g.start) FROM g_start g LEFT JOIN asof_e a ON a.grp = g.grp
+    WHERE g.grp NOT IN (SELECT grp FROM series WHERE epoch = {e})),
+totals AS (
+  SELECT grp, count(*) AS n_points, cast(sum(balance) AS bigint) AS balance_point_sum,
+         min_by(balance, epoch) AS first_balance, max_by(balance, epoch) AS last_balance,
+         max_by(balance, epoch) - min_by(balance, epoch) AS net_change,
+         min(balance) AS min_balance, max(balance) AS max_balance
+  FROM clipped GROUP BY grp)"""
+
+
+INTERIOR = "SELECT DISTINCT parent FROM geo_edges"
+
+FRONTIER = """opened AS (SELECT * FROM (VALUES {opened}) v(node)),
+vis AS (
+  SELECT c.node FROM clo c
+  WHERE c.ancestor = 'All' AND c.depth > 0
+    AND NOT EXISTS (SELECT 1 FROM clo a WHERE a.node = c.node AND a.depth > 0 AND a.ancestor <> 'All'
+                    AND a.ancestor NOT IN (SELECT node FROM opened))),
+frontier AS (SELECT node FROM vis WHERE node NOT IN (SELECT node FROM opened)
+                                      OR node IN (SELECT node FROM geo_leaves)),
+switches AS (SELECT * FROM (VALUES {switches}) v(switch_no, node, active)),
+selection AS (
+  SELECT n.node, coalesce((SELECT max_by(s.active, s.switch_no) FROM clo c JOIN switches s ON s.node = c.ancestor
+                           WHERE c.node = n.node), true) AS active
+  FROM geo_nodes n)"""
+
+
+def _frontier_sql() -> str:
+    opened = ", ".join(f"('{n}')" for n in OPEN_NODES)
+    sw = ", ".join(f"({a}, '{b}', {str(c).lower()})" for a, b, c in SWITCHES)
+    return FRONTIER.format(opened=opened, switches=sw)
+
+
+def geo_oracle() -> dict[str, str]:
+    return {
+        "geo_closure": _geo_sql() + "SELECT ancestor, node, cast(depth AS bigint) AS depth FROM clo",
+        "geo_subtree_leaves": _geo_sql() + "SELECT grp, leaf FROM sub_leaves",
+        "geo_heights": _geo_sql() + "SELECT ancestor AS node, cast(max(depth) AS bigint) AS height FROM clo "
+                                    "WHERE node IN (SELECT node FROM geo_leaves) GROUP BY ancestor",
+        "geo_tree_problems": _geo_sql() + """
+SELECT name, 'source account in tree' AS problem FROM src_accounts WHERE name IN (SELECT node FROM geo_nodes)
+UNION ALL SELECT name, 'derived account not in tree' FROM der_accounts WHERE name NOT IN (SELECT node FROM geo_nodes)
+UNION ALL SELECT child, 'duplicate child' FROM geo_edges GROUP BY child HAVING count(*) > 1""",
+        "geo_series": _geo_sql(_series_ctes(INTERIOR)) + "SELECT grp, epoch, balance FROM series",
+        "geo_clipped_series": _geo_sql(_series_ctes(INTERIOR)) + "SELECT grp, epoch, balance FROM clipped",
+        "geo_series_totals": _geo_sql(_series_ctes(INTERIOR)) + "SELECT * FROM totals",
+        "geo_series_range": _geo_sql(_series_ctes(INTERIOR)) + """
+SELECT min(min_balance) AS min_balance, max(max_balance) AS max_balance, min(balance_point_sum) AS min_total,
+       max(balance_point_sum) AS max_total, count(*) AS n_groups FROM totals""",
+        "geo_frontier": _geo_sql(_frontier_sql()) + "SELECT node FROM frontier",
+        "geo_selection": _geo_sql(_frontier_sql()) + "SELECT node, active FROM selection",
+        "selected_series_totals": _geo_sql(
+            _frontier_sql(),
+            _series_ctes("SELECT f.node FROM frontier f JOIN selection s ON s.node = f.node WHERE s.active")
+        ) + "SELECT * FROM totals",
+    }
+
+
+def geo_queries() -> dict[str, Query]:
+    return {
+        "geo_closure": q_geo_closure,
+        "geo_subtree_leaves": q_geo_subtree_leaves,
+        "geo_heights": q_geo_heights,
+        "geo_tree_problems": q_geo_tree_problems,
+        "geo_series": q_geo_series,
+        "geo_clipped_series": q_geo_clipped_series,
+        "geo_series_totals": q_geo_series_totals,
+        "geo_series_range": q_geo_series_range,
+        "geo_frontier": q_geo_frontier,
+        "geo_selection": q_geo_selection,
+        "selected_series_totals": q_selected_series_totals,
     }

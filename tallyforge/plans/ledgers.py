@@ -64,7 +64,12 @@ class LedgerFrames:
 
     @cached_property
     def unaccounted(self) -> DataFrame:
-        return ledger.unaccounted(self.txn, self.entries)
+        return ledger.unaccounted(self.txn, self.entries, n_accounts_hint=self.n_source_accounts)
+
+    @cached_property
+    def n_source_accounts(self) -> int:
+        """Size of the account registry (configuration-sized; bounds per-account tables)."""
+        return self.source_accounts.count()
 
     def statement(self) -> DataFrame:
         return balances.statement(self.txn, self.source_accounts)
