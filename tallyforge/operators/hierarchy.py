@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
+from ..session import materialize
 
 EDGE_SCHEMA = T.StructType([
     T.StructField("parent", T.StringType(), False),
@@ -88,14 +88,6 @@ def closure(edges: DataFrame, roots: DataFrame | None = None, max_depth: int = M
     return out
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration's output: a reliable checkpoint in the folder the session
-    names, so each level of the closure is computed once; without one the plan stays lazy."""
-    if checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=True)
-    return df
-
-
 def cycle_nodes(edges: DataFrame, root: str, max_depth: int = MAX_DEPTH) -> DataFrame:
     """H3: nodes on a cycle.  Nodes the root's closure reaches cannot be on one (given H1), so
     only the rest is searched; a root that is itself a child closes a cycle through the root."""

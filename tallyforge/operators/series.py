@@ -52,17 +52,26 @@ def asof(series: DataFrame, t: int, starts: DataFrame) -> DataFrame:
 
 
 def clip_series(series: DataFrame, starts: DataFrame, t_start: int, t_end: int) -> DataFrame:
-    """Points with t_start <= epoch <= t_end, plus carried points at both bounds when
-    no point lies exactly there (the end point is carried only when it differs from the start)."""
-    inside = series.where(F.col("epoch").between(F.lit(t_start), F.lit(t_end))).select("grp", "epoch", "balance")
-    at_s = series.where(F.col("epoch") == F.lit(t_start)).select("grp").distinct()
-    at_e = series.where(F.col("epoch") == F.lit(t_end)).select("grp").distinct()
-    carry_s = (asof(series, t_start, starts).join(at_s, "grp", "left_anti")
-               .select("grp", F.lit(t_start).cast("bigint").alias("epoch"), "balance"))
+    """Points with t_start <= epoch <= t_end, plus carried points at both bounds
+    when no point lies exactly there (the end point only when it differs from the start).  The
+    carried balance is that of the last point strictly before the bound, else the start value.
+    Both bounds come from ONE conditional aggregate per group over the series."""
+    s, e = F.lit(t_start), F.lit(t_end)
+    ep, bal = F.col("epoch"), F.col("balance")
+    inside = series.where(ep.between(s, e)).select("grp", "epoch", "balance")
+    g = series.groupBy("grp").agg(
+        F.max((ep == s).cast("int")).alias("_has_s"),
+        F.max((ep == e).cast("int")).alias("_has_e"),
+        F.max_by(F.when(ep < s, bal), F.when(ep < s, ep)).alias("_b_s"),
+        F.max_by(F.when(ep < e, bal), F.when(ep < e, ep)).alias("_b_e"),
+    )
+    g = starts.join(g, "grp", "left")
+    carry_s = g.where(F.coalesce("_has_s", F.lit(0)) == 0).select(
+        "grp", s.cast("bigint").alias("epoch"), F.coalesce("_b_s", "start").alias("balance"))
     out = inside.unionByName(carry_s)
     if t_end != t_start:
-        carry_e = (asof(series, t_end, starts).join(at_e, "grp", "left_anti")
-                   .select("grp", F.lit(t_end).cast("bigint").alias("epoch"), "balance"))
+        carry_e = g.where(F.coalesce("_has_e", F.lit(0)) == 0).select(
+            "grp", e.cast("bigint").alias("epoch"), F.coalesce("_b_e", "start").alias("balance"))
         out = out.unionByName(carry_e)
     return out
 

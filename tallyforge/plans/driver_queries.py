@@ -243,6 +243,7 @@ from ..functions.timefmt import bound_epoch  # noqa: E402
 from ..operators import hierarchy as H  # noqa: E402
 from ..operators import series as S  # noqa: E402
 from ..operators.balances import account_kinds  # noqa: E402
+from ..session import materialize  # noqa: E402
 
 SERIES_FROM = "1995-Mar-15"
 SERIES_TO = "1996-Feb-29"
@@ -251,7 +252,7 @@ SWITCHES = [(1, "ASIA", False), (2, "NATION_8", True), (3, "NATION_12", False)]
 
 
 def _geo(spark, sf):
-    return dt.geo_tree_edges(spark, sf)
+    return materialize(dt.geo_tree_edges(spark, sf))
 
 
 def q_geo_closure(spark, sf):
@@ -281,7 +282,8 @@ def q_geo_tree_problems(spark, sf):
 
 def _group_leaves(spark, sf):
     e = _geo(spark, sf)
-    return H.subtree_leaves(e).join(H.interior(e).withColumnRenamed("node", "grp"), "grp", "left_semi")
+    return materialize(H.subtree_leaves(e).join(H.interior(e).withColumnRenamed("node", "grp"), "grp",
+                                                "left_semi"))
 
 
 def _series(spark, sf, group_leaves=None):
@@ -328,7 +330,7 @@ def q_geo_selection(spark, sf):
 def q_selected_series_totals(spark, sf):
     e = _geo(spark, sf)
     groups = H.selected_groups(e, dt.ROOT, _open(spark), _switches(spark))
-    gl = H.subtree_leaves(e).join(groups, "grp", "left_semi")
+    gl = materialize(H.subtree_leaves(e).join(groups, "grp", "left_semi"))
     full, starts = _series(spark, sf, gl)
     clipped = S.clip_series(full, starts, bound_epoch(SERIES_FROM), bound_epoch(SERIES_TO))
     return S.series_totals(clipped)

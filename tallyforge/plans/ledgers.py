@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import balances, ledger, rules, transfers
 from ..operators.identity import identify, quarantine
+from ..session import materialize
 from .config import AccountMapping, mappings_frame
 
 
@@ -28,7 +29,7 @@ class LedgerFrames:
 
     @cached_property
     def txn(self) -> DataFrame:
-        return identify(self.raw)
+        return materialize(identify(self.raw))
 
     @cached_property
     def quarantine(self) -> DataFrame:
@@ -36,7 +37,7 @@ class LedgerFrames:
 
     @cached_property
     def derived_txn(self) -> DataFrame:
-        return rules.derived_transactions(self.txn, self.mapping.derived)
+        return materialize(rules.derived_transactions(self.txn, self.mapping.derived))
 
     @cached_property
     def derived_accounts(self) -> DataFrame:
@@ -52,7 +53,7 @@ class LedgerFrames:
 
     @cached_property
     def transfer_matches(self) -> DataFrame:
-        return transfers.transfer_matches(self.txn, self.transfer_mappings)
+        return materialize(transfers.transfer_matches(self.txn, self.transfer_mappings))
 
     @cached_property
     def transfer_entries(self) -> DataFrame:
@@ -60,7 +61,7 @@ class LedgerFrames:
 
     @cached_property
     def entries(self) -> DataFrame:
-        return ledger.ledger_entries(self.derived_entries, self.transfer_entries)
+        return materialize(ledger.ledger_entries(self.derived_entries, self.transfer_entries))
 
     @cached_property
     def unaccounted(self) -> DataFrame:

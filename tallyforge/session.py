@@ -54,3 +54,12 @@ def ensure_checkpoint_dir(spark: SparkSession, scratch: str | None = None) -> st
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df):
+    """Cut the lineage of a much-reused intermediate: a reliable ``checkpoint`` in the folder the
+    session names (it survives lost executors, unlike a local checkpoint); with no folder
+    configured the DataFrame stays lazy."""
+    if checkpoint_dir(df.sparkSession):
+        return df.checkpoint(eager=True)
+    return df
