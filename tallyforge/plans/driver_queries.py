@@ -143,6 +143,7 @@ def queries() -> dict[str, Query]:
         "unaccounted": q_unaccounted,
         "events_unaccounted": q_events_unaccounted,
         **geo_queries(),
+        **browse_queries(),
     }
 
 
@@ -233,6 +234,7 @@ def oracle_sql() -> dict[str, str]:
         "unaccounted": _orders() + UNACCOUNTED,
         "events_unaccounted": _events() + UNACCOUNTED,
         **geo_oracle(),
+        **browse_oracle(),
     }
 
 
@@ -441,3 +443,98 @@ def geo_queries() -> dict[str, Query]:
         "geo_selection": q_geo_selection,
         "selected_series_totals": q_selected_series_totals,
     }
+
+
+# ------------------------------------------------------------------------------------------
+# Browser, catalog SQL and checks
+
+from ..operators import browse as B  # noqa: E402
+from ..operators import checks as C  # noqa: E402
+from ..operators.identity import quarantine as _quarantine  # noqa: E402
+
+USER_SQL = ("SELECT account, count(*) AS n_txn, CAST(sum(amount) AS BIGINT) AS total "
+            "FROM ledger_txn WHERE amount > {min} GROUP BY account")
+
+
+def q_browse_statement(spark, sf):
+    st = orders_ledger(spark, sf).statement()
+    shown = B.browse(st, ["account", "seq", "date", "description", "delta", "balance"],
+                     B.SortState().click("delta").click("delta"), text="URGENT", tie_break=["account", "seq"])
+    return B.filter_sql(shown, "delta < :lim", {"lim": 0})
+
+
+def q_browse_unaccounted(spark, sf):
+    u = orders_ledger(spark, sf).unaccounted
+    return B.browse(u, ["index", "date", "description", "delta", "account"], B.SortState().click("index"),
+                    text="LOW")
+
+
+def q_account_names(spark, sf):
+    return B.account_names(orders_ledger(spark, sf).txn, "account")
+
+
+def q_sql_query(spark, sf):
+    lf = orders_ledger(spark, sf)
+    return B.run_sql(spark, USER_SQL.format(min=":min"), {"ledger_txn": lf.txn}, {"min": 100000})
+
+
+def q_match_counts(spark, sf):
+    return C.match_counts(orders_ledger(spark, sf).derived_txn)
+
+
+def q_ledger_checks(spark, sf):
+    lf = orders_ledger(spark, sf)
+    rules = lf.mapping.derived
+    kinds = __import__("tallyforge.operators.balances", fromlist=["account_kinds"]).account_kinds(lf.accounts)
+    parts = [
+        C.self_sourced(lf.derived_txn).select(F.lit("V1").alias("check"), F.col("source_id").alias("subject")),
+        C.blank_matchings(spark, rules).select(F.lit("V3").alias("check"), F.col("derived_account").alias("subject")),
+        C.name_clashes(kinds).select(F.lit("V6").alias("check"), F.col("name").alias("subject")),
+        transfer_ops.self_transfers(lf.transfer_mappings).select(
+            F.lit("V7").alias("check"), F.concat(F.lit("mapping "), F.col("mapping_no").cast("string")).alias("subject")),
+        _quarantine(lf.raw).select(F.lit("V8").alias("check"), F.col("reason").alias("subject")),
+        C.unknown_rule_accounts(spark, rules, lf.transfer_mappings, lf.accounts).select(
+            F.lit("V10").alias("check"), F.col("account").alias("subject")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def browse_queries() -> dict[str, Query]:
+    return {
+        "browse_statement": q_browse_statement,
+        "browse_unaccounted": q_browse_unaccounted,
+        "account_names": q_account_names,
+        "sql_query": q_sql_query,
+        "match_counts": q_match_counts,
+        "ledger_checks": q_ledger_checks,
+    }
+
+
+def browse_oracle() -> dict[str, str]:
+    st = STATEMENT.format(table="txn", acct="account", accounts="src_accounts")
+    return {
+        "browse_statement": _orders() + f"SELECT * FROM ({st}) s WHERE contains(description, 'URGENT') AND delta < 0",
+        "browse_unaccounted": _orders() + f"SELECT * FROM ({UNACCOUNTED}) u WHERE contains(description, 'LOW')",
+        "account_names": _orders() + "SELECT DISTINCT account AS name FROM txn",
+        "sql_query": _orders_with("ledger_txn AS (SELECT * FROM txn)") + USER_SQL.format(min=100000),
+        "match_counts": _orders() + "SELECT derived_account, matching_no, source_account, count(*) AS n_rows "
+                                    "FROM derived GROUP BY ALL",
+        "ledger_checks": _orders() + """
+SELECT 'V1' AS "check", source_id AS subject FROM derived WHERE derived_account = source_account
+UNION ALL SELECT 'V6', name FROM src_accounts WHERE name IN (SELECT name FROM der_accounts)
+UNION ALL SELECT 'V7', 'mapping ' || cast(mapping_no AS varchar) FROM mappings WHERE from_account = to_account
+UNION ALL SELECT 'V8', CASE WHEN account IS NULL THEN 'no account' WHEN date IS NULL OR epoch IS NULL THEN 'no date'
+                          ELSE 'no amount' END FROM raw
+          WHERE account IS NULL OR date IS NULL OR epoch IS NULL OR amount IS NULL
+UNION ALL SELECT 'V10', a FROM (
+  SELECT from_account AS a FROM mappings UNION ALL SELECT to_account FROM mappings
+  UNION ALL SELECT * FROM (VALUES ('C0000000003'), ('C0000000007'), ('C0000000003')) v(a)) x
+  WHERE a NOT IN (SELECT name FROM src_accounts)""",
+    }
+
+
+def _orders_with(extra: str) -> str:
+    return _orders().rstrip() + ",\n" + extra + "\n"
