@@ -103,3 +103,27 @@ def events_ledger(spark: SparkSession, sf_dir: str) -> LedgerFrames:
     from ..sources import driver_tables as d
     return build_ledger(spark, "events", d.events_raw(spark, sf_dir), d.events_accounts(spark, sf_dir),
                         d.EVENTS_MAPPING, d.events_transfer_mappings(spark, sf_dir))
+
+
+def ledger_from_folders(spark: SparkSession, data_root: str, ledger_name: str | None = None,
+                        formats=None, account_formats: dict[str, str] | None = None) -> LedgerFrames:
+    """The reference's on-disk layout.  ``LedgerConfiguration.json`` in ``data_root``
+    names the ledgers; the chosen one (or the default) gives the rule file
+    ``<accounting file>.json`` and the account folders ``<source account directory>/<account>``."""
+    from pyspark.sql import functions as F
+
+    from ..sources.csv_folders import read_account_folders
+    from ..sources.json_io import read_account_mapping, read_ledger_configuration, select_ledger
+    root = data_root.rstrip("/")
+    cfg = select_ledger(read_ledger_configuration(spark, f"{root}/LedgerConfiguration.json"), ledger_name)
+    rows = cfg.collect()  # configuration rows: one per configured source account
+    if not rows:
+        raise ValueError(f"ledger {ledger_name or '(default)'} not configured under {root}")
+    name, acc_file, src_dir = rows[0]["ledger_name"], rows[0]["accounting_file"], rows[0]["source_dir"]
+    accounts = {r["account"]: (account_formats or {}).get(r["account"], "default")
+                for r in rows if r["account"] is not None}
+    raw = read_account_folders(spark, f"{root}/{src_dir}", accounts, formats)
+    src = cfg.where(F.col("account").isNotNull()).select(
+        F.col("account").alias("name"), F.lit("source").alias("kind"), "start_value")
+    mapping = read_account_mapping(spark, f"{root}/{acc_file}.json")
+    return build_ledger(spark, name, raw, src, mapping)
