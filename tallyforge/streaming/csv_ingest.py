@@ -1,0 +1,49 @@
+"""New bank files, picked up with Structured Streaming.
+
+The reference notices new CSV files at its next start by re-fingerprinting folders.  Here the
+file source's own log does that bookkeeping exactly once: each run with ``availableNow`` reads
+only files it has not seen, homogenizes them (with the same lineage columns as the batch import)
+and appends them to a staging table partitioned by account, logging which accounts were
+touched.  ``refresh.refresh_ledger`` then rebuilds just those accounts.  The checkpoint lives in
+the folder the session names (``spark.checkpoint.dir``) unless one is given.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import ensure_checkpoint_dir
+from ..sources.csv_folders import DEFAULT_SCHEMA, BankFormat, homogenize
+from ..sources.schemas import RAW_COLUMNS
+
+
+def _lineage_stream(spark: SparkSession, root: str, fmt: BankFormat) -> DataFrame:
+    reader = spark.readStream.schema(fmt.schema or DEFAULT_SCHEMA)
+    for k, v in fmt.options.items():
+        reader = reader.option(k, v)
+    s = reader.csv(f"{root.rstrip('/')}/*/*.csv")
+    return s.select(
+        *[F.col(f"`{c}`") for c in s.columns],
+        F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("_account_dir"),
+        F.col("_metadata.file_name").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+    )
+
+
+def ingest_new_files(spark: SparkSession, root: str, staging_path: str, touched_path: str,
+                     fmt: BankFormat, checkpoint: str | None = None) -> None:
+    """Run once over every file not seen before (``availableNow``), then stop."""
+    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv_ingest"
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("_row", F.monotonically_increasing_id())
+        bank = fmt.transform(rows).withColumnRenamed("_account_dir", "account")
+        raw = homogenize(bank).select(*RAW_COLUMNS).withColumn("batch_id", F.lit(batch_id))
+        raw.write.mode("append").partitionBy("account").parquet(staging_path)
+        (raw.select("account").distinct().withColumn("batch_id", F.lit(batch_id))
+         .write.mode("append").parquet(touched_path))
+
+    q = (_lineage_stream(spark, root, fmt).writeStream.foreachBatch(write_batch)
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()

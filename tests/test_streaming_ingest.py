@@ -1,0 +1,29 @@
+"""New files are ingested exactly once by the streaming file source."""
+
+import os
+
+from pyspark.sql import types as T
+
+from golden import write_golden
+from tallyforge.sources.csv_folders import BankFormat
+from tallyforge.streaming.csv_ingest import ingest_new_files
+
+FILE_ORDER = T.StructType([T.StructField(c, T.StringType()) for c in
+                           ("TransDate", "Debit", "Credit", "Description")])
+
+
+def test_ingest_twice_reads_only_new_files(spark, workdir):
+    root = write_golden(workdir)
+    fmt = BankFormat(name="file-order", schema=FILE_ORDER)
+    staging, touched, ckpt = (os.path.join(workdir, n) for n in ("staging", "touched", "ckpt"))
+    ingest_new_files(spark, f"{root}/accounts", staging, touched, fmt, ckpt)
+    assert spark.read.parquet(staging).count() == 10
+    with open(os.path.join(root, "accounts", "visa", "jan2.csv"), "w") as f:
+        f.write("TransDate,Debit,Credit,Description\n2020-01-09,,7.00,COFFEE TRUCK\n")
+    ingest_new_files(spark, f"{root}/accounts", staging, touched, fmt, ckpt)
+    s = spark.read.parquet(staging)
+    assert s.count() == 11
+    new = s.where("description = 'COFFEE TRUCK'").first()
+    assert new["account"] == "visa" and new["amount"] == -700
+    t = spark.read.parquet(touched)
+    assert sorted(r["account"] for r in t.where("batch_id = 1").collect()) == ["visa"]
