@@ -21,7 +21,8 @@ def end_balances(accounts: DataFrame, txn: DataFrame, account_col: str = "accoun
     )
 
 
-def statement(txn: DataFrame, accounts: DataFrame, account_col: str = "account") -> DataFrame:
+def statement(txn: DataFrame, accounts: DataFrame, account_col: str = "account",
+              rows_bound: int | None = None) -> DataFrame:
     """Every row with the running balance ``start + cumulative amount`` in account order.
 
     Columns: account, seq, date (text), description, delta, balance.
@@ -29,7 +30,7 @@ def statement(txn: DataFrame, accounts: DataFrame, account_col: str = "account")
     run = running_totals(txn.select(F.col(account_col).alias("account"), "seq", "date", "description",
                                     "amount"),
                          ["account"], ["seq"], seq_levels("seq"), sums=["amount"], index="_pos",
-                         run_prefix="_run_")
+                         run_prefix="_run_", rows_bound=rows_bound)
     starts = accounts.select(F.col("name").alias("account"), "start_value")
     j = run.join(starts, "account", "left")
     return j.select(

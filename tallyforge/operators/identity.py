@@ -31,12 +31,12 @@ def quarantine(raw: DataFrame) -> DataFrame:
     return raw.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
-def identify(raw: DataFrame) -> DataFrame:
+def identify(raw: DataFrame, rows_bound: int | None = None) -> DataFrame:
     """txn_raw -> txn with ``seq`` (0-based position in the account) and ``id``."""
     rows = valid_raw(raw).fillna({"src_file": "", "src_block": 0, "src_row": 0})
     numbered = running_totals(rows, ["account"], ORDER,
                               time_levels("epoch", ["src_file", "src_block"], "src_row"),
-                              index="seq")
+                              index="seq", rows_bound=rows_bound)
     return numbered.withColumn(
         "id", transaction_id(F.col("account"), F.col("seq"), F.col("date"), F.col("epoch"),
                              F.col("amount"), F.col("description"))

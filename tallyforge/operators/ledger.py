@@ -43,14 +43,16 @@ def unaccounted_rows(txn: DataFrame, entries: DataFrame) -> DataFrame:
     return txn.join(ids, ["account", "id"], "left_anti")
 
 
-def unaccounted(txn: DataFrame, entries: DataFrame, n_accounts_hint: int | None = None) -> DataFrame:
+def unaccounted(txn: DataFrame, entries: DataFrame, n_accounts_hint: int | None = None,
+                rows_bound: int | None = None) -> DataFrame:
     """``index, date, description, delta, account``; index runs 0..n-1 over accounts in name
     order, rows in account order (W4), computed as per-account rank + global account offset.
 
     ``n_accounts_hint`` is an upper bound on the number of accounts (the size of the account
     registry); it spares a count of the whole upstream plan."""
     rows = unaccounted_rows(txn, entries).select("account", "seq", "date", "description", "amount")
-    ranked = running_totals(rows, ["account"], ["seq"], seq_levels("seq"), index="_rank")
+    ranked = running_totals(rows, ["account"], ["seq"], seq_levels("seq"), index="_rank",
+                            rows_bound=rows_bound)
     counts = rows.groupBy("account").agg(F.count(F.lit(1)).alias("_n"))
     offs = global_offsets(counts, ["account"], "_n", out="_off", n_hint=n_accounts_hint)
     res = ranked.join(offs.select("account", "_off"), "account", "inner")

@@ -85,7 +85,8 @@ def match_rules_table(txn: DataFrame, rules_df: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def derived_transactions(txn: DataFrame, rules: Sequence[DerivedRule] | DataFrame) -> DataFrame:
+def derived_transactions(txn: DataFrame, rules: Sequence[DerivedRule] | DataFrame,
+                         rows_bound: int | None = None) -> DataFrame:
     """L3: matched rows with flipped sign, numbered per derived account and identified.
 
     Order inside a derived account (O2): timestamp, then matching order, then source account
@@ -105,7 +106,7 @@ def derived_transactions(txn: DataFrame, rules: Sequence[DerivedRule] | DataFram
         [F.col("epoch"), F.col("matching_no"), F.col("source_account"), floor_div("source_seq", SEQ_CHUNK)],
         [floor_div("epoch", SPAN_SECONDS)],
     ]
-    numbered = running_totals(d, ["derived_account"], order, levels, index="seq")
+    numbered = running_totals(d, ["derived_account"], order, levels, index="seq", rows_bound=rows_bound)
     return numbered.withColumn(
         "id", transaction_id(F.col("derived_account"), F.col("seq"), F.col("date"), F.col("epoch"),
                              F.col("amount"), F.col("description"))

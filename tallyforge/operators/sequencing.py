@@ -32,6 +32,9 @@ SEQ_CHUNK = 1 << 20
 SPAN_SECONDS = 1 << 20
 HOUR = 3600
 HOURS_PER_SPAN = 1024
+# A group no larger than this fits one task comfortably; when the whole input is proven smaller
+# (``rows_bound``), the plain one-shuffle window is used instead of the bucket hierarchy.
+SINGLE_TASK_ROWS = 2_000_000
 
 
 def _col(c: Column | str) -> Column:
@@ -58,15 +61,19 @@ def seq_levels(seq: str) -> list[list[Column]]:
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
                    levels: Sequence[Sequence[Column]], sums: Sequence[str] = (),
-                   index: str = "_idx", run_prefix: str = "_run_") -> DataFrame:
+                   index: str = "_idx", run_prefix: str = "_run_",
+                   rows_bound: int | None = None) -> DataFrame:
     """Add ``index`` (0-based position inside ``keys`` by ``order``) and, per name in ``sums``, the
     inclusive running sum ``run_prefix + name``.
 
     ``order`` must be a total order inside ``keys``; every level (finest first) must be a function
     of the order that is monotone in it, and each level a function of the finer one.  Keys and
-    level values must be non-null.
+    level values must be non-null.  ``rows_bound``, a proven upper bound on the input's row count
+    (hence on any group), at or below ``SINGLE_TASK_ROWS`` selects the plain window.
     """
     keys = list(keys)
+    if rows_bound is not None and rows_bound <= SINGLE_TASK_ROWS and keys:
+        levels = []
     order = [_col(o) for o in order]
     out = df
     lv_names: list[list[str]] = []

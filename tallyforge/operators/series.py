@@ -31,12 +31,12 @@ def net_changes(group_leaves: DataFrame, txn: DataFrame, account_col: str = "acc
 
 
 def full_series(group_leaves: DataFrame, txn: DataFrame, accounts: DataFrame,
-                account_col: str = "account") -> DataFrame:
+                account_col: str = "account", rows_bound: int | None = None) -> DataFrame:
     """(grp, epoch, balance) including the first point (0, start)."""
     starts = group_start(group_leaves, accounts)
     net = net_changes(group_leaves, txn, account_col)
     levels = [[floor_div("epoch", SPAN_SECONDS)]]
-    run = running_totals(net, ["grp"], ["epoch"], levels, sums=["net"], index="_i")
+    run = running_totals(net, ["grp"], ["epoch"], levels, sums=["net"], index="_i", rows_bound=rows_bound)
     pts = run.join(starts, "grp", "inner").select(
         "grp", "epoch", (F.col("start") + F.col("_run_net")).alias("balance"))
     first = starts.select("grp", F.lit(0).cast("bigint").alias("epoch"), F.col("start").alias("balance"))

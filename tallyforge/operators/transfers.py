@@ -31,24 +31,25 @@ def self_transfers(mappings: DataFrame) -> DataFrame:
         "mapping_no", F.col("from_account").alias("account"))
 
 
-def _side_hits(txn: DataFrame, m: DataFrame, side: str) -> DataFrame:
+def _side_hits(txn: DataFrame, m: DataFrame, side: str, rows_bound: int | None) -> DataFrame:
     sel = m.select("mapping_no", F.col(f"{side}_account").alias("account"),
                    F.col(f"{side}_regex").alias("regex"))
     hits = (txn.select("account", "seq", "id", "amount", "description", "date", "epoch")
             .join(sel, "account", "inner")
             .where(F.expr("description rlike regex"))
             .drop("regex"))
-    ranked = running_totals(hits, ["mapping_no"], ["seq"], seq_levels("seq"), index="k")
+    ranked = running_totals(hits, ["mapping_no"], ["seq"], seq_levels("seq"), index="k", rows_bound=rows_bound)
     return ranked.select("mapping_no", "k", *[F.col(c).alias(f"{side}_{c}") for c in
                                               ("account", "seq", "id", "amount", "description",
                                                "date", "epoch")])
 
 
-def transfer_matches(txn: DataFrame, mappings: DataFrame) -> DataFrame:
-    """J4 + J5: full outer pairing on (mapping_no, k); one side null = no partner."""
+def transfer_matches(txn: DataFrame, mappings: DataFrame, rows_bound: int | None = None) -> DataFrame:
+    """J4 + J5: full outer pairing on (mapping_no, k); one side null = no partner.
+    ``rows_bound`` bounds the matched rows of one side (transactions x mappings per account)."""
     m = usable_mappings(mappings)
-    f = _side_hits(txn, m, "from")
-    t = _side_hits(txn, m, "to")
+    f = _side_hits(txn, m, "from", rows_bound)
+    t = _side_hits(txn, m, "to", rows_bound)
     return f.join(t, ["mapping_no", "k"], "full_outer")
 
 

@@ -291,7 +291,8 @@ def _group_leaves(spark, sf):
 def _series(spark, sf, group_leaves=None):
     lf = orders_ledger(spark, sf)
     gl = group_leaves if group_leaves is not None else _group_leaves(spark, sf)
-    full = S.full_series(gl, lf.txn, lf.source_accounts)
+    fan_out = gl.groupBy("leaf").count().agg(F.max("count")).first()[0] or 1
+    full = S.full_series(gl, lf.txn, lf.source_accounts, rows_bound=lf.n_txn * fan_out)
     starts = S.group_start(gl, lf.source_accounts)
     return full, starts
 

@@ -27,9 +27,32 @@ class LedgerFrames:
     mapping: AccountMapping
     transfer_mappings: DataFrame   # mapping_no, from_account, from_regex, to_account, to_regex
 
+    # Row-count bounds.  Counts of materialized Parquet (and of the driver's Parquet tables) are
+    # cheap; they prove the size of every group below them, so small ledgers take the plain
+    # one-shuffle windows while large ones keep the skew-safe bucket hierarchy.
+    @cached_property
+    def n_raw(self) -> int:
+        return self.raw.count()
+
+    @cached_property
+    def n_txn(self) -> int:
+        """Upper bound on identified rows (quarantined rows drop out): no extra job."""
+        return self.n_raw
+
+    @cached_property
+    def max_mappings_per_account(self) -> int:
+        from pyspark.sql import functions as F
+        m = self.transfer_mappings
+        sides = m.select(F.inline(F.array(F.struct(F.lit("from").alias("side"), F.col("from_account").alias("a")),
+                                          F.struct(F.lit("to").alias("side"), F.col("to_account").alias("a")))))
+        top = sides.groupBy("side", "a").count().agg(F.max("count")).first()[0]
+        return max(top or 0, 1)
+
     @cached_property
     def txn(self) -> DataFrame:
-        return materialize(identify(self.raw))
+        # The identified table is the ledger's base: every later step reads it, so beyond the
+        # small-data bound it is written once.
+        return materialize(identify(self.raw, rows_bound=self.n_raw), "txn", self.n_raw)
 
     @cached_property
     def quarantine(self) -> DataFrame:
@@ -37,7 +60,10 @@ class LedgerFrames:
 
     @cached_property
     def derived_txn(self) -> DataFrame:
-        return materialize(rules.derived_transactions(self.txn, self.mapping.derived))
+        n_match = max(1, sum(len(r.matchings) for r in self.mapping.derived))
+        return materialize(rules.derived_transactions(self.txn, self.mapping.derived,
+                                                      rows_bound=self.n_txn * n_match), "derived",
+                           self.n_txn * n_match)
 
     @cached_property
     def derived_accounts(self) -> DataFrame:
@@ -53,7 +79,9 @@ class LedgerFrames:
 
     @cached_property
     def transfer_matches(self) -> DataFrame:
-        return materialize(transfers.transfer_matches(self.txn, self.transfer_mappings))
+        bound = self.n_txn * self.max_mappings_per_account
+        return materialize(transfers.transfer_matches(self.txn, self.transfer_mappings, rows_bound=bound),
+                           "matches", 2 * bound)
 
     @cached_property
     def transfer_entries(self) -> DataFrame:
@@ -61,11 +89,14 @@ class LedgerFrames:
 
     @cached_property
     def entries(self) -> DataFrame:
-        return materialize(ledger.ledger_entries(self.derived_entries, self.transfer_entries))
+        n_match = max(1, sum(len(r.matchings) for r in self.mapping.derived))
+        return materialize(ledger.ledger_entries(self.derived_entries, self.transfer_entries), "entries",
+                           self.n_txn * (n_match + self.max_mappings_per_account))
 
     @cached_property
     def unaccounted(self) -> DataFrame:
-        return ledger.unaccounted(self.txn, self.entries, n_accounts_hint=self.n_source_accounts)
+        return ledger.unaccounted(self.txn, self.entries, n_accounts_hint=self.n_source_accounts,
+                                  rows_bound=self.n_txn)
 
     @cached_property
     def n_source_accounts(self) -> int:
@@ -73,11 +104,11 @@ class LedgerFrames:
         return self.source_accounts.count()
 
     def statement(self) -> DataFrame:
-        return balances.statement(self.txn, self.source_accounts)
+        return balances.statement(self.txn, self.source_accounts, rows_bound=self.n_txn)
 
     def derived_statement(self) -> DataFrame:
         d = self.derived_txn.withColumnRenamed("derived_account", "account")
-        return balances.statement(d, self.derived_accounts)
+        return balances.statement(d, self.derived_accounts, rows_bound=d.count())
 
     def source_balances(self) -> DataFrame:
         return balances.end_balances(self.source_accounts, self.txn)

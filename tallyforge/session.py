@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -56,10 +57,20 @@ def ensure_checkpoint_dir(spark: SparkSession, scratch: str | None = None) -> st
     return d
 
 
-def materialize(df):
-    """Cut the lineage of a much-reused intermediate: a reliable ``checkpoint`` in the folder the
-    session names (it survives lost executors, unlike a local checkpoint); with no folder
-    configured the DataFrame stays lazy."""
-    if checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=True)
-    return df
+LAZY_BELOW_ROWS = int(os.environ.get("TALLY_LAZY_BELOW_ROWS", "2000000"))
+
+
+def materialize(df, name: str = "t", rows_bound: int | None = None):
+    """Cut the lineage of a much-reused intermediate by writing it once as Parquet under the
+    folder the session names in ``spark.checkpoint.dir`` and reading it back: computed once,
+    survives lost executors (unlike a local checkpoint), and later reads get column pruning and
+    filter pushdown.  With no folder configured the DataFrame stays lazy, and so it does when
+    ``rows_bound`` proves the data small enough (``LAZY_BELOW_ROWS``) that recomputing it inside
+    one plan (shared exchanges are reused) is cheaper than a write and a read."""
+    spark = df.sparkSession
+    base = checkpoint_dir(spark)
+    if not base or (rows_bound is not None and rows_bound <= LAZY_BELOW_ROWS):
+        return df
+    path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
