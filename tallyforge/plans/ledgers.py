@@ -158,3 +158,17 @@ def ledger_from_folders(spark: SparkSession, data_root: str, ledger_name: str |
         F.col("account").alias("name"), F.lit("source").alias("kind"), "start_value")
     mapping = read_account_mapping(spark, f"{root}/{acc_file}.json")
     return build_ledger(spark, name, raw, src, mapping)
+
+
+# Names under which the reference serves ledger results.
+UNACCOUNTED_NAME = "UnaccountedTransactions"
+ENTRIES_NAME = "LedgerEntries"
+
+
+def ledger_data(lf: LedgerFrames, name: str) -> DataFrame:
+    """A ledger result by name; an unknown name gives an empty frame."""
+    if name == UNACCOUNTED_NAME:
+        return lf.unaccounted
+    if name == ENTRIES_NAME:
+        return lf.entries
+    return lf.spark.createDataFrame([], "empty string")
