@@ -68,14 +68,17 @@ def closure(edges: DataFrame, roots: DataFrame | None = None, max_depth: int = M
 
     Start nodes are ``roots`` (column ``node``) or all nodes.  One join per level; stops when a
     level is empty or at ``max_depth`` (a cycle never empties; see ``cycle_nodes``)."""
-    e = materialize(edges.select("parent", "child"))
+    e = materialize(edges.select("parent", "child"), "edges")
+    # One level of a tree closure holds at most one row per node, so the edge count bounds it:
+    # small trees stay lazy, large ones write each level once.
+    level_bound = e.count() + 1
     start = nodes(e) if roots is None else roots.select("node").distinct()
     frontier = start.select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("depth"))
     parts = [frontier] if include_self else []
     for _ in range(max_depth):
         nxt = materialize(frontier.join(e, frontier.node == e.parent, "inner")
                           .select("ancestor", F.col("child").alias("node"),
-                                  (F.col("depth") + 1).alias("depth")))
+                                  (F.col("depth") + 1).alias("depth")), "closure", level_bound)
         if nxt.isEmpty():
             break
         parts.append(nxt)

@@ -30,11 +30,44 @@ def net_changes(group_leaves: DataFrame, txn: DataFrame, account_col: str = "acc
             .agg((-F.sum("amount")).alias("net")))
 
 
+def rolled_net_changes(edges: DataFrame, txn: DataFrame, groups: DataFrame | None = None,
+                       account_col: str = "account", max_depth: int = 64, depth: int | None = None,
+                       rows_bound: int | None = None) -> DataFrame:
+    """A2 + A10 level by level: net change per (leaf, timestamp) first, then each tree level sums
+    its children's (node, timestamp) rows.  The transactions are shuffled once, as partial sums;
+    every further level reads the previous level's much smaller aggregate instead of fanning each
+    transaction out to all its ancestors.  ``groups`` (column ``grp``) keeps only those nodes.
+    ``depth`` (the tree height, when known) fixes the number of levels; ``rows_bound`` lets small
+    inputs stay lazy (see ``session.materialize``)."""
+    from ..session import materialize
+    from .hierarchy import leaves
+    lv = leaves(edges).withColumnRenamed("node", "leaf")
+    t = txn.select(F.col(account_col).alias("leaf"), "epoch", "amount").join(lv, "leaf", "left_semi")
+    cur = materialize(t.groupBy(F.col("leaf").alias("grp"), "epoch").agg((-F.sum("amount")).alias("net")),
+                      "rollup", rows_bound)
+    up = edges.select(F.col("child").alias("grp"), F.col("parent").alias("up"))
+    parts = [cur]
+    for _ in range(depth if depth is not None else max_depth):
+        nxt = materialize(cur.join(up, "grp", "inner").groupBy(F.col("up").alias("grp"), "epoch")
+                          .agg(F.sum("net").alias("net")), "rollup", rows_bound)
+        if depth is None and nxt.isEmpty():
+            break
+        parts.append(nxt)
+        cur = nxt
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out if groups is None else out.join(groups.select("grp"), "grp", "left_semi")
+
+
 def full_series(group_leaves: DataFrame, txn: DataFrame, accounts: DataFrame,
-                account_col: str = "account", rows_bound: int | None = None) -> DataFrame:
-    """(grp, epoch, balance) including the first point (0, start)."""
+                account_col: str = "account", rows_bound: int | None = None,
+                net: DataFrame | None = None) -> DataFrame:
+    """(grp, epoch, balance) including the first point (0, start).  ``net`` may be
+    given (e.g. from ``rolled_net_changes``); else it is computed from ``group_leaves``."""
     starts = group_start(group_leaves, accounts)
-    net = net_changes(group_leaves, txn, account_col)
+    if net is None:
+        net = net_changes(group_leaves, txn, account_col)
     levels = [[floor_div("epoch", SPAN_SECONDS)]]
     run = running_totals(net, ["grp"], ["epoch"], levels, sums=["net"], index="_i", rows_bound=rows_bound)
     pts = run.join(starts, "grp", "inner").select(

@@ -282,17 +282,21 @@ def q_geo_tree_problems(spark, sf):
     return dup.unionByName(iso).unionByName(cyc).unionByName(bad).unionByName(cov)
 
 
-def _group_leaves(spark, sf):
-    e = _geo(spark, sf)
-    return materialize(H.subtree_leaves(e).join(H.interior(e).withColumnRenamed("node", "grp"), "grp",
-                                                "left_semi"))
+def _group_leaves(spark, sf, e=None, clo=None):
+    e = e if e is not None else _geo(spark, sf)
+    return materialize(H.subtree_leaves(e, clo).join(H.interior(e).withColumnRenamed("node", "grp"), "grp",
+                                                     "left_semi"))
 
 
 def _series(spark, sf, group_leaves=None):
     lf = orders_ledger(spark, sf)
-    gl = group_leaves if group_leaves is not None else _group_leaves(spark, sf)
+    e = _geo(spark, sf)
+    clo = H.closure(e)
+    gl = group_leaves if group_leaves is not None else _group_leaves(spark, sf, e, clo)
     fan_out = gl.groupBy("leaf").count().agg(F.max("count")).first()[0] or 1
-    full = S.full_series(gl, lf.txn, lf.source_accounts, rows_bound=lf.n_txn * fan_out)
+    height = clo.agg(F.max("depth")).first()[0] or 0
+    net = S.rolled_net_changes(e, lf.txn, gl.select("grp").distinct(), depth=height, rows_bound=lf.n_txn)
+    full = S.full_series(gl, lf.txn, lf.source_accounts, rows_bound=lf.n_txn * fan_out, net=net)
     starts = S.group_start(gl, lf.source_accounts)
     return full, starts
 
