@@ -29,10 +29,14 @@ from ..operators import rules as rule_ops
 from ..operators import transfers as transfer_ops
 from ..operators.identity import identify
 from ..sources import catalog
-from ..sources.csv_folders import read_account_folders
+from ..session import materialize
+from ..sources.csv_folders import read_account_folders, read_selected_folders
 from .config import AccountMapping, mappings_frame
 
 MANIFEST_SCHEMA = "object_name string, fingerprint string"
+# Up to this many stale accounts are read through one glob of their folders; beyond it every
+# folder is scanned once and the stale ones are kept by a semi join.
+GLOB_ACCOUNTS = 1000
 
 
 # ---- I1 / I2 / I3 / I4 ----------------------------------------------------------------------
@@ -175,6 +179,7 @@ class RefreshResult:
     rebuilt_derived: list[str]
     ledger_rebuilt: bool
     manifest_version: int
+    n_rebuilt_sources: int = 0    # rebuilt_sources lists them only up to GLOB_ACCOUNTS
 
 
 def refresh_ledger(spark: SparkSession, src_root: str, accounts: DataFrame, mapping: AccountMapping,
@@ -183,30 +188,30 @@ def refresh_ledger(spark: SparkSession, src_root: str, accounts: DataFrame, mapp
     account), ``{prefix}_entries`` and ``{prefix}_unaccounted``; manifest under ``store_root``."""
     manifest_root = f"{store_root.rstrip('/')}/manifest"
     old = read_manifest(spark, manifest_root)
-    fps = folder_fingerprints(spark, src_root)
-    sk = source_keys(accounts, fps)
-    # The key tables are configuration-sized (one row per account); collect them once so later
-    # writes never read what they overwrite.
-    sk_rows = sk.collect()
-    sk = spark.createDataFrame(sk_rows, "object_name string, account string, fingerprint string")
-    stale_src = [r["account"] for r in stale_objects(sk, old).collect()]
+    # Keys are written once: the folders may change while we run, and the manifest must record
+    # exactly the keys that were built.
+    sk = materialize(source_keys(accounts, folder_fingerprints(spark, src_root)), "keys")
+    stale = stale_objects(sk, old).select("account")
+    n_stale = stale.count()
+    stale_names = [r["account"] for r in stale.collect()] if n_stale <= GLOB_ACCOUNTS else []
 
     txn_table, der_table = f"{prefix}_txn", f"{prefix}_derived"
-    removed = []
-    if catalog.is_stored(spark, txn_table):
-        known = {r["account"] for r in sk_rows}
-        removed = [r["account"] for r in spark.table(txn_table).select("account").distinct().collect()
-                   if r["account"] not in known]
-    if stale_src or not catalog.is_stored(spark, txn_table):
-        raw = read_account_folders(spark, src_root, stale_src)
-        new_txn = identify(raw)
+    stored = catalog.is_stored(spark, txn_table)
+    gone = spark.createDataFrame([], "account string")
+    if stored:  # accounts that left the configuration
+        gone = spark.table(txn_table).select("account").distinct().join(sk.select("account"), "account", "left_anti")
+    if n_stale or not stored:
+        if n_stale <= GLOB_ACCOUNTS:
+            raw = read_account_folders(spark, src_root, stale_names)
+        else:
+            raw = read_selected_folders(spark, src_root, stale)
+        new_txn = materialize(identify(raw), "refresh_txn")
         catalog.replace_partitions(new_txn, txn_table, ["account"])
-        have = {r["account"] for r in new_txn.select("account").distinct().collect()}
-        gone = [a for a in stale_src if a not in have] + removed
-        if gone:
-            catalog.drop_partitions(spark, txn_table, "account", gone)
-    elif removed:
-        catalog.drop_partitions(spark, txn_table, "account", removed)
+        # stale accounts that have no rows any more (all files deleted)
+        gone = gone.unionByName(stale.join(new_txn.select("account").distinct(), "account", "left_anti"))
+    gone_names = [r["account"] for r in gone.distinct().collect()]  # removals: rare and few
+    if gone_names:
+        catalog.drop_partitions(spark, txn_table, "account", gone_names)
     spark.catalog.refreshTable(txn_table)
     txn = spark.table(txn_table)
 
@@ -234,4 +239,4 @@ def refresh_ledger(spark: SparkSession, src_root: str, accounts: DataFrame, mapp
     version = write_manifest(sk.select("object_name", "fingerprint")
                              .unionByName(dk.select("object_name", "fingerprint"))
                              .unionByName(lk.select("object_name", "fingerprint")), manifest_root)
-    return RefreshResult(sorted(stale_src), sorted(stale_der), ledger_stale, version)
+    return RefreshResult(sorted(stale_names), sorted(stale_der), ledger_stale, version, n_stale)

@@ -62,10 +62,14 @@ def _escape_glob(name: str) -> str:
     return "".join(out)
 
 
-def _scan(spark: SparkSession, root: str, accounts: Sequence[str], fmt: BankFormat) -> DataFrame | None:
-    if not accounts:
+def _scan(spark: SparkSession, root: str, accounts: Sequence[str] | None, fmt: BankFormat) -> DataFrame | None:
+    """One scan over the accounts' folders (``None``: every folder under ``root``)."""
+    if accounts is not None and not accounts:
         return None
-    glob = f"{root.rstrip('/')}/{{{','.join(_escape_glob(a) for a in accounts)}}}/*.csv"
+    if accounts is None:
+        glob = f"{root.rstrip('/')}/*/*.csv"
+    else:
+        glob = f"{root.rstrip('/')}/{{{','.join(_escape_glob(a) for a in accounts)}}}/*.csv"
     reader = spark.read
     if fmt.schema is not None:
         reader = reader.schema(fmt.schema)
@@ -141,6 +145,18 @@ def read_account_folders(spark: SparkSession, root: str, accounts: Mapping[str,
     return out
 
 
+def read_selected_folders(spark: SparkSession, root: str, accounts: DataFrame,
+                          fmt: BankFormat = DEFAULT_FORMAT) -> DataFrame:
+    """S1 for an account list that is itself a DataFrame (column ``account``), e.g. thousands of
+    stale accounts in a refresh: one scan of every folder, kept by a semi join, so no name list
+    passes through the driver."""
+    scanned = _scan(spark, root, None, fmt)
+    if scanned is None:
+        return spark.createDataFrame([], RAW_SCHEMA)
+    bank = fmt.transform(scanned).withColumnRenamed("_account_dir", "account")
+    return homogenize(bank).select(*RAW_COLUMNS).join(accounts.select("account"), "account", "left_semi")
+
+
 def unpaired_to_csv(unpaired: DataFrame, path: str) -> None:
     """The transfer rows without a partner, written as CSV."""
     unpaired.write.mode("overwrite").option("header", "true").csv(path)

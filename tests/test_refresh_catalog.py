@@ -60,3 +60,14 @@ def test_folder_fingerprints(spark, workdir):
     root = write_golden(workdir)
     fps = {r["account"]: r["n_files"] for r in folder_fingerprints(spark, f"{root}/accounts").collect()}
     assert fps == {"chequing": 2, "visa": 2}
+
+
+def test_refresh_many_stale_accounts_path(spark, workdir, monkeypatch):
+    """Above the glob limit the stale list stays a DataFrame (semi join over one scan)."""
+    import tallyforge.plans.refresh as R
+    monkeypatch.setattr(R, "GLOB_ACCOUNTS", 0)
+    root = write_golden(workdir)
+    mapping = read_account_mapping(spark, f"{root}/home_rules.json")
+    r = refresh_ledger(spark, f"{root}/accounts", _accounts(spark), mapping, os.path.join(workdir, "s2"), prefix="rg")
+    assert r.n_rebuilt_sources == 2 and r.rebuilt_sources == []
+    assert spark.table("rg_txn").count() == 10 and spark.table("rg_unaccounted").count() == 3
