@@ -7,6 +7,7 @@ the reported time per query is the median of ``$BENCH_RUNS`` warm runs (default
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import statistics
@@ -21,8 +22,23 @@ from tallyforge.session import local_session  # noqa: E402
 
 HEADLINE = [
     "txn_ids", "statement", "derived_txn", "transfer_pairs", "ledger_entries", "unaccounted",
-    "events_unaccounted", "geo_series_totals",
+    "events_unaccounted", "geo_series_totals", "hot_statement", "hot_unaccounted",
 ]
+# The same queries with the large-data plan forced (bucketed numbering, written intermediates),
+# to show what the skew-safe plan costs where the row-count proof would pick the plain one.
+FORCED = ["hot_statement", "hot_unaccounted"]
+
+
+@contextlib.contextmanager
+def large_data_plan():
+    import tallyforge.operators.sequencing as seq
+    import tallyforge.session as sess
+    saved = seq.SINGLE_TASK_ROWS, sess.LAZY_BELOW_ROWS
+    seq.SINGLE_TASK_ROWS, sess.LAZY_BELOW_ROWS = -1, -1
+    try:
+        yield
+    finally:
+        seq.SINGLE_TASK_ROWS, sess.LAZY_BELOW_ROWS = saved
 
 
 def main() -> None:
@@ -35,20 +51,26 @@ def main() -> None:
     qs = D.queries()
     # Warm-up: JVM, codegen caches and file listing.
     qs["txn_ids"](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    times = {}
-    for name in HEADLINE:
+    def timed(name: str) -> float:
         samples = []
         for _ in range(runs):
             t0 = time.perf_counter()
             qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             samples.append(time.perf_counter() - t0)
-        times[name] = round(statistics.median(samples), 3)
+        return round(statistics.median(samples), 3)
+
+    times = {name: timed(name) for name in HEADLINE}
+    forced = {}
+    with large_data_plan():
+        for name in FORCED:
+            forced[name + "@large_data_plan"] = timed(name)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({
         "metric": "headline_total_median_sec",
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,
+        "large_data_plan": forced,
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "spark": spark.version,
         "cores": cpus,

@@ -15,7 +15,7 @@ from ..operators import ledger as ledger_ops
 from ..operators import transfers as transfer_ops
 from ..sources import driver_tables as dt
 from . import oracle as O
-from .ledgers import events_ledger, orders_ledger
+from .ledgers import events_ledger, orders_ledger, status_ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -120,6 +120,18 @@ def q_events_unaccounted(spark, sf):
     return events_ledger(spark, sf).unaccounted
 
 
+def q_hot_txn_ids(spark, sf):
+    return _txn_ids(status_ledger(spark, sf))
+
+
+def q_hot_statement(spark, sf):
+    return status_ledger(spark, sf).statement()
+
+
+def q_hot_unaccounted(spark, sf):
+    return status_ledger(spark, sf).unaccounted
+
+
 def queries() -> dict[str, Query]:
     return {
         "txn_ids": q_txn_ids,
@@ -142,6 +154,9 @@ def queries() -> dict[str, Query]:
         "duplicate_claims": q_duplicate_claims,
         "unaccounted": q_unaccounted,
         "events_unaccounted": q_events_unaccounted,
+        "hot_txn_ids": q_hot_txn_ids,
+        "hot_statement": q_hot_statement,
+        "hot_unaccounted": q_hot_unaccounted,
         **geo_queries(),
         **browse_queries(),
     }
@@ -163,6 +178,16 @@ def _events(*extra: str) -> str:
                        O.mappings_events(), O.transfer_ctes(), *extra)
 
 
+def _status(*extra: str) -> str:
+    """Orders keyed by status (three hot accounts); no transfer mappings."""
+    m = dt.ORDERS_MAPPING
+    raw = O.raw_orders().replace("printf('C%010d', o_custkey)", "'S' || o_orderstatus")
+    accounts = """src_accounts AS (
+  SELECT DISTINCT 'S' || o_orderstatus AS name, 'source' AS kind, cast(0 AS bigint) AS start_value FROM orders)"""
+    fixed = O.mappings_orders(m).split("\n  UNION ALL SELECT c.c_custkey")[0] + ")"
+    return O.with_ctes(raw, accounts, O.txn_ctes(), O.derived_ctes(m), fixed, O.transfer_ctes(), *extra)
+
+
 TXN_IDS = "SELECT account, seq, id, strftime(date, '%Y-%m-%d') AS date, epoch, amount, description FROM txn"
 
 END_BAL = """SELECT a.name, a.kind, a.start_value,
@@ -233,6 +258,9 @@ def oracle_sql() -> dict[str, str]:
                                         "GROUP BY account, id HAVING count(*) > 1",
         "unaccounted": _orders() + UNACCOUNTED,
         "events_unaccounted": _events() + UNACCOUNTED,
+        "hot_txn_ids": _status() + TXN_IDS,
+        "hot_statement": _status() + STATEMENT.format(table="txn", acct="account", accounts="src_accounts"),
+        "hot_unaccounted": _status() + UNACCOUNTED,
         **geo_oracle(),
         **browse_oracle(),
     }

@@ -130,6 +130,13 @@ def orders_ledger(spark: SparkSession, sf_dir: str) -> LedgerFrames:
                         d.ORDERS_MAPPING, d.orders_transfer_mappings(spark, sf_dir))
 
 
+def status_ledger(spark: SparkSession, sf_dir: str) -> LedgerFrames:
+    """Orders keyed by status: three accounts with a third of the rows each (hot keys)."""
+    from ..sources import driver_tables as d
+    return build_ledger(spark, "status", d.orders_by_status_raw(spark, sf_dir),
+                        d.orders_by_status_accounts(spark, sf_dir), d.ORDERS_MAPPING)
+
+
 def events_ledger(spark: SparkSession, sf_dir: str) -> LedgerFrames:
     from ..sources import driver_tables as d
     return build_ledger(spark, "events", d.events_raw(spark, sf_dir), d.events_accounts(spark, sf_dir),

@@ -59,6 +59,21 @@ def orders_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "o_orderkey", "orders")
 
 
+def orders_by_status_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hot-account ledger over the same orders: one account per order status, so each of the
+    three accounts holds about a third of all rows (the skew case the numbering must split)."""
+    o = table(spark, sf_dir, "orders")
+    return _raw(o, F.concat(F.lit("S"), F.col("o_orderstatus")), "o_orderdate",
+                F.col("o_orderstatus") == F.lit("F"), "o_totalprice", "o_orderpriority",
+                "o_orderkey", "orders")
+
+
+def orders_by_status_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return (o.select(F.concat(F.lit("S"), F.col("o_orderstatus")).alias("name")).distinct()
+            .select("name", F.lit("source").alias("kind"), F.lit(0).cast("bigint").alias("start_value")))
+
+
 def orders_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return c.select(customer_account(F.col("c_custkey")).alias("name"),
