@@ -159,8 +159,11 @@ def _bucket_expr(cols: list[Column], bounds: list[tuple], types) -> Column:
     return build(0, len(bounds))
 
 
+GLOBAL_SINGLE_TASK_ROWS = 1_000_000
+
+
 def global_offsets(df: DataFrame, order: Sequence[str], weight: str, out: str = "offset",
-                   single_task_rows: int = 1_000_000, rows_per_range: int = 1_000_000,
+                   single_task_rows: int | None = None, rows_per_range: int = 1_000_000,
                    max_ranges: int = 1024, seed: int = 17, n_hint: int | None = None) -> DataFrame:
     """Add ``out`` = sum of ``weight`` over all rows strictly before this one in ``order``.
 
@@ -170,6 +173,8 @@ def global_offsets(df: DataFrame, order: Sequence[str], weight: str, out: str =
     prefix-summed and broadcast (at most ``max_ranges`` rows).  ``n_hint``, an upper bound on
     the row count known from elsewhere, spares counting ``df``.
     """
+    if single_task_rows is None:
+        single_task_rows = GLOBAL_SINGLE_TASK_ROWS
     n = n_hint if n_hint is not None else df.count()
     w_all = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     if n <= single_task_rows:
