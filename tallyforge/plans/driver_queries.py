@@ -132,6 +132,23 @@ def q_hot_unaccounted(spark, sf):
     return status_ledger(spark, sf).unaccounted
 
 
+def q_events_end_balances(spark, sf):
+    return events_ledger(spark, sf).source_balances()
+
+
+def q_events_derived_balances(spark, sf):
+    return events_ledger(spark, sf).derived_balances()
+
+
+def q_events_transfer_report(spark, sf):
+    lf = events_ledger(spark, sf)
+    return transfer_ops.transfer_report(lf.transfer_mappings, lf.transfer_matches)
+
+
+def q_events_duplicate_claims(spark, sf):
+    return ledger_ops.duplicate_claims(events_ledger(spark, sf).entries)
+
+
 def queries() -> dict[str, Query]:
     return {
         "txn_ids": q_txn_ids,
@@ -154,6 +171,10 @@ def queries() -> dict[str, Query]:
         "duplicate_claims": q_duplicate_claims,
         "unaccounted": q_unaccounted,
         "events_unaccounted": q_events_unaccounted,
+        "events_end_balances": q_events_end_balances,
+        "events_derived_balances": q_events_derived_balances,
+        "events_transfer_report": q_events_transfer_report,
+        "events_duplicate_claims": q_events_duplicate_claims,
         "hot_txn_ids": q_hot_txn_ids,
         "hot_statement": q_hot_statement,
         "hot_unaccounted": q_hot_unaccounted,
@@ -258,6 +279,12 @@ def oracle_sql() -> dict[str, str]:
                                         "GROUP BY account, id HAVING count(*) > 1",
         "unaccounted": _orders() + UNACCOUNTED,
         "events_unaccounted": _events() + UNACCOUNTED,
+        "events_end_balances": _events() + END_BAL.format(accounts="src_accounts", table="txn", acct="account"),
+        "events_derived_balances": _events() + END_BAL.format(accounts="der_accounts", table="derived",
+                                                              acct="derived_account"),
+        "events_transfer_report": _events() + REPORT,
+        "events_duplicate_claims": _events() + "SELECT account, id, count(*) AS n_claims FROM accounted "
+                                               "GROUP BY account, id HAVING count(*) > 1",
         "hot_txn_ids": _status() + TXN_IDS,
         "hot_statement": _status() + STATEMENT.format(table="txn", acct="account", accounts="src_accounts"),
         "hot_unaccounted": _status() + UNACCOUNTED,
