@@ -79,9 +79,17 @@ class LedgerFrames:
 
     @cached_property
     def transfer_matches(self) -> DataFrame:
-        bound = self.n_txn * self.max_mappings_per_account
+        bound = self._matches_bound()
         return materialize(transfers.transfer_matches(self.txn, self.transfer_mappings, rows_bound=bound),
-                           "matches", 2 * bound)
+                           "matches", None if bound is None else 2 * bound)
+
+    def _matches_bound(self) -> int | None:
+        """Matched rows per side <= transactions x mappings per account; only worth a job on the
+        (configuration-sized) mapping table when the transactions alone are within the bound."""
+        from ..operators.sequencing import SINGLE_TASK_ROWS
+        if self.n_txn > SINGLE_TASK_ROWS:
+            return None
+        return self.n_txn * self.max_mappings_per_account
 
     @cached_property
     def transfer_entries(self) -> DataFrame:
@@ -90,12 +98,14 @@ class LedgerFrames:
     @cached_property
     def entries(self) -> DataFrame:
         n_match = max(1, sum(len(r.matchings) for r in self.mapping.derived))
+        m = self._matches_bound()
         return materialize(ledger.ledger_entries(self.derived_entries, self.transfer_entries), "entries",
-                           self.n_txn * (n_match + self.max_mappings_per_account))
+                           None if m is None else self.n_txn * n_match + m)
 
     @cached_property
     def unaccounted(self) -> DataFrame:
-        return ledger.unaccounted(self.txn, self.entries, n_accounts_hint=self.n_source_accounts,
+        # Accounts with rows <= rows: the raw count bounds the per-account table too.
+        return ledger.unaccounted(self.txn, self.entries, n_accounts_hint=self.n_txn,
                                   rows_bound=self.n_txn)
 
     @cached_property
