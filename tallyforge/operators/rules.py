@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.ids import transaction_id
 from ..plans.config import MAX_COMPILED_MATCHINGS, DerivedRule
 from ..sources.schemas import DERIVED_COLUMNS, ENTRY_COLUMNS
-from .sequencing import SEQ_CHUNK, SPAN_SECONDS, floor_div, running_totals
+from . import sequencing as seq_mod
+from .sequencing import SEQ_CHUNK, SPAN_SECONDS, dense_numbers, floor_div, running_totals
 
 _CHUNK = 256  # branches per array literal; arrays are concatenated, still one scan
 
@@ -101,12 +102,24 @@ def derived_transactions(txn: DataFrame, rules: Sequence[DerivedRule] | DataFram
         F.col("account").alias("source_account"), F.col("seq").alias("source_seq"),
         F.col("id").alias("source_id"), "date", "epoch", (-F.col("amount")).alias("amount"),
         "description")
-    order = ["epoch", "matching_no", "source_account", "source_seq"]
-    levels = [
-        [F.col("epoch"), F.col("matching_no"), F.col("source_account"), floor_div("source_seq", SEQ_CHUNK)],
-        [floor_div("epoch", SPAN_SECONDS)],
-    ]
-    numbered = running_totals(d, ["derived_account"], order, levels, index="seq", rows_bound=rows_bound)
+    if rows_bound is not None and rows_bound <= seq_mod.SINGLE_TASK_ROWS:
+        order = ["epoch", "matching_no", "source_account", "source_seq"]
+        numbered = running_totals(d, ["derived_account"], order, [], index="seq", rows_bound=rows_bound)
+    else:
+        # One timestamp of a universal rule can hold a row from every account, so the account
+        # name itself must be split: accounts get dense numbers in name order (same order), and
+        # every level below stays bounded: <= SEQ_CHUNK rows, <= SEQ_CHUNK accounts, then the
+        # (matching, account block) pairs of one timestamp, then <= 2^20 s per span.
+        nums = dense_numbers(txn.select(F.col("account").alias("source_account")), "source_account", "_acct_no")
+        d = d.join(nums, "source_account", "inner")
+        order = ["epoch", "matching_no", "_acct_no", "source_seq"]
+        levels = [
+            [F.col("epoch"), F.col("matching_no"), F.col("_acct_no"), floor_div("source_seq", SEQ_CHUNK)],
+            [F.col("epoch"), F.col("matching_no"), floor_div("_acct_no", SEQ_CHUNK)],
+            [F.col("epoch")],
+            [floor_div("epoch", SPAN_SECONDS)],
+        ]
+        numbered = running_totals(d, ["derived_account"], order, levels, index="seq")
     return numbered.withColumn(
         "id", transaction_id(F.col("derived_account"), F.col("seq"), F.col("date"), F.col("epoch"),
                              F.col("amount"), F.col("description"))

@@ -13,8 +13,8 @@ hierarchy of buckets, each a monotone coarsening of the order:
 * the offsets of all levels are added and joined back to the rows on the finest bucket.
 
 ``global_offsets`` numbers a (much smaller) table in one global order, for the unaccounted index
-where accounts come in name order.  It splits the order into ranges cut at sampled boundaries,
-so no single task sees more than one range.
+where accounts come in name order, and to give account names dense numbers.  It splits the
+order into ranges with Spark's range partitioner, so no single task sees more than one range.
 """
 
 from __future__ import annotations
@@ -143,34 +143,19 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
 # Global order over a small table
 
 
-def _bucket_expr(cols: list[Column], bounds: list[tuple], types) -> Column:
-    """Index of the range a row falls in, given sorted boundary tuples: a binary-search CASE."""
-    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cols)])
-
-    def lit_struct(b):
-        return F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, types))])
-
-    def build(lo: int, hi: int) -> Column:  # bucket in [lo, hi]
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2  # rows >= bounds[mid-1] go to [mid, hi]
-        return F.when(key < lit_struct(bounds[mid - 1]), build(lo, mid - 1)).otherwise(build(mid, hi))
-
-    return build(0, len(bounds))
-
-
 GLOBAL_SINGLE_TASK_ROWS = 1_000_000
 
 
 def global_offsets(df: DataFrame, order: Sequence[str], weight: str, out: str = "offset",
                    single_task_rows: int | None = None, rows_per_range: int = 1_000_000,
-                   max_ranges: int = 1024, seed: int = 17, n_hint: int | None = None) -> DataFrame:
-    """Add ``out`` = sum of ``weight`` over all rows strictly before this one in ``order``.
+                   max_ranges: int = 1024, n_hint: int | None = None) -> DataFrame:
+    """Add ``out`` = sum of ``weight`` over all rows strictly before this one in ``order``
+    (with weight 1: the 0-based rank in that order).
 
     ``order`` must be unique per row.  Up to ``single_task_rows`` rows one ordered window does it
-    (a proven bound).  Beyond that the order is cut into ranges at boundaries taken from a
-    bounded sample; each range is numbered in its own task and the few range totals are
-    prefix-summed and broadcast (at most ``max_ranges`` rows).  ``n_hint``, an upper bound on
+    (a proven bound).  Beyond that the order is range-partitioned (Spark samples the boundaries);
+    each range is numbered in its own task and the few range totals are prefix-summed and
+    broadcast (at most ``max_ranges`` rows).  ``n_hint``, an upper bound on
     the row count known from elsewhere, spares counting ``df``.
     """
     if single_task_rows is None:
@@ -181,15 +166,13 @@ def global_offsets(df: DataFrame, order: Sequence[str], weight: str, out: str =
         return df.withColumn(out, F.coalesce(F.sum(weight).over(w_all), F.lit(0)))
 
     ranges = min(max_ranges, max(2, math.ceil(n / rows_per_range)))
-    fraction = min(1.0, 32.0 * ranges / n)
-    sample = [tuple(r) for r in df.select(*order).sample(False, fraction, seed).collect()]
-    sample.sort(key=lambda t: tuple((v is None, v) for v in t))
-    if len(sample) < 2:
-        return df.withColumn(out, F.coalesce(F.sum(weight).over(w_all), F.lit(0)))
-    step = len(sample) / ranges
-    bounds = sorted({sample[min(len(sample) - 1, int(step * i))] for i in range(1, ranges)})
-    types = [df.schema[c].dataType for c in order]
-    keyed = df.withColumn("__range", _bucket_expr([F.col(c) for c in order], bounds, types))
+    # Spark's range partitioner samples the order (a bounded sample) and cuts it into
+    # ``ranges`` contiguous ranges; the partition a row lands in is its range.  A given count
+    # is never coalesced by AQE, and the ranges are written once so that every later use sees
+    # the same assignment.
+    from ..session import materialize
+    keyed = materialize(df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()),
+                        "ranges")
 
     w_in = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     within = keyed.withColumn("__win", F.coalesce(F.sum(weight).over(w_in), F.lit(0)))
@@ -200,5 +183,12 @@ def global_offsets(df: DataFrame, order: Sequence[str], weight: str, out: str =
     return res.withColumn(out, F.col("__win") + F.col("__roff")).drop("__range", "__win", "__roff")
 
 
-__all__ = ["running_totals", "global_offsets", "time_levels", "seq_levels", "floor_div",
-           "SEQ_CHUNK"]
+def dense_numbers(values: DataFrame, column: str, out: str, n_hint: int | None = None) -> DataFrame:
+    """(value, number) with numbers 0..n-1 in the value's sort order, for a column of distinct
+    values (e.g. account names), so later orders by the name can use a BIGINT instead."""
+    v = values.select(column).distinct().withColumn("__one", F.lit(1).cast("bigint"))
+    return global_offsets(v, [column], "__one", out=out, n_hint=n_hint).select(column, out)
+
+
+__all__ = ["running_totals", "global_offsets", "dense_numbers", "time_levels", "seq_levels",
+           "floor_div", "SEQ_CHUNK"]

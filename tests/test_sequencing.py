@@ -55,3 +55,19 @@ def test_identify_hot_account_matches_naive(spark, monkeypatch):
         F.lit(0).cast("bigint").alias("src_block"), (F.col("id") * 13 % 4001).alias("src_row"))
     a, b = identify(raw), identify_naive(raw)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_derived_large_plan_matches_small_plan(spark, monkeypatch):
+    """Derived numbering with account numbers and four bucket levels equals the plain window."""
+    from tallyforge.operators import rules as R
+    from tallyforge.plans.ledgers import orders_ledger
+    lf = orders_ledger(spark, "/root/testdata/sf0.001")
+    txn = lf.txn
+    small = R.derived_transactions(txn, lf.mapping.derived, rows_bound=10)
+    monkeypatch.setattr(S, "SEQ_CHUNK", 4)
+    monkeypatch.setattr(S, "GLOBAL_SINGLE_TASK_ROWS", 10)
+    monkeypatch.setattr(R, "SEQ_CHUNK", 4)
+    large = R.derived_transactions(txn, lf.mapping.derived, rows_bound=None)
+    cols = ["derived_account", "seq", "id", "source_id"]
+    assert large.select(cols).exceptAll(small.select(cols)).count() == 0
+    assert small.select(cols).exceptAll(large.select(cols)).count() == 0
