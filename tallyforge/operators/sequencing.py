@@ -47,9 +47,13 @@ def floor_div(c: Column | str, d: int) -> Column:
 
 
 def time_levels(epoch: str, ties: Sequence[str], tie_break: str) -> list[list[Column]]:
-    """Levels for an order (epoch, *ties, tie_break) with tie_break unique per (key, epoch, ties)."""
+    """Levels for an order (epoch, *ties, tie_break) with tie_break unique per (key, epoch, ties).
+
+    Group sizes: <= SEQ_CHUNK rows per finest bucket; per (key, epoch) the (ties, chunk) pairs,
+    i.e. input splits x chunks of that second; per (key, span) <= 2^20 distinct seconds."""
     return [
         [F.col(epoch), *[F.col(t) for t in ties], floor_div(tie_break, SEQ_CHUNK)],
+        [F.col(epoch)],
         [floor_div(epoch, SPAN_SECONDS)],
     ]
 
