@@ -31,12 +31,29 @@ def self_transfers(mappings: DataFrame) -> DataFrame:
         "mapping_no", F.col("from_account").alias("account"))
 
 
+# Up to this many distinct patterns per side are matched as literals (each compiled once per
+# task); beyond it the pattern column is used, which Spark recompiles when it changes between rows.
+MAX_LITERAL_PATTERNS = 32
+
+
+def _pattern_match(desc: F.Column, regex_col: F.Column, patterns: list[str] | None) -> F.Column:
+    if patterns is None:
+        return F.expr("description rlike regex")
+    out = None
+    for p in patterns:
+        out = (F.when(regex_col == F.lit(p), desc.rlike(p)) if out is None
+               else out.when(regex_col == F.lit(p), desc.rlike(p)))
+    return F.coalesce(out, F.lit(False)) if out is not None else F.lit(False)
+
+
 def _side_hits(txn: DataFrame, m: DataFrame, side: str, rows_bound: int | None) -> DataFrame:
     sel = m.select("mapping_no", F.col(f"{side}_account").alias("account"),
                    F.col(f"{side}_regex").alias("regex"))
+    few = [r[0] for r in sel.select("regex").distinct().limit(MAX_LITERAL_PATTERNS + 1).collect()]
+    patterns = few if len(few) <= MAX_LITERAL_PATTERNS else None
     hits = (txn.select("account", "seq", "id", "amount", "description", "date", "epoch")
             .join(sel, "account", "inner")
-            .where(F.expr("description rlike regex"))
+            .where(_pattern_match(F.col("description"), F.col("regex"), patterns))
             .drop("regex"))
     ranked = running_totals(hits, ["mapping_no"], ["seq"], seq_levels("seq"), index="k", rows_bound=rows_bound)
     return ranked.select("mapping_no", "k", *[F.col(c).alias(f"{side}_{c}") for c in
