@@ -120,6 +120,15 @@ class LedgerFrames:
         d = self.derived_txn.withColumnRenamed("derived_account", "account")
         return balances.statement(d, self.derived_accounts, rows_bound=d.count())
 
+    def account_statement(self, name: str) -> DataFrame:
+        """J8 + L10: the statement of one account, looked up among source accounts first, then
+        derived ones.  The filter on the partition column reaches below the running totals, so
+        only that account is computed."""
+        from pyspark.sql import functions as F
+        src = self.statement().where(F.col("account") == F.lit(name))
+        der = self.derived_statement().where(F.col("account") == F.lit(name))
+        return src.unionByName(der.join(src.select("account").distinct(), "account", "left_anti"))
+
     def source_balances(self) -> DataFrame:
         return balances.end_balances(self.source_accounts, self.txn)
 

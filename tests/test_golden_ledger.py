@@ -91,3 +91,10 @@ def test_scale_path_gives_same_results(spark, workdir, monkeypatch):
     assert [r["balance"] for r in st] == [9475, 109475, 89475, 85475, 80475, 79476]
     assert len(lf.entries.collect()) == 6
     assert "/tables/" in lf.txn.inputFiles()[0]
+
+
+def test_account_lookup_source_then_derived(spark, workdir):
+    lf = _ledger(spark, workdir)
+    assert [r["balance"] for r in lf.account_statement("visa").orderBy("seq").collect()] == [-26200, -6200, -9210, -8910]
+    assert [r["balance"] for r in lf.account_statement("Salary").collect()] == [-99000]
+    assert lf.account_statement("nobody").count() == 0
