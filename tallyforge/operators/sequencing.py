@@ -7,7 +7,8 @@ may hold a third of all rows.  ``running_totals`` therefore computes the same nu
 hierarchy of buckets, each a monotone coarsening of the order:
 
 * rows are numbered inside the finest bucket (a bounded group), in one shuffle;
-* bucket counts and sums are aggregated on the already-partitioned rows (no extra shuffle);
+* bucket counts and sums are aggregated with map-side partial aggregation (Catalyst prunes this
+  branch down to the key, bucket and summed columns, so only one row per bucket and task moves);
 * every coarser level takes an exclusive prefix of its children inside its parent group,
   again a bounded group, over tables that are orders of magnitude smaller than the rows;
 * the offsets of all levels are added and joined back to the rows on the finest bucket.
@@ -105,8 +106,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
             rows = rows.withColumnRenamed("__r_" + s, run_prefix + s)
         return rows
 
-    # Bucket totals: rows are already hash-partitioned by the finest bucket, so this aggregate
-    # plans without another exchange.
+    # Bucket totals: partial aggregation per task, then one small shuffle of bucket rows.
     table = rows.groupBy(*finest).agg(
         F.count(F.lit(1)).alias("__n"), *[F.sum(s).alias("__s_" + s) for s in sums])
     metrics = ["__n"] + ["__s_" + s for s in sums]
