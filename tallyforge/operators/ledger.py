@@ -50,7 +50,11 @@ def unaccounted(txn: DataFrame, entries: DataFrame, n_accounts_hint: int | None
 
     ``n_accounts_hint`` is an upper bound on the number of accounts (the size of the account
     registry); it spares a count of the whole upstream plan."""
-    rows = unaccounted_rows(txn, entries).select("account", "seq", "date", "description", "amount")
+    from ..session import materialize
+    # The anti join feeds the ranks, their bucket totals and the per-account counts: beyond the
+    # small-data bound it is computed once and written.
+    rows = materialize(unaccounted_rows(txn, entries).select("account", "seq", "date", "description", "amount"),
+                       "unaccounted-rows", rows_bound)
     ranked = running_totals(rows, ["account"], ["seq"], seq_levels("seq"), index="_rank",
                             rows_bound=rows_bound)
     counts = rows.groupBy("account").agg(F.count(F.lit(1)).alias("_n"))

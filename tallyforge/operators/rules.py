@@ -119,7 +119,7 @@ def derived_transactions(txn: DataFrame, rules: Sequence[DerivedRule] | DataFram
             [F.col("epoch")],
             [floor_div("epoch", SPAN_SECONDS)],
         ]
-        numbered = running_totals(d, ["derived_account"], order, levels, index="seq")
+        numbered = running_totals(d, ["derived_account"], order, levels, index="seq", write_input=True)
     return numbered.withColumn(
         "id", transaction_id(F.col("derived_account"), F.col("seq"), F.col("date"), F.col("epoch"),
                              F.col("amount"), F.col("description"))

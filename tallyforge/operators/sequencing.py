@@ -67,7 +67,7 @@ def seq_levels(seq: str) -> list[list[Column]]:
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
                    levels: Sequence[Sequence[Column]], sums: Sequence[str] = (),
                    index: str = "_idx", run_prefix: str = "_run_",
-                   rows_bound: int | None = None) -> DataFrame:
+                   rows_bound: int | None = None, write_input: bool = False) -> DataFrame:
     """Add ``index`` (0-based position inside ``keys`` by ``order``) and, per name in ``sums``, the
     inclusive running sum ``run_prefix + name``.
 
@@ -75,6 +75,8 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     of the order that is monotone in it, and each level a function of the finer one.  Keys and
     level values must be non-null.  ``rows_bound``, a proven upper bound on the input's row count
     (hence on any group), at or below ``SINGLE_TASK_ROWS`` selects the plain window.
+    ``write_input``: the input is an expensive plan (a join); on the bucketed path it is written
+    once, because the bucket totals and the numbered rows each read it.
     """
     keys = list(keys)
     if rows_bound is not None and rows_bound <= SINGLE_TASK_ROWS and keys:
@@ -91,6 +93,9 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
         lv_names.append(names)
     flat = [n for names in lv_names for n in names]
     finest = keys + flat
+    if levels and write_input:
+        from ..session import materialize
+        out = materialize(out, "numbering-input")
     if not finest:
         raise ValueError("running_totals needs keys or levels; use global_offsets for one order")
 

@@ -55,7 +55,8 @@ def _side_hits(txn: DataFrame, m: DataFrame, side: str, rows_bound: int | None)
             .join(sel, "account", "inner")
             .where(_pattern_match(F.col("description"), F.col("regex"), patterns))
             .drop("regex"))
-    ranked = running_totals(hits, ["mapping_no"], ["seq"], seq_levels("seq"), index="k", rows_bound=rows_bound)
+    ranked = running_totals(hits, ["mapping_no"], ["seq"], seq_levels("seq"), index="k", rows_bound=rows_bound,
+                            write_input=True)
     return ranked.select("mapping_no", "k", *[F.col(c).alias(f"{side}_{c}") for c in
                                               ("account", "seq", "id", "amount", "description",
                                                "date", "epoch")])
