@@ -35,15 +35,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, scratch:
     return spark
 
 
+_LOCAL_DIRS: dict[int, str] = {}  # sessions without a SparkContext handle (Spark Connect)
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder the cluster names in ``spark.checkpoint.dir`` (None when unset)."""
-    d = spark.sparkContext.getCheckpointDir()
+    try:
+        d = spark.sparkContext.getCheckpointDir()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no SparkContext
+        d = None
     if d:
         return d
     try:
-        return spark.conf.get("spark.checkpoint.dir")
-    except Exception:  # noqa: BLE001 - conf lookup raises when unset
-        return None
+        d = spark.conf.get("spark.checkpoint.dir", None)
+    except Exception:  # noqa: BLE001
+        d = None
+    return d or _LOCAL_DIRS.get(id(spark))
 
 
 def ensure_checkpoint_dir(spark: SparkSession, scratch: str | None = None) -> str:
@@ -51,9 +58,12 @@ def ensure_checkpoint_dir(spark: SparkSession, scratch: str | None = None) -> st
     d = checkpoint_dir(spark)
     if not d:
         d = os.path.join(scratch or tempfile.mkdtemp(prefix="tally-ckpt-"), "checkpoints")
-        spark.sparkContext.setCheckpointDir(d)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
+        _LOCAL_DIRS[id(spark)] = d
+    try:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(d)
+    except Exception:  # noqa: BLE001 - no SparkContext handle: Parquet writes only need the path
+        pass
     return d
 
 
