@@ -14,6 +14,14 @@ from pyspark.sql import functions as F
 from ..operators import ledger as ledger_ops
 from ..operators import transfers as transfer_ops
 from ..sources import driver_tables as dt
+from ..functions.timefmt import bound_epoch
+from ..operators import browse as B
+from ..operators import checks as C
+from ..operators import hierarchy as H
+from ..operators import series as S
+from ..operators.balances import account_kinds
+from ..operators.identity import quarantine as _quarantine
+from ..session import materialize
 from . import oracle as O
 from .ledgers import events_ledger, orders_ledger, status_ledger
 
@@ -296,11 +304,6 @@ def oracle_sql() -> dict[str, str]:
 # ------------------------------------------------------------------------------------------
 # Category tree over the driver tables: All -> region -> nation -> customer account
 
-from ..functions.timefmt import bound_epoch  # noqa: E402
-from ..operators import hierarchy as H  # noqa: E402
-from ..operators import series as S  # noqa: E402
-from ..operators.balances import account_kinds  # noqa: E402
-from ..session import materialize  # noqa: E402
 
 SERIES_FROM = "1995-Mar-15"
 SERIES_TO = "1996-Feb-29"
@@ -508,9 +511,6 @@ def geo_queries() -> dict[str, Query]:
 # ------------------------------------------------------------------------------------------
 # Browser, catalog SQL and checks
 
-from ..operators import browse as B  # noqa: E402
-from ..operators import checks as C  # noqa: E402
-from ..operators.identity import quarantine as _quarantine  # noqa: E402
 
 USER_SQL = ("SELECT account, count(*) AS n_txn, CAST(sum(amount) AS BIGINT) AS total "
             "FROM ledger_txn WHERE amount > {min} GROUP BY account")
@@ -545,7 +545,7 @@ def q_match_counts(spark, sf):
 def q_ledger_checks(spark, sf):
     lf = orders_ledger(spark, sf)
     rules = lf.mapping.derived
-    kinds = __import__("tallyforge.operators.balances", fromlist=["account_kinds"]).account_kinds(lf.accounts)
+    kinds = account_kinds(lf.accounts)
     parts = [
         C.self_sourced(lf.derived_txn).select(F.lit("V1").alias("check"), F.col("source_id").alias("subject")),
         C.blank_matchings(spark, rules).select(F.lit("V3").alias("check"), F.col("derived_account").alias("subject")),
