@@ -75,10 +75,12 @@ def closure(edges: DataFrame, roots: DataFrame | None = None, max_depth: int = M
     start = nodes(e) if roots is None else roots.select("node").distinct()
     frontier = start.select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("depth"))
     parts = [frontier] if include_self else []
-    for _ in range(max_depth):
+    for level in range(max_depth):
+        # Lazy levels chain their plans; past a few levels each one is written regardless.
         nxt = materialize(frontier.join(e, frontier.node == e.parent, "inner")
                           .select("ancestor", F.col("child").alias("node"),
-                                  (F.col("depth") + 1).alias("depth")), "closure", level_bound)
+                                  (F.col("depth") + 1).alias("depth")), "closure",
+                          level_bound if level < 4 else None)
         if nxt.isEmpty():
             break
         parts.append(nxt)
@@ -97,8 +99,10 @@ def cycle_nodes(edges: DataFrame, root: str, max_depth: int = MAX_DEPTH) -> Data
     reached = closure(edges, edges.sparkSession.createDataFrame([(root,)], "node string"), max_depth)
     rest_nodes = nodes(edges).join(reached.select("node"), "node", "left_anti")
     root_is_child = edges.where(F.col("child") == F.lit(root)).select(F.lit(root).alias("node"))
-    rest = edges.join(rest_nodes.withColumnRenamed("node", "parent"), "parent", "left_semi")
-    c = closure(rest, None, max_depth, include_self=False)
+    rest = materialize(edges.join(rest_nodes.withColumnRenamed("node", "parent"), "parent", "left_semi"),
+                       "cycle-edges")
+    # A cycle through k nodes closes within k steps.
+    c = closure(rest, None, min(max_depth, rest.count() + 1), include_self=False)
     return c.where(F.col("ancestor") == F.col("node")).select("node").unionByName(root_is_child).distinct()
 
 
