@@ -417,13 +417,14 @@ def _geo_sql(*extra: str) -> str:
     return "WITH RECURSIVE " + _orders()[len("WITH "):].rstrip() + ",\n" + ",\n".join((GEO_EDGES,) + extra) + "\n"
 
 
-def _series_ctes(groups_sql: str) -> str:
+def _series_ctes(groups_sql: str, leaves: str = "sub_leaves", accounts: str = "src_accounts",
+                 txn: str = "txn", acct: str = "account") -> str:
     s, e = bound_epoch(SERIES_FROM), bound_epoch(SERIES_TO)
-    return f"""gl AS (SELECT grp, leaf FROM sub_leaves WHERE grp IN ({groups_sql})),
+    return f"""gl AS (SELECT grp, leaf FROM {leaves} WHERE grp IN ({groups_sql})),
 g_start AS (SELECT gl.grp, -cast(sum(a.start_value) AS bigint) AS start
-            FROM gl JOIN src_accounts a ON a.name = gl.leaf GROUP BY gl.grp),
+            FROM gl JOIN {accounts} a ON a.name = gl.leaf GROUP BY gl.grp),
 net AS (SELECT gl.grp, t.epoch, -cast(sum(t.amount) AS bigint) AS net
-        FROM gl JOIN txn t ON t.account = gl.leaf GROUP BY gl.grp, t.epoch),
+        FROM gl JOIN {txn} t ON t.{acct} = gl.leaf GROUP BY gl.grp, t.epoch),
 series AS (
   SELECT n.grp, n.epoch, g.start + cast(sum(n.net) OVER (PARTITION BY n.grp ORDER BY n.epoch) AS bigint) AS balance
   FROM net n JOIN g_start g ON g.grp = n.grp
@@ -489,9 +490,49 @@ SELECT min(min_balance) AS min_balance, max(max_balance) AS max_balance, min(bal
             _frontier_sql(),
             _series_ctes("SELECT f.node FROM frontier f JOIN selection s ON s.node = f.node WHERE s.active")
         ) + "SELECT * FROM totals",
+        "category_clipped_series": _category_sql() + "SELECT grp, epoch, balance FROM clipped",
+        "category_series_totals": _category_sql() + "SELECT * FROM totals",
     }
 
 
+# ---- the orders ledger's own category tree over its derived accounts (the reference's plot)
+
+def _category_clipped(spark, sf):
+    lf = orders_ledger(spark, sf)
+    tree = lf.mapping.category_tree()
+    e = H.edges_from_dict(spark, tree)
+    gl = H.subtree_leaves(e)
+    d = lf.derived_txn.withColumnRenamed("derived_account", "account")
+    n_match = max(1, sum(len(r.matchings) for r in lf.mapping.derived))
+    fan_out = 1 + sum(len(c) for c in tree.values())
+    full = S.full_series(gl, d, lf.derived_accounts, rows_bound=lf.n_txn * n_match * fan_out)
+    starts = S.group_start(gl, lf.derived_accounts)
+    return S.clip_series(full, starts, bound_epoch(SERIES_FROM), bound_epoch(SERIES_TO))
+
+
+def q_category_clipped_series(spark, sf):
+    return _category_clipped(spark, sf)
+
+
+def q_category_series_totals(spark, sf):
+    return S.series_totals(_category_clipped(spark, sf))
+
+
+def _category_sql(*extra: str) -> str:
+    tree = dt.ORDERS_MAPPING.category_tree()
+    values = ", ".join(f"('{p}', '{c}')" for p, cs in tree.items() for c in cs)
+    cat = f"""cat_edges AS (SELECT * FROM (VALUES {values}) v(parent, child)),
+cat_nodes AS (SELECT parent AS node FROM cat_edges UNION SELECT child FROM cat_edges),
+cat_leaves AS (SELECT DISTINCT child AS node FROM cat_edges WHERE child NOT IN (SELECT parent FROM cat_edges)),
+cclo(ancestor, node, depth) AS (
+  SELECT node, node, 0 FROM cat_nodes
+  UNION ALL SELECT c.ancestor, e.child, c.depth + 1 FROM cclo c JOIN cat_edges e ON e.parent = c.node),
+cat_sub_leaves AS (SELECT ancestor AS grp, node AS leaf FROM cclo WHERE node IN (SELECT node FROM cat_leaves))"""
+    series = _series_ctes("SELECT node FROM cat_nodes", leaves="cat_sub_leaves", accounts="der_accounts",
+                          txn="derived", acct="derived_account")
+    return "WITH RECURSIVE " + _orders()[len("WITH "):].rstrip() + ",\n" + ",\n".join((cat, series) + extra) + "\n"
+
+
 def geo_queries() -> dict[str, Query]:
     return {
         "geo_closure": q_geo_closure,
@@ -505,6 +546,8 @@ def geo_queries() -> dict[str, Query]:
         "geo_frontier": q_geo_frontier,
         "geo_selection": q_geo_selection,
         "selected_series_totals": q_selected_series_totals,
+        "category_clipped_series": q_category_clipped_series,
+        "category_series_totals": q_category_series_totals,
     }
 
 
