@@ -81,3 +81,18 @@ def test_legacy_ids(spark):
     h.update((-21).to_bytes(8, "big", signed=True) + (4).to_bytes(8, "big"))
     h.update(b"COFFEE SHOP")
     assert got == h.hexdigest()
+
+
+def test_configuration_edges(spark, workdir):
+    from tallyforge.sources.json_io import read_account_mapping, read_ledger_configuration, select_ledger
+    assert read_ledger_configuration(spark, os.path.join(workdir, "missing.json")).count() == 0
+    m = read_account_mapping(spark, os.path.join(workdir, "missing_rules.json"))
+    assert m.derived == [] and m.transfers == [] and m.category_tree() == {"All": []}
+    root = write_golden(workdir)
+    cfg = read_ledger_configuration(spark, f"{root}/LedgerConfiguration.json")
+    assert {r["account"]: r["start_value"] for r in select_ledger(cfg).collect()} == {"chequing": 10000, "visa": -25000}
+    assert select_ledger(cfg, "other").count() == 0
+    rules = read_account_mapping(spark, f"{root}/home_rules.json")
+    assert [r.name for r in rules.derived] == ["Coffee", "Groceries", "Salary"]
+    assert rules.derived[2].start_value == 1000 and rules.derived[0].is_universal
+    assert rules.tree == {"All": ["Living", "Salary"], "Living": ["Coffee", "Groceries"]}
