@@ -13,6 +13,26 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def cluster_settings(executors: int = 1000, cores_per_executor: int = 8) -> dict[str, str]:
+    """Settings for a large cluster (apply with ``SparkSession.builder.config(map=...)``).
+
+    Shuffles start at ~3 partitions per core and let AQE coalesce small ones and split skewed
+    ones; scan splits and advisory shuffle partitions are sized so a task's data fits in executor
+    memory with room for sort and window buffers.  ``spark.checkpoint.dir`` must name a shared
+    folder; it is the cluster's, so it is not set here."""
+    cores = executors * cores_per_executor
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+        "spark.sql.shuffle.partitions": str(3 * cores),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, scratch: str | None = None,
                   app: str = "tallyforge") -> SparkSession:
     builder = (
