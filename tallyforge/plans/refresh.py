@@ -182,38 +182,55 @@ class RefreshResult:
     n_rebuilt_sources: int = 0    # rebuilt_sources lists them only up to GLOB_ACCOUNTS
 
 
+def account_bucket(account_col: F.Column, buckets: int) -> F.Column:
+    """Storage bucket of an account: the unit a refresh rewrites (one folder per bucket, not per
+    account, so a billion accounts still make only ``buckets`` partitions)."""
+    return F.pmod(F.xxhash64(account_col), F.lit(buckets)).cast("int")
+
+
 def refresh_ledger(spark: SparkSession, src_root: str, accounts: DataFrame, mapping: AccountMapping,
-                   store_root: str, prefix: str = "ledger") -> RefreshResult:
-    """Rebuild what changed.  Tables: ``{prefix}_txn`` and ``{prefix}_derived`` (partitioned by
-    account), ``{prefix}_entries`` and ``{prefix}_unaccounted``; manifest under ``store_root``."""
+                   store_root: str, prefix: str = "ledger", buckets: int = 1024) -> RefreshResult:
+    """Rebuild what changed.  Tables: ``{prefix}_txn`` (partitioned by account bucket),
+    ``{prefix}_derived`` (partitioned by derived account), ``{prefix}_entries`` and
+    ``{prefix}_unaccounted``; manifest under ``store_root``.
+
+    A stale account marks its bucket stale; every account of a stale bucket is re-read and the
+    bucket's partition replaced, so untouched buckets are never rewritten."""
     manifest_root = f"{store_root.rstrip('/')}/manifest"
     old = read_manifest(spark, manifest_root)
     # Keys are written once: the folders may change while we run, and the manifest must record
     # exactly the keys that were built.
-    sk = materialize(source_keys(accounts, folder_fingerprints(spark, src_root)), "keys")
-    stale = stale_objects(sk, old).select("account")
+    sk = materialize(source_keys(accounts, folder_fingerprints(spark, src_root))
+                     .withColumn("bucket", account_bucket(F.col("account"), buckets)), "keys")
+    stale = stale_objects(sk, old).select("account", "bucket")
     n_stale = stale.count()
     stale_names = [r["account"] for r in stale.collect()] if n_stale <= GLOB_ACCOUNTS else []
 
     txn_table, der_table = f"{prefix}_txn", f"{prefix}_derived"
     stored = catalog.is_stored(spark, txn_table)
-    gone = spark.createDataFrame([], "account string")
-    if stored:  # accounts that left the configuration
-        gone = spark.table(txn_table).select("account").distinct().join(sk.select("account"), "account", "left_anti")
-    if n_stale or not stored:
-        if n_stale <= GLOB_ACCOUNTS:
-            raw = read_account_folders(spark, src_root, stale_names)
+    stale_buckets = stale.select("bucket")
+    if stored:  # buckets holding accounts that left the configuration
+        left = (spark.table(txn_table).select("account", "bucket").distinct()
+                .join(sk.select("account"), "account", "left_anti").select("bucket"))
+        stale_buckets = stale_buckets.unionByName(left)
+    stale_buckets = materialize(stale_buckets.distinct(), "stale-buckets")
+    n_buckets = stale_buckets.count()
+    if n_buckets or not stored:
+        rebuild = sk.join(stale_buckets, "bucket", "left_semi").select("account")
+        if rebuild.count() <= GLOB_ACCOUNTS:
+            raw = read_account_folders(spark, src_root, [r["account"] for r in rebuild.collect()])
         else:
-            raw = read_selected_folders(spark, src_root, stale)
-        new_txn = materialize(identify(raw), "refresh_txn")
-        catalog.replace_partitions(new_txn, txn_table, ["account"])
-        # stale accounts that have no rows any more (all files deleted)
-        gone = gone.unionByName(stale.join(new_txn.select("account").distinct(), "account", "left_anti"))
-    gone_names = [r["account"] for r in gone.distinct().collect()]  # removals: rare and few
-    if gone_names:
-        catalog.drop_partitions(spark, txn_table, "account", gone_names)
+            raw = read_selected_folders(spark, src_root, rebuild)
+        new_txn = materialize(identify(raw).withColumn("bucket", account_bucket(F.col("account"), buckets)),
+                              "refresh_txn")
+        catalog.replace_partitions(new_txn, txn_table, ["bucket"])
+        # stale buckets with no rows any more
+        empty = stale_buckets.join(new_txn.select("bucket").distinct(), "bucket", "left_anti")
+        empty_buckets = [r["bucket"] for r in empty.collect()]  # at most ``buckets`` values
+        if empty_buckets and stored:
+            catalog.drop_partitions(spark, txn_table, "bucket", empty_buckets)
     spark.catalog.refreshTable(txn_table)
-    txn = spark.table(txn_table)
+    txn = spark.table(txn_table).drop("bucket")
 
     dk = derived_keys(spark, mapping, sk)
     dk = spark.createDataFrame(dk.collect(), "object_name string, account string, fingerprint string")

@@ -34,6 +34,12 @@ def test_refresh_rebuilds_only_changed_account(spark, workdir):
     assert txn.where("account = 'visa'").count() == 5 and txn.where("account = 'chequing'").count() == 6
     coffee = spark.table("rf_derived").where("account = 'Coffee'").count()
     assert coffee == 3
+    only = spark.createDataFrame([("chequing", "source", 10000)], "name string, kind string, start_value bigint")
+    r4 = refresh_ledger(spark, f"{root}/accounts", only, mapping, store, prefix="rf")
+    assert r4.rebuilt_sources == [] and r4.ledger_rebuilt
+    spark.catalog.refreshTable("rf_txn")
+    assert spark.table("rf_txn").where("account = 'visa'").count() == 0
+    assert spark.table("rf_txn").where("account = 'chequing'").count() == 6
 
 
 def test_catalog_store_update_drop(spark):
