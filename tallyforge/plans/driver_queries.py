@@ -21,6 +21,7 @@ from ..operators import hierarchy as H
 from ..operators import series as S
 from ..operators.balances import account_kinds
 from ..operators.identity import quarantine as _quarantine
+from ..operators.sequencing import SINGLE_TASK_ROWS
 from ..session import materialize
 from . import oracle as O
 from .ledgers import events_ledger, orders_ledger, status_ledger
@@ -352,9 +353,12 @@ def _series(spark, sf, group_leaves=None):
     clo = H.closure(e)
     gl = group_leaves if group_leaves is not None else _group_leaves(spark, sf, e, clo)
     fan_out = gl.groupBy("leaf").count().agg(F.max("count")).first()[0] or 1
-    height = clo.agg(F.max("depth")).first()[0] or 0
-    net = S.rolled_net_changes(e, lf.txn, gl.select("grp").distinct(), depth=height, rows_bound=lf.n_txn)
-    full = S.full_series(gl, lf.txn, lf.source_accounts, rows_bound=lf.n_txn * fan_out, net=net)
+    bound = lf.n_txn * fan_out
+    net = None  # small: one join of transactions with (group, leaf), one aggregate
+    if bound > SINGLE_TASK_ROWS:  # large: shuffle the transactions once, then roll up per level
+        height = clo.agg(F.max("depth")).first()[0] or 0
+        net = S.rolled_net_changes(e, lf.txn, gl.select("grp").distinct(), depth=height, rows_bound=lf.n_txn)
+    full = S.full_series(gl, lf.txn, lf.source_accounts, rows_bound=bound, net=net)
     starts = S.group_start(gl, lf.source_accounts)
     return full, starts
 
