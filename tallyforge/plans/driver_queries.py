@@ -638,10 +638,15 @@ UNION ALL SELECT 'V8', CASE WHEN account IS NULL THEN 'no account' WHEN date IS
           WHERE account IS NULL OR date IS NULL OR epoch IS NULL OR amount IS NULL
 UNION ALL SELECT 'V10', a FROM (
   SELECT from_account AS a FROM mappings UNION ALL SELECT to_account FROM mappings
-  UNION ALL SELECT * FROM (VALUES ('C0000000003'), ('C0000000007'), ('C0000000003')) v(a)) x
-  WHERE a NOT IN (SELECT name FROM src_accounts)""",
+  UNION ALL SELECT * FROM (VALUES {rule_accounts}) v(a)) x
+  WHERE a NOT IN (SELECT name FROM src_accounts)""".format(rule_accounts=_rule_accounts_values()),
     }
 
 
+def _rule_accounts_values() -> str:
+    names = [m.account_name for r in dt.ORDERS_MAPPING.derived for m in r.matchings if not m.is_blank]
+    return ", ".join(f"({O.q(n)})" for n in names) or "(NULL)"
+
+
 def _orders_with(extra: str) -> str:
     return _orders().rstrip() + ",\n" + extra + "\n"
