@@ -169,19 +169,25 @@ def ledger_from_folders(spark: SparkSession, data_root: str, ledger_name: str |
     ``<accounting file>.json`` and the account folders ``<source account directory>/<account>``."""
     from pyspark.sql import functions as F
 
-    from ..sources.csv_folders import read_account_folders
+    from ..sources.csv_folders import read_account_folders, read_selected_folders
     from ..sources.json_io import read_account_mapping, read_ledger_configuration, select_ledger
+    from .refresh import GLOB_ACCOUNTS
     root = data_root.rstrip("/")
     cfg = select_ledger(read_ledger_configuration(spark, f"{root}/LedgerConfiguration.json"), ledger_name)
-    rows = cfg.collect()  # configuration rows: one per configured source account
-    if not rows:
+    head = cfg.select("ledger_name", "accounting_file", "source_dir").first()
+    if head is None:
         raise ValueError(f"ledger {ledger_name or '(default)'} not configured under {root}")
-    name, acc_file, src_dir = rows[0]["ledger_name"], rows[0]["accounting_file"], rows[0]["source_dir"]
-    accounts = {r["account"]: (account_formats or {}).get(r["account"], "default")
-                for r in rows if r["account"] is not None}
-    raw = read_account_folders(spark, f"{root}/{src_dir}", accounts, formats)
+    name, acc_file, src_dir = head["ledger_name"], head["accounting_file"], head["source_dir"]
     src = cfg.where(F.col("account").isNotNull()).select(
         F.col("account").alias("name"), F.lit("source").alias("kind"), "start_value")
+    if account_formats or src.count() <= GLOB_ACCOUNTS:
+        # a configuration-sized list: one glob over the named folders, per bank format
+        accounts = {r["name"]: (account_formats or {}).get(r["name"], "default")
+                    for r in src.select("name").collect()}
+        raw = read_account_folders(spark, f"{root}/{src_dir}", accounts, formats)
+    else:
+        # very many accounts (one default format): one scan of every folder, kept by a semi join
+        raw = read_selected_folders(spark, f"{root}/{src_dir}", src.select(F.col("name").alias("account")))
     mapping = read_account_mapping(spark, f"{root}/{acc_file}.json")
     return build_ledger(spark, name, raw, src, mapping)
 
