@@ -422,8 +422,9 @@ def _geo_sql(*extra: str) -> str:
 
 
 def _series_ctes(groups_sql: str, leaves: str = "sub_leaves", accounts: str = "src_accounts",
-                 txn: str = "txn", acct: str = "account") -> str:
-    s, e = bound_epoch(SERIES_FROM), bound_epoch(SERIES_TO)
+                 txn: str = "txn", acct: str = "account", bounds=None) -> str:
+    lo, hi = bounds or (SERIES_FROM, SERIES_TO)
+    s, e = bound_epoch(lo), bound_epoch(hi)
     return f"""gl AS (SELECT grp, leaf FROM {leaves} WHERE grp IN ({groups_sql})),
 g_start AS (SELECT gl.grp, -cast(sum(a.start_value) AS bigint) AS start
             FROM gl JOIN {accounts} a ON a.name = gl.leaf GROUP BY gl.grp),
@@ -496,13 +497,15 @@ SELECT min(min_balance) AS min_balance, max(max_balance) AS max_balance, min(bal
         ) + "SELECT * FROM totals",
         "category_clipped_series": _category_sql() + "SELECT grp, epoch, balance FROM clipped",
         "category_series_totals": _category_sql() + "SELECT * FROM totals",
+        "events_category_series_totals": _category_sql(mapping=dt.EVENTS_MAPPING, base=_events,
+                                                       bounds=(EVENTS_FROM, EVENTS_TO)) + "SELECT * FROM totals",
     }
 
 
 # ---- the orders ledger's own category tree over its derived accounts (the reference's plot)
 
-def _category_clipped(spark, sf):
-    lf = orders_ledger(spark, sf)
+def _category_clipped(spark, sf, builder=orders_ledger, bounds=None):
+    lf = builder(spark, sf)
     tree = lf.mapping.category_tree()
     e = H.edges_from_dict(spark, tree)
     gl = H.subtree_leaves(e)
@@ -511,7 +514,17 @@ def _category_clipped(spark, sf):
     fan_out = 1 + sum(len(c) for c in tree.values())
     full = S.full_series(gl, d, lf.derived_accounts, rows_bound=lf.n_txn * n_match * fan_out)
     starts = S.group_start(gl, lf.derived_accounts)
-    return S.clip_series(full, starts, bound_epoch(SERIES_FROM), bound_epoch(SERIES_TO))
+    lo, hi = bounds or (SERIES_FROM, SERIES_TO)
+    return S.clip_series(full, starts, bound_epoch(lo), bound_epoch(hi))
+
+
+# Plot bounds for the events ledger (its timestamps span one month, with sub-second parts).
+EVENTS_FROM = "2024-Jan-10"
+EVENTS_TO = "2024-Jan-20"
+
+
+def q_events_category_series_totals(spark, sf):
+    return S.series_totals(_category_clipped(spark, sf, events_ledger, (EVENTS_FROM, EVENTS_TO)))
 
 
 def q_category_clipped_series(spark, sf):
@@ -522,8 +535,10 @@ def q_category_series_totals(spark, sf):
     return S.series_totals(_category_clipped(spark, sf))
 
 
-def _category_sql(*extra: str) -> str:
-    tree = dt.ORDERS_MAPPING.category_tree()
+def _category_sql(*extra: str, mapping=None, base=None, bounds=None) -> str:
+    mapping = mapping or dt.ORDERS_MAPPING
+    base = base or _orders
+    tree = mapping.category_tree()
     values = ", ".join(f"('{p}', '{c}')" for p, cs in tree.items() for c in cs)
     cat = f"""cat_edges AS (SELECT * FROM (VALUES {values}) v(parent, child)),
 cat_nodes AS (SELECT parent AS node FROM cat_edges UNION SELECT child FROM cat_edges),
@@ -533,8 +548,8 @@ cclo(ancestor, node, depth) AS (
   UNION ALL SELECT c.ancestor, e.child, c.depth + 1 FROM cclo c JOIN cat_edges e ON e.parent = c.node),
 cat_sub_leaves AS (SELECT ancestor AS grp, node AS leaf FROM cclo WHERE node IN (SELECT node FROM cat_leaves))"""
     series = _series_ctes("SELECT node FROM cat_nodes", leaves="cat_sub_leaves", accounts="der_accounts",
-                          txn="derived", acct="derived_account")
-    return "WITH RECURSIVE " + _orders()[len("WITH "):].rstrip() + ",\n" + ",\n".join((cat, series) + extra) + "\n"
+                          txn="derived", acct="derived_account", bounds=bounds)
+    return "WITH RECURSIVE " + base()[len("WITH "):].rstrip() + ",\n" + ",\n".join((cat, series) + extra) + "\n"
 
 
 def geo_queries() -> dict[str, Query]:
@@ -552,6 +567,7 @@ def geo_queries() -> dict[str, Query]:
         "selected_series_totals": q_selected_series_totals,
         "category_clipped_series": q_category_clipped_series,
         "category_series_totals": q_category_series_totals,
+        "events_category_series_totals": q_events_category_series_totals,
     }
 
 
