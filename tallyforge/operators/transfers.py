@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.schemas import ENTRY_COLUMNS
+from . import sequencing as seq_mod
 from .sequencing import running_totals, seq_levels
 
 
@@ -49,8 +50,11 @@ def _pattern_match(desc: F.Column, regex_col: F.Column, patterns: list[str] | No
 def _side_hits(txn: DataFrame, m: DataFrame, side: str, rows_bound: int | None) -> DataFrame:
     sel = m.select("mapping_no", F.col(f"{side}_account").alias("account"),
                    F.col(f"{side}_regex").alias("regex"))
-    few = [r[0] for r in sel.select("regex").distinct().limit(MAX_LITERAL_PATTERNS + 1).collect()]
-    patterns = few if len(few) <= MAX_LITERAL_PATTERNS else None
+    patterns = None
+    if rows_bound is None or rows_bound > seq_mod.SINGLE_TASK_ROWS:
+        # Large inputs: a small job on the mapping table finds whether literals can be used.
+        few = [r[0] for r in sel.select("regex").distinct().limit(MAX_LITERAL_PATTERNS + 1).collect()]
+        patterns = few if len(few) <= MAX_LITERAL_PATTERNS else None
     hits = (txn.select("account", "seq", "id", "amount", "description", "date", "epoch")
             .join(sel, "account", "inner")
             .where(_pattern_match(F.col("description"), F.col("regex"), patterns))
