@@ -41,6 +41,7 @@ IDS_PER_FILE = 8_000_000
 BLOCK_IDS = 1 << 20
 CACHED_PIECES = 1_000_000
 LONG_PIECE = 200
+TAIL = ".,!?;:"
 
 # The white space of Unicode.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -56,12 +57,14 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() < 1 << 16 else np.uint32)
         self.ids_of: dict[str, bytes] = {}
+        self.first_of: dict[str, bytes] = {}
         self.white = frozenset(WHITE)
+        self.tails = {c: self._whole(c) for c in TAIL}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, names: list[str], pieces: list[str]) -> None:
         """One call for all new pieces: each starts with one blank or line feed, so that none reaches
         into its neighbour; the offsets part the result."""
         text = "".join(pieces)
@@ -72,7 +75,7 @@ class PieceEncoder:
         # the tokens of a character cut in parts share its offsets, so "begin < end" keeps them together
         stops = (np.searchsorted(begin, ends, side="left") * self.dtype.itemsize).tolist()
         packed, at = ids.tobytes(), 0
-        for p, stop in zip(pieces, stops):
+        for p, stop in zip(names, stops):
             self.ids_of[p] = packed[at:stop]
             at = stop
 
@@ -82,33 +85,39 @@ class PieceEncoder:
         if len(self.ids_of) > CACHED_PIECES:
             self.ids_of = {}
         known = self.ids_of
-        new, odd = set(), set()
-        for w in set().union(*(s[1:] for s in split)) if split else ():
-            if w not in known:
-                body = w[1:] if w[:1] == "\n" else w
-                # white space at an end of a piece, or an empty one: a longer run of white space
-                if not body or not self.white.isdisjoint(body):
-                    odd.add(w)
-                else:
-                    new.add(w)
+        words = set().union(*(s[1:] for s in split)) if split else set()
+        words.difference_update(known)
+        odd, new, tailed = set(), [], []
+        for w in words:
+            body = w[1:] if w[:1] == "\n" else w
+            if not body or not self.white.isdisjoint(body):
+                odd.add(w)  # white space at an end of a piece, or an empty one: a longer run of white space
+            elif w[-1] in TAIL and w[-2:-1].isalpha():
+                tailed.append(w)  # a letter, then one mark: the mark is a word of its own
+            else:
+                new.append(w)
+        new += {w[:-1] for w in tailed}.difference(known, new)
         plain = [w for w in new if "<|" not in w]
         for at in range(0, len(plain), 20_000):
             part = plain[at : at + 20_000]
-            keys = [w if w[0] == "\n" else " " + w for w in part]
-            self._learn(keys)
-            for w, k in zip(part, keys):
-                if w != k:
-                    known[w] = known.pop(k)
+            self._learn(part, [w if w[0] == "\n" else " " + w for w in part])
         for w in new:
-            if w not in known:
+            if "<|" in w:
                 known[w] = self._whole(w if w[0] == "\n" else " " + w)
+        for w in tailed:
+            known[w] = known[w[:-1]] + self.tails[w[-1]]
         out = []
         for t, s in zip(texts, split):
             first = s[0]
             if (odd and not odd.isdisjoint(s[1:])) or not first or not self.white.isdisjoint(first):
                 out.append(self._whole(t))
-            else:
-                out.append(self._whole(first) + b"".join(map(known.__getitem__, s[1:])))
+                continue
+            if first not in self.first_of:
+                self.first_of[first] = self._whole(first)
+            out.append(self.first_of[first] + b"".join(map(known.__getitem__, s[1:])))
+        if len(self.first_of) > CACHED_PIECES // 10:
+            self.first_of = {}
+        new += tailed
         for w in new:
             if len(w) > LONG_PIECE:
                 del known[w]
