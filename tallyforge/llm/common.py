@@ -86,3 +86,33 @@ def put_file(uri: str, chunks) -> int:
             n += len(c)
     fs.move(tmp, path)
     return n
+
+
+FILTER_BITS = 1 << 23
+
+
+def likely(rows: DataFrame, ids: DataFrame, others: bool = False) -> DataFrame:
+    """Rows whose ``doc_id`` may be among ``ids`` or, with ``others``, those whose id is not for certain.
+    The filter has a fixed size; it spares most rows a shuffle, and a join decides about what it lets
+    pass (with very many ids it lets all pass)."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = ids.groupBy(F.floor(slot / 62).cast("int").alias("word")).agg(
+        F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod(slot, F.lit(62)).cast("int"))).alias("bits"))
+    words = np.zeros(FILTER_BITS // 62 + 1, np.int64)
+    for w, v in bits.collect():  # at most FILTER_BITS / 62 rows
+        words[w] = v
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+    names = rows.columns
+
+    def run(batches):
+        for b in batches:
+            at = b.column("_slot").to_numpy()
+            hit = (shared.value[at // 62] >> (at % 62) & 1 == 1) != others
+            if hit.any():
+                yield b.filter(pa.array(hit)).select(names)
+
+    return rows.withColumn("_slot", slot).mapInArrow(run, rows.schema)

@@ -32,7 +32,7 @@ FIT_ROWS = 4000
 MAX_LANGUAGES = 1000
 CENTROIDS = 4
 ROUNDS = 12
-REJECT_SHARE = 0.5
+REJECT_SHARE = 0.25
 UNKNOWN = "und"
 
 # ASCII bytes that are no letters become blanks; bytes from 128 on belong to letters or stay.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import bpe, chat_format, language_id, token_file
+from tallyforge.llm import ann_forest, bpe, chat_format, decontaminate, language_id, ngram_join, reshard, substring_dedup, token_file, warc_index
 
 
 def queries() -> dict:
@@ -11,8 +11,20 @@ def queries() -> dict:
         "op2_language_id": language_id.op2_language_id,
         "op3_bpe": bpe.op3_bpe,
         "op4_token_file": token_file.op4_token_file,
+        "op5_ann_forest": ann_forest.op5_ann_forest,
+        "op6_ngram_join": ngram_join.op6_ngram_join,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_reshard": reshard.op8_reshard,
+        "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+        "op10_warc": warc_index.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat_format.ORACLE}
+    return {
+        "op1_chat_format": chat_format.ORACLE,
+        "op6_ngram_join": ngram_join.ORACLE,
+        "op7_decontaminate": decontaminate.ORACLE,
+        "op9_substring_dedup": substring_dedup.ORACLE,
+        "op10_warc": warc_index.ORACLE,
+    }
