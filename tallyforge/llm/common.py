@@ -100,8 +100,8 @@ def likely(rows: DataFrame, ids: DataFrame, others: bool = False) -> DataFrame:
     from pyspark.sql import functions as F
 
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bits = ids.groupBy(F.floor(slot / 62).cast("int").alias("word")).agg(
-        F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod(slot, F.lit(62)).cast("int"))).alias("bits"))
+    slots = ids.select(slot.cast("int").alias("slot"))
+    bits = slots.groupBy(F.expr("slot div 62").cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, slot % 62))").alias("bits"))
     words = np.zeros(FILTER_BITS // 62 + 1, np.int64)
     for w, v in bits.collect():  # at most FILTER_BITS / 62 rows
         words[w] = v

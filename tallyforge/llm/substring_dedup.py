@@ -58,8 +58,10 @@ class PrefixHashes:
         n = len(data) + 1
         if len(PrefixHashes._powers) < n:
             size = max(n, 1 << 16)
-            PrefixHashes._powers = np.cumprod(np.concatenate([[1], np.full(size, _BASE, np.uint64)]), dtype=np.uint64)
-            PrefixHashes._inverses = np.cumprod(np.concatenate([[1], np.full(size, _INVERSE, np.uint64)]), dtype=np.uint64)
+            for name, base in (("_powers", _BASE), ("_inverses", _INVERSE)):
+                steps = np.full(size + 1, base, np.uint64)
+                steps[0] = 1
+                setattr(PrefixHashes, name, np.cumprod(steps))
         self.prefix = np.zeros(n, np.uint64)
         np.cumsum(_BYTE[data] * self._powers[: n - 1], out=self.prefix[1:])
 

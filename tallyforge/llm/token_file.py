@@ -39,7 +39,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 IDS_PER_FILE = 8_000_000
 BLOCK_IDS = 1 << 20
-CACHED_PIECES = 1_000_000
+CACHED_PIECES = 1_500_000
 LONG_PIECE = 200
 TAIL = ".,!?;:"
 
@@ -70,8 +70,8 @@ class PieceEncoder:
         text = "".join(pieces)
         done = self.tokenizer.encode(text, add_special_tokens=False)
         ids = np.array(done.ids, self.dtype)
-        begin = np.fromiter((a for a, _ in done.offsets), np.int64, len(ids))
-        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        begin = np.array([a for a, _ in done.offsets], np.int64)
+        ends = np.cumsum(np.array(list(map(len, pieces)), np.int64))
         # the tokens of a character cut in parts share its offsets, so "begin < end" keeps them together
         stops = (np.searchsorted(begin, ends, side="left") * self.dtype.itemsize).tolist()
         packed, at = ids.tobytes(), 0
@@ -89,11 +89,14 @@ class PieceEncoder:
         words.difference_update(known)
         odd, new, tailed = set(), [], []
         for w in words:
+            if w.isalpha():
+                new.append(w)
+                continue
             body = w[1:] if w[:1] == "\n" else w
-            if not body or not self.white.isdisjoint(body):
-                odd.add(w)  # white space at an end of a piece, or an empty one: a longer run of white space
-            elif w[-1] in TAIL and w[-2:-1].isalpha():
+            if w[-1:] in self.tails and w[-2:-1].isalpha() and (w[:-1].isalpha() or self.white.isdisjoint(body)):
                 tailed.append(w)  # a letter, then one mark: the mark is a word of its own
+            elif not body or not self.white.isdisjoint(body):
+                odd.add(w)  # white space at an end of a piece, or an empty one: a longer run of white space
             else:
                 new.append(w)
         new += {w[:-1] for w in tailed}.difference(known, new)
