@@ -33,40 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import likely, read_table, ship, written
+from tallyforge.llm.hashing import PrefixHashes
 
 LENGTH, K = 50, 25
-BLOCK_BYTES = 4 << 20  # bytes of text that are worked on at a time
-BUCKET_ANCHORS = 2_000_000
-BUCKET_CONTEXTS = 200_000
-SLICE_WINDOWS = 2_000_000  # suffixes sorted at a time in a bucket, cut between anchors
+BLOCK_BYTES = 1 << 19  # bytes of text that are worked on at a time
+BUCKET_ANCHORS = 1_000_000
+BUCKET_CONTEXTS = 60_000
+SLICE_WINDOWS = 300_000  # suffixes sorted at a time in a bucket, cut between anchors
 NO_ID = -(2**63)
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-_RNG = np.random.default_rng(50)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-class PrefixHashes:
-    """Polynomial hashes of a byte array: any piece's hash from two prefix values."""
-
-    _powers = np.ones(1, np.uint64)
-    _inverses = np.ones(1, np.uint64)
-
-    def __init__(self, data: np.ndarray):
-        self.data = data
-        n = len(data) + 1
-        if len(PrefixHashes._powers) < n:
-            size = max(n, 1 << 16)
-            for name, base in (("_powers", _BASE), ("_inverses", _INVERSE)):
-                steps = np.full(size + 1, base, np.uint64)
-                steps[0] = 1
-                setattr(PrefixHashes, name, np.cumprod(steps))
-        self.prefix = np.zeros(n, np.uint64)
-        np.cumsum(_BYTE[data] * self._powers[: n - 1], out=self.prefix[1:])
-
-    def piece(self, start, length):
-        return (self.prefix[start + length] - self.prefix[start]) * self._inverses[start]
+class Suffixes(PrefixHashes):
+    """Comparison of suffixes by the hashes of their pieces."""
 
     def common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         """Length of the common extension of the suffixes at a and b, up to ``most``, by binary search."""
@@ -87,7 +64,7 @@ class PrefixHashes:
         return out
 
 
-def suffix_sort(text: PrefixHashes, starts: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def suffix_sort(text: Suffixes, starts: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """A stable order of ``starts`` (already grouped) by suffix inside each group: bottom-up mergesort of
     all groups at once; an element's place in a merge is its rank in its run plus the number of elements
     of the neighbouring run before it, found by binary search."""
@@ -129,7 +106,7 @@ def suffix_sort(text: PrefixHashes, starts: np.ndarray, group: np.ndarray, lengt
     return order
 
 
-def equal_classes(text: PrefixHashes, starts: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def equal_classes(text: Suffixes, starts: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """For sorted suffixes: whether each begins a class of equal strings, verified by the bytes."""
     new = np.ones(len(starts), bool)
     if len(starts) > 1:
@@ -187,7 +164,43 @@ def covered(data: np.ndarray, first: np.ndarray, count: np.ndarray, ahead: np.nd
     out = np.zeros(total, bool)
     if total == 0:
         return out
-    text = PrefixHashes(data)
+    text = Suffixes(data)
+    where = np.cumsum(count) - count
+    keeper = _equal_contexts(text, first, count, ahead, ids, key)
+    alone_ = np.flatnonzero(keeper == np.arange(len(keeper)))
+    out_of = _covered_distinct(text, *(x[alone_] for x in (first, count, ahead, ids, key)))
+    # equal contexts: a larger id is covered whole, the smallest shares what its keeper has
+    at = np.cumsum(count[alone_]) - count[alone_]
+    place = np.zeros(len(keeper), np.int64)
+    place[alone_] = at
+    own = np.repeat(np.arange(len(keeper)), count)
+    step = np.arange(total) - np.repeat(where, count)
+    out[:] = out_of[place[keeper[own]] + step]
+    out |= (ids > ids[keeper])[own]
+    return out
+
+
+def _equal_contexts(text: Suffixes, first, count, ahead, ids, key) -> np.ndarray:
+    """For each context the one of least id among those with the same bytes and places (itself, if none)."""
+    size = count + LENGTH - 1
+    order = np.lexsort((ids, text.piece(first, size), count, ahead, key))
+    f, c, a, k = (x[order] for x in (first, count, ahead, key))
+    same = np.zeros(len(order), bool)
+    same[1:] = (k[1:] == k[:-1]) & (a[1:] == a[:-1]) & (c[1:] == c[:-1]) & (text.piece(f[1:], size[order][1:]) == text.piece(f[:-1], size[order][:-1]))
+    at = np.flatnonzero(same)
+    for part in np.array_split(at, max(1, len(at) // 20_000)):  # verified by the bytes
+        n = size[order[part]]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        differ = text.data[np.repeat(f[part], n) + step] != text.data[np.repeat(f[part - 1], n) + step]
+        same[part[np.unique(np.repeat(np.arange(len(part)), n)[differ])]] = False
+    heads = np.flatnonzero(~same)
+    keeper = np.empty(len(order), np.int64)
+    keeper[order] = order[heads[np.cumsum(~same) - 1]]
+    return keeper
+
+
+def _covered_distinct(text: Suffixes, first, count, ahead, ids, key) -> np.ndarray:
+    out = np.zeros(int(count.sum()), bool)
     where = np.cumsum(count) - count
     order = np.argsort(key, kind="stable")
     edges = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
@@ -236,7 +249,7 @@ def _texts(batches, columns, extra=()):
     """Blocks of (ids, texts as bytes, extra columns) of about BLOCK_BYTES; a longer text is a block."""
     ids, texts, more, size = [], [], [], 0
     for b in batches:
-        cols = [b.column(c).to_pylist() for c in extra]
+        cols = [b.column(c) for c in extra]  # Arrow values, unpacked when a text is worked on
         for k, (doc, text) in enumerate(zip(b.column(columns[0]).to_pylist(), b.column(columns[1]).to_pylist())):
             t = (text or "").encode()
             ids.append(NO_ID if doc is None else doc)
@@ -338,7 +351,7 @@ def _marks(docs: DataFrame, anchors: DataFrame, anchor_buckets: int, buckets: in
             keep = np.zeros(len(name), bool)
             edges = np.searchsorted(a.doc, np.arange(len(ids) + 1))
             for k, (found,) in enumerate(more):
-                own = np.concatenate([np.frombuffer(f["keys"], np.uint32).astype(np.uint64) | np.uint64(f["bucket"]) << np.uint64(32) for f in found])
+                own = np.concatenate([np.frombuffer(f["keys"], np.uint32).astype(np.uint64) | np.uint64(f["bucket"]) << np.uint64(32) for f in found.as_py()])
                 keep[edges[k] : edges[k + 1]] = np.isin(name[edges[k] : edges[k + 1]], own)
             first, last, at, doc, key = (x[keep] for x in (a.first, a.last, a.at, a.doc, a.key))
             if not len(first):
@@ -457,11 +470,11 @@ def cut_repeats(docs: DataFrame, keep: tuple[str, ...] = (), texts: bool = False
     def finish(batches):
         for b in batches:
             n_bytes, n_removed, n_spans, sha, left = [], [], [], [], []
-            for text, marked in zip(b.column("text").to_pylist(), b.column("marks").to_pylist()):
+            for text, marked in zip(b.column("text").to_pylist(), b.column("marks")):
                 t = (text or "").encode()
-                if marked:
+                if marked.is_valid:
                     gone = np.zeros(len(t) + 1, np.int32)
-                    for m in marked:
+                    for m in marked.as_py():
                         s = np.frombuffer(m, "<i8").reshape(-1, 2)
                         np.add.at(gone, s[:, 0], 1)
                         np.add.at(gone, s[:, 1] + LENGTH - 1, -1)

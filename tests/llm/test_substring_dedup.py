@@ -78,7 +78,7 @@ def test_suffix_sort_orders_groups_by_their_bytes():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 4000).astype(np.uint8)
     data[1000:1400] = data[200:600]
-    text = S.PrefixHashes(data)
+    text = S.Suffixes(data)
     starts = rng.permutation(3900)[:1500]
     group = np.sort(rng.integers(0, 12, 1500))
     order = S.suffix_sort(text, starts, group)
@@ -90,5 +90,5 @@ def test_suffix_sort_orders_groups_by_their_bytes():
 
 
 def test_common_extension():
-    text = S.PrefixHashes(np.frombuffer(b"abcabcabcx-abcabcabcy", np.uint8))
+    text = S.Suffixes(np.frombuffer(b"abcabcabcx-abcabcabcy", np.uint8))
     assert text.common(np.array([0, 0, 3]), np.array([3, 11, 14]), 7).tolist() == [6, 7, 6]
