@@ -35,23 +35,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.llm.bpe import blocks
 from tallyforge.llm.common import likely, read_table, ship, written
 from tallyforge.llm.components import components
-from tallyforge.llm.decontaminate import gram_hashes, hashes_of
+from tallyforge.llm.hashing import gram_hashes, word_hashes
 
 WORDS = 5
 COMMON = 2000  # a shingle in more than one of so many documents comes last in the order
-LOCAL = 4_000_000  # shingles counted at a time in a task
+LOCAL = 1_000_000  # shingles counted at a time in a task
+BLOCK_CHARS = 500_000  # text hashed at a time
+SEND_BYTES = 4 << 20  # hash arrays sent on at a time
+PART = 500  # classes compared with a hub in one place, about
 CELL = 1024  # members of a tile that meet in one cell, about
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes of a whole text."""
-    # bytes.lower() changes A-Z only; bytes.split() splits at \x20 and \x09 to \x0D
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    return np.unique(gram_hashes(hashes_of(words), min(WORDS, len(words))))
+# bytes.lower() changes A-Z only; \x09 to \x0D become blanks
+_BLANKS = bytes(32 if 9 <= c <= 13 else c for c in range(256))
+
+
+def shingle_sets(texts: list[str | None]):
+    """Sorted distinct 64-bit shingle hashes of each whole text."""
+    for _, part in blocks([t or "" for t in texts], BLOCK_CHARS):
+        h, counts = word_hashes([t.encode().lower().translate(_BLANKS) for t in part])
+        for words in np.split(h, np.cumsum(counts)[:-1]):
+            s = gram_hashes(words, min(WORDS, len(words))) if len(words) else words
+            s.sort()
+            yield s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
 
 
 def prefix_size(n: int) -> int:
@@ -61,7 +70,7 @@ def prefix_size(n: int) -> int:
 def parity_bitmap(s: np.ndarray) -> bytes:
     """Bit i is the parity of the shingles whose hash falls on i; the width follows the size, and halves
     of a bitmap XORed give the bitmap of half the width."""
-    width = max(64, 1 << int(2 * len(s) - 1).bit_length()) if len(s) else 64
+    width = max(64, 1 << int(len(s) - 1).bit_length()) if len(s) else 64
     at = (s >> np.uint64(7)).astype(np.int64) & (width - 1)
     return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -111,8 +120,7 @@ def _survey(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             rows = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                s = shingle_set(text)
+            for doc, s in zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text").to_pylist())):
                 rows.append((doc, len(s), signature(s), parity_bitmap(s), None))
                 held.append(s)
                 size += len(s)
@@ -134,8 +142,7 @@ def _postings(docs: DataFrame, common) -> DataFrame:
         last = common.value
         for b in batches:
             sids, lists, sizes = [], [], []
-            for text in b.column("text").to_pylist():
-                s = shingle_set(text)
+            for s in shingle_sets(b.column("text").to_pylist()):
                 if len(s) == 0:
                     continue
                 k = prefix_size(len(s))
@@ -192,32 +199,54 @@ def _shared(postings: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- verification
 
 
-def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``sid, s``: the sorted hashes of the classes ``wanted`` (``sid, doc_id`` of one document each)."""
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (``a, b``) that link, by exact intersection.  The sorted hashes of each class travel
+    once, from its text to the hubs ``a`` it meets; a hub of many is split in parts."""
+    pairs = written(pairs.select("a", "b"), "pairs")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    place = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
+    sends = pairs.join(parts, "a").select(F.col("b").alias("sid"), F.struct("a", place.alias("part")).alias("to"))
+    hubs = parts.select(F.col("a").alias("sid"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    sends = sends.unionByName(hubs.select("sid", F.struct("a", "part").alias("to")))
+    wanted = sends.groupBy("sid").agg(F.collect_set("to").alias("to")).join(classes.select("sid", "doc_id"), "sid")
+    wanted = written(wanted, "wanted")
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    some = likely(cols, wanted)
+    found = likely(cols, wanted.select("doc_id")).join(wanted, "doc_id").select("sid", "to", "text")
 
-    def run(batches):
+    def spread(batches):
+        names, types = ["a", "part", "other", "sid", "s"], (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
         for b in batches:
-            sets = [shingle_set(t) for t in b.column("text").to_pylist()]
-            ok = [k for k, (s, sid) in enumerate(zip(sets, b.column("sid").to_pylist())) if signature(s) == sid]
-            if ok:
-                yield pa.RecordBatch.from_arrays([b.column("sid").take(pa.array(ok)), pa.array([sets[k].tobytes() for k in ok], pa.binary())], ["sid", "s"])
-
-    found = some.join(wanted, "doc_id").select("sid", "text").mapInArrow(run, "sid long, s binary")
-    return written(found.dropDuplicates(["sid"]), "sets", "none")
-
+            rows, size = [], 0
+            for sid, to, s in zip(b.column("sid").to_pylist(), b.column("to").to_pylist(), shingle_sets(b.column("text").to_pylist())):
+                if signature(s) != sid:  # an id may also name a row with another text
+                    continue
+                packed = s.tobytes()
+                for t in to:
+                    rows.append((t["a"], t["part"], sid != t["a"], sid, packed))
+                    size += len(packed)
+                    if size >= SEND_BYTES:
+                        yield pack(rows)
+                        rows, size = [], 0
+            if rows:
+                yield pack(rows)
 
-def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """The pairs (``a, b``) that link, by exact intersection."""
-    def run(batches):
+    def compare(batches):
+        hub, own = None, None
         for b in batches:
-            ok = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(b.column("sa"), b.column("sb"))]
-            yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+            out = []
+            for a, other, sid, s in zip(b.column("a").to_pylist(), b.column("other").to_pylist(), b.column("sid").to_pylist(), b.column("s")):
+                s = np.frombuffer(s.as_py(), np.uint64)
+                if not other:
+                    hub, own = a, s
+                elif hub == a and linked(own, s):
+                    out.append((a, sid))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
-    left = arrays.select(F.col("sid").alias("a"), F.col("s").alias("sa"))
-    right = arrays.select(F.col("sid").alias("b"), F.col("s").alias("sb"))
-    return written(pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long"), "links")
+    dealt = found.mapInArrow(spread, "a long, part int, other boolean, sid long, s binary")
+    dealt = dealt.repartition("a", "part").sortWithinPartitions("a", "part", "other")
+    return written(dealt.mapInArrow(compare, "a long, b long").distinct(), "links")
 
 
 def _near_bits(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -244,14 +273,19 @@ def _tiles(shared: DataFrame, classes: DataFrame, comps: DataFrame, every: bool)
     similar one of each cell."""
     named = shared.select("h", "sid").join(comps.withColumnRenamed("node", "sid"), "sid", "left")
     named = named.withColumn("comp", F.coalesce("comp", "sid"))
-    mixed = named.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
+    mixed = named.groupBy("h").agg(
+        F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), F.min("sid").alias("low"),
+        F.sum(F.xxhash64("sid").cast("decimal(20,0)")).alias("sum1"), F.sum(F.hash("sid").cast("decimal(20,0)")).alias("sum2"))
+    # shingles of one passage that have the same members are one tile
+    mixed = mixed.where("x <> y").groupBy("x", "y", "m", "low", "sum1", "sum2").agg(F.min("h").alias("h")).select("h")
     open_ = written(named.join(mixed, "h", "left_semi"), "open-tiles")
     members = open_.join(classes.select("sid", "n", "bitmap"), "sid")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
     # a band is its own members and those of the band below it
     members = members.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("own", F.col("band") == band)
     sizes = open_.join(classes.select("sid", "n"), "sid").withColumn("band", F.explode(F.array(band, band + 1)))
-    sizes = sizes.groupBy("h", "band").agg(F.count("*").alias("m")).where("m > 1")
+    sizes = sizes.withColumn("own", F.col("band") == band)
+    sizes = sizes.groupBy("h", "band").agg(F.count("*").alias("m"), F.max("own").alias("any_own")).where("m > 1 and any_own")
     parts = F.ceil(F.col("m") / CELL).cast("int")
     sizes = sizes.select("h", "band", parts.alias("parts"))
     dealt = members.join(sizes, ["h", "band"])
@@ -325,20 +359,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = people.where("n > 0").groupBy("sid").agg(
         F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("bitmap").alias("bitmap"))
     classes = written(classes, "classes")
-    wanted = shared.select("sid").distinct().join(classes.select("sid", "doc_id"), "sid")
-    arrays = _arrays(docs, wanted)
-
     hubs = shared.where("sid <> low").groupBy(F.col("low").alias("a"), F.col("sid").alias("b")).count()
     best = Window.partitionBy("b").orderBy(F.desc("count"), "a")
     stars = hubs.withColumn("k", F.row_number().over(best)).where("k = 1").select("a", "b")
-    links = _verified(_near_bits(stars, classes), arrays)
+    links = _verified(_near_bits(stars, classes), classes, docs)
     while True:
         comps = written(components(links), "components")
-        more = _verified(_tiles(shared, classes, comps, every=False), arrays)
+        more = _verified(_tiles(shared, classes, comps, every=False), classes, docs)
         if more.isEmpty():
             break
         links = links.unionByName(more)
-    more = _verified(_tiles(shared, classes, comps, every=True), arrays)
+    more = _verified(_tiles(shared, classes, comps, every=True), classes, docs)
     if not more.isEmpty():
         comps = written(components(links.unionByName(more)), "components")
 
