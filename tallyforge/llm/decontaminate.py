@@ -1,7 +1,7 @@
 r"""Benchmark decontamination by winnowing.
 
-Fingerprints: of every ``GUARANTEE - K + 1`` consecutive k-grams of words the one of least hash (the
-last of equals) is kept, so any shared run of ``GUARANTEE`` words shares a kept k-gram at the same place.
+Fingerprints: of every ``GUARANTEE - K + 1`` consecutive k-grams of words the one of least hash (all
+of equals) is kept, so any shared run of ``GUARANTEE`` words shares a kept k-gram at the same place.
 The documents' fingerprints are joined with the benchmark's, and every hit is extended word by word to
 both sides; runs of ``GUARANTEE`` words or more are contamination.  An item of fewer words is a window of
 its own: its whole-item gram is its fingerprint, looked up among all grams of that length.
@@ -17,7 +17,6 @@ documents give repeated rows; an empty table gives no rows; other columns are no
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -25,59 +24,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm.bpe import blocks
 from tallyforge.llm.common import read_table, ship
+from tallyforge.llm.hashing import gram_hashes, word_hashes
 
 GUARANTEE, K = 10, 5
 SLICE_WORDS = 2_000_000
-CACHED_WORDS = 500_000
 
 _WORD_BYTES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
-class WordHash(dict):
-    """64-bit hashes of words, kept as long as there is room."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        self[word] = h
-        return h
-
-
-_HASHES = WordHash()
+def cleaned(text: str | None) -> bytes:
+    """The words of a text between blanks."""
+    return (text or "").encode().lower().translate(_WORD_BYTES)  # bytes.lower() changes A-Z only
 
 
 def words_of(text: str | None) -> list[bytes]:
-    # bytes.lower() changes A-Z only, and only blanks are left of the white space that split() takes
-    return (text or "").encode().lower().translate(_WORD_BYTES).split()
+    return cleaned(text).split()
 
 
 def hashes_of(words: list[bytes]) -> np.ndarray:
-    if len(_HASHES) > CACHED_WORDS:
-        _HASHES.clear()
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-
-
-def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each run of k words, mixed so that its order is random."""
-    if len(h) < k:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(len(h) - k + 1, np.uint64)
-    for j in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j]
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ out >> np.uint64(32)
+    return word_hashes([b" ".join(words)])[0]
 
 
 def winnow(grams: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the least hash (the last of equals) of every ``window`` consecutive hashes."""
-    if len(grams) == 0:
-        return np.zeros(0, np.int64)
-    if len(grams) <= window:
-        return np.array([len(grams) - 1 - int(grams[::-1].argmin())], np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(grams[::-1], window)
-    at = view.argmin(axis=1) + np.arange(len(view))
-    return np.unique(len(grams) - 1 - at)
+    """Positions of the least hash of every ``window`` consecutive hashes (all of equals)."""
+    n = len(grams)
+    if n <= window:
+        return np.flatnonzero(grams == grams.min()) if n else np.zeros(0, np.int64)
+    least = grams[: n - window + 1].copy()
+    for j in range(1, window):
+        np.minimum(least, grams[j : n - window + 1 + j], out=least)
+    # a hash is kept if it is the least of some window: the largest of its windows' least ones
+    most = np.zeros(n, np.uint64)
+    for j in range(window):
+        np.maximum(most[j : n - window + 1 + j], least, out=most[j : n - window + 1 + j])
+    return np.flatnonzero(most == grams)
 
 
 class Benchmark:
@@ -101,14 +83,15 @@ class Benchmark:
         self.prints = np.array(sorted(self.at), np.uint64)
         self.short_prints = {n: np.array(sorted(d), np.uint64) for n, d in self.short.items()}
 
-    def spans(self, words: list[bytes], h: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
-        """Hit word spans [a, b) of a document and the items that occur in it."""
-        spans, found, grams = [], set(), gram_hashes(h, K)
+    def spans(self, text: str | None, h: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
+        """Hit word spans [a, b) of a document, whose words have the hashes h, and the items in it."""
+        spans, found, grams, words = [], set(), gram_hashes(h, K), None
         if len(self.prints) and len(grams):
             kept = winnow(grams, GUARANTEE - K + 1)
             hits = kept[_member(grams[kept], self.prints)]
             # a run is followed from its first hit only: (item, offset between document and item) -> end
             followed: dict[tuple[int, int], int] = {}
+            words = words_of(text) if len(hits) else None
             for p in hits.tolist():
                 for i, j in self.at[int(grams[p])]:
                     if followed.get((i, p - j), -1) > p:
@@ -125,7 +108,9 @@ class Benchmark:
                         found.add(i)
         for n, prints in self.short_prints.items():
             grams = gram_hashes(h, n)
-            for p in np.flatnonzero(_member(grams, prints)).tolist():
+            at = np.flatnonzero(_member(grams, prints)) if len(grams) else []
+            words = words_of(text) if words is None and len(at) else words
+            for p in at.tolist() if len(at) else []:
                 for i in self.short[n][int(grams[p])]:
                     if words[p : p + n] == self.words[i]:
                         spans.append((p, p + n))
@@ -133,6 +118,11 @@ class Benchmark:
         return spans, found
 
 
+def text_hashes(texts: list[str]) -> list[np.ndarray]:
+    h, counts = word_hashes([cleaned(t) for t in texts])
+    return np.split(h, np.cumsum(counts)[:-1])
+
+
 def _member(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
     return sorted_[at] == values
@@ -174,10 +164,11 @@ def hit_spans(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_i
             bench = Benchmark([(n, words_of(t)) for n, t in shared.value])
             for b in batches:
                 n_words, spans, found = [], [], []
-                for text, s, i in zip(*(b.column(c).to_pylist() for c in ("text", "_spans", "_items"))):
-                    words = words_of(text)
-                    more, names = bench.spans(words, hashes_of(words))
-                    n_words.append(len(words))
+                texts, before, listed = (b.column(c).to_pylist() for c in ("text", "_spans", "_items"))
+                hashes = (h for _, part in blocks([t or "" for t in texts]) for h in text_hashes(part))
+                for text, s, i, h in zip(texts, before, listed, hashes):
+                    more, names = bench.spans(text, h)
+                    n_words.append(len(h))
                     merged = merge_spans(more + [(x["a"], x["b"]) for x in s])
                     spans.append([{"a": x, "b": y} for x, y in merged])
                     found.append(sorted({bench.names[k] for k in names if bench.names[k] is not None} | set(i)))
