@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+BATCH_ROWS = 1000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +49,9 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the executors' Python workers (once per application)."""
     sc = spark.sparkContext
+    # rows of text are long: a worker holds so many at a time (a caller's own setting stays)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
