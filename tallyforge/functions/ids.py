@@ -9,7 +9,6 @@ preimage; a null description hashes differently from the empty string.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,34 +41,3 @@ def transaction_id_sql(account: str, seq: str, date: str, epoch: str, amount: st
         "cast({epoch} as varchar), cast({amount} as varchar), cast(length({account}) as varchar), "
         "{account}, CASE WHEN {desc} IS NULL THEN '~' ELSE '=' || {desc} END))"
     ).format(seq=seq, date=date, epoch=epoch, amount=amount, account=account, desc=description)
-
-
-def legacy_transaction_id(seq: Column, date: Column, epoch: Column, amount: Column,
-                          description: Column) -> Column:
-    """X1, on request only: the 128-bit xxHash identifier layout of existing account files
-    (index as 8 big-endian bytes, date text, timestamp and delta each as the exact integer ratio
-    of the float, description), so IDs stored earlier stay valid.  An Arrow-batched pandas UDF:
-    per-row Python is unavoidable for this byte layout, so it runs vectorized per batch."""
-    @F.pandas_udf("string")
-    def _ids(idx: pd.Series, day: pd.Series, ts: pd.Series, cents: pd.Series, desc: pd.Series) -> pd.Series:
-        import xxhash
-
-        def ratio_bytes(x: float) -> bytes:
-            num, den = float(x).as_integer_ratio()
-            return num.to_bytes(8, "big", signed=True) + den.to_bytes(8, "big")
-
-        out = []
-        for i, d, t, c, s in zip(idx, day, ts, cents, desc):
-            if d is None or s is None or pd.isna(c) or pd.isna(t):
-                out.append(None)
-                continue
-            h = xxhash.xxh128()
-            h.update(int(i).to_bytes(8, "big"))
-            h.update(d.encode())
-            h.update(ratio_bytes(float(t)))
-            h.update(ratio_bytes(int(c) / 100))
-            h.update(s.encode())
-            out.append(h.hexdigest())
-        return pd.Series(out, dtype="object")
-
-    return _ids(seq, date_text(date), epoch, amount, description)

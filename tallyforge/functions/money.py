@@ -26,6 +26,16 @@ def signed_amount(credit: Column, debit: Column) -> Column:
     return F.coalesce(debit, -credit)
 
 
+def readable_amount(credit: Column, debit: Column) -> Column:
+    """P2 over raw cells: a cell that holds something which is no amount makes the row unreadable
+    (null, so quarantined) instead of passing for an empty cell."""
+    def unreadable(c: Column) -> Column:
+        return (F.trim(c.cast("string")) != "") & cents(c).isNull()
+
+    bad = F.coalesce(unreadable(debit), F.lit(False)) | F.coalesce(unreadable(credit), F.lit(False))
+    return F.when(~bad, signed_amount(cents(credit), cents(debit)))
+
+
 def cents_to_decimal(x: Column | str) -> Column:
     c = F.col(x) if isinstance(x, str) else x
     return (c.cast("decimal(20,0)") / F.lit(100)).cast(DISPLAY_TYPE)

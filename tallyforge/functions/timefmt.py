@@ -54,8 +54,3 @@ def bound_epoch(text: str) -> int:
     """A bound typed as ``%Y-%b-%d`` -> epoch seconds at UTC midnight (decision Q14)."""
     d = _dt.datetime.strptime(text, BOUND_FORMAT).replace(tzinfo=_dt.timezone.utc)
     return int(d.timestamp())
-
-
-def bound_epoch_col(c: Column) -> Column:
-    """C8 as a column (text in a table), UTC."""
-    return F.unix_seconds(F.to_timestamp(c, "yyyy-MMM-dd"))

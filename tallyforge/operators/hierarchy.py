@@ -2,8 +2,8 @@
 
 The reference keeps the tree as a parent -> ordered-children map and walks it in memory.  Here
 the tree is ``edges(parent, child, ord)`` and every question is a join or an aggregate over it or
-over its closure ``(ancestor, node, depth)``, which is built by iterated joins (one per tree
-level, bounded by ``max_depth``) so trees with millions of leaves stay distributed.
+over its closure ``(ancestor, node, depth)``, which is built by joins that double the distance they
+reach, so trees of any depth and of millions of leaves stay distributed.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ EDGE_SCHEMA = T.StructType([
     T.StructField("ord", T.LongType(), False),
 ])
 
-MAX_DEPTH = 64
-
 
 def edges_from_dict(spark: SparkSession, tree: dict[str, list[str]]) -> DataFrame:
     """D12 from a driver-side configuration map (small)."""
@@ -62,47 +60,45 @@ def isolated_nodes(edges: DataFrame, root: str) -> DataFrame:
     return parents.join(children, "node", "left_anti").where(F.col("node") != F.lit(root))
 
 
-def closure(edges: DataFrame, roots: DataFrame | None = None, max_depth: int = MAX_DEPTH,
-            include_self: bool = True) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame | None = None, include_self: bool = True) -> DataFrame:
     """H7 building block: ``(ancestor, node, depth)`` for every node below each start node.
 
-    Start nodes are ``roots`` (column ``node``) or all nodes.  One join per level; stops when a
-    level is empty or at ``max_depth`` (a cycle never empties; see ``cycle_nodes``)."""
-    e = materialize(edges.select("parent", "child"), "edges")
-    # One level of a tree closure holds at most one row per node, so the edge count bounds it:
-    # small trees stay lazy, large ones write each level once.
-    level_bound = e.count() + 1
-    start = nodes(e) if roots is None else roots.select("node").distinct()
-    frontier = start.select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("depth"))
-    parts = [frontier] if include_self else []
-    for level in range(max_depth):
-        # Lazy levels chain their plans; past a few levels each one is written regardless.
-        nxt = materialize(frontier.join(e, frontier.node == e.parent, "inner")
-                          .select("ancestor", F.col("child").alias("node"),
-                                  (F.col("depth") + 1).alias("depth")), "closure",
-                          level_bound if level < 4 else None)
-        if nxt.isEmpty():
-            break
-        parts.append(nxt)
-        frontier = nxt
-    if not parts:
-        return frontier.where(F.lit(False))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def cycle_nodes(edges: DataFrame, root: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+    Start nodes are ``roots`` (column ``node``) or all nodes.  Round i joins what lies nearer than
+    2^i with the jumps of exactly 2^i steps, so a tree of depth d takes log2(d) rounds.  A node that
+    is reached on several ways counts once, at its least depth; rounds end when they reach nothing
+    new, so a cycle ends them too.  ``include_self`` False leaves out a start node at depth 0; a node
+    on a cycle is then its own descendant at the cycle's length."""
+    e = edges.select(F.col("parent").alias("a"), F.col("child").alias("b")).distinct()
+    start = nodes(edges) if roots is None else roots.select("node").distinct()
+    least = F.min("depth").alias("depth")
+    first = start.select(F.col("node").alias("ancestor"), "node", F.lit(0).cast("bigint").alias("depth"))
+    if not include_self:
+        # from here on pairs are at least one step apart, so a node may meet itself
+        first = start.join(e, F.col("node") == F.col("a")).select(
+            F.col("a").alias("ancestor"), F.col("b").alias("node"), F.lit(1).cast("bigint").alias("depth"))
+    reached, jumps, step, n, turn = first, e, 1, first.count(), 0
+    while True:
+        # the first rounds, all that a shallow tree needs, stay one plan; later ones are written
+        bound = 0 if turn < 2 else None
+        far = reached.join(jumps, reached.node == jumps.a).select(
+            "ancestor", F.col("b").alias("node"), (F.col("depth") + F.lit(step)).alias("depth"))
+        reached = materialize(reached.unionByName(far).groupBy("ancestor", "node").agg(least), "closure", bound)
+        seen, n = n, reached.count()
+        if n == seen:
+            return reached.select("ancestor", "node", F.col("depth").cast("int").alias("depth"))
+        left, right = jumps.alias("l"), jumps.alias("r")
+        jumps = materialize(left.join(right, F.col("l.b") == F.col("r.a")).select("l.a", "r.b").distinct(), "jumps", bound)
+        step, turn = step * 2, turn + 1
+
+
+def cycle_nodes(edges: DataFrame, root: str) -> DataFrame:
     """H3: nodes on a cycle.  Nodes the root's closure reaches cannot be on one (given H1), so
     only the rest is searched; a root that is itself a child closes a cycle through the root."""
-    reached = closure(edges, edges.sparkSession.createDataFrame([(root,)], "node string"), max_depth)
+    reached = closure(edges, edges.sparkSession.createDataFrame([(root,)], "node string"))
     rest_nodes = nodes(edges).join(reached.select("node"), "node", "left_anti")
     root_is_child = edges.where(F.col("child") == F.lit(root)).select(F.lit(root).alias("node"))
-    rest = materialize(edges.join(rest_nodes.withColumnRenamed("node", "parent"), "parent", "left_semi"),
-                       "cycle-edges")
-    # A cycle through k nodes closes within k steps.
-    c = closure(rest, None, min(max_depth, rest.count() + 1), include_self=False)
+    rest = edges.join(rest_nodes.withColumnRenamed("node", "parent"), "parent", "left_semi")
+    c = closure(rest, None, include_self=False)
     return c.where(F.col("ancestor") == F.col("node")).select("node").unionByName(root_is_child).distinct()
 
 
@@ -123,7 +119,8 @@ def subtree_leaves(edges: DataFrame, clo: DataFrame | None = None) -> DataFrame:
 
 def invalid_leaves(edges: DataFrame, kinds: DataFrame, root: str) -> DataFrame:
     """H4: leaves under the root that are not exactly one existing account (J10 ``created``)."""
-    lv = subtree_leaves(edges).where(F.col("grp") == F.lit(root)).select(F.col("leaf").alias("name"))
+    below = closure(edges, edges.sparkSession.createDataFrame([(root,)], "node string"))
+    lv = subtree_leaves(edges, below).select(F.col("leaf").alias("name"))
     ok = kinds.where("created").select("name")
     return lv.join(ok, "name", "left_anti")
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import transaction_id
-from ..plans.config import MAX_COMPILED_MATCHINGS, DerivedRule
+from ..plans.config import MAX_COMPILED_MATCHINGS, RULE_SCHEMA, DerivedRule
 from ..sources.schemas import DERIVED_COLUMNS, ENTRY_COLUMNS
 from . import sequencing as seq_mod
 from .sequencing import SEQ_CHUNK, SPAN_SECONDS, dense_numbers, floor_div, running_totals
@@ -39,12 +39,13 @@ def usable_matchings(rules: Sequence[DerivedRule]) -> list[tuple[int, int, Deriv
     return out
 
 
-def match_rules(txn: DataFrame, rules: Sequence[DerivedRule]) -> DataFrame:
-    """One row per (matching, matched source row): rule_no, matching_no, derived_account + txn."""
-    ms = usable_matchings(rules)
-    if len(ms) > MAX_COMPILED_MATCHINGS:
-        raise ValueError(f"{len(ms)} matchings exceed the compiled bound {MAX_COMPILED_MATCHINGS}; "
-                         "use match_rules_table")
+def match_rules(txn: DataFrame, rules: Sequence[DerivedRule], only: set[str] | None = None) -> DataFrame:
+    """One row per (matching, matched source row): rule_no, matching_no, derived_account + txn.
+    ``only`` keeps the rules of these accounts; rules are numbered in the full list all the same."""
+    ms = [m for m in usable_matchings(rules) if only is None or m[2].name in only]
+    if len(ms) > MAX_COMPILED_MATCHINGS:  # too many branches for one expression: join on the account
+        rows = [(r_no, rule.name, int(rule.start_value), m_no, acct, acct is None, regex) for r_no, m_no, rule, acct, regex in ms]
+        return match_rules_table(txn, txn.sparkSession.createDataFrame(rows, RULE_SCHEMA))
     return _compiled_hits(txn, [(r_no, m_no, rule.name, acct, regex)
                                 for r_no, m_no, rule, acct, regex in ms])
 
@@ -72,22 +73,22 @@ def _compiled_hits(txn: DataFrame, ms: list[tuple[int, int, str, str | None, str
 def match_rules_table(txn: DataFrame, rules_df: DataFrame) -> DataFrame:
     """The same hits for rule tables too large to compile: named matchings by an equi-join on the
     account (the regex is then a column, compiled when it changes between rows); universal
-    matchings, whose number is checked against the compile bound, are compiled as above."""
+    matchings concern every row and are compiled as above, one scan per MAX_COMPILED_MATCHINGS."""
     named = rules_df.where(~F.col("universal") & F.col("account_name").isNotNull())
     univ = rules_df.where(F.col("universal"))
-    if univ.count() > MAX_COMPILED_MATCHINGS:
-        raise ValueError("too many universal matchings to compile")
     keep = [*[F.col("t." + c) for c in txn.columns], F.col("r.rule_no"), F.col("r.matching_no"),
             F.col("r.derived_account")]
     a = (txn.alias("t").join(named.alias("r"), F.col("t.account") == F.col("r.account_name"))
          .where(F.expr("t.description rlike r.regex")).select(*keep))
     u_rows = univ.select("rule_no", "matching_no", "derived_account", "regex").collect()
-    b = _compiled_hits(txn, [(r.rule_no, r.matching_no, r.derived_account, None, r.regex) for r in u_rows])
-    return a.unionByName(b)
+    for at in range(0, len(u_rows), MAX_COMPILED_MATCHINGS):
+        part = u_rows[at:at + MAX_COMPILED_MATCHINGS]
+        a = a.unionByName(_compiled_hits(txn, [(r.rule_no, r.matching_no, r.derived_account, None, r.regex) for r in part]))
+    return a
 
 
 def derived_transactions(txn: DataFrame, rules: Sequence[DerivedRule] | DataFrame,
-                         rows_bound: int | None = None) -> DataFrame:
+                         rows_bound: int | None = None, only: set[str] | None = None) -> DataFrame:
     """L3: matched rows with flipped sign, numbered per derived account and identified.
 
     Order inside a derived account (O2): timestamp, then matching order, then source account
@@ -96,7 +97,7 @@ def derived_transactions(txn: DataFrame, rules: Sequence[DerivedRule] | DataFram
     if isinstance(rules, DataFrame):
         hits = match_rules_table(txn, rules)
     else:
-        hits = match_rules(txn, rules)
+        hits = match_rules(txn, rules, only)
     d = hits.select(
         "derived_account", "rule_no", "matching_no",
         F.col("account").alias("source_account"), F.col("seq").alias("source_seq"),

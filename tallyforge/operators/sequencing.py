@@ -31,8 +31,6 @@ from pyspark.sql import functions as F
 # bounded too, and a key has at most one top-level row per span.
 SEQ_CHUNK = 1 << 20
 SPAN_SECONDS = 1 << 20
-HOUR = 3600
-HOURS_PER_SPAN = 1024
 # A group no larger than this fits one task comfortably; when the whole input is proven smaller
 # (``rows_bound``), the plain one-shuffle window is used instead of the bucket hierarchy.
 SINGLE_TASK_ROWS = 2_000_000
@@ -156,15 +154,14 @@ GLOBAL_SINGLE_TASK_ROWS = 1_000_000
 
 
 def global_offsets(df: DataFrame, order: Sequence[str], weight: str, out: str = "offset",
-                   single_task_rows: int | None = None, rows_per_range: int = 1_000_000,
-                   max_ranges: int = 1024, n_hint: int | None = None) -> DataFrame:
+                   single_task_rows: int | None = None, rows_per_range: int = 1_000_000, n_hint: int | None = None) -> DataFrame:
     """Add ``out`` = sum of ``weight`` over all rows strictly before this one in ``order``
     (with weight 1: the 0-based rank in that order).
 
     ``order`` must be unique per row.  Up to ``single_task_rows`` rows one ordered window does it
     (a proven bound).  Beyond that the order is range-partitioned (Spark samples the boundaries);
-    each range is numbered in its own task and the few range totals are prefix-summed and
-    broadcast (at most ``max_ranges`` rows).  ``n_hint``, an upper bound on
+    each range is numbered in its own task and the range totals, a row per ``rows_per_range``
+    rows, are prefix-summed.  ``n_hint``, an upper bound on
     the row count known from elsewhere, spares counting ``df``.
     """
     if single_task_rows is None:
@@ -174,12 +171,14 @@ def global_offsets(df: DataFrame, order: Sequence[str], weight: str, out: str =
     if n <= single_task_rows:
         return df.withColumn(out, F.coalesce(F.sum(weight).over(w_all), F.lit(0)))
 
-    ranges = min(max_ranges, max(2, math.ceil(n / rows_per_range)))
+    ranges = max(2, math.ceil(n / rows_per_range))
     # Spark's range partitioner samples the order (a bounded sample) and cuts it into
     # ``ranges`` contiguous ranges; the partition a row lands in is its range.  A given count
     # is never coalesced by AQE, and the ranges are written once so that every later use sees
     # the same assignment.
-    from ..session import materialize
+    from ..session import checkpoint_dir, materialize
+    if not checkpoint_dir(df.sparkSession):
+        raise ValueError("numbering this many rows needs spark.checkpoint.dir: the ranges must be written once")
     keyed = materialize(df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()),
                         "ranges")
 
@@ -188,7 +187,7 @@ def global_offsets(df: DataFrame, order: Sequence[str], weight: str, out: str =
     totals = within.groupBy("__range").agg(F.sum(weight).alias("__tot"))
     w_r = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     range_off = totals.select("__range", F.coalesce(F.sum("__tot").over(w_r), F.lit(0)).alias("__roff"))
-    res = within.join(F.broadcast(range_off), "__range", "inner")
+    res = within.join(range_off, "__range", "inner")
     return res.withColumn(out, F.col("__win") + F.col("__roff")).drop("__range", "__win", "__roff")
 
 

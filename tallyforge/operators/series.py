@@ -31,13 +31,14 @@ def net_changes(group_leaves: DataFrame, txn: DataFrame, account_col: str = "acc
 
 
 def rolled_net_changes(edges: DataFrame, txn: DataFrame, groups: DataFrame | None = None,
-                       account_col: str = "account", max_depth: int = 64, depth: int | None = None,
+                       account_col: str = "account", depth: int | None = None,
                        rows_bound: int | None = None) -> DataFrame:
     """A2 + A10 level by level: net change per (leaf, timestamp) first, then each tree level sums
     its children's (node, timestamp) rows.  The transactions are shuffled once, as partial sums;
     every further level reads the previous level's much smaller aggregate instead of fanning each
     transaction out to all its ancestors.  ``groups`` (column ``grp``) keeps only those nodes.
-    ``depth`` (the tree height, when known) fixes the number of levels; ``rows_bound`` lets small
+    ``depth`` (the tree height, when known) fixes the number of levels, else they end with an empty one
+    (the tree must have no cycle, see ``hierarchy.cycle_nodes``); ``rows_bound`` lets small
     inputs stay lazy (see ``session.materialize``)."""
     from ..session import materialize
     from .hierarchy import leaves
@@ -47,7 +48,7 @@ def rolled_net_changes(edges: DataFrame, txn: DataFrame, groups: DataFrame | Non
                       "rollup", rows_bound)
     up = edges.select(F.col("child").alias("grp"), F.col("parent").alias("up"))
     parts = [cur]
-    for _ in range(depth if depth is not None else max_depth):
+    while depth is None or len(parts) <= depth:
         nxt = materialize(cur.join(up, "grp", "inner").groupBy(F.col("up").alias("grp"), "epoch")
                           .agg(F.sum("net").alias("net")), "rollup", rows_bound)
         if depth is None and nxt.isEmpty():

@@ -118,7 +118,7 @@ class LedgerFrames:
 
     def derived_statement(self) -> DataFrame:
         d = self.derived_txn.withColumnRenamed("derived_account", "account")
-        return balances.statement(d, self.derived_accounts, rows_bound=d.count())
+        return balances.statement(d, self.derived_accounts, rows_bound=self.n_txn * max(1, sum(len(r.matchings) for r in self.mapping.derived)))
 
     def account_statement(self, name: str) -> DataFrame:
         """J8 + L10: the statement of one account, looked up among source accounts first, then
@@ -171,7 +171,7 @@ def ledger_from_folders(spark: SparkSession, data_root: str, ledger_name: str |
 
     from ..sources.csv_folders import read_account_folders, read_selected_folders
     from ..sources.json_io import read_account_mapping, read_ledger_configuration, select_ledger
-    from .refresh import GLOB_ACCOUNTS
+    from .refresh import GLOB_ACCOUNTS, with_formats
     root = data_root.rstrip("/")
     cfg = select_ledger(read_ledger_configuration(spark, f"{root}/LedgerConfiguration.json"), ledger_name)
     head = cfg.select("ledger_name", "accounting_file", "source_dir").first()
@@ -180,14 +180,15 @@ def ledger_from_folders(spark: SparkSession, data_root: str, ledger_name: str |
     name, acc_file, src_dir = head["ledger_name"], head["accounting_file"], head["source_dir"]
     src = cfg.where(F.col("account").isNotNull()).select(
         F.col("account").alias("name"), F.lit("source").alias("kind"), "start_value")
-    if account_formats or src.count() <= GLOB_ACCOUNTS:
-        # a configuration-sized list: one glob over the named folders, per bank format
+    if src.count() <= GLOB_ACCOUNTS:
+        # a short list: one glob over the named folders, per bank format
         accounts = {r["name"]: (account_formats or {}).get(r["name"], "default")
                     for r in src.select("name").collect()}
         raw = read_account_folders(spark, f"{root}/{src_dir}", accounts, formats)
     else:
-        # very many accounts (one default format): one scan of every folder, kept by a semi join
-        raw = read_selected_folders(spark, f"{root}/{src_dir}", src.select(F.col("name").alias("account")))
+        # a long list stays in Spark: one scan of every folder per format, kept by a semi join
+        raw = read_selected_folders(spark, f"{root}/{src_dir}", with_formats(
+            src.select(F.col("name").alias("account")), account_formats), formats)
     mapping = read_account_mapping(spark, f"{root}/{acc_file}.json")
     return build_ledger(spark, name, raw, src, mapping)
 

@@ -85,8 +85,9 @@ def _agg_keys(df: DataFrame, group: str) -> DataFrame:
 def derived_keys(spark: SparkSession, mapping: AccountMapping, src_keys: DataFrame) -> DataFrame:
     """One key per derived account over the keys of the accounts its rule reads."""
     deps = []
-    for rule in mapping.derived:
-        text = json.dumps(asdict(rule), sort_keys=True)
+    for number, rule in enumerate(mapping.derived):
+        # stored rows carry the rule's number, so its place in the list is part of the key
+        text = json.dumps({"number": number, "rule": asdict(rule)}, sort_keys=True)
         if rule.is_universal:
             deps.append((rule.name, None, text))
         else:
@@ -179,7 +180,14 @@ class RefreshResult:
     rebuilt_derived: list[str]
     ledger_rebuilt: bool
     manifest_version: int
-    n_rebuilt_sources: int = 0    # rebuilt_sources lists them only up to GLOB_ACCOUNTS
+    n_rebuilt_sources: int = 0
+
+
+def with_formats(accounts: DataFrame, account_formats: dict[str, str] | None) -> DataFrame:
+    """``account`` with its bank format's name; accounts that are not named use the default."""
+    spark = accounts.sparkSession
+    named = spark.createDataFrame(list((account_formats or {}).items()), "account string, format string")
+    return accounts.join(named, "account", "left").select("account", F.coalesce("format", F.lit("default")).alias("format"))
 
 
 def account_bucket(account_col: F.Column, buckets: int) -> F.Column:
@@ -189,13 +197,16 @@ def account_bucket(account_col: F.Column, buckets: int) -> F.Column:
 
 
 def refresh_ledger(spark: SparkSession, src_root: str, accounts: DataFrame, mapping: AccountMapping,
-                   store_root: str, prefix: str = "ledger", buckets: int = 1024) -> RefreshResult:
+                   store_root: str, prefix: str = "ledger", buckets: int = 1024, formats=None,
+                   account_formats: dict[str, str] | None = None) -> RefreshResult:
     """Rebuild what changed.  Tables: ``{prefix}_txn`` (partitioned by account bucket),
     ``{prefix}_derived`` (partitioned by derived account), ``{prefix}_entries`` and
     ``{prefix}_unaccounted``; manifest under ``store_root``.
 
     A stale account marks its bucket stale; every account of a stale bucket is re-read and the
-    bucket's partition replaced, so untouched buckets are never rewritten."""
+    bucket's partition replaced, so untouched buckets are never rewritten.  Derived accounts that left
+    the rules or match nothing any more lose their rows.  ``formats`` and ``account_formats`` are those
+    of ``read_account_folders``."""
     manifest_root = f"{store_root.rstrip('/')}/manifest"
     old = read_manifest(spark, manifest_root)
     # Keys are written once: the folders may change while we run, and the manifest must record
@@ -204,26 +215,28 @@ def refresh_ledger(spark: SparkSession, src_root: str, accounts: DataFrame, mapp
                      .withColumn("bucket", account_bucket(F.col("account"), buckets)), "keys")
     stale = stale_objects(sk, old).select("account", "bucket")
     n_stale = stale.count()
-    stale_names = [r["account"] for r in stale.collect()] if n_stale <= GLOB_ACCOUNTS else []
+    stale_names = [r["account"] for r in stale.select("account").collect()]  # names from the configuration
 
     txn_table, der_table = f"{prefix}_txn", f"{prefix}_derived"
     stored = catalog.is_stored(spark, txn_table)
     stale_buckets = stale.select("bucket")
     if stored:  # buckets holding accounts that left the configuration
-        left = (spark.table(txn_table).select("account", "bucket").distinct()
-                .join(sk.select("account"), "account", "left_anti").select("bucket"))
+        known = old.where("object_name like 'source:%'").select(F.expr("substr(object_name, 8)").alias("account"))
+        left = (known.join(sk.select("account"), "account", "left_anti")
+                .select(account_bucket(F.col("account"), buckets).alias("bucket")))
         stale_buckets = stale_buckets.unionByName(left)
     stale_buckets = materialize(stale_buckets.distinct(), "stale-buckets")
     n_buckets = stale_buckets.count()
     if n_buckets or not stored:
         rebuild = sk.join(stale_buckets, "bucket", "left_semi").select("account")
         if rebuild.count() <= GLOB_ACCOUNTS:
-            raw = read_account_folders(spark, src_root, [r["account"] for r in rebuild.collect()])
+            raw = read_account_folders(spark, src_root, {r["account"]: (account_formats or {}).get(r["account"], "default")
+                                                         for r in rebuild.collect()}, formats)
         else:
-            raw = read_selected_folders(spark, src_root, rebuild)
+            raw = read_selected_folders(spark, src_root, with_formats(rebuild, account_formats), formats)
         new_txn = materialize(identify(raw).withColumn("bucket", account_bucket(F.col("account"), buckets)),
                               "refresh_txn")
-        catalog.replace_partitions(new_txn, txn_table, ["bucket"])
+        catalog.replace_partitions(new_txn.repartition("bucket"), txn_table, ["bucket"])
         # stale buckets with no rows any more
         empty = stale_buckets.join(new_txn.select("bucket").distinct(), "bucket", "left_anti")
         empty_buckets = [r["bucket"] for r in empty.collect()]  # at most ``buckets`` values
@@ -235,12 +248,23 @@ def refresh_ledger(spark: SparkSession, src_root: str, accounts: DataFrame, mapp
     dk = derived_keys(spark, mapping, sk)
     dk = spark.createDataFrame(dk.collect(), "object_name string, account string, fingerprint string")
     stale_der = [r["account"] for r in stale_objects(dk, old).collect()]
-    if stale_der or not catalog.is_stored(spark, der_table):
-        rules = [r for r in mapping.derived if r.name in set(stale_der)] or mapping.derived
-        d = rule_ops.derived_transactions(txn, rules).withColumnRenamed("derived_account", "account")
+    der_stored = catalog.is_stored(spark, der_table)
+    if stale_der or not der_stored:
+        only = set(stale_der) if der_stored else None
+        d = rule_ops.derived_transactions(txn, mapping.derived, only=only).withColumnRenamed("derived_account", "account")
         cols = [c for c in d.columns if c != "account"] + ["account"]
-        catalog.replace_partitions(d.select(*cols), der_table, ["account"])
-        spark.catalog.refreshTable(der_table)
+        d = materialize(d.select(*cols), "refresh_derived")
+        catalog.replace_partitions(d, der_table, ["account"])
+        made = {r["account"] for r in d.select("account").distinct().collect()}  # at most the rules' accounts
+    else:
+        made = set()
+    if der_stored:  # accounts that left the rules, and rebuilt ones without rows
+        kept = {r.name for r in mapping.derived}
+        held = {r["account"] for r in spark.table(der_table).select("account").distinct().collect()}
+        gone = sorted((held - kept) | ((held & set(stale_der)) - made))
+        if gone:
+            catalog.drop_partitions(spark, der_table, "account", gone)
+    spark.catalog.refreshTable(der_table)
 
     mappings_df = mappings_frame(spark, mapping.transfers)
     lk = ledger_key(spark, mapping, sk, mappings_df)

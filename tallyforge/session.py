@@ -1,13 +1,11 @@
 """Session helpers for tests, the bench and local runs.
 
-Library functions never create sessions; they take the caller's.  Only where a setting is unset
-(as in tests) do we fill in a local default.
+Library functions never create sessions and never invent folders; they take the caller's.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -49,42 +47,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, scratch:
     )
     if scratch:
         builder = builder.config("spark.sql.warehouse.dir", os.path.join(scratch, "warehouse"))
+        builder = builder.config("spark.checkpoint.dir", os.path.join(scratch, "checkpoints"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark, scratch)
     return spark
 
 
-_LOCAL_DIRS: dict[int, str] = {}  # sessions without a SparkContext handle (Spark Connect)
-
-
 def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names in ``spark.checkpoint.dir`` (None when unset)."""
-    try:
-        d = spark.sparkContext.getCheckpointDir()
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no SparkContext
-        d = None
-    if d:
-        return d
+    """The shared folder the cluster names in ``spark.checkpoint.dir`` (None when unset).  The library
+    never invents one: on a cluster a machine-local folder is not seen by the other machines."""
     try:
         d = spark.conf.get("spark.checkpoint.dir", None)
     except Exception:  # noqa: BLE001
         d = None
-    return d or _LOCAL_DIRS.get(id(spark))
-
-
-def ensure_checkpoint_dir(spark: SparkSession, scratch: str | None = None) -> str:
-    """Use the configured checkpoint folder; only when none is set (local tests) make one."""
-    d = checkpoint_dir(spark)
-    if not d:
-        d = os.path.join(scratch or tempfile.mkdtemp(prefix="tally-ckpt-"), "checkpoints")
-        _LOCAL_DIRS[id(spark)] = d
+    if d:
+        return d
     try:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # noqa: BLE001 - no SparkContext handle: Parquet writes only need the path
-        pass
-    return d
+        return spark.sparkContext.getCheckpointDir()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no SparkContext
+        return None
 
 
 LAZY_BELOW_ROWS = int(os.environ.get("TALLY_LAZY_BELOW_ROWS", "2000000"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.money import cents, signed_amount
+from ..functions.money import readable_amount
 from ..functions.timefmt import epoch_seconds
 from .schemas import RAW_COLUMNS, RAW_SCHEMA
 
@@ -33,14 +33,15 @@ DEFAULT_SCHEMA = T.StructType([
 
 
 def _default_transform(df: DataFrame) -> DataFrame:
-    return df.withColumn("TransDate", F.to_date("TransDate", "yyyy-MM-dd"))
+    # text that is no date becomes null and goes to quarantine (V8)
+    return df.withColumn("TransDate", F.try_to_timestamp("TransDate", F.lit("yyyy-MM-dd")).cast("date"))
 
 
 @dataclass
 class BankFormat:
     """How one bank's CSV export becomes TransDate / Credit / Debit / Description.
 
-    ``schema`` None reads the columns by their header names, all as text (the default format);
+    ``schema`` None reads each file's columns by its own header, all as text (the default format);
     a schema is applied by position, as Spark does with ``header`` and a given schema."""
     name: str = "default"
     schema: T.StructType | None = None
@@ -70,32 +71,70 @@ def _scan(spark: SparkSession, root: str, accounts: Sequence[str] | None, fmt: B
         glob = f"{root.rstrip('/')}/*/*.csv"
     else:
         glob = f"{root.rstrip('/')}/{{{','.join(_escape_glob(a) for a in accounts)}}}/*.csv"
-    reader = spark.read
-    if fmt.schema is not None:
-        reader = reader.schema(fmt.schema)
-    for k, v in fmt.options.items():
-        reader = reader.option(k, v)
     try:
-        df = reader.csv(glob)
+        if fmt.schema is None and str(fmt.options.get("header", "")).lower() == "true":
+            return _scan_by_header(spark, glob, fmt)
+        reader = spark.read if fmt.schema is None else spark.read.schema(fmt.schema)
+        df = reader.options(**fmt.options).csv(glob)
     except AnalysisException as e:  # no CSV file in any of these folders
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             return None
         raise
+    return _with_lineage(df, df.columns)
+
+
+def _account_dir() -> F.Column:
+    """The folder name of the file.  File paths are URL-encoded; a plus sign stands for itself."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1)
+    return F.url_decode(F.regexp_replace(folder, r"\+", "%2B"))
+
+
+def _with_lineage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     # Lineage columns must be taken on the scan itself, before any shuffle.
     return df.select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("_account_dir"),
+        *[F.col(f"`{c}`") for c in columns],
+        _account_dir().alias("_account_dir"),
         F.col("_metadata.file_name").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
     )
 
 
+def _scan_by_header(spark: SparkSession, glob: str, fmt: BankFormat) -> DataFrame:
+    """Every file's columns under the names of its own first line.  The first lines are one row per
+    file; where all agree the CSV reader names the columns, else values are picked by position."""
+    lines = spark.read.text(glob).where(F.trim("value") != "").select(
+        F.col("_metadata.file_path").alias("_path"), "value",
+        F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("r")).alias("at"))
+    first = lines.groupBy("_path").agg(F.min_by("value", "at").alias("value"))
+    heads = first.select("_path", F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    kinds = [r[0] for r in heads.select("value").distinct().collect()]  # distinct headers of a bank's export
+    options = dict(fmt.options)
+    if len(kinds) <= 1:
+        df = spark.read.options(**options).csv(glob)
+        return _with_lineage(df, df.columns)
+    width = max(k.count(options.get("sep", ",")) + 1 for k in kinds)
+    slots = [f"_c{i}" for i in range(width)]
+    text = T.StructType([T.StructField(c, T.StringType(), True) for c in slots])
+    csv_options = {k: v for k, v in options.items() if k in ("sep", "quote", "escape")}
+    parsed = F.from_csv("value", F.lit(", ".join(f"{c} string" for c in slots)), csv_options)
+    names = F.transform(F.array(*[F.col(f"h.{c}") for c in slots]), lambda x: F.trim(x))
+    heads = heads.withColumn("h", parsed).select("_path", names.alias("_names"))
+    wanted = [r[0] for r in heads.select(F.explode("_names").alias("n")).where("n is not null and n <> ''").distinct().collect()]
+    rows = spark.read.schema(text).options(**{**options, "header": "false"}).csv(glob)
+    rows = rows.select(F.array(*slots).alias("_values"), F.col("_metadata.file_path").alias("_path"), _account_dir().alias("_account_dir"),
+                       F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                       F.monotonically_increasing_id().alias("_row")).join(heads, "_path")
+    rows = rows.where(~F.transform("_values", lambda x: F.trim(F.regexp_replace(x, "^\ufeff", ""))).eqNullSafe(F.col("_names")))
+    value = lambda n: F.try_element_at("_values", F.nullif(F.array_position("_names", F.lit(n)).cast("int"), F.lit(0)))
+    return rows.select(*[value(n).alias(n) for n in sorted(wanted)], "_account_dir", "_file", "_block", "_row")
+
+
 def homogenize(bank: DataFrame) -> DataFrame:
     """Bank columns -> txn_raw (date, epoch seconds, signed cents, description)."""
     dtype = bank.schema["TransDate"].dataType
     if isinstance(dtype, T.StringType):
-        d = F.to_date("TransDate")
+        d = F.col("TransDate").try_cast("date")
         dtype = T.DateType()
     else:
         d = F.col("TransDate")
@@ -104,7 +143,7 @@ def homogenize(bank: DataFrame) -> DataFrame:
         F.col("account"),
         date.alias("date"),
         epoch_seconds(d, dtype).alias("epoch"),
-        signed_amount(cents(F.col("Credit")), cents(F.col("Debit"))).alias("amount"),
+        readable_amount(F.col("Credit"), F.col("Debit")).alias("amount"),
         F.col("Description").cast("string").alias("description"),
         F.col("_file").alias("src_file"),
         F.col("_block").alias("src_block"),
@@ -127,16 +166,9 @@ def read_account_folders(spark: SparkSession, root: str, accounts: Mapping[str,
         by_format.setdefault(fname, []).append(acct)
     parts = []
     for fname, accts in sorted(by_format.items()):
-        fmt = formats[fname]
-        scanned = _scan(spark, root, sorted(accts), fmt)
-        if scanned is None:
-            continue
-        bank = fmt.transform(scanned)
-        missing = [c for c in BANK_COLUMNS + ["_account_dir"] + LINEAGE if c not in bank.columns]
-        if missing:  # P8: schema conformance
-            raise ValueError(f"format {fname!r} does not produce {missing}")
-        bank = bank.withColumnRenamed("_account_dir", "account")
-        parts.append(homogenize(bank).select(*RAW_COLUMNS))
+        scanned = _scan(spark, root, sorted(accts), formats[fname])
+        if scanned is not None:
+            parts.append(_conform(scanned, formats[fname]))
     if not parts:
         return spark.createDataFrame([], RAW_SCHEMA)
     out = parts[0]
@@ -145,16 +177,31 @@ def read_account_folders(spark: SparkSession, root: str, accounts: Mapping[str,
     return out
 
 
+def _conform(scanned: DataFrame, fmt: BankFormat) -> DataFrame:
+    """A scan through its bank format, with the schema check P8."""
+    bank = fmt.transform(scanned)
+    missing = [c for c in BANK_COLUMNS + ["_account_dir"] + LINEAGE if c not in bank.columns]
+    if missing:
+        raise ValueError(f"format {fmt.name!r} does not produce {missing}")
+    return homogenize(bank.withColumnRenamed("_account_dir", "account")).select(*RAW_COLUMNS)
+
+
 def read_selected_folders(spark: SparkSession, root: str, accounts: DataFrame,
-                          fmt: BankFormat = DEFAULT_FORMAT) -> DataFrame:
-    """S1 for an account list that is itself a DataFrame (column ``account``), e.g. thousands of
-    stale accounts in a refresh: one scan of every folder, kept by a semi join, so no name list
-    passes through the driver."""
-    scanned = _scan(spark, root, None, fmt)
-    if scanned is None:
-        return spark.createDataFrame([], RAW_SCHEMA)
-    bank = fmt.transform(scanned).withColumnRenamed("_account_dir", "account")
-    return homogenize(bank).select(*RAW_COLUMNS).join(accounts.select("account"), "account", "left_semi")
+                          formats: Mapping[str, BankFormat] | None = None) -> DataFrame:
+    """S1 for an account list that is itself a DataFrame (``account`` and, optionally, ``format``):
+    one scan of the folders per format, kept by a semi join, so no name list passes through the
+    driver.  Gives what ``read_account_folders`` gives for the same list."""
+    formats = {DEFAULT_FORMAT.name: DEFAULT_FORMAT} | dict(formats or {})
+    if "format" not in accounts.columns:
+        accounts = accounts.withColumn("format", F.lit(DEFAULT_FORMAT.name))
+    out = None
+    for fname in sorted(r[0] for r in accounts.select("format").distinct().collect()):
+        own = accounts.where(F.col("format") == F.lit(fname)).select(F.col("account").alias("_account_dir"))
+        scanned = _scan(spark, root, None, formats[fname])
+        if scanned is not None:
+            part = _conform(scanned.join(own, "_account_dir", "left_semi"), formats[fname])
+            out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], RAW_SCHEMA) if out is None else out
 
 
 def unpaired_to_csv(unpaired: DataFrame, path: str) -> None:

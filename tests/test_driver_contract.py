@@ -25,8 +25,10 @@ def test_entry_runs(spark):
     assert df.count() > 0
 
 
-def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+def test_every_ledger_query_has_an_oracle():
+    from tallyforge.plans import driver_queries as D
+    assert set(D.queries()) == set(D.oracle_sql())
+    assert set(E.oracle_sql()) <= set(E.queries()) and set(D.queries()) <= set(E.queries())
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="driver tables absent")

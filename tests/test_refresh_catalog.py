@@ -68,12 +68,53 @@ def test_folder_fingerprints(spark, workdir):
     assert fps == {"chequing": 2, "visa": 2}
 
 
-def test_refresh_many_stale_accounts_path(spark, workdir, monkeypatch):
+def test_refresh_long_account_list_behaves_like_a_short_one(spark, workdir, monkeypatch):
     """Above the glob limit the stale list stays a DataFrame (semi join over one scan)."""
     import tallyforge.plans.refresh as R
     monkeypatch.setattr(R, "GLOB_ACCOUNTS", 0)
     root = write_golden(workdir)
     mapping = read_account_mapping(spark, f"{root}/home_rules.json")
     r = refresh_ledger(spark, f"{root}/accounts", _accounts(spark), mapping, os.path.join(workdir, "s2"), prefix="rg")
-    assert r.n_rebuilt_sources == 2 and r.rebuilt_sources == []
+    assert r.n_rebuilt_sources == 2 and r.rebuilt_sources == ["chequing", "visa"]
     assert spark.table("rg_txn").count() == 10 and spark.table("rg_unaccounted").count() == 3
+
+
+def test_refresh_after_rule_edits_equals_a_fresh_build(spark, workdir):
+    from tallyforge.plans.config import AccountMapping, DerivedRule, Matching
+    root = write_golden(workdir)
+    base = read_account_mapping(spark, f"{root}/home_rules.json")
+    coffee, groceries, salary = base.derived
+    nothing = DerivedRule(coffee.name, (Matching("", ("NO SUCH TEXT",)),))
+    extra = DerivedRule("Misc", (Matching("visa", ("REFUND",)),))
+    edits = [[groceries, salary], [nothing, groceries, salary], [salary, groceries, coffee], [coffee, groceries, salary, extra], []]
+    store = os.path.join(workdir, "store")
+    refresh_ledger(spark, f"{root}/accounts", _accounts(spark), base, store, prefix="re")
+    for k, rules in enumerate(edits):
+        mapping = AccountMapping(rules, base.transfers, base.tree)
+        refresh_ledger(spark, f"{root}/accounts", _accounts(spark), mapping, store, prefix="re")
+        refresh_ledger(spark, f"{root}/accounts", _accounts(spark), mapping, os.path.join(workdir, f"fresh{k}"), prefix=f"fr{k}")
+        for t in ("txn", "derived", "entries", "unaccounted"):
+            spark.catalog.refreshTable(f"re_{t}")
+            fresh = spark.table(f"fr{k}_{t}")
+            assert sorted(map(str, spark.table(f"re_{t}").select(*fresh.columns).collect())) == sorted(map(str, fresh.collect())), (k, t)
+
+
+def test_refresh_takes_bank_formats(spark, workdir):
+    from pyspark.sql import functions as F
+    from tallyforge.plans.config import AccountMapping
+    from tallyforge.sources.csv_folders import BankFormat
+    d = os.path.join(workdir, "acc", "card")
+    os.makedirs(d)
+    with open(os.path.join(d, "export.csv"), "w") as f:
+        f.write("when;amount;text\n03/01/2020;-12.50;LUNCH\n")
+
+    def card(df):
+        amt = F.col("amount").cast("decimal(20,2)")
+        return df.select(F.to_date("when", "dd/MM/yyyy").alias("TransDate"), F.when(amt < 0, -amt).alias("Credit"),
+                         F.when(amt >= 0, amt).alias("Debit"), F.col("text").alias("Description"), "_account_dir", "_file", "_block", "_row")
+
+    accounts = spark.createDataFrame([("card", "source", 0)], "name string, kind string, start_value bigint")
+    refresh_ledger(spark, os.path.join(workdir, "acc"), accounts, AccountMapping(), os.path.join(workdir, "s"), prefix="fm",
+                   formats={"card": BankFormat(name="card", options={"header": "true", "sep": ";"}, transform=card)},
+                   account_formats={"card": "card"})
+    assert [(r.account, r.amount, r.description) for r in spark.table("fm_txn").collect()] == [("card", -1250, "LUNCH")]

@@ -1,15 +1,13 @@
 """File edge: custom bank formats (S3), JSON account and frame files (S4-S6), CSV dump (S17),
-ledger data by name (L18), legacy IDs (X1)."""
+ledger data by name (L18), folder names, headers and unreadable cells (S1, V8)."""
 
 import json
 import os
 
-import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from golden import write_golden
-from tallyforge.functions.ids import legacy_transaction_id
 from tallyforge.operators import transfers as TR
 from tallyforge.plans.ledgers import ledger_data, ledger_from_folders
 from tallyforge.sources.csv_folders import BankFormat, read_account_folders, unpaired_to_csv
@@ -68,19 +66,30 @@ def test_ledger_files_out(spark, workdir):
     assert ledger_data(lf, "nope").count() == 0
 
 
-def test_legacy_ids(spark):
-    df = spark.createDataFrame([(0, "2020-01-01", 1577836800, -525, "COFFEE SHOP")],
-                               "seq long, d string, epoch long, amount long, description string")
-    df = df.withColumn("date", F.to_date("d"))
-    got = df.select(legacy_transaction_id(F.col("seq"), F.col("date"), F.col("epoch"), F.col("amount"),
-                                          F.col("description")).alias("id")).first()["id"]
-    h = xxhash.xxh128()
-    h.update((0).to_bytes(8, "big"))
-    h.update(b"2020-01-01")
-    h.update((1577836800).to_bytes(8, "big", signed=True) + (1).to_bytes(8, "big"))
-    h.update((-21).to_bytes(8, "big", signed=True) + (4).to_bytes(8, "big"))
-    h.update(b"COFFEE SHOP")
-    assert got == h.hexdigest()
+def test_folder_names_headers_and_unreadable_cells(spark, workdir):
+    """Names with blanks, percent and plus signs; two header orders; cells that are no date or amount."""
+    from tallyforge.operators.identity import quarantine
+    names = ["My Visa", "100%", "a+b", "Ünï", "plain"]
+    for k, name in enumerate(names):
+        d = os.path.join(workdir, "acc", name)
+        os.makedirs(d)
+        order = ["TransDate", "Debit", "Credit", "Description"] if k % 2 else ["Description", "Credit", "TransDate", "Debit"]
+        rows = [{"TransDate": "2020-01-02", "Debit": "5.00", "Credit": "", "Description": "in"},
+                {"TransDate": "2020-01-03", "Debit": "", "Credit": "7.00", "Description": "out"},
+                {"TransDate": "soon", "Debit": "1.00", "Credit": "", "Description": "no date"},
+                {"TransDate": "2020-01-05", "Debit": '"1,234.50"', "Credit": "7.00", "Description": "no amount"},
+                {"TransDate": "2020-01-06", "Debit": "3.00", "Credit": "x", "Description": "no amount"},
+                {"TransDate": "2020-01-07", "Debit": "", "Credit": "", "Description": "empty"}]
+        with open(os.path.join(d, "export.csv"), "w", encoding="utf-8") as f:
+            f.write("\n".join([",".join(order), *[",".join(r[c] for c in order) for r in rows]]) + "\n")
+    want = sorted((n, a, x) for n in names for a, x in ((500, "in"), (-700, "out")))
+    bad = sorted((n, r) for n in names for r in ("no date", "no amount", "no amount", "no amount"))
+    from tallyforge.operators.identity import identify
+    from tallyforge.sources.csv_folders import read_selected_folders
+    root = os.path.join(workdir, "acc")
+    for raw in (read_account_folders(spark, root, names), read_selected_folders(spark, root, spark.createDataFrame([(n,) for n in names], "account string"))):
+        assert sorted((r.account, r.amount, r.description) for r in identify(raw).collect()) == want
+        assert sorted((r.account, r.reason) for r in quarantine(raw).collect()) == bad
 
 
 def test_configuration_edges(spark, workdir):

@@ -25,7 +25,7 @@ def test_broken_tree_reports(spark):
 
 def test_root_that_is_a_child_is_a_cycle(spark):
     e = H.edges_from_dict(spark, {"All": ["A"], "A": ["All"]})
-    assert "All" in {r["node"] for r in H.cycle_nodes(e, "All", max_depth=8).collect()}
+    assert "All" in {r["node"] for r in H.cycle_nodes(e, "All").collect()}
 
 
 def test_frontier_and_switches(spark):
@@ -39,3 +39,14 @@ def test_frontier_and_switches(spark):
     assert state["Groceries"] is False and state["Coffee"] is True and state["Salary"] is True
     groups = {r["grp"] for r in H.selected_groups(e, "All", opened, sw).collect()}
     assert groups == {"Coffee", "Salary"}
+
+
+def test_deep_tree_closure_is_whole(spark):
+    """200 levels: every pair of the chain, at its depth."""
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 0) for i in range(200)], "parent string, child string, ord long")
+    c = H.closure(e, spark.createDataFrame([("n0",)], "node string"))
+    assert sorted((r["node"], r["depth"]) for r in c.collect()) == sorted((f"n{i}", i) for i in range(201))
+    assert H.closure(e).count() == 201 * 202 // 2
+    ring = e.unionByName(spark.createDataFrame([("n200", "n100", 0)], "parent string, child string, ord long"))
+    loop = ring.where("try_cast(substr(parent, 2) as int) >= 100")
+    assert H.cycle_nodes(loop, "All").count() == 101
