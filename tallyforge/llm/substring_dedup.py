@@ -507,8 +507,10 @@ def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, p, substr(h, CAST(2 * p + 1 AS BIGINT), 100) AS s
-      FROM (SELECT *, unnest(range(0, len(h) // 2 - 49)) AS p FROM b WHERE len(h) >= 100) x),
+z AS (SELECT doc_id, q, substr(h, CAST(2 * q + 1 AS BIGINT), 1098) AS h
+      FROM (SELECT *, unnest(range(0, len(h) // 2 - 49, 500)) AS q FROM b WHERE len(h) >= 100) x),
+w AS (SELECT doc_id, q + o AS p, substr(h, CAST(2 * o + 1 AS BIGINT), 100) AS s
+      FROM (SELECT *, unnest(range(0, len(h) // 2 - 49)) AS o FROM z) x),
 m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
 c AS (SELECT DISTINCT w.doc_id, w.p FROM w JOIN m USING (s) WHERE w.doc_id > m.least),
 r AS (SELECT doc_id, p, p + 50 AS e, max(p + 50) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c),

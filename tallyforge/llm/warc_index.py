@@ -277,7 +277,7 @@ ORACLE = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 g AS (SELECT h, count(*) AS n, max(page_id) AS last FROM p GROUP BY h)
 SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
-  array_to_string(list_transform(range(0, 32), i ->
+  array_to_string(list_transform(range(0, 32), lambda i:
     substr('{_BASE32}', CAST(1 + ((CAST(('0x' || substr(p.h, CAST(1 + (i // 4) * 5 AS INT), 5)) AS BIGINT)
       >> CAST(15 - 5 * (i % 4) AS INT)) & 31) AS INT), 1)), '') AS payload_digest,
   CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
