@@ -76,6 +76,8 @@ def closure(edges: DataFrame, roots: DataFrame | None = None, include_self: bool
         # from here on pairs are at least one step apart, so a node may meet itself
         first = start.join(e, F.col("node") == F.col("a")).select(
             F.col("a").alias("ancestor"), F.col("b").alias("node"), F.lit(1).cast("bigint").alias("depth"))
+    if roots is not None and not include_self:
+        raise ValueError("start nodes are left out only when all nodes start")
     reached, jumps, step, n, turn = first, e, 1, first.count(), 0
     while True:
         # the first rounds, all that a shallow tree needs, stay one plan; later ones are written
@@ -97,7 +99,7 @@ def cycle_nodes(edges: DataFrame, root: str) -> DataFrame:
     reached = closure(edges, edges.sparkSession.createDataFrame([(root,)], "node string"))
     rest_nodes = nodes(edges).join(reached.select("node"), "node", "left_anti")
     root_is_child = edges.where(F.col("child") == F.lit(root)).select(F.lit(root).alias("node"))
-    rest = edges.join(rest_nodes.withColumnRenamed("node", "parent"), "parent", "left_semi")
+    rest = materialize(edges.join(rest_nodes.withColumnRenamed("node", "parent"), "parent", "left_semi"), "cycle-edges")
     c = closure(rest, None, include_self=False)
     return c.where(F.col("ancestor") == F.col("node")).select("node").unionByName(root_is_child).distinct()
 

@@ -23,6 +23,7 @@ from ..operators.balances import account_kinds
 from ..operators.identity import quarantine as _quarantine
 from ..operators.sequencing import SINGLE_TASK_ROWS
 from ..session import materialize
+from . import edge_queries
 from . import oracle as O
 from .ledgers import events_ledger, orders_ledger, status_ledger
 
@@ -189,6 +190,7 @@ def queries() -> dict[str, Query]:
         "hot_unaccounted": q_hot_unaccounted,
         **geo_queries(),
         **browse_queries(),
+        **edge_queries.queries(),
     }
 
 
@@ -299,6 +301,7 @@ def oracle_sql() -> dict[str, str]:
         "hot_unaccounted": _status() + UNACCOUNTED,
         **geo_oracle(),
         **browse_oracle(),
+        **edge_queries.oracle_sql(),
     }
 
 

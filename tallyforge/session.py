@@ -71,17 +71,29 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 LAZY_BELOW_ROWS = int(os.environ.get("TALLY_LAZY_BELOW_ROWS", "2000000"))
 
 
+def _cut_plan(df):
+    """The same rows behind a short plan.  Nothing is stored: a lost executor recomputes them, and the
+    shuffles behind them are reused while they exist."""
+    from pyspark.sql import DataFrame
+
+    spark = df.sparkSession
+    jdf = spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema())
+    return DataFrame(jdf, spark)
+
+
 def materialize(df, name: str = "t", rows_bound: int | None = None):
     """Cut the lineage of a much-reused intermediate by writing it once as Parquet under the
     folder the session names in ``spark.checkpoint.dir`` and reading it back: computed once,
     survives lost executors (unlike a local checkpoint), and later reads get column pruning and
-    filter pushdown.  With no folder configured the DataFrame stays lazy, and so it does when
-    ``rows_bound`` proves the data small enough (``LAZY_BELOW_ROWS``) that recomputing it inside
-    one plan (shared exchanges are reused) is cheaper than a write and a read."""
+    filter pushdown.  With no folder configured only the plan is cut, and the DataFrame stays lazy
+    altogether when ``rows_bound`` proves the data small enough (``LAZY_BELOW_ROWS``) that
+    recomputing it inside one plan (shared exchanges are reused) is cheaper than a write and a read."""
     spark = df.sparkSession
     base = checkpoint_dir(spark)
-    if not base or (rows_bound is not None and rows_bound <= LAZY_BELOW_ROWS):
+    if rows_bound is not None and rows_bound <= LAZY_BELOW_ROWS:
         return df
+    if not base:
+        return _cut_plan(df)
     path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
