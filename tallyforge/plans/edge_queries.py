@@ -13,7 +13,7 @@ from ..operators.identity import quarantine, valid_raw
 from ..sources.csv_folders import homogenize
 from ..sources.driver_tables import customer_account, table
 from .config import RULE_SCHEMA
-from .ledgers import orders_ledger
+from .ledgers import events_ledger, orders_ledger, with_ledger
 
 
 def _bank_rows(spark, sf) -> DataFrame:
@@ -109,13 +109,27 @@ def q_broken_tree_checks(spark, sf) -> DataFrame:
     return out
 
 
+def q_two_ledgers_txn(spark, sf) -> DataFrame:
+    """Both ledgers in one job."""
+    t = with_ledger([orders_ledger(spark, sf), events_ledger(spark, sf)], "txn")
+    return t.groupBy("ledger", "account").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("amount").alias("total"), F.max("seq").alias("last_seq"))
+
+
 def queries() -> dict:
-    return {"import_rows": q_import_rows, "import_quarantine": q_import_quarantine, "deep_tree_closure": q_deep_tree_closure,
+    return {"two_ledgers_txn": q_two_ledgers_txn, "import_rows": q_import_rows, "import_quarantine": q_import_quarantine, "deep_tree_closure": q_deep_tree_closure,
             "long_rule_table": q_long_rule_table, "broken_tree_checks": q_broken_tree_checks}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "two_ledgers_txn": """
+SELECT 'orders' AS ledger, printf('C%010d', o_custkey) AS account, count(*) AS n_rows,
+  cast(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END * cast(round(o_totalprice * 100) AS bigint)) AS bigint) AS total,
+  count(*) - 1 AS last_seq FROM orders GROUP BY ALL
+UNION ALL
+SELECT 'events', printf('U%010d', user_id), count(*),
+  cast(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE -1 END * cast(round_even(value * 100, 0) AS bigint)) AS bigint), count(*) - 1
+FROM events GROUP BY ALL""",
         "import_rows": _BANK + """SELECT account, date, cast(epoch(date) AS bigint) AS epoch, amount, description, k AS src_row
 FROM b WHERE date IS NOT NULL AND amount IS NOT NULL""",
         "import_quarantine": _BANK + """SELECT account, description, k AS src_row,

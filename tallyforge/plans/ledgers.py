@@ -129,6 +129,23 @@ class LedgerFrames:
         der = self.derived_statement().where(F.col("account") == F.lit(name))
         return src.unionByName(der.join(src.select("account").distinct(), "account", "left_anti"))
 
+    def tree_problems(self) -> DataFrame:
+        """(check, subject) for every mistake of the category tree (H1-H5)."""
+        from pyspark.sql import functions as F
+
+        from ..operators import hierarchy as H
+        tree = self.mapping.category_tree()
+        edges, root = H.edges_from_dict(self.spark, tree), next(iter(tree))
+        parts = [(H.duplicate_children(edges), "duplicate child", "child"), (H.isolated_nodes(edges, root), "isolated", "node"),
+                 (H.cycle_nodes(edges, root), "cycle", "node"),
+                 (H.invalid_leaves(edges, balances.account_kinds(self.accounts), root), "not one account", "name"),
+                 (H.coverage(edges, self.accounts), None, "name")]
+        out = None
+        for df, check, col in parts:
+            part = df.select((F.col("problem") if check is None else F.lit(check)).alias("check"), F.col(col).alias("subject"))
+            out = part if out is None else out.unionByName(part)
+        return out
+
     def source_balances(self) -> DataFrame:
         return balances.end_balances(self.source_accounts, self.txn)
 
@@ -137,10 +154,28 @@ class LedgerFrames:
 
 
 def build_ledger(spark: SparkSession, name: str, raw: DataFrame, source_accounts: DataFrame,
-                 mapping: AccountMapping, transfer_mappings: DataFrame | None = None) -> LedgerFrames:
+                 mapping: AccountMapping, transfer_mappings: DataFrame | None = None,
+                 strict: bool = False) -> LedgerFrames:
+    """``strict`` runs the tree checks and refuses a ledger whose category tree has mistakes."""
     if transfer_mappings is None:
         transfer_mappings = mappings_frame(spark, mapping.transfers)
-    return LedgerFrames(spark, name, raw, source_accounts, mapping, transfer_mappings)
+    lf = LedgerFrames(spark, name, raw, source_accounts, mapping, transfer_mappings)
+    if strict:
+        found = lf.tree_problems().limit(20).collect()
+        if found:
+            raise ValueError(f"ledger {name!r}: " + "; ".join(f"{r['check']}: {r['subject']}" for r in found))
+    return lf
+
+
+def with_ledger(ledgers: list[LedgerFrames], result: str) -> DataFrame:
+    """One result (an attribute such as ``txn`` or ``unaccounted``) of several ledgers in one job,
+    told apart by the column ``ledger``."""
+    from pyspark.sql import functions as F
+    out = None
+    for lf in ledgers:
+        part = getattr(lf, result).withColumn("ledger", F.lit(lf.name))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def orders_ledger(spark: SparkSession, sf_dir: str) -> LedgerFrames:
@@ -163,7 +198,7 @@ def events_ledger(spark: SparkSession, sf_dir: str) -> LedgerFrames:
 
 
 def ledger_from_folders(spark: SparkSession, data_root: str, ledger_name: str | None = None,
-                        formats=None, account_formats: dict[str, str] | None = None) -> LedgerFrames:
+                        formats=None, account_formats: dict[str, str] | None = None, strict: bool = False) -> LedgerFrames:
     """The reference's on-disk layout.  ``LedgerConfiguration.json`` in ``data_root``
     names the ledgers; the chosen one (or the default) gives the rule file
     ``<accounting file>.json`` and the account folders ``<source account directory>/<account>``."""
@@ -190,7 +225,15 @@ def ledger_from_folders(spark: SparkSession, data_root: str, ledger_name: str |
         raw = read_selected_folders(spark, f"{root}/{src_dir}", with_formats(
             src.select(F.col("name").alias("account")), account_formats), formats)
     mapping = read_account_mapping(spark, f"{root}/{acc_file}.json")
-    return build_ledger(spark, name, raw, src, mapping)
+    return build_ledger(spark, name, raw, src, mapping, strict=strict)
+
+
+def all_ledgers_from_folders(spark: SparkSession, data_root: str, **options) -> list[LedgerFrames]:
+    """Every ledger of a configuration."""
+    from ..sources.json_io import read_ledger_configuration
+    cfg = read_ledger_configuration(spark, f"{data_root.rstrip('/')}/LedgerConfiguration.json")
+    names = sorted(r[0] for r in cfg.select("ledger_name").distinct().collect())
+    return [ledger_from_folders(spark, data_root, n, **options) for n in names]
 
 
 # Names under which the reference serves ledger results.

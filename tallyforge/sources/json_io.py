@@ -9,6 +9,8 @@ rows.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +52,9 @@ ACCOUNT_FILE_SCHEMA = T.StructType([
     T.StructField("start_value", T.DoubleType()),
     T.StructField("end_value", T.DoubleType()),
     T.StructField("transactions", T.ArrayType(TXN_STRUCT)),
+    T.StructField("first_position", T.LongType()),  # of a long account's later files; else absent
 ])
+FILE_ROWS = 100_000  # rows that one exported JSON object holds at most
 
 CONFIG_SCHEMA = T.StructType([
     T.StructField(F_DEFAULT_LEDGER, T.StringType()),
@@ -169,9 +173,10 @@ def read_account_files(spark: SparkSession, path: str) -> DataFrame:
     """Account JSON files -> identified transaction rows (account, seq, id, date, epoch,
     amount, description); ``seq`` is the position in the stored array."""
     acc = read_json_object(spark, path, ACCOUNT_FILE_SCHEMA)
-    rows = acc.select(F.col("name").alias("account"), F.posexplode("transactions").alias("seq", "t"))
+    rows = acc.select(F.col("name").alias("account"), F.coalesce("first_position", F.lit(0)).alias("first"),
+                      F.posexplode("transactions").alias("seq", "t"))
     return rows.select(
-        "account", F.col("seq").cast("bigint").alias("seq"), F.col("t.ID").alias("id"),
+        "account", (F.col("first") + F.col("seq")).cast("bigint").alias("seq"), F.col("t.ID").alias("id"),
         F.to_date("t.date").alias("date"), F.floor("t.timestamp").cast("bigint").alias("epoch"),
         cents(F.col("t.delta")).alias("amount"), F.col("t.description").alias("description"))
 
@@ -179,8 +184,9 @@ def read_account_files(spark: SparkSession, path: str) -> DataFrame:
 def read_account_headers(spark: SparkSession, path: str) -> DataFrame:
     """Name, start and end values (cents) of account files."""
     acc = read_json_object(spark, path, ACCOUNT_FILE_SCHEMA)
-    return acc.select(F.col("name"), F.lit("source").alias("kind"), cents(F.col("start_value")).alias("start_value"),
-                      cents(F.col("end_value")).alias("end_value"))
+    return acc.where(F.coalesce("first_position", F.lit(0)) == 0).select(
+        F.col("name"), F.lit("source").alias("kind"), cents(F.col("start_value")).alias("start_value"),
+        cents(F.col("end_value")).alias("end_value"))
 
 
 def read_frame_file(spark: SparkSession, path: str, row_schema: T.StructType) -> DataFrame:
@@ -189,6 +195,45 @@ def read_frame_file(spark: SparkSession, path: str, row_schema: T.StructType) ->
     return read_json_object(spark, path, schema).select(F.inline("frame"))
 
 
+def write_frame_files(df: DataFrame, path: str, rows_per_file: int = FILE_ROWS) -> None:
+    """``{"frame": [rows]}`` objects of at most ``rows_per_file`` rows, one a file, which
+    ``read_frame_file`` reads back together."""
+    names = df.columns
+    part = df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    chunk = F.floor(F.pmod("_at", F.lit(1 << 33)) / rows_per_file)
+    frames = part.groupBy("_part", chunk.alias("_chunk")).agg(F.sort_array(F.collect_list(F.struct("_at", F.struct(*names).alias("row")))).alias("rows"))
+    frames.select(F.transform("rows", lambda r: r["row"]).alias("frame")).write.option("maxRecordsPerFile", 1).json(path)
+
+
+def write_account_files(txn: DataFrame, balances: DataFrame, path: str, rows_per_file: int = FILE_ROWS) -> None:
+    """Account objects (name, start and end value, transactions) that S4 reads back, one a file.
+    An account of more than ``rows_per_file`` transactions takes several, each with its
+    ``first_position``, so no row grows with its account.  ``balances``: name, start_value, end_value."""
+    amount = lambda c: (F.col(c).cast("decimal(20,0)") / 100).cast("double")
+    t = F.struct("seq", F.struct(F.col("id").alias("ID"), F.date_format("date", "yyyy-MM-dd").alias("date"), amount("amount").alias("delta"),
+                                 "description", F.col("epoch").cast("double").alias("timestamp")).alias("t"))
+    chunks = txn.groupBy(F.col("account").alias("name"), F.floor(F.col("seq") / rows_per_file).alias("chunk")).agg(
+        F.sort_array(F.collect_list(t)).alias("rows"))
+    rows = balances.join(chunks, "name", "left")
+    out = rows.select("name", amount("start_value").alias("start_value"), amount("end_value").alias("end_value"),
+                      F.coalesce(F.transform("rows", lambda r: r["t"]), F.array().cast(T.ArrayType(TXN_STRUCT))).alias("transactions"),
+                      F.when(F.col("chunk") > 0, F.col("chunk") * rows_per_file).alias("first_position"))
+    out.write.option("maxRecordsPerFile", 1).json(path)
+
+
+def write_account_mapping(spark: SparkSession, mapping: AccountMapping, path: str) -> None:
+    """A rule file (as a folder with one file) that ``read_account_mapping`` reads back."""
+    rules = {
+        F_DERIVED: [{"name": r.name, F_MATCHINGS: [{F_ACCOUNT_NAME: m.account_name or "", F_STRINGS: list(m.strings)} for m in r.matchings],
+                     F_STARTING: r.start_value / 100} for r in mapping.derived],
+        F_INTERNAL: [{F_FROM_ACCOUNT: t.from_account, F_FROM_MATCHINGS: list(t.from_strings), F_TO_ACCOUNT: t.to_account,
+                      F_TO_MATCHINGS: list(t.to_strings)} for t in mapping.transfers],
+    }
+    if mapping.tree is not None:
+        rules[F_TREE] = mapping.tree
+    spark.createDataFrame([(json.dumps(rules, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_transactions_jsonl(txn: DataFrame, path: str) -> None:
     """S5 / S6 export: one JSON line per transaction in the reference's field names, partitioned
     by account.  (A whole account in one JSON object, as the reference stores it, would put an

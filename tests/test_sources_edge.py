@@ -105,3 +105,40 @@ def test_configuration_edges(spark, workdir):
     assert [r.name for r in rules.derived] == ["Coffee", "Groceries", "Salary"]
     assert rules.derived[2].start_value == 1000 and rules.derived[0].is_universal
     assert rules.tree == {"All": ["Living", "Salary"], "Living": ["Coffee", "Groceries"]}
+
+
+def test_json_exports_read_back(spark, workdir):
+    from tallyforge.sources.json_io import read_account_mapping, write_account_files, write_account_mapping, write_frame_files
+    root = write_golden(workdir)
+    lf = ledger_from_folders(spark, root)
+    bal = lf.source_balances().select("name", "start_value", "end_value")
+    out = os.path.join(workdir, "accounts_out")
+    write_account_files(lf.txn, bal, out, rows_per_file=4)  # chequing takes two files
+    cols = ["account", "seq", "id", "date", "epoch", "amount", "description"]
+    assert sorted(map(tuple, read_account_files(spark, out).select(*cols).collect())) == sorted(map(tuple, lf.txn.select(*cols).collect()))
+    heads = read_account_headers(spark, out).select("name", "start_value", "end_value")
+    assert sorted(map(tuple, heads.collect())) == sorted(map(tuple, bal.collect()))
+    frame = os.path.join(workdir, "frame_out")
+    rows = spark.range(25).selectExpr("id as x", "cast(id % 3 as string) as y")
+    write_frame_files(rows, frame, rows_per_file=4)
+    assert sorted(map(tuple, read_frame_file(spark, frame, rows.schema).collect())) == sorted(map(tuple, rows.collect()))
+    mapping = read_account_mapping(spark, f"{root}/home_rules.json")
+    rules = os.path.join(workdir, "rules_out")
+    write_account_mapping(spark, mapping, rules)
+    assert read_account_mapping(spark, rules) == mapping
+
+
+def test_strict_load_and_all_ledgers(spark, workdir):
+    import pytest
+
+    from tallyforge.plans.ledgers import all_ledgers_from_folders, build_ledger, with_ledger
+    root = write_golden(workdir)
+    lf = ledger_from_folders(spark, root, strict=True)
+    assert lf.tree_problems().count() == 0
+    lf.mapping.tree = {"All": ["Living", "Salary", "Nobody"], "Living": ["Coffee", "Coffee"]}
+    found = {(r.check, r.subject) for r in lf.tree_problems().collect()}
+    assert {("duplicate child", "Coffee"), ("not one account", "Nobody"), ("derived account not in tree", "Groceries")} <= found
+    with pytest.raises(ValueError, match="Nobody"):
+        build_ledger(spark, "x", lf.raw, lf.source_accounts, lf.mapping, strict=True)
+    both = all_ledgers_from_folders(spark, root)
+    assert {r.ledger for r in with_ledger(both, "txn").select("ledger").distinct().collect()} == {x.name for x in both}
