@@ -14,7 +14,7 @@ narrow row each.  For the others:
    most, so a band meets itself and the next), in cells of bounded size, are compared by parity bitmaps,
    two bits a shingle: the number of differing bits is at most the size of the symmetric difference and
    so bounds the overlap from above.  Cells whose members are all one component already need no pair.
-   Rounds that give each class its most similar one of another component run until no link is found,
+   Rounds that give each class its most similar one of another component run while most of them link;
    then all remaining pairs are checked, so that no link between components is missed.
 5. Pairs that pass are verified by intersecting the sorted hash arrays.
 
@@ -202,7 +202,6 @@ def _shared(postings: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (``a, b``) that link, by exact intersection.  The sorted hashes of each class travel
     once, from its text to the hubs ``a`` it meets; a hub of many is split in parts."""
-    pairs = written(pairs.select("a", "b"), "pairs")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     place = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
     sends = pairs.join(parts, "a").select(F.col("b").alias("sid"), F.struct("a", place.alias("part")).alias("to"))
@@ -314,7 +313,8 @@ def _tiles(shared: DataFrame, classes: DataFrame, comps: DataFrame, every: bool)
             at, differ = at[near], differ[near]
             if len(at):
                 for q in (at if every else at[differ.argmin() : differ.argmin() + 1]).tolist():
-                    out.append((rows["sid"][k], rows["sid"][q]))
+                    x, y = rows["sid"][k], rows["sid"][q]
+                    out.append((x, y) if x < y else (y, x))
 
     def run(batches):
         key, rows = None, None
@@ -362,16 +362,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hubs = shared.where("sid <> low").groupBy(F.col("low").alias("a"), F.col("sid").alias("b")).count()
     best = Window.partitionBy("b").orderBy(F.desc("count"), "a")
     stars = hubs.withColumn("k", F.row_number().over(best)).where("k = 1").select("a", "b")
-    links = _verified(_near_bits(stars, classes), classes, docs)
+    tested = written(_near_bits(stars, classes), "pairs")
+    links = _verified(tested, classes, docs)
+    every = False
     while True:
         comps = written(components(links), "components")
-        more = _verified(_tiles(shared, classes, comps, every=False), classes, docs)
-        if more.isEmpty():
+        pairs = _tiles(shared, classes, comps, every)
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = _verified(pairs, classes, docs)
+        tested, links = tested.unionByName(pairs), links.unionByName(more)
+        found, tried = more.count(), pairs.count()
+        if every:
+            comps = written(components(links), "components") if found else comps
             break
-        links = links.unionByName(more)
-    more = _verified(_tiles(shared, classes, comps, every=True), classes, docs)
-    if not more.isEmpty():
-        comps = written(components(links.unionByName(more)), "components")
+        # the most similar pairs come first while most of them link; then all that are left
+        every = found * 2 < tried or found == 0
 
     ids = people.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     ids = ids.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
