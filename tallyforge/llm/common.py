@@ -99,24 +99,12 @@ def likely(rows: DataFrame, ids: DataFrame, others: bool = False) -> DataFrame:
     """Rows whose ``doc_id`` may be among ``ids`` or, with ``others``, those whose id is not for certain.
     The filter has a fixed size; it spares most rows a shuffle, and a join decides about what it lets
     pass (with very many ids it lets all pass)."""
-    import numpy as np
-    import pyarrow as pa
     from pyspark.sql import functions as F
 
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    slots = ids.select(slot.cast("int").alias("slot"))
-    bits = slots.groupBy(F.expr("slot div 62").cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, slot % 62))").alias("bits"))
-    words = np.zeros(FILTER_BITS // 62 + 1, np.int64)
-    for w, v in bits.collect():  # at most FILTER_BITS / 62 rows
-        words[w] = v
-    shared = rows.sparkSession.sparkContext.broadcast(words)
-    names = rows.columns
-
-    def run(batches):
-        for b in batches:
-            at = b.column("_slot").to_numpy()
-            hit = (shared.value[at // 62] >> (at % 62) & 1 == 1) != others
-            if hit.any():
-                yield b.filter(pa.array(hit)).select(names)
-
-    return rows.withColumn("_slot", slot).mapInArrow(run, rows.schema)
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int")
+    slots = ids.select(slot.alias("slot"))
+    bits = slots.groupBy(F.expr("slot div 62").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, slot % 62))").alias("_bits"))
+    met = rows.withColumn("_slot", slot).withColumn("_word", F.expr("_slot div 62"))
+    met = met.join(F.broadcast(bits), "_word", "left")  # at most FILTER_BITS / 62 rows
+    hit = F.coalesce(F.expr("shiftright(_bits, _slot % 62) & 1 = 1"), F.lit(False))
+    return met.where(~hit if others else hit).select(*rows.columns)

@@ -5,6 +5,7 @@ id.  The suffixes that can matter are found first: every such string picks one o
 as its anchor (least hash of its LENGTH - K + 1 grams, the first of equals), so equal strings have equal
 anchors at equal places.
 
+0. A text that a smaller id holds whole is covered whole (if it has LENGTH bytes) and takes no further part.
 1. Each document sends the hashes of its anchors to buckets; anchors of one document only are dropped.
 2. Documents that share anchors cut out, around each shared one, the bytes of the strings that picked
    it.  Strings already covered by an earlier document of the same task are marked there and not sent,
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import likely, read_table, ship, written
-from tallyforge.llm.hashing import PrefixHashes
+from tallyforge.llm.hashing import PrefixHashes, mixed
 
 LENGTH, K = 50, 25
 BLOCK_BYTES = 1 << 19  # bytes of text that are worked on at a time
@@ -164,26 +165,35 @@ def covered(data: np.ndarray, first: np.ndarray, count: np.ndarray, ahead: np.nd
     out = np.zeros(total, bool)
     if total == 0:
         return out
+    # only anchors that several ids hold can cover anything
+    order = np.lexsort((ids, key))
+    k, d = key[order], ids[order]
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    edges = np.flatnonzero(new)
+    several = d[edges] != d[np.append(edges[1:], len(d)) - 1]
+    some = np.sort(order[several[np.cumsum(new) - 1]])
+    if not len(some):
+        return out
+    where = (np.cumsum(count) - count)[some]
+    first, count, ahead, ids, key = (x[some] for x in (first, count, ahead, ids, key))
     text = Suffixes(data)
-    where = np.cumsum(count) - count
     keeper = _equal_contexts(text, first, count, ahead, ids, key)
-    alone_ = np.flatnonzero(keeper == np.arange(len(keeper)))
-    out_of = _covered_distinct(text, *(x[alone_] for x in (first, count, ahead, ids, key)))
+    alone = np.flatnonzero(keeper == np.arange(len(keeper)))
+    out_of = _covered_distinct(text, *(x[alone] for x in (first, count, ahead, ids, key)))
     # equal contexts: a larger id is covered whole, the smallest shares what its keeper has
-    at = np.cumsum(count[alone_]) - count[alone_]
     place = np.zeros(len(keeper), np.int64)
-    place[alone_] = at
-    own = np.repeat(np.arange(len(keeper)), count)
-    step = np.arange(total) - np.repeat(where, count)
-    out[:] = out_of[place[keeper[own]] + step]
-    out |= (ids > ids[keeper])[own]
+    place[alone] = np.cumsum(count[alone]) - count[alone]
+    step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    got = out_of[np.repeat(place[keeper], count) + step] | np.repeat(ids > ids[keeper], count)
+    out[np.repeat(where, count) + step] = got
     return out
 
 
 def _equal_contexts(text: Suffixes, first, count, ahead, ids, key) -> np.ndarray:
     """For each context the one of least id among those with the same bytes and places (itself, if none)."""
     size = count + LENGTH - 1
-    order = np.lexsort((ids, text.piece(first, size), count, ahead, key))
+    whole = mixed(text.piece(first, size) + key * np.uint64(3) + (count * 64 + ahead).astype(np.uint64))
+    order = np.lexsort((ids, whole))
     f, c, a, k = (x[order] for x in (first, count, ahead, key))
     same = np.zeros(len(order), bool)
     same[1:] = (k[1:] == k[:-1]) & (a[1:] == a[:-1]) & (c[1:] == c[:-1]) & (text.piece(f[1:], size[order][1:]) == text.piece(f[:-1], size[order][:-1]))
@@ -329,7 +339,7 @@ def _shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     return written(sent.mapInArrow(meet, "doc_id long, bucket int, keys binary"), "anchors", "none")
 
 
-_CONTEXT = np.dtype([("id", "<i8"), ("key", "<u8"), ("first", "<i8"), ("count", "<u4"), ("ahead", "<u4")])
+_CONTEXT = np.dtype([("id", "<i8"), ("key", "<u8"), ("first", "<u4"), ("count", "u1"), ("ahead", "u1")])
 
 
 def _marks(docs: DataFrame, anchors: DataFrame, anchor_buckets: int, buckets: int) -> DataFrame:
@@ -394,7 +404,8 @@ def _marks(docs: DataFrame, anchors: DataFrame, anchor_buckets: int, buckets: in
                 part = order[s:t]
                 sizes = rows["count"][part].astype(np.int64) + LENGTH - 1
                 idx = np.repeat(start[part] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-                blobs.append(np.array([len(part)], np.int64).tobytes() + rows[part].tobytes() + a.data[idx].tobytes())
+                raw = rows[part].tobytes() + a.data[idx].tobytes()
+                blobs.append(np.array([len(part), len(raw)], np.int64).tobytes() + pa.compress(raw, codec="zstd", asbytes=True))
                 where_.append(int(bucket[part[0]]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(where_, pa.int32()), pa.nulls(len(where_), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "doc_id", "blob"])
@@ -411,7 +422,7 @@ def _marks(docs: DataFrame, anchors: DataFrame, anchor_buckets: int, buckets: in
             hit = covered(data, first, count, rows["ahead"].astype(np.int64), rows["id"], rows["key"])
             if hit.any():
                 own = np.repeat(np.arange(len(rows)), count)
-                pos = (np.repeat(rows["first"] - (np.cumsum(count) - count), count) + np.arange(len(own)))[hit]
+                pos = (np.repeat(rows["first"].astype(np.int64) - (np.cumsum(count) - count), count) + np.arange(len(own)))[hit]
                 ids = rows["id"][own[hit]]
                 order = np.lexsort((pos, ids))
                 pos, ids = pos[order], ids[order]
@@ -436,8 +447,9 @@ def _marks(docs: DataFrame, anchors: DataFrame, anchor_buckets: int, buckets: in
                         yield from close()
                     at, held = bucket, []
                 raw = blob.as_py()
-                (n,) = np.frombuffer(raw, np.int64, 1)
-                held.append((np.frombuffer(raw, _CONTEXT, n, 8), np.frombuffer(raw, np.uint8, -1, 8 + n * _CONTEXT.itemsize)))
+                n, size = np.frombuffer(raw, np.int64, 2).tolist()
+                raw = pa.decompress(raw[16:], decompressed_size=size, codec="zstd", asbytes=True)
+                held.append((np.frombuffer(raw, _CONTEXT, n), np.frombuffer(raw, np.uint8, -1, n * _CONTEXT.itemsize)))
         if held:
             yield from close()
 
@@ -448,6 +460,14 @@ def _marks(docs: DataFrame, anchors: DataFrame, anchor_buckets: int, buckets: in
     return written(sent.mapInArrow(resolve, "doc_id long, blob binary"), "marks", "none")
 
 
+def _copies(docs: DataFrame) -> DataFrame:
+    """``doc_id, sha`` of the texts of at least LENGTH bytes that a smaller id holds whole."""
+    own = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", F.sha2("text", 256).alias("sha"))
+    own = written(own, "digests")
+    least = own.groupBy("sha").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    return written(own.join(least.select("sha", "least"), "sha").where("doc_id > least").select("doc_id", "sha").distinct(), "copies")
+
+
 def cut_repeats(docs: DataFrame, keep: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row, with the columns ``keep`` and,
     if ``texts``, the remaining ``text`` (characters that were cut apart are dropped)."""
@@ -455,14 +475,18 @@ def cut_repeats(docs: DataFrame, keep: tuple[str, ...] = (), texts: bool = False
     ship(spark)
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     own = docs.select(F.col("doc_id").alias("_id"), id_.alias("doc_id"), "text", *keep)
+    copies = _copies(own.select("doc_id", "text"))
     slim = own.select("doc_id", "text")
+    maybe = likely(slim, copies).withColumn("sha", F.sha2("text", 256)).join(copies, ["doc_id", "sha"], "left_anti").drop("sha")
+    slim = likely(slim, copies, others=True).unionByName(maybe)
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     expected = total * 2 / (LENGTH - K + 2)  # anchors
     buckets = max(spark.sparkContext.defaultParallelism, math.ceil(expected / BUCKET_ANCHORS))
     anchors = _shared_anchors(slim, buckets)
     shared = anchors.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
     marks = _marks(slim, anchors, buckets, max(spark.sparkContext.defaultParallelism, math.ceil(shared / 4 / BUCKET_CONTEXTS)))
-    spans = marks.groupBy("doc_id").agg(F.collect_list("blob").alias("marks"))  # bounded by a text
+    spans = marks.groupBy("doc_id").agg(F.collect_list("blob").alias("marks")).withColumn("sha", F.lit(None).cast("string"))  # bounded by a text
+    spans = spans.unionByName(copies.select("doc_id", F.lit(None).cast("array<binary>").alias("marks"), "sha"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([f"doc_id {kinds['doc_id']}", "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string",
                         *(f"`{c}` {kinds[c]}" for c in keep), *(["text string"] if texts else [])])
@@ -470,9 +494,13 @@ def cut_repeats(docs: DataFrame, keep: tuple[str, ...] = (), texts: bool = False
     def finish(batches):
         for b in batches:
             n_bytes, n_removed, n_spans, sha, left = [], [], [], [], []
-            for text, marked in zip(b.column("text").to_pylist(), b.column("marks")):
+            for text, marked, whole in zip(b.column("text").to_pylist(), b.column("marks"), b.column("whole").to_pylist()):
                 t = (text or "").encode()
-                if marked.is_valid:
+                if whole:
+                    n_spans.append(1)
+                    n_removed.append(len(t))
+                    rest = b""
+                elif marked.is_valid:
                     gone = np.zeros(len(t) + 1, np.int32)
                     for m in marked.as_py():
                         s = np.frombuffer(m, "<i8").reshape(-1, 2)
@@ -495,8 +523,13 @@ def cut_repeats(docs: DataFrame, keep: tuple[str, ...] = (), texts: bool = False
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *keep, *(["text"] if texts else [])])
 
     # only texts that may have marks are shuffled to them
-    marked = likely(own, marks).join(spans, "doc_id", "left")
-    clean = likely(own, marks, others=True).withColumn("marks", F.lit(None).cast("array<binary>"))
+    concerned = spans.select("doc_id").distinct()
+    text_of = likely(own, concerned)
+    whole = F.coalesce(F.col("sha") == F.sha2("text", 256), F.lit(False))
+    # an id has marks or a digest; rows of one id with several texts may have both
+    marked = text_of.join(spans.where("marks is not null").drop("sha"), "doc_id", "left").join(
+        spans.where("sha is not null").select("doc_id", "sha"), "doc_id", "left").withColumn("whole", whole).drop("sha")
+    clean = likely(own, concerned, others=True).withColumns({"marks": F.lit(None).cast("array<binary>"), "whole": F.lit(False)})
     return marked.unionByName(clean).mapInArrow(finish, schema)
 
 
