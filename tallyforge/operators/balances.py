@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sequencing import running_totals, seq_levels
+from .sequencing import ordered_scan
 
 
 def end_balances(accounts: DataFrame, txn: DataFrame, account_col: str = "account") -> DataFrame:
@@ -21,25 +21,21 @@ def end_balances(accounts: DataFrame, txn: DataFrame, account_col: str = "accoun
     )
 
 
-def statement(txn: DataFrame, accounts: DataFrame, account_col: str = "account",
-              rows_bound: int | None = None) -> DataFrame:
+def statement(txn: DataFrame, accounts: DataFrame, account_col: str = "account") -> DataFrame:
     """Every row with the running balance ``start + cumulative amount`` in account order.
 
-    Columns: account, seq, date (text), description, delta, balance.
-    """
-    run = running_totals(txn.select(F.col(account_col).alias("account"), "seq", "date", "description",
-                                    "amount"),
-                         ["account"], ["seq"], seq_levels("seq"), sums=["amount"], index="_pos",
-                         run_prefix="_run_", rows_bound=rows_bound)
-    starts = accounts.select(F.col("name").alias("account"), "start_value")
-    j = run.join(starts, "account", "left")
-    return j.select(
-        "account", "seq",
-        F.date_format("date", "yyyy-MM-dd").alias("date"),
-        "description",
-        F.col("amount").alias("delta"),
-        (F.coalesce("start_value", F.lit(0)) + F.col("_run_amount")).alias("balance"),
-    )
+    Columns: account, seq, date (text), description, delta, balance.  The opening balance is the first
+    element of an account's scan (``seq`` -1), so no row is joined with its account."""
+    rows = txn.select(F.col(account_col).alias("account"), "seq", "date", "description", "amount")
+    first = accounts.select(F.col("name").alias("account"), F.lit(-1).cast("bigint").alias("seq"), F.col("start_value").alias("amount"))
+    run = ordered_scan(rows.unionByName(first, allowMissingColumns=True), ["account"], ["seq"], sums=["amount"], index="_pos")
+    return shown_statement(run.where("seq >= 0").withColumn("balance", F.col("_run_amount")))
+
+
+def shown_statement(rows: DataFrame) -> DataFrame:
+    """The statement's columns of rows that carry their running ``balance``."""
+    return rows.select("account", "seq", F.date_format("date", "yyyy-MM-dd").alias("date"), "description",
+                       F.col("amount").alias("delta"), "balance")
 
 
 def account_registry(source_accounts: DataFrame, derived_accounts: DataFrame) -> DataFrame:

@@ -78,19 +78,17 @@ def closure(edges: DataFrame, roots: DataFrame | None = None, include_self: bool
             F.col("a").alias("ancestor"), F.col("b").alias("node"), F.lit(1).cast("bigint").alias("depth"))
     if roots is not None and not include_self:
         raise ValueError("start nodes are left out only when all nodes start")
-    reached, jumps, step, n, turn = first, e, 1, first.count(), 0
+    reached, jumps, step, n = first, e, 1, first.count()
     while True:
-        # the first rounds, all that a shallow tree needs, stay one plan; later ones are written
-        bound = 0 if turn < 2 else None
         far = reached.join(jumps, reached.node == jumps.a).select(
             "ancestor", F.col("b").alias("node"), (F.col("depth") + F.lit(step)).alias("depth"))
-        reached = materialize(reached.unionByName(far).groupBy("ancestor", "node").agg(least), "closure", bound)
+        reached = materialize(reached.unionByName(far).groupBy("ancestor", "node").agg(least), "closure")
         seen, n = n, reached.count()
         if n == seen:
             return reached.select("ancestor", "node", F.col("depth").cast("int").alias("depth"))
         left, right = jumps.alias("l"), jumps.alias("r")
-        jumps = materialize(left.join(right, F.col("l.b") == F.col("r.a")).select("l.a", "r.b").distinct(), "jumps", bound)
-        step, turn = step * 2, turn + 1
+        jumps = materialize(left.join(right, F.col("l.b") == F.col("r.a")).select("l.a", "r.b").distinct(), "jumps")
+        step *= 2
 
 
 def cycle_nodes(edges: DataFrame, root: str) -> DataFrame:

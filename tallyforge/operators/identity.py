@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import transaction_id
 from ..sources.schemas import TXN_COLUMNS
-from .sequencing import running_totals, time_levels
+from .sequencing import ordered_scan
 
 ORDER = ["epoch", "src_file", "src_block", "src_row"]
 
@@ -31,25 +31,23 @@ def quarantine(raw: DataFrame) -> DataFrame:
     return raw.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
-def identify(raw: DataFrame, rows_bound: int | None = None) -> DataFrame:
-    """txn_raw -> txn with ``seq`` (0-based position in the account) and ``id``."""
-    rows = valid_raw(raw).fillna({"src_file": "", "src_block": 0, "src_row": 0})
-    numbered = running_totals(rows, ["account"], ORDER,
-                              time_levels("epoch", ["src_file", "src_block"], "src_row"),
-                              index="seq", rows_bound=rows_bound)
-    return numbered.withColumn(
-        "id", transaction_id(F.col("account"), F.col("seq"), F.col("date"), F.col("epoch"),
-                             F.col("amount"), F.col("description"))
-    ).select(*TXN_COLUMNS)
-
+def identify(raw: DataFrame, openings: DataFrame | None = None) -> DataFrame:
+    """txn_raw -> txn with ``seq`` (0-based position in the account) and ``id``.
 
-def identify_naive(raw: DataFrame) -> DataFrame:
-    """The same numbering with one window per account (reference for tests; not for hot keys)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("account").orderBy(*ORDER)
+    With ``openings`` (an account table: name, start_value) the rows also carry ``balance``, the
+    running balance after the row: an account's opening balance is the first element of its scan, so
+    positions and balances take one pass and no join (W1, L10)."""
     rows = valid_raw(raw).fillna({"src_file": "", "src_block": 0, "src_row": 0})
-    n = rows.withColumn("seq", F.row_number().over(w).cast("bigint") - 1)
-    return n.withColumn(
+    if openings is None:
+        numbered = ordered_scan(rows, ["account"], ORDER, index="seq")
+        extra = []
+    else:
+        first = openings.select(F.col("name").alias("account"), F.col("start_value").alias("amount"), F.lit(1).alias("_opening"))
+        rows = rows.withColumn("_opening", F.lit(0)).unionByName(first, allowMissingColumns=True)
+        numbered = ordered_scan(rows, ["account"], [F.col("_opening").desc(), *ORDER], sums=["amount", "_opening"], index="_at")
+        numbered = numbered.where("_opening = 0").withColumn("seq", F.col("_at") - F.col("_run__opening"))
+        extra = [F.col("_run_amount").alias("balance")]
+    return numbered.withColumn(
         "id", transaction_id(F.col("account"), F.col("seq"), F.col("date"), F.col("epoch"),
                              F.col("amount"), F.col("description"))
-    ).select(*TXN_COLUMNS)
+    ).select(*TXN_COLUMNS, *extra)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.schemas import ENTRY_COLUMNS, UNACCOUNTED_COLUMNS
-from .sequencing import global_offsets, running_totals, seq_levels
+from .sequencing import ordered_scan
 
 
 def ledger_entries(derived_entries: DataFrame, transfer_entries: DataFrame) -> DataFrame:
@@ -43,25 +43,12 @@ def unaccounted_rows(txn: DataFrame, entries: DataFrame) -> DataFrame:
     return txn.join(ids, ["account", "id"], "left_anti")
 
 
-def unaccounted(txn: DataFrame, entries: DataFrame, n_accounts_hint: int | None = None,
-                rows_bound: int | None = None) -> DataFrame:
+def unaccounted(txn: DataFrame, entries: DataFrame) -> DataFrame:
     """``index, date, description, delta, account``; index runs 0..n-1 over accounts in name
-    order, rows in account order (W4), computed as per-account rank + global account offset.
-
-    ``n_accounts_hint`` is an upper bound on the number of accounts (the size of the account
-    registry); it spares a count of the whole upstream plan."""
-    from ..session import materialize
-    # The anti join feeds the ranks, their bucket totals and the per-account counts: beyond the
-    # small-data bound it is computed once and written.
-    rows = materialize(unaccounted_rows(txn, entries).select("account", "seq", "date", "description", "amount"),
-                       "unaccounted-rows", rows_bound)
-    ranked = running_totals(rows, ["account"], ["seq"], seq_levels("seq"), index="_rank",
-                            rows_bound=rows_bound)
-    counts = rows.groupBy("account").agg(F.count(F.lit(1)).alias("_n"))
-    offs = global_offsets(counts, ["account"], "_n", out="_off", n_hint=n_accounts_hint)
-    res = ranked.join(offs.select("account", "_off"), "account", "inner")
-    return res.select(
-        (F.col("_off") + F.col("_rank")).alias("index"),
+    order, rows in account order (W4): positions in one order over all rows."""
+    rows = unaccounted_rows(txn, entries).select("account", "seq", "date", "description", "amount")
+    return ordered_scan(rows, [], ["account", "seq"], index="index").select(
+        "index",
         F.date_format("date", "yyyy-MM-dd").alias("date"),
         "description",
         F.col("amount").alias("delta"),

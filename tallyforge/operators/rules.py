@@ -1,10 +1,8 @@
 """Derived accounts: F1, J2, J3, P3, P7, O2, L3-L6, A1 for derived accounts.
 
-All rules are matched in ONE scan of the transaction table: each matching becomes a
-``when(account = a AND description RLIKE 'p', (rule, matching))`` branch of an array whose
-non-null hits are exploded.  Patterns are literals, so each regex is compiled once per task, and
-account conditions prune nothing but cost nothing either.  A row hit by two matchings appears
-twice, as in the reference's per-matching concatenation.
+All rules, however many, are matched in ONE scan of the transaction table (``operators.matcher``): an
+automaton over the patterns' literal factors proposes (row, matching) pairs and the regular expression
+decides.  A row hit by two matchings appears twice, once per matching.
 """
 
 from __future__ import annotations
@@ -15,12 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import transaction_id
-from ..plans.config import MAX_COMPILED_MATCHINGS, RULE_SCHEMA, DerivedRule
+from ..plans.config import DerivedRule
 from ..sources.schemas import DERIVED_COLUMNS, ENTRY_COLUMNS
-from . import sequencing as seq_mod
-from .sequencing import SEQ_CHUNK, SPAN_SECONDS, dense_numbers, floor_div, running_totals
-
-_CHUNK = 256  # branches per array literal; arrays are concatenated, still one scan
+from .matcher import matching_entries, matching_patterns
+from .sequencing import ordered_scan
 
 
 def usable_matchings(rules: Sequence[DerivedRule]) -> list[tuple[int, int, DerivedRule, str | None, str]]:
@@ -43,56 +39,37 @@ def match_rules(txn: DataFrame, rules: Sequence[DerivedRule], only: set[str] | N
     """One row per (matching, matched source row): rule_no, matching_no, derived_account + txn.
     ``only`` keeps the rules of these accounts; rules are numbered in the full list all the same."""
     ms = [m for m in usable_matchings(rules) if only is None or m[2].name in only]
-    if len(ms) > MAX_COMPILED_MATCHINGS:  # too many branches for one expression: join on the account
-        rows = [(r_no, rule.name, int(rule.start_value), m_no, acct, acct is None, regex) for r_no, m_no, rule, acct, regex in ms]
-        return match_rules_table(txn, txn.sparkSession.createDataFrame(rows, RULE_SCHEMA))
-    return _compiled_hits(txn, [(r_no, m_no, rule.name, acct, regex)
-                                for r_no, m_no, rule, acct, regex in ms])
-
-
-def _compiled_hits(txn: DataFrame, ms: list[tuple[int, int, str, str | None, str]]) -> DataFrame:
-    hit_type = "struct<rule_no:int,matching_no:int,derived_account:string>"
-    if not ms:
-        return (txn.select(*txn.columns, F.lit(None).cast(hit_type).alias("hit"))
-                .where(F.lit(False)).select(*txn.columns, "hit.*"))
-    arrays = []
-    for start in range(0, len(ms), _CHUNK):
-        branches = []
-        for r_no, m_no, name, acct, regex in ms[start:start + _CHUNK]:
-            cond = F.col("description").rlike(regex)
-            if acct is not None:
-                cond = (F.col("account") == F.lit(acct)) & cond
-            branches.append(F.when(cond, F.struct(F.lit(r_no).alias("rule_no"),
-                                                  F.lit(m_no).alias("matching_no"),
-                                                  F.lit(name).alias("derived_account"))))
-        arrays.append(F.array_compact(F.array(*branches)))
-    hits = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
-    return txn.select(*txn.columns, F.explode(hits).alias("hit")).select(*txn.columns, "hit.*")
+    place = {name: i for i, name in enumerate(dict.fromkeys(rule.name for _, _, rule, _, _ in ms), 1)}
+    hits = matching_entries(txn, [(acct, regex) for _, _, _, acct, regex in ms], "_entry")
+
+    def of_entry(values, kind):
+        """The entry's value: one literal array, looked up by the entry's number."""
+        return F.element_at(F.lit(list(values)).cast(f"array<{kind}>"), F.col("_entry") + 1)
+
+    return hits.select(
+        *txn.columns, of_entry((m[0] for m in ms), "int").alias("rule_no"), of_entry((m[1] for m in ms), "int").alias("matching_no"),
+        F.element_at(F.lit(list(place)).cast("array<string>"), of_entry((place[m[2].name] for m in ms), "int")).alias("derived_account"))
 
 
 def match_rules_table(txn: DataFrame, rules_df: DataFrame) -> DataFrame:
-    """The same hits for rule tables too large to compile: named matchings by an equi-join on the
-    account (the regex is then a column, compiled when it changes between rows); universal
-    matchings concern every row and are compiled as above, one scan per MAX_COMPILED_MATCHINGS."""
-    named = rules_df.where(~F.col("universal") & F.col("account_name").isNotNull())
-    univ = rules_df.where(F.col("universal"))
-    keep = [*[F.col("t." + c) for c in txn.columns], F.col("r.rule_no"), F.col("r.matching_no"),
-            F.col("r.derived_account")]
-    a = (txn.alias("t").join(named.alias("r"), F.col("t.account") == F.col("r.account_name"))
-         .where(F.expr("t.description rlike r.regex")).select(*keep))
-    u_rows = univ.select("rule_no", "matching_no", "derived_account", "regex").collect()
-    for at in range(0, len(u_rows), MAX_COMPILED_MATCHINGS):
-        part = u_rows[at:at + MAX_COMPILED_MATCHINGS]
-        a = a.unionByName(_compiled_hits(txn, [(r.rule_no, r.matching_no, r.derived_account, None, r.regex) for r in part]))
-    return a
-
-
-def derived_transactions(txn: DataFrame, rules: Sequence[DerivedRule] | DataFrame,
-                         rows_bound: int | None = None, only: set[str] | None = None) -> DataFrame:
+    """The same hits for a rule table (RULE_SCHEMA) that the driver need not hold: its distinct patterns are
+    matched in one pass, then a row meets the matchings of (its account, a pattern it matches), never
+    all matchings of its account."""
+    hits = matching_patterns(txn, rules_df)
+    shown = [*txn.columns, "rule_no", "matching_no", "derived_account"]
+    cols = ["rule_no", "matching_no", "derived_account", "regex"]
+    named = rules_df.where(~F.col("universal") & F.col("account_name").isNotNull()).select(*cols, F.col("account_name").alias("account"))
+    every = rules_df.where(F.col("universal")).select(*cols)
+    return hits.join(named, ["account", "regex"]).select(*shown).unionByName(hits.join(every, "regex").select(*shown))
+
+
+def derived_transactions(txn: DataFrame, rules: Sequence[DerivedRule] | DataFrame, only: set[str] | None = None,
+                         openings: DataFrame | None = None) -> DataFrame:
     """L3: matched rows with flipped sign, numbered per derived account and identified.
 
     Order inside a derived account (O2): timestamp, then matching order, then source account
-    name (a universal rule walks accounts in name order), then source order.
+    name (a universal rule walks accounts in name order), then source order.  ``openings`` (name,
+    start_value) adds the running ``balance``, as in ``identity.identify``.
     """
     if isinstance(rules, DataFrame):
         hits = match_rules_table(txn, rules)
@@ -103,28 +80,20 @@ def derived_transactions(txn: DataFrame, rules: Sequence[DerivedRule] | DataFram
         F.col("account").alias("source_account"), F.col("seq").alias("source_seq"),
         F.col("id").alias("source_id"), "date", "epoch", (-F.col("amount")).alias("amount"),
         "description")
-    if rows_bound is not None and rows_bound <= seq_mod.SINGLE_TASK_ROWS:
-        order = ["epoch", "matching_no", "source_account", "source_seq"]
-        numbered = running_totals(d, ["derived_account"], order, [], index="seq", rows_bound=rows_bound)
+    order = ["epoch", "matching_no", "source_account", "source_seq"]
+    extra = []
+    if openings is None:
+        numbered = ordered_scan(d, ["derived_account"], order, index="seq")
     else:
-        # One timestamp of a universal rule can hold a row from every account, so the account
-        # name itself must be split: accounts get dense numbers in name order (same order), and
-        # every level below stays bounded: <= SEQ_CHUNK rows, <= SEQ_CHUNK accounts, then the
-        # (matching, account block) pairs of one timestamp, then <= 2^20 s per span.
-        nums = dense_numbers(txn.select(F.col("account").alias("source_account")), "source_account", "_acct_no")
-        d = d.join(nums, "source_account", "inner")
-        order = ["epoch", "matching_no", "_acct_no", "source_seq"]
-        levels = [
-            [F.col("epoch"), F.col("matching_no"), F.col("_acct_no"), floor_div("source_seq", SEQ_CHUNK)],
-            [F.col("epoch"), F.col("matching_no"), floor_div("_acct_no", SEQ_CHUNK)],
-            [F.col("epoch")],
-            [floor_div("epoch", SPAN_SECONDS)],
-        ]
-        numbered = running_totals(d, ["derived_account"], order, levels, index="seq", write_input=True)
+        first = openings.select(F.col("name").alias("derived_account"), F.col("start_value").alias("amount"), F.lit(1).alias("_opening"))
+        d = d.withColumn("_opening", F.lit(0)).unionByName(first, allowMissingColumns=True)
+        numbered = ordered_scan(d, ["derived_account"], [F.col("_opening").desc(), *order], sums=["amount", "_opening"], index="_at")
+        numbered = numbered.where("_opening = 0").withColumn("seq", F.col("_at") - F.col("_run__opening"))
+        extra = [F.col("_run_amount").alias("balance")]
     return numbered.withColumn(
         "id", transaction_id(F.col("derived_account"), F.col("seq"), F.col("date"), F.col("epoch"),
                              F.col("amount"), F.col("description"))
-    ).select(*DERIVED_COLUMNS)
+    ).select(*DERIVED_COLUMNS, *extra)
 
 
 def derived_entries(derived: DataFrame) -> DataFrame:

@@ -1,202 +1,173 @@
-"""Ordered numbering and running sums that stay balanced when one key is hot.
+"""Positions, running sums and last values in a given order, by one plan for data of every size.
 
 Positions drive the ledger: transaction IDs hash the row index, transfers pair the k-th match on
 each side, statements carry a running balance and the unaccounted list has a global index.  A
 window ``partitionBy(account).orderBy(...)`` puts a whole account into one task, and one account
-may hold a third of all rows.  ``running_totals`` therefore computes the same numbers through a
-hierarchy of buckets, each a monotone coarsening of the order:
-
-* rows are numbered inside the finest bucket (a bounded group), in one shuffle;
-* bucket counts and sums are aggregated with map-side partial aggregation (Catalyst prunes this
-  branch down to the key, bucket and summed columns, so only one row per bucket and task moves);
-* every coarser level takes an exclusive prefix of its children inside its parent group,
-  again a bounded group, over tables that are orders of magnitude smaller than the rows;
-* the offsets of all levels are added and joined back to the rows on the finest bucket.
-
-``global_offsets`` numbers a (much smaller) table in one global order, for the unaccounted index
-where accounts come in name order, and to give account names dense numbers.  It splits the
-order into ranges with Spark's range partitioner, so no single task sees more than one range.
+may hold a third of all rows.  ``ordered_scan`` computes the same numbers as a segmented scan:
+
+1. the rows are range-partitioned by (keys, order) and sorted, the only shuffle of the data; the
+   order is total, so a hot key is cut into as many ranges as its rows need;
+2. each range is scanned once where it lies: positions and running values inside (range, key);
+3. the scanned rows are written once, so every later read sees the same ranges, and the last
+   row of each range carries the range's summary: its last key with that key's count, sums
+   and last values;
+4. a key goes on from one range into the next only where the one's last key is the other's first;
+   the summaries are combined along those chains (two rows per range, on the driver, which also cuts
+   the ranges) and what came before is added to the first key's rows of each range.  No row is
+   joined on its key.
+
+Nothing depends on the number of rows; what the driver sees and broadcasts has a row or two per range.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-# Bucket widths.  Rows per finest bucket <= SEQ_CHUNK because the tie-break column is unique in
-# it; a SPAN (2^20 s, about 12 days) holds at most 2^20 distinct seconds, so the second level is
-# bounded too, and a key has at most one top-level row per span.
-SEQ_CHUNK = 1 << 20
-SPAN_SECONDS = 1 << 20
-# A group no larger than this fits one task comfortably; when the whole input is proven smaller
-# (``rows_bound``), the plain one-shuffle window is used instead of the bucket hierarchy.
-SINGLE_TASK_ROWS = 2_000_000
-
-
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
-def floor_div(c: Column | str, d: int) -> Column:
-    x = _col(c)
-    return ((x - F.pmod(x, F.lit(d))) / F.lit(d)).cast("bigint")
-
-
-def time_levels(epoch: str, ties: Sequence[str], tie_break: str) -> list[list[Column]]:
-    """Levels for an order (epoch, *ties, tie_break) with tie_break unique per (key, epoch, ties).
-
-    Group sizes: <= SEQ_CHUNK rows per finest bucket; per (key, epoch) the (ties, chunk) pairs,
-    i.e. input splits x chunks of that second; per (key, span) <= 2^20 distinct seconds."""
-    return [
-        [F.col(epoch), *[F.col(t) for t in ties], floor_div(tie_break, SEQ_CHUNK)],
-        [F.col(epoch)],
-        [floor_div(epoch, SPAN_SECONDS)],
-    ]
-
-
-def seq_levels(seq: str) -> list[list[Column]]:
-    """Levels for an order by a dense BIGINT position (the stored ``seq``)."""
-    return [[floor_div(seq, SEQ_CHUNK)]]
-
-
-def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
-                   levels: Sequence[Sequence[Column]], sums: Sequence[str] = (),
-                   index: str = "_idx", run_prefix: str = "_run_",
-                   rows_bound: int | None = None, write_input: bool = False) -> DataFrame:
-    """Add ``index`` (0-based position inside ``keys`` by ``order``) and, per name in ``sums``, the
-    inclusive running sum ``run_prefix + name``.
-
-    ``order`` must be a total order inside ``keys``; every level (finest first) must be a function
-    of the order that is monotone in it, and each level a function of the finer one.  Keys and
-    level values must be non-null.  ``rows_bound``, a proven upper bound on the input's row count
-    (hence on any group), at or below ``SINGLE_TASK_ROWS`` selects the plain window.
-    ``write_input``: the input is an expensive plan (a join); on the bucketed path it is written
-    once, because the bucket totals and the numbered rows each read it.
-    """
+from pyspark.sql import types as T
+
+from ..session import materialize
+
+_RANGE, _OPEN, _EDGE = "__range", "__open", "__edge"
+_HEAD, _TAIL = 1, 2
+
+
+def _range_scanner(keys: Sequence[str], sums: Sequence[tuple[str, str]], lasts: Sequence[tuple[str, str]], index: str):
+    """The scan of one sorted range as a function of its Arrow batches.  Self-contained: it is shipped to
+    the executors by value."""
+    keys, sums, lasts = list(keys), list(sums), list(lasts)
+    head, tail = _HEAD, _TAIL
+    flags = (_OPEN, _EDGE)
+
+    def scan(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def differs(col):
+            """Whether each value but the first differs from the one before it; null equals null."""
+            a, b = col.slice(1), col.slice(0, len(col) - 1)
+            plain = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+            return plain | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
+
+        held = None                      # the newest finished batch: it may hold the range's last row
+        last_key, count, first_key = None, 0, True
+        totals = [0] * len(sums)
+        values = [None] * len(lasts)
+        for b in batches:
+            n = b.num_rows
+            if n == 0:
+                continue
+            new = np.zeros(n, bool)
+            for k in keys:
+                new[1:] |= differs(b.column(k))
+            key = tuple(b.column(k)[0].as_py() for k in keys)
+            begins = last_key is None    # the first row of the range
+            new[0] = begins or key != last_key
+            at = np.arange(n)
+            start = np.maximum.accumulate(np.where(new, at, 0))
+            going_on = (start == 0) & (not new[0])
+            position = at - start + np.where(going_on, count, 0)
+            added = []
+            for j, (name, _) in enumerate(sums):
+                v = pc.fill_null(b.column(name), 0).cast(pa.int64()).to_numpy(zero_copy_only=False)
+                c = np.cumsum(v)
+                run = c - (c[start] - v[start]) + np.where(going_on, totals[j], 0)
+                totals[j] = int(run[-1])
+                added.append(pa.array(run, pa.int64()))
+            for j, (name, _) in enumerate(lasts):
+                col = b.column(name)
+                seen = np.maximum.accumulate(np.where(col.is_valid().to_numpy(zero_copy_only=False), at, -1))
+                known = seen >= start
+                filled = col.take(pa.array(np.where(known, seen, 0), pa.int64(), mask=~known))
+                if values[j] is not None and going_on.any():
+                    filled = pc.if_else(pa.array(going_on & ~known), pa.scalar(values[j], col.type), filled)
+                values[j] = filled[-1].as_py()
+                added.append(filled)
+            if not begins and new[0]:
+                first_key = False
+            open_run = (np.cumsum(new) - (1 if new[0] else 0) == 0) if first_key else np.zeros(n, bool)
+            if new[1:].any():
+                first_key = False
+            edge = np.zeros(n, np.int8)
+            if begins:
+                edge[0] = head
+            last_key = tuple(b.column(k)[n - 1].as_py() for k in keys)
+            count = int(position[-1]) + 1
+            if held is not None:
+                yield pa.RecordBatch.from_arrays(*held)
+            held = ([*b.columns, pa.array(position, pa.int64()), *added, pa.array(open_run), pa.array(edge, pa.int8())],
+                    [*b.schema.names, index, *[o for _, o in sums], *[o for _, o in lasts], *flags])
+        if held is not None:
+            cols, names = held
+            edge = cols[-1].to_numpy().copy()
+            edge[-1] |= tail
+            cols[-1] = pa.array(edge, pa.int8())
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return scan
+
+
+def _carried(edges, keys, index: str, sums: Sequence[str], lasts: Sequence[str]) -> list[tuple]:
+    """Per range whose first key began in an earlier range: (range, rows, sums and last values that the
+    earlier ranges hold of that key)."""
+    out = []
+    key, count, totals, values = None, 0, [0] * len(sums), [None] * len(lasts)
+    for e in sorted(edges, key=lambda e: (e[_RANGE], e[_EDGE] & _TAIL)):
+        own = tuple(e[k] for k in keys)
+        if e[_EDGE] & _HEAD:
+            if key is not None and own == key:
+                out.append((e[_RANGE], count, *totals, *values))
+            else:
+                key, count, totals, values = own, 0, [0] * len(sums), [None] * len(lasts)
+        if e[_EDGE] & _TAIL:
+            if own != key:  # another key began in this range
+                key, count, totals, values = own, 0, [0] * len(sums), [None] * len(lasts)
+            count += e[index] + 1
+            totals = [t + e[s] for t, s in zip(totals, sums)]
+            values = [v if e[c] is None else e[c] for v, c in zip(values, lasts)]
+    return out
+
+
+def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], sums: Sequence[str] = (),
+                 lasts: Sequence[str] = (), index: str = "_idx", run_prefix: str = "_run_",
+                 last_prefix: str = "_last_") -> DataFrame:
+    """Add ``index`` (0-based position inside ``keys`` by ``order``), per BIGINT column in ``sums`` the
+    inclusive running sum ``run_prefix + name`` (null counts as 0) and per column in ``lasts`` the last
+    non-null value up to and with the row, ``last_prefix + name``.
+
+    No ``keys`` means one order over all rows.  ``order`` should be total inside ``keys``; rows
+    that tie on all of it take neighbouring positions in an undefined order.  Null keys are one key.
+    Ascending columns put nulls first; pass ``col.desc()`` and the like for other directions.
+    The scanned rows are written once (see ``session.materialize``)."""
     keys = list(keys)
-    if rows_bound is not None and rows_bound <= SINGLE_TASK_ROWS and keys:
-        levels = []
-    order = [_col(o) for o in order]
-    out = df
-    lv_names: list[list[str]] = []
-    for i, level in enumerate(levels):
-        names = []
-        for j, c in enumerate(level):
-            name = f"__lv{i}_{j}"
-            out = out.withColumn(name, c)
-            names.append(name)
-        lv_names.append(names)
-    flat = [n for names in lv_names for n in names]
-    finest = keys + flat
-    if levels and write_input:
-        from ..session import materialize
-        out = materialize(out, "numbering-input")
-    if not finest:
-        raise ValueError("running_totals needs keys or levels; use global_offsets for one order")
-
-    w_rows = Window.partitionBy(*finest).orderBy(*order)
-    w_run = w_rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = out.withColumn("__rn", F.row_number().over(w_rows).cast("bigint") - F.lit(1))
-    for s in sums:
-        rows = rows.withColumn("__r_" + s, F.sum(s).over(w_run))
-
-    if not levels:
-        rows = rows.withColumnRenamed("__rn", index)
-        for s in sums:
-            rows = rows.withColumnRenamed("__r_" + s, run_prefix + s)
-        return rows
-
-    # Bucket totals: partial aggregation per task, then one small shuffle of bucket rows.
-    table = rows.groupBy(*finest).agg(
-        F.count(F.lit(1)).alias("__n"), *[F.sum(s).alias("__s_" + s) for s in sums])
-    metrics = ["__n"] + ["__s_" + s for s in sums]
-
-    level_offsets: list[tuple[list[str], DataFrame]] = []
-    for i in range(len(levels)):
-        coarser = [n for names in lv_names[i + 1:] for n in names]
-        parent = keys + coarser
-        w = Window.orderBy(*lv_names[i]) if not parent else \
-            Window.partitionBy(*parent).orderBy(*lv_names[i])
-        w = w.rowsBetween(Window.unboundedPreceding, -1)
-        offs = [F.coalesce(F.sum(m).over(w), F.lit(0)).alias(f"__o{i}{m}") for m in metrics]
-        level_keys = keys + lv_names[i] + coarser
-        level_offsets.append((level_keys, table.select(*level_keys, *offs)))
-        if parent:
-            table = table.groupBy(*parent).agg(*[F.sum(m).alias(m) for m in metrics])
-
-    # Fold the offsets from the coarsest level down to the finest bucket.
-    acc_keys, acc = level_offsets[-1]
-    acc_cols = {m: F.col(f"__o{len(levels) - 1}{m}") for m in metrics}
-    acc = acc.select(*acc_keys, *[c.alias("__t" + m) for m, c in acc_cols.items()])
-    for i in range(len(levels) - 2, -1, -1):
-        k_i, o_i = level_offsets[i]
-        joined = o_i.join(acc, on=acc_keys, how="inner")
-        acc = joined.select(*k_i, *[(F.col("__t" + m) + F.col(f"__o{i}{m}")).alias("__t" + m)
-                                   for m in metrics])
-        acc_keys = k_i
-
-    res = rows.join(acc, on=finest, how="inner")
-    res = res.withColumn(index, F.col("__rn") + F.col("__t__n"))
-    for s in sums:
-        res = res.withColumn(run_prefix + s, F.col("__r_" + s) + F.col("__t__s_" + s))
-    drop = ["__rn", "__t__n"] + flat + [f"__r_{s}" for s in sums] + [f"__t__s_{s}" for s in sums]
-    return res.drop(*drop)
-
-
-# --------------------------------------------------------------------------------------------
-# Global order over a small table
-
-
-GLOBAL_SINGLE_TASK_ROWS = 1_000_000
-
-
-def global_offsets(df: DataFrame, order: Sequence[str], weight: str, out: str = "offset",
-                   single_task_rows: int | None = None, rows_per_range: int = 1_000_000, n_hint: int | None = None) -> DataFrame:
-    """Add ``out`` = sum of ``weight`` over all rows strictly before this one in ``order``
-    (with weight 1: the 0-based rank in that order).
-
-    ``order`` must be unique per row.  Up to ``single_task_rows`` rows one ordered window does it
-    (a proven bound).  Beyond that the order is range-partitioned (Spark samples the boundaries);
-    each range is numbered in its own task and the range totals, a row per ``rows_per_range``
-    rows, are prefix-summed.  ``n_hint``, an upper bound on
-    the row count known from elsewhere, spares counting ``df``.
-    """
-    if single_task_rows is None:
-        single_task_rows = GLOBAL_SINGLE_TASK_ROWS
-    n = n_hint if n_hint is not None else df.count()
-    w_all = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    if n <= single_task_rows:
-        return df.withColumn(out, F.coalesce(F.sum(weight).over(w_all), F.lit(0)))
-
-    ranges = max(2, math.ceil(n / rows_per_range))
-    # Spark's range partitioner samples the order (a bounded sample) and cuts it into
-    # ``ranges`` contiguous ranges; the partition a row lands in is its range.  A given count
-    # is never coalesced by AQE, and the ranges are written once so that every later use sees
-    # the same assignment.
-    from ..session import checkpoint_dir, materialize
-    if not checkpoint_dir(df.sparkSession):
-        raise ValueError("numbering this many rows needs spark.checkpoint.dir: the ranges must be written once")
-    keyed = materialize(df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()),
-                        "ranges")
-
-    w_in = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    within = keyed.withColumn("__win", F.coalesce(F.sum(weight).over(w_in), F.lit(0)))
-    totals = within.groupBy("__range").agg(F.sum(weight).alias("__tot"))
-    w_r = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    range_off = totals.select("__range", F.coalesce(F.sum("__tot").over(w_r), F.lit(0)).alias("__roff"))
-    res = within.join(range_off, "__range", "inner")
-    return res.withColumn(out, F.col("__win") + F.col("__roff")).drop("__range", "__win", "__roff")
-
-
-def dense_numbers(values: DataFrame, column: str, out: str, n_hint: int | None = None) -> DataFrame:
-    """(value, number) with numbers 0..n-1 in the value's sort order, for a column of distinct
-    values (e.g. account names), so later orders by the name can use a BIGINT instead."""
-    v = values.select(column).distinct().withColumn("__one", F.lit(1).cast("bigint"))
-    return global_offsets(v, [column], "__one", out=out, n_hint=n_hint).select(column, out)
-
-
-__all__ = ["running_totals", "global_offsets", "dense_numbers", "time_levels", "seq_levels",
-           "floor_div", "SEQ_CHUNK"]
+    by = [F.col(k).asc() for k in keys] + [F.col(o).asc() if isinstance(o, str) else o for o in order]
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(_RANGE, F.spark_partition_id())
+    sum_cols = [(s, run_prefix + s) for s in sums]
+    last_cols = [(c, last_prefix + c) for c in lasts]
+    schema = T.StructType([
+        *ranged.schema.fields, T.StructField(index, T.LongType()), *[T.StructField(o, T.LongType()) for _, o in sum_cols],
+        *[T.StructField(o, ranged.schema[c].dataType) for c, o in last_cols],
+        T.StructField(_OPEN, T.BooleanType()), T.StructField(_EDGE, T.ByteType())])
+    rows = materialize(ranged.mapInArrow(_range_scanner(keys, sum_cols, last_cols, index), schema), "scan")
+
+    # two rows per range reach the driver: its first and its last one
+    outs = [index, *[o for _, o in sum_cols], *[o for _, o in last_cols]]
+    edges = rows.where(F.col(_EDGE) > 0).select(*keys, _RANGE, _EDGE, *outs).collect()
+    carry = _carried(edges, keys, index, [o for _, o in sum_cols], [o for _, o in last_cols])
+    kept = T.StructType([T.StructField(_RANGE, T.IntegerType()), *[T.StructField("__c_" + f.name, f.dataType)
+                                                                  for f in schema.fields if f.name in outs]])
+    done = rows
+    if carry:
+        done = rows.join(F.broadcast(df.sparkSession.createDataFrame(carry, kept)), _RANGE, "left")  # one row per range
+    else:
+        done = rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in kept.fields[1:]])
+    shown = [F.col(c) for c in df.columns]
+    before = lambda o: F.when(F.col(_OPEN), F.col("__c_" + o))
+    shown += [(F.col(o) + F.coalesce(before(o), F.lit(0))).alias(o) for o in (index, *[o for _, o in sum_cols])]
+    shown += [F.coalesce(F.col(o), before(o)).alias(o) for _, o in last_cols]
+    return done.select(*shown)
+
+
+__all__ = ["ordered_scan"]

@@ -5,7 +5,7 @@ leaves' start values, with a first point at epoch 0 (as the reference plots it),
 distinct timestamp adds minus the net amount of the leaves (decision Q4: start once, cumulate
 once).  Many groups are computed in one job: transactions join the (group, leaf) table,
 aggregate per (group, timestamp) with map-side partial sums, and cumulate per group with the
-skew-safe running totals (one group may cover every account).
+ordered scan (one group may cover every account).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sequencing import SPAN_SECONDS, floor_div, running_totals
+from .sequencing import ordered_scan
 
 
 def group_start(group_leaves: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -31,26 +31,24 @@ def net_changes(group_leaves: DataFrame, txn: DataFrame, account_col: str = "acc
 
 
 def rolled_net_changes(edges: DataFrame, txn: DataFrame, groups: DataFrame | None = None,
-                       account_col: str = "account", depth: int | None = None,
-                       rows_bound: int | None = None) -> DataFrame:
+                       account_col: str = "account", depth: int | None = None) -> DataFrame:
     """A2 + A10 level by level: net change per (leaf, timestamp) first, then each tree level sums
     its children's (node, timestamp) rows.  The transactions are shuffled once, as partial sums;
     every further level reads the previous level's much smaller aggregate instead of fanning each
     transaction out to all its ancestors.  ``groups`` (column ``grp``) keeps only those nodes.
     ``depth`` (the tree height, when known) fixes the number of levels, else they end with an empty one
-    (the tree must have no cycle, see ``hierarchy.cycle_nodes``); ``rows_bound`` lets small
-    inputs stay lazy (see ``session.materialize``)."""
+    (the tree must have no cycle, see ``hierarchy.cycle_nodes``)."""
     from ..session import materialize
     from .hierarchy import leaves
     lv = leaves(edges).withColumnRenamed("node", "leaf")
     t = txn.select(F.col(account_col).alias("leaf"), "epoch", "amount").join(lv, "leaf", "left_semi")
     cur = materialize(t.groupBy(F.col("leaf").alias("grp"), "epoch").agg((-F.sum("amount")).alias("net")),
-                      "rollup", rows_bound)
+                      "rollup")
     up = edges.select(F.col("child").alias("grp"), F.col("parent").alias("up"))
     parts = [cur]
     while depth is None or len(parts) <= depth:
         nxt = materialize(cur.join(up, "grp", "inner").groupBy(F.col("up").alias("grp"), "epoch")
-                          .agg(F.sum("net").alias("net")), "rollup", rows_bound)
+                          .agg(F.sum("net").alias("net")), "rollup")
         if depth is None and nxt.isEmpty():
             break
         parts.append(nxt)
@@ -62,19 +60,17 @@ def rolled_net_changes(edges: DataFrame, txn: DataFrame, groups: DataFrame | Non
 
 
 def full_series(group_leaves: DataFrame, txn: DataFrame, accounts: DataFrame,
-                account_col: str = "account", rows_bound: int | None = None,
-                net: DataFrame | None = None) -> DataFrame:
+                account_col: str = "account", net: DataFrame | None = None) -> DataFrame:
     """(grp, epoch, balance) including the first point (0, start).  ``net`` may be
-    given (e.g. from ``rolled_net_changes``); else it is computed from ``group_leaves``."""
+    given (e.g. from ``rolled_net_changes``); else it is computed from ``group_leaves``.  The start is
+    the first element of a group's scan.  A group none of whose leaves is an account has no series."""
     starts = group_start(group_leaves, accounts)
     if net is None:
         net = net_changes(group_leaves, txn, account_col)
-    levels = [[floor_div("epoch", SPAN_SECONDS)]]
-    run = running_totals(net, ["grp"], ["epoch"], levels, sums=["net"], index="_i", rows_bound=rows_bound)
-    pts = run.join(starts, "grp", "inner").select(
-        "grp", "epoch", (F.col("start") + F.col("_run_net")).alias("balance"))
-    first = starts.select("grp", F.lit(0).cast("bigint").alias("epoch"), F.col("start").alias("balance"))
-    return first.unionByName(pts)
+    first = starts.select("grp", F.lit(0).cast("bigint").alias("epoch"), F.col("start").alias("net"), F.lit(1).alias("_first"))
+    rows = net.select("grp", "epoch", "net", F.lit(0).alias("_first")).unionByName(first)
+    run = ordered_scan(rows, ["grp"], [F.col("_first").desc(), "epoch"], sums=["net", "_first"], index="_i")
+    return run.where("_run__first = 1").select("grp", "epoch", F.col("_run_net").alias("balance"))
 
 
 def asof(series: DataFrame, t: int, starts: DataFrame) -> DataFrame:

@@ -5,19 +5,22 @@ matching row of the from account with the k-th matching row of the to account, c
 shorter side, logs whether the paired amounts are exact opposites and lists the tail of the
 longer side as missing on the other account.
 
-Here all mappings run in one job: matches are found by an equi-join of transactions with the
-mapping table on the account (mapping tables can be as large as the account list), ranked inside
-each mapping with the skew-safe numbering, and paired by a full outer join on (mapping, k), which
-spreads even one huge mapping over all tasks.
+Here all mappings run in one job: the distinct patterns of the mapping table are matched in one pass
+(``operators.matcher``), a row meets only the mappings of its account whose pattern it matches, both sides
+are ranked by one ordered scan, and the ranked sides are zipped block by block: blocks of ranks hold
+the k-th rows of both sides next to each other, so there is no join of the two sides.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.schemas import ENTRY_COLUMNS
-from .sequencing import running_totals, seq_levels
+from .matcher import matching_patterns
+from .sequencing import ordered_scan
+
+RANK_BLOCK = 1 << 16  # ranks zipped in one group: at most two rows each
 
 
 def usable_mappings(mappings: DataFrame) -> DataFrame:
@@ -31,27 +34,31 @@ def self_transfers(mappings: DataFrame) -> DataFrame:
         "mapping_no", F.col("from_account").alias("account"))
 
 
-def _side_hits(txn: DataFrame, m: DataFrame, side: str, rows_bound: int | None) -> DataFrame:
-    sel = m.select("mapping_no", F.col(f"{side}_account").alias("account"),
-                   F.col(f"{side}_regex").alias("regex"))
-    hits = (txn.select("account", "seq", "id", "amount", "description", "date", "epoch")
-            .join(sel, "account", "inner")
-            .where(F.expr("description rlike regex"))
-            .drop("regex"))
-    ranked = running_totals(hits, ["mapping_no"], ["seq"], seq_levels("seq"), index="k", rows_bound=rows_bound,
-                            write_input=True)
-    return ranked.select("mapping_no", "k", *[F.col(c).alias(f"{side}_{c}") for c in
-                                              ("account", "seq", "id", "amount", "description",
-                                               "date", "epoch")])
-
-
-def transfer_matches(txn: DataFrame, mappings: DataFrame, rows_bound: int | None = None) -> DataFrame:
-    """J4 + J5: full outer pairing on (mapping_no, k); one side null = no partner.
-    ``rows_bound`` bounds the matched rows of one side (transactions x mappings per account)."""
+def ranked_sides(txn: DataFrame, mappings: DataFrame) -> DataFrame:
+    """``mapping_no, side, k`` and the row's fields for every matching row of either side of a mapping;
+    k is the row's position among its side's matches in account order."""
     m = usable_mappings(mappings)
-    f = _side_hits(txn, m, "from", rows_bound)
-    t = _side_hits(txn, m, "to", rows_bound)
-    return f.join(t, ["mapping_no", "k"], "full_outer")
+    sides = m.select("mapping_no", F.inline(F.array(*[
+        F.struct(F.lit(side).alias("side"), F.col(f"{side}_account").alias("account"), F.col(f"{side}_regex").alias("regex"))
+        for side in ("from", "to")])))
+    hits = matching_patterns(txn.select("account", "seq", "id", "amount", "description", "date", "epoch"), sides)
+    return ordered_scan(hits.join(sides, ["account", "regex"]).drop("regex"), ["mapping_no", "side"], ["seq"], index="k")
+
+
+def transfer_matches(txn: DataFrame, mappings: DataFrame) -> DataFrame:
+    """J4 + J5: full pairing on (mapping_no, k); one side null = no partner.  Ranks are dense on both
+    sides, so inside a block of ranks, ordered by (k, side), partners are neighbours."""
+    fields = ("account", "seq", "id", "amount", "description", "date", "epoch")
+    ranked = ranked_sides(txn, mappings).withColumn("_block", F.expr(f"k div {RANK_BLOCK}"))
+    w = Window.partitionBy("mapping_no", "_block").orderBy("k", "side")
+    row = F.struct("k", *fields)
+    zipped = ranked.withColumn("_next", F.lead(row).over(w)).withColumn("_before", F.lag("k").over(w))
+    is_from = F.col("side") == "from"
+    partner = F.when(is_from & (F.col("_next.k") == F.col("k")), F.col("_next")).when(~is_from, row)
+    whole = zipped.where(is_from | ~F.col("k").eqNullSafe(F.col("_before")))
+    return whole.select(
+        "mapping_no", "k", *[F.when(is_from, F.col(c)).alias(f"from_{c}") for c in fields],
+        *[partner.getField(c).alias(f"to_{c}") for c in fields])
 
 
 def transfer_pairs(matches: DataFrame) -> DataFrame:

@@ -1,9 +1,7 @@
 """Ledger configuration (D7-D11): derived-account rules, transfer mappings, category tree.
 
-Rule files are human-written and small; they stay Python objects on the driver and are compiled
-into column expressions (one scan for all rules).  Transfer mappings may be data-derived and
-large; they are a DataFrame joined on account.  ``MAX_COMPILED_MATCHINGS`` bounds what is
-compiled into one expression; larger rule sets go through the table path.
+Rule files are human-written; they stay Python objects on the driver and are matched in one scan.  Transfer mappings may be data-derived and
+large; they are a DataFrame, matched by their distinct patterns.
 """
 
 from __future__ import annotations
@@ -15,8 +13,6 @@ from pyspark.sql import types as T
 
 from ..functions.text import patterns_regex
 
-MAX_COMPILED_MATCHINGS = 4096
-
 
 @dataclass(frozen=True)
 class Matching:

@@ -21,7 +21,6 @@ from ..operators import hierarchy as H
 from ..operators import series as S
 from ..operators.balances import account_kinds
 from ..operators.identity import quarantine as _quarantine
-from ..operators.sequencing import SINGLE_TASK_ROWS
 from ..session import materialize
 from . import edge_queries
 from . import oracle as O
@@ -355,13 +354,10 @@ def _series(spark, sf, group_leaves=None):
     e = _geo(spark, sf)
     clo = H.closure(e)
     gl = group_leaves if group_leaves is not None else _group_leaves(spark, sf, e, clo)
-    fan_out = gl.groupBy("leaf").count().agg(F.max("count")).first()[0] or 1
-    bound = lf.n_txn * fan_out
-    net = None  # small: one join of transactions with (group, leaf), one aggregate
-    if bound > SINGLE_TASK_ROWS:  # large: shuffle the transactions once, then roll up per level
-        height = clo.agg(F.max("depth")).first()[0] or 0
-        net = S.rolled_net_changes(e, lf.txn, gl.select("grp").distinct(), depth=height, rows_bound=lf.n_txn)
-    full = S.full_series(gl, lf.txn, lf.source_accounts, rows_bound=bound, net=net)
+    height = clo.agg(F.max("depth")).first()[0] or 0
+    # the transactions are shuffled once, then rolled up level by level
+    net = S.rolled_net_changes(e, lf.txn, gl.select("grp").distinct(), depth=height)
+    full = S.full_series(gl, lf.txn, lf.source_accounts, net=net)
     starts = S.group_start(gl, lf.source_accounts)
     return full, starts
 
@@ -513,9 +509,7 @@ def _category_clipped(spark, sf, builder=orders_ledger, bounds=None):
     e = H.edges_from_dict(spark, tree)
     gl = H.subtree_leaves(e)
     d = lf.derived_txn.withColumnRenamed("derived_account", "account")
-    n_match = max(1, sum(len(r.matchings) for r in lf.mapping.derived))
-    fan_out = 1 + sum(len(c) for c in tree.values())
-    full = S.full_series(gl, d, lf.derived_accounts, rows_bound=lf.n_txn * n_match * fan_out)
+    full = S.full_series(gl, d, lf.derived_accounts)
     starts = S.group_start(gl, lf.derived_accounts)
     lo, hi = bounds or (SERIES_FROM, SERIES_TO)
     return S.clip_series(full, starts, bound_epoch(lo), bound_epoch(hi))

@@ -1,7 +1,6 @@
 """Composite ledger build (L16): sources -> derived -> entries -> unaccounted, as one lazy graph.
 
-``LedgerFrames`` is only a bundle of DataFrames; nothing runs until a result is written or
-collected.  ``build_ledger`` is the one place that wires the operators together, for the driver
+``LedgerFrames`` is a bundle of DataFrames, each built when it is first asked for.  ``build_ledger`` is the one place that wires the operators together, for the driver
 tables, CSV folders and JSON configurations alike.
 """
 
@@ -14,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import balances, ledger, rules, transfers
 from ..operators.identity import identify, quarantine
-from ..session import materialize
 from .config import AccountMapping, mappings_frame
 
 
@@ -27,43 +25,27 @@ class LedgerFrames:
     mapping: AccountMapping
     transfer_mappings: DataFrame   # mapping_no, from_account, from_regex, to_account, to_regex
 
-    # Row-count bounds.  Counts of materialized Parquet (and of the driver's Parquet tables) are
-    # cheap; they prove the size of every group below them, so small ledgers take the plain
-    # one-shuffle windows while large ones keep the skew-safe bucket hierarchy.
+    # Base tables are scans that are written once (``sequencing.ordered_scan``); what follows reads them.
     @cached_property
-    def n_raw(self) -> int:
-        return self.raw.count()
-
-    @cached_property
-    def n_txn(self) -> int:
-        """Upper bound on identified rows (quarantined rows drop out): no extra job."""
-        return self.n_raw
-
-    @cached_property
-    def max_mappings_per_account(self) -> int:
-        from pyspark.sql import functions as F
-        m = self.transfer_mappings
-        sides = m.select(F.inline(F.array(F.struct(F.lit("from").alias("side"), F.col("from_account").alias("a")),
-                                          F.struct(F.lit("to").alias("side"), F.col("to_account").alias("a")))))
-        top = sides.groupBy("side", "a").count().agg(F.max("count")).first()[0]
-        return max(top or 0, 1)
+    def numbered(self) -> DataFrame:
+        """Transactions with position, ID and running balance, from one scan."""
+        return identify(self.raw, self.source_accounts)
 
     @cached_property
     def txn(self) -> DataFrame:
-        # The identified table is the ledger's base: every later step reads it, so beyond the
-        # small-data bound it is written once.
-        return materialize(identify(self.raw, rows_bound=self.n_raw), "txn", self.n_raw)
+        return self.numbered.drop("balance")
 
     @cached_property
     def quarantine(self) -> DataFrame:
         return quarantine(self.raw)
 
+    @cached_property
+    def numbered_derived(self) -> DataFrame:
+        return rules.derived_transactions(self.txn, self.mapping.derived, openings=self.derived_accounts)
+
     @cached_property
     def derived_txn(self) -> DataFrame:
-        n_match = max(1, sum(len(r.matchings) for r in self.mapping.derived))
-        return materialize(rules.derived_transactions(self.txn, self.mapping.derived,
-                                                      rows_bound=self.n_txn * n_match), "derived",
-                           self.n_txn * n_match)
+        return self.numbered_derived.drop("balance")
 
     @cached_property
     def derived_accounts(self) -> DataFrame:
@@ -79,17 +61,7 @@ class LedgerFrames:
 
     @cached_property
     def transfer_matches(self) -> DataFrame:
-        bound = self._matches_bound()
-        return materialize(transfers.transfer_matches(self.txn, self.transfer_mappings, rows_bound=bound),
-                           "matches", None if bound is None else 2 * bound)
-
-    def _matches_bound(self) -> int | None:
-        """Matched rows per side <= transactions x mappings per account; only worth a job on the
-        (configuration-sized) mapping table when the transactions alone are within the bound."""
-        from ..operators.sequencing import SINGLE_TASK_ROWS
-        if self.n_txn > SINGLE_TASK_ROWS:
-            return None
-        return self.n_txn * self.max_mappings_per_account
+        return transfers.transfer_matches(self.txn, self.transfer_mappings)
 
     @cached_property
     def transfer_entries(self) -> DataFrame:
@@ -97,33 +69,21 @@ class LedgerFrames:
 
     @cached_property
     def entries(self) -> DataFrame:
-        n_match = max(1, sum(len(r.matchings) for r in self.mapping.derived))
-        m = self._matches_bound()
-        return materialize(ledger.ledger_entries(self.derived_entries, self.transfer_entries), "entries",
-                           None if m is None else self.n_txn * n_match + m)
+        return ledger.ledger_entries(self.derived_entries, self.transfer_entries)
 
     @cached_property
     def unaccounted(self) -> DataFrame:
-        # Accounts with rows <= rows: the raw count bounds the per-account table too.
-        return ledger.unaccounted(self.txn, self.entries, n_accounts_hint=self.n_txn,
-                                  rows_bound=self.n_txn)
-
-    @cached_property
-    def n_source_accounts(self) -> int:
-        """Size of the account registry (configuration-sized; bounds per-account tables)."""
-        return self.source_accounts.count()
+        return ledger.unaccounted(self.txn, self.entries)
 
     def statement(self) -> DataFrame:
-        return balances.statement(self.txn, self.source_accounts, rows_bound=self.n_txn)
+        return balances.shown_statement(self.numbered)
 
     def derived_statement(self) -> DataFrame:
-        d = self.derived_txn.withColumnRenamed("derived_account", "account")
-        return balances.statement(d, self.derived_accounts, rows_bound=self.n_txn * max(1, sum(len(r.matchings) for r in self.mapping.derived)))
+        return balances.shown_statement(self.numbered_derived.withColumnRenamed("derived_account", "account"))
 
     def account_statement(self, name: str) -> DataFrame:
         """J8 + L10: the statement of one account, looked up among source accounts first, then
-        derived ones.  The filter on the partition column reaches below the running totals, so
-        only that account is computed."""
+        derived ones.  The filter on the account reaches the written scan, which is sorted by it."""
         from pyspark.sql import functions as F
         src = self.statement().where(F.col("account") == F.lit(name))
         der = self.derived_statement().where(F.col("account") == F.lit(name))

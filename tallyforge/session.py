@@ -1,14 +1,15 @@
 """Session helpers for tests, the bench and local runs.
 
-Library functions never create sessions and never invent folders; they take the caller's.
+Library functions never create sessions; they take the caller's, and its shared folder.
 """
 
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cluster_settings(executors: int = 1000, cores_per_executor: int = 8) -> dict[str, str]:
@@ -53,47 +54,28 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, scratch:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names in ``spark.checkpoint.dir`` (None when unset).  The library
-    never invents one: on a cluster a machine-local folder is not seen by the other machines."""
-    try:
-        d = spark.conf.get("spark.checkpoint.dir", None)
-    except Exception:  # noqa: BLE001
-        d = None
-    if d:
-        return d
-    try:
-        return spark.sparkContext.getCheckpointDir()
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no SparkContext
-        return None
+_LOCAL: dict[str, str] = {}
 
 
-LAZY_BELOW_ROWS = int(os.environ.get("TALLY_LAZY_BELOW_ROWS", "2000000"))
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.  Driver and executors of a local
+    master are one process, so there an unset folder is a temporary one of this application; on a
+    cluster an unset folder is an error, whatever the size of the data."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    app = spark.conf.get("spark.app.id")
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
+    return _LOCAL[app]
 
 
-def _cut_plan(df):
-    """The same rows behind a short plan.  Nothing is stored: a lost executor recomputes them, and the
-    shuffles behind them are reused while they exist."""
-    from pyspark.sql import DataFrame
-
-    spark = df.sparkSession
-    jdf = spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema())
-    return DataFrame(jdf, spark)
-
-
-def materialize(df, name: str = "t", rows_bound: int | None = None):
-    """Cut the lineage of a much-reused intermediate by writing it once as Parquet under the
-    folder the session names in ``spark.checkpoint.dir`` and reading it back: computed once,
-    survives lost executors (unlike a local checkpoint), and later reads get column pruning and
-    filter pushdown.  With no folder configured only the plan is cut, and the DataFrame stays lazy
-    altogether when ``rows_bound`` proves the data small enough (``LAZY_BELOW_ROWS``) that
-    recomputing it inside one plan (shared exchanges are reused) is cheaper than a write and a read."""
-    spark = df.sparkSession
-    base = checkpoint_dir(spark)
-    if rows_bound is not None and rows_bound <= LAZY_BELOW_ROWS:
-        return df
-    if not base:
-        return _cut_plan(df)
-    path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+    """``df`` written once as Parquet under the shared folder and read back: it is computed once, survives
+    lost executors (unlike a local checkpoint), and later reads get column pruning and filter pushdown."""
+    path = f"{checkpoint_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

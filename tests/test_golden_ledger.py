@@ -77,20 +77,21 @@ def test_tree_checks_on_golden_tree(spark, workdir):
     assert h["All"] == 2 and h["Living"] == 1 and h["Coffee"] == 0
 
 
-def test_scale_path_gives_same_results(spark, workdir, monkeypatch):
-    """Force the large-data plan (written intermediates, bucket hierarchy) on the golden ledger."""
-    import tallyforge.operators.sequencing as seq
-    import tallyforge.session as sess
-    monkeypatch.setattr(sess, "LAZY_BELOW_ROWS", -1)
-    monkeypatch.setattr(seq, "SINGLE_TASK_ROWS", -1)
-    monkeypatch.setattr(seq, "SEQ_CHUNK", 2)
-    lf = _ledger(spark, workdir)
-    unacc = sorted((r["index"], r["account"], r["delta"]) for r in lf.unaccounted.collect())
-    assert unacc == [(0, "chequing", -5000), (1, "chequing", -999), (2, "visa", 300)]
-    st = lf.statement().where("account = 'chequing'").orderBy("seq").collect()
-    assert [r["balance"] for r in st] == [9475, 109475, 89475, 85475, 80475, 79476]
-    assert len(lf.entries.collect()) == 6
-    assert "/tables/" in lf.txn.inputFiles()[0]
+def test_many_ranges_give_same_results(spark, workdir):
+    """Ranges of a row or two: accounts go on from range to range."""
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lf = _ledger(spark, workdir)
+        unacc = sorted((r["index"], r["account"], r["delta"]) for r in lf.unaccounted.collect())
+        assert unacc == [(0, "chequing", -5000), (1, "chequing", -999), (2, "visa", 300)]
+        st = lf.statement().where("account = 'chequing'").orderBy("seq").collect()
+        assert [r["balance"] for r in st] == [9475, 109475, 89475, 85475, 80475, 79476]
+        assert len(lf.entries.collect()) == 6
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
 
 
 def test_account_lookup_source_then_derived(spark, workdir):

@@ -1,8 +1,6 @@
 """Print the formatted physical plans of driver queries, as Spark would run them.
 
-Usage: python tools/show_plans.py [sf_dir] [--large] [name ...]
-``--large`` forces the large-data plan (bucketed numbering, written intermediates, range-split
-global order) that row-count bounds select beyond 2M rows.
+Usage: python tools/show_plans.py [sf_dir] [name ...]
 """
 
 from __future__ import annotations
@@ -19,18 +17,12 @@ from tallyforge.session import local_session  # noqa: E402
 
 def main() -> None:
     args = sys.argv[1:]
-    large = "--large" in args
-    args = [a for a in args if a != "--large"]
     sf = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in args if not a.startswith("/")] or ["unaccounted"]
     spark = local_session(8, scratch=tempfile.mkdtemp(prefix="tally-plans-"))
-    if large:
-        import tallyforge.operators.sequencing as seq
-        import tallyforge.session as sess
-        seq.SINGLE_TASK_ROWS, sess.LAZY_BELOW_ROWS, seq.GLOBAL_SINGLE_TASK_ROWS = -1, -1, -1
     qs = D.queries()
     for name in names:
-        print(f"==== {name} ({'large-data plan' if large else 'as bounded'}) ====")
+        print(f"==== {name} ====")
         qs[name](spark, sf).explain("formatted")
     spark.stop()
 
