@@ -108,3 +108,13 @@ def likely(rows: DataFrame, ids: DataFrame, others: bool = False) -> DataFrame:
     met = met.join(F.broadcast(bits), "_word", "left")  # at most FILTER_BITS / 62 rows
     hit = F.coalesce(F.expr("shiftright(_bits, _slot % 62) & 1 = 1"), F.lit(False))
     return met.where(~hit if others else hit).select(*rows.columns)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII text expression (it has no such function): the
+    bitwise definition with the reflected polynomial 0xEDB88320."""
+    byte = "lambda z, k: xor(z >> 1, 3988292384 * (z & 1))"
+    codes = f"list_transform(string_split({text}, ''), lambda x: cast(ord(x) AS bigint))"
+    folded = (f"list_reduce(list_prepend(cast(4294967295 AS bigint), {codes}), "
+              f"lambda s, x: list_reduce(list_prepend(xor(s, x), cast(range(8) AS bigint[])), {byte}))")
+    return f"xor({folded}, 4294967295)"
