@@ -1,4 +1,4 @@
-"""Operators for preparing training text: ten components and the helpers they share.
+"""Operators for preparing training text: thirteen components and the helpers they share.
 
 Nothing else in the library imports this subpackage.
 """

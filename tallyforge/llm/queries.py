@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import ann_forest, bpe, chat_format, decontaminate, language_id, ngram_join, reshard, substring_dedup, token_file, warc_index
+from tallyforge.llm import (ann_forest, bpe, chat_format, decontaminate, language_id, ngram_join, prefix_trie, quality_rules, reshard,
+                            structure_repair, substring_dedup, token_file, warc_index)
 
 
 def queries() -> dict:
@@ -17,6 +18,9 @@ def queries() -> dict:
         "op8_reshard": reshard.op8_reshard,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_warc": warc_index.op10_warc,
+        "op11_structure_repair": structure_repair.op11_structure_repair,
+        "op12_quality_rules": quality_rules.op12_quality_rules,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
 
@@ -27,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_decontaminate": decontaminate.ORACLE,
         "op9_substring_dedup": substring_dedup.ORACLE,
         "op10_warc": warc_index.ORACLE,
+        "op11_structure_repair": structure_repair.ORACLE,
+        "op13_prefix_trie": prefix_trie.ORACLE,
     }
