@@ -51,3 +51,22 @@ def account_kinds(registry: DataFrame) -> DataFrame:
         F.max(F.when(F.col("kind") == "derived", 1).otherwise(0)).alias("_der"))
     return g.select("name", ((F.col("_src") + F.col("_der")) == 1).alias("created"),
                     (F.col("_src") == 1).alias("is_source"), (F.col("_der") == 1).alias("is_derived"))
+
+
+def balance_at(txn: DataFrame, accounts: DataFrame, probes: DataFrame, at: str = "at") -> DataFrame:
+    """J7 for many probe times at once: every row of ``probes`` (``account``, the epoch ``at`` and any other
+    columns) with ``balance``, its account's balance after all transactions strictly before that time.
+
+    Probes and transactions are merged in one ordered scan: the opening balance is an account's first element, a
+    probe stands before the transactions of its own second and takes the running sum where it stands.  A hot
+    account is cut into ranges like any other; no probe is joined with a transaction.  An account without
+    an opening balance starts at 0; a probe with a null time sees the opening balance only."""
+    extra = [c for c in probes.columns if c not in ("account", at)]
+    asked = probes.select("account", F.col(at).cast("bigint").alias("_t"), F.lit(1).alias("_kind"), F.lit(0).cast("bigint").alias("_amount"), *extra)
+    moved = txn.select("account", F.col("epoch").alias("_t"), F.lit(2).alias("_kind"), F.col("amount").alias("_amount"))
+    first = accounts.select(F.col("name").alias("account"), F.lit(None).cast("bigint").alias("_t"), F.lit(0).alias("_kind"),
+                            F.col("start_value").alias("_amount"))
+    rows = asked.unionByName(moved, allowMissingColumns=True).unionByName(first, allowMissingColumns=True)
+    run = ordered_scan(rows, ["account"], ["_t", "_kind", *extra], sums=["_amount"], index="_i")
+    return run.where("_kind = 1").select(*[F.col("_t").alias(at) if c == at else F.col(c) for c in probes.columns],
+                                         F.col("_run__amount").alias("balance"))

@@ -81,6 +81,18 @@ def asof(series: DataFrame, t: int, starts: DataFrame) -> DataFrame:
         "grp", F.coalesce("_b", F.col("start")).alias("balance"))
 
 
+def asof_many(series: DataFrame, probes: DataFrame, starts: DataFrame) -> DataFrame:
+    """J7 / W6 for many times at once: every row of ``probes`` (grp, epoch) with the balance of its group's last
+    point strictly before its time, else the group's start value; a probe of a group without a start has none.
+    Points and probes are merged in one ordered scan that carries the last balance over the ranges."""
+    point = series.select("grp", "epoch", F.lit(2).alias("_kind"), "balance")
+    ask = probes.select("grp", "epoch", F.lit(1).alias("_kind"))
+    first = starts.select("grp", F.lit(0).alias("_kind"), F.col("start").alias("balance"))
+    rows = ask.unionByName(point, allowMissingColumns=True).unionByName(first, allowMissingColumns=True)
+    run = ordered_scan(rows, ["grp"], [(F.col("_kind") == 0).desc(), "epoch", "_kind"], lasts=["balance"], index="_i")
+    return run.where("_kind = 1").select("grp", "epoch", F.col("_last_balance").alias("balance"))
+
+
 def clip_series(series: DataFrame, starts: DataFrame, t_start: int, t_end: int) -> DataFrame:
     """Points with t_start <= epoch <= t_end, plus carried points at both bounds
     when no point lies exactly there (the end point only when it differs from the start).  The

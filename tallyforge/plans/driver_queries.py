@@ -22,7 +22,7 @@ from ..operators import series as S
 from ..operators.balances import account_kinds
 from ..operators.identity import quarantine as _quarantine
 from ..session import materialize
-from . import edge_queries
+from . import edge_queries, probe_queries
 from . import oracle as O
 from .ledgers import events_ledger, orders_ledger, status_ledger
 
@@ -190,6 +190,7 @@ def queries() -> dict[str, Query]:
         **geo_queries(),
         **browse_queries(),
         **edge_queries.queries(),
+        **probe_queries.queries(),
     }
 
 
@@ -301,6 +302,7 @@ def oracle_sql() -> dict[str, str]:
         **geo_oracle(),
         **browse_oracle(),
         **edge_queries.oracle_sql(),
+        **probe_queries.oracle_sql(),
     }
 
 
