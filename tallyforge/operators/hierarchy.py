@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
+from .cycles import nodes_on_cycles
 
 EDGE_SCHEMA = T.StructType([
     T.StructField("parent", T.StringType(), False),
@@ -92,14 +93,9 @@ def closure(edges: DataFrame, roots: DataFrame | None = None, include_self: bool
 
 
 def cycle_nodes(edges: DataFrame, root: str) -> DataFrame:
-    """H3: nodes on a cycle.  Nodes the root's closure reaches cannot be on one (given H1), so
-    only the rest is searched; a root that is itself a child closes a cycle through the root."""
-    reached = closure(edges, edges.sparkSession.createDataFrame([(root,)], "node string"))
-    rest_nodes = nodes(edges).join(reached.select("node"), "node", "left_anti")
+    """H3: nodes on a cycle (``operators.cycles``); a root that is itself a child counts as one."""
     root_is_child = edges.where(F.col("child") == F.lit(root)).select(F.lit(root).alias("node"))
-    rest = materialize(edges.join(rest_nodes.withColumnRenamed("node", "parent"), "parent", "left_semi"), "cycle-edges")
-    c = closure(rest, None, include_self=False)
-    return c.where(F.col("ancestor") == F.col("node")).select("node").unionByName(root_is_child).distinct()
+    return nodes_on_cycles(edges).unionByName(root_is_child).distinct()
 
 
 def heights(edges: DataFrame, clo: DataFrame | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import hierarchy as H
 from ..operators import rules as R
+from ..operators.cycles import nodes_on_cycles
 from ..operators.identity import quarantine, valid_raw
 from ..sources.csv_folders import homogenize
 from ..sources.driver_tables import customer_account, table
@@ -109,6 +110,23 @@ def q_broken_tree_checks(spark, sf) -> DataFrame:
     return out
 
 
+def q_one_ring(spark, sf) -> DataFrame:
+    """All customers as one ring, with every order hanging off its customer, and suppliers in tangled rings whose nodes
+    have several parents."""
+    c, o, s = (table(spark, sf, t) for t in ("customer", "orders", "supplier"))
+    tag = lambda p, col: F.concat(F.lit(p), col.cast("string"))
+    n = c.agg(F.max("c_custkey").alias("top"), F.min("c_custkey").alias("low"))
+    key = F.col("c_custkey")
+    ring = c.crossJoin(F.broadcast(n)).select(  # one row
+        tag("C", F.when(key == F.col("low"), F.col("top")).otherwise(key - 1)), tag("C", key))
+    k = F.col("s_suppkey")
+    tangle = s.select(tag("S", k), tag("S", k - k % 8 + (k + 1) % 8)).union(s.select(tag("S", k), tag("S", k - k % 8 + (k * 3) % 8)))
+    chain = s.select(tag("S", k), tag("T", k)).union(s.where("s_suppkey % 8 < 7").select(tag("T", k), tag("T", k + 1)))
+    e = ring.union(o.select(tag("C", F.col("o_custkey")), tag("O", F.col("o_orderkey")))).union(tangle).union(chain)
+    return nodes_on_cycles(e.toDF("parent", "child")).groupBy(F.substring("node", 1, 1).alias("kind")).agg(
+        F.count(F.lit(1)).alias("n_nodes"), F.sum(F.substring("node", 2, 20).cast("bigint")).alias("key_sum"))
+
+
 def q_two_ledgers_txn(spark, sf) -> DataFrame:
     """Both ledgers in one job."""
     t = with_ledger([orders_ledger(spark, sf), events_ledger(spark, sf)], "txn")
@@ -117,11 +135,19 @@ def q_two_ledgers_txn(spark, sf) -> DataFrame:
 
 def queries() -> dict:
     return {"two_ledgers_txn": q_two_ledgers_txn, "import_rows": q_import_rows, "import_quarantine": q_import_quarantine, "deep_tree_closure": q_deep_tree_closure,
-            "long_rule_table": q_long_rule_table, "broken_tree_checks": q_broken_tree_checks}
+            "long_rule_table": q_long_rule_table, "broken_tree_checks": q_broken_tree_checks, "one_ring": q_one_ring}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "one_ring": """
+WITH RECURSIVE e AS (
+  SELECT DISTINCT a, b FROM (
+    SELECT s_suppkey AS a, s_suppkey - s_suppkey % 8 + (s_suppkey + 1) % 8 AS b FROM supplier
+    UNION ALL SELECT s_suppkey, s_suppkey - s_suppkey % 8 + (s_suppkey * 3) % 8 FROM supplier)),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT 'C' AS kind, count(*) AS n_nodes, cast(sum(c_custkey) AS bigint) AS key_sum FROM customer
+UNION ALL SELECT 'S', count(*), cast(sum(a) AS bigint) FROM r WHERE a = b HAVING count(*) > 0""",
         "two_ledgers_txn": """
 SELECT 'orders' AS ledger, printf('C%010d', o_custkey) AS account, count(*) AS n_rows,
   cast(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END * cast(round(o_totalprice * 100) AS bigint)) AS bigint) AS total,
