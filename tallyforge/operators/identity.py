@@ -31,12 +31,14 @@ def quarantine(raw: DataFrame) -> DataFrame:
     return raw.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
-def identify(raw: DataFrame, openings: DataFrame | None = None) -> DataFrame:
+def identify(raw: DataFrame, openings: DataFrame | None = None, bases: DataFrame | None = None) -> DataFrame:
     """txn_raw -> txn with ``seq`` (0-based position in the account) and ``id``.
 
     With ``openings`` (an account table: name, start_value) the rows also carry ``balance``, the
     running balance after the row: an account's opening balance is the first element of its scan, so
-    positions and balances take one pass and no join (W1, L10)."""
+    positions and balances take one pass and no join (W1, L10).
+
+    ``bases`` (account, base) continues accounts that have ``base`` rows already: positions begin there."""
     rows = valid_raw(raw).fillna({"src_file": "", "src_block": 0, "src_row": 0})
     if openings is None:
         numbered = ordered_scan(rows, ["account"], ORDER, index="seq")
@@ -47,6 +49,9 @@ def identify(raw: DataFrame, openings: DataFrame | None = None) -> DataFrame:
         numbered = ordered_scan(rows, ["account"], [F.col("_opening").desc(), *ORDER], sums=["amount", "_opening"], index="_at")
         numbered = numbered.where("_opening = 0").withColumn("seq", F.col("_at") - F.col("_run__opening"))
         extra = [F.col("_run_amount").alias("balance")]
+    if bases is not None:
+        numbered = numbered.join(bases.select("account", "base"), "account", "left").withColumn(
+            "seq", F.col("seq") + F.coalesce("base", F.lit(0)))
     return numbered.withColumn(
         "id", transaction_id(F.col("account"), F.col("seq"), F.col("date"), F.col("epoch"),
                              F.col("amount"), F.col("description"))

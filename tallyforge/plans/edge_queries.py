@@ -120,8 +120,8 @@ def q_one_ring(spark, sf) -> DataFrame:
     ring = c.crossJoin(F.broadcast(n)).select(  # one row
         tag("C", F.when(key == F.col("low"), F.col("top")).otherwise(key - 1)), tag("C", key))
     k = F.col("s_suppkey")
-    tangle = s.select(tag("S", k), tag("S", k - k % 8 + (k + 1) % 8)).union(s.select(tag("S", k), tag("S", k - k % 8 + (k * 3) % 8)))
-    chain = s.select(tag("S", k), tag("T", k)).union(s.where("s_suppkey % 8 < 7").select(tag("T", k), tag("T", k + 1)))
+    tangle = s.select(tag("S", k), tag("S", k - k % 4 + (k + 1) % 4)).union(s.select(tag("S", k), tag("S", k - k % 4 + (k * 3) % 4)))
+    chain = s.select(tag("S", k), tag("T", k)).union(s.where("s_suppkey % 4 < 3").select(tag("T", k), tag("T", k + 1)))
     e = ring.union(o.select(tag("C", F.col("o_custkey")), tag("O", F.col("o_orderkey")))).union(tangle).union(chain)
     return nodes_on_cycles(e.toDF("parent", "child")).groupBy(F.substring("node", 1, 1).alias("kind")).agg(
         F.count(F.lit(1)).alias("n_nodes"), F.sum(F.substring("node", 2, 20).cast("bigint")).alias("key_sum"))
@@ -143,8 +143,8 @@ def oracle_sql() -> dict[str, str]:
         "one_ring": """
 WITH RECURSIVE e AS (
   SELECT DISTINCT a, b FROM (
-    SELECT s_suppkey AS a, s_suppkey - s_suppkey % 8 + (s_suppkey + 1) % 8 AS b FROM supplier
-    UNION ALL SELECT s_suppkey, s_suppkey - s_suppkey % 8 + (s_suppkey * 3) % 8 FROM supplier)),
+    SELECT s_suppkey AS a, s_suppkey - s_suppkey % 4 + (s_suppkey + 1) % 4 AS b FROM supplier
+    UNION ALL SELECT s_suppkey, s_suppkey - s_suppkey % 4 + (s_suppkey * 3) % 4 FROM supplier)),
 r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
 SELECT 'C' AS kind, count(*) AS n_nodes, cast(sum(c_custkey) AS bigint) AS key_sum FROM customer
 UNION ALL SELECT 'S', count(*), cast(sum(a) AS bigint) FROM r WHERE a = b HAVING count(*) > 0""",

@@ -164,9 +164,9 @@ def ledger_from_folders(spark: SparkSession, data_root: str, ledger_name: str |
     ``<accounting file>.json`` and the account folders ``<source account directory>/<account>``."""
     from pyspark.sql import functions as F
 
-    from ..sources.csv_folders import read_account_folders, read_selected_folders
+    from ..sources.csv_folders import read_files
     from ..sources.json_io import read_account_mapping, read_ledger_configuration, select_ledger
-    from .refresh import GLOB_ACCOUNTS, with_formats
+    from .refresh import folder_files, with_formats
     root = data_root.rstrip("/")
     cfg = select_ledger(read_ledger_configuration(spark, f"{root}/LedgerConfiguration.json"), ledger_name)
     head = cfg.select("ledger_name", "accounting_file", "source_dir").first()
@@ -175,15 +175,10 @@ def ledger_from_folders(spark: SparkSession, data_root: str, ledger_name: str |
     name, acc_file, src_dir = head["ledger_name"], head["accounting_file"], head["source_dir"]
     src = cfg.where(F.col("account").isNotNull()).select(
         F.col("account").alias("name"), F.lit("source").alias("kind"), "start_value")
-    if src.count() <= GLOB_ACCOUNTS:
-        # a short list: one glob over the named folders, per bank format
-        accounts = {r["name"]: (account_formats or {}).get(r["name"], "default")
-                    for r in src.select("name").collect()}
-        raw = read_account_folders(spark, f"{root}/{src_dir}", accounts, formats)
-    else:
-        # a long list stays in Spark: one scan of every folder per format, kept by a semi join
-        raw = read_selected_folders(spark, f"{root}/{src_dir}", with_formats(
-            src.select(F.col("name").alias("account")), account_formats), formats)
+    # the configured accounts' files are chosen from a listing, so only they are read
+    files = folder_files(spark, f"{root}/{src_dir}").where(F.col("rel").rlike(r"^[^/]+/[^/]+\.csv$"))
+    files = files.join(src.select(F.col("name").alias("account")), "account", "left_semi")
+    raw = read_files(spark, with_formats(files, account_formats), formats)
     mapping = read_account_mapping(spark, f"{root}/{acc_file}.json")
     return build_ledger(spark, name, raw, src, mapping, strict=strict)
 

@@ -8,18 +8,18 @@ Keys:
   rule), ``LOGIC_VERSION``;
 * I4 ledger key: the whole mapping and all source keys.
 
-``refresh_ledger`` compares the keys with the last manifest, rebuilds only stale source accounts
-(their CSV folders alone are read) and stale derived accounts, replaces just their partitions,
-rebuilds entries and the unaccounted list only when the ledger key moved, and writes the new
-manifest last: a crash in between repeats work but never records an unbuilt key.  Manifests are
-versioned folders, so no job overwrites what it reads.
+``refresh_ledger`` compares the keys with those of the store's newest version (``plans.manifest_log``), extends the
+accounts that only gained later rows, rebuilds the others that changed, and publishes all tables and
+keys as one new version.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,35 +27,36 @@ from .. import LOGIC_VERSION
 from ..operators import ledger as ledger_ops
 from ..operators import rules as rule_ops
 from ..operators import transfers as transfer_ops
-from ..operators.identity import identify
-from ..sources import catalog
+from ..operators.identity import identify, valid_raw
 from ..session import materialize
-from ..sources.csv_folders import read_account_folders, read_selected_folders
+from ..sources.csv_folders import read_files
+from ..sources.schemas import DERIVED_COLUMNS, RAW_SCHEMA, TXN_COLUMNS
 from .config import AccountMapping, mappings_frame
-
-MANIFEST_SCHEMA = "object_name string, fingerprint string"
-# Up to this many stale accounts are read through one glob of their folders; beyond it every
-# folder is scanned once and the stale ones are kept by a semi join.
-GLOB_ACCOUNTS = 1000
+from .manifest_log import PARTS, ManifestLog
 
 
 # ---- I1 / I2 / I3 / I4 ----------------------------------------------------------------------
 
-def folder_fingerprints(spark: SparkSession, root: str) -> DataFrame:
-    """(account, n_files, fingerprint) for every account folder with files (content is not
-    read: only path, modification time and length)."""
+def folder_files(spark: SparkSession, root: str) -> DataFrame:
+    """(account, path, rel, mtime, length) of every file below an account folder; content is not read."""
     root = root.rstrip("/")
     try:
         files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
                  .select("path", "modificationTime", "length"))
-    except Exception:  # noqa: BLE001 - empty or missing root
-        return spark.createDataFrame([], "account string, n_files bigint, fingerprint string")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "account string, path string, rel string, mtime timestamp, length long")
     rel = F.regexp_replace(F.col("path"), r"^.*?" + _re_escape(root.split(":")[-1]) + "/", "")
-    f = files.select(F.split(rel, "/").getItem(0).alias("account"), rel.alias("rel"),
-                     "modificationTime", "length")
-    f = f.where(F.instr("rel", "/") > 0)  # files directly in root belong to no account
-    row = F.struct("rel", F.col("modificationTime").cast("string"), "length")
-    agg = f.groupBy("account").agg(
+    f = files.select(F.split(rel, "/").getItem(0).alias("account"), "path", rel.alias("rel"),
+                     F.col("modificationTime").alias("mtime"), "length")
+    return f.where(F.instr("rel", "/") > 0)  # files directly in root belong to no account
+
+
+def fingerprints(files: DataFrame) -> DataFrame:
+    """(account, n_files, fingerprint) of listed files: an order-free sum over their hashes."""
+    row = F.struct("rel", F.col("mtime").cast("string"), "length")
+    agg = files.groupBy("account").agg(
         F.count(F.lit(1)).alias("n_files"),
         F.sum(F.xxhash64(row).cast("decimal(38,0)")).alias("_x"),
         F.sum(F.hash(row).cast("decimal(38,0)")).alias("_m"))
@@ -63,6 +64,11 @@ def folder_fingerprints(spark: SparkSession, root: str) -> DataFrame:
                                                                 F.col("_m").cast("string")), 256).alias("fingerprint"))
 
 
+def folder_fingerprints(spark: SparkSession, root: str) -> DataFrame:
+    """I1 of every account folder with files."""
+    return fingerprints(folder_files(spark, root))
+
+
 def _re_escape(s: str) -> str:
     import re
     return re.escape(s)
@@ -129,45 +135,9 @@ def ledger_key(spark: SparkSession, mapping: AccountMapping, src_keys: DataFrame
     return spark.createDataFrame([("ledger", None, key)], "object_name string, account string, fingerprint string")
 
 
-# ---- I6 manifest ------------------------------------------------------------------------------
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
-
-
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    fs, p, jvm = _fs(spark, root)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name.split("=", 1)[1]))
-    return sorted(out)
-
-
-def read_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """The latest complete manifest (object_name, fingerprint); unknown names read as '0'."""
-    v = _versions(spark, root)
-    if not v:
-        return spark.createDataFrame([], MANIFEST_SCHEMA)
-    return spark.read.parquet(f"{root}/version={v[-1]}")
-
-
-def write_manifest(df: DataFrame, root: str) -> int:
-    spark = df.sparkSession
-    v = _versions(spark, root)
-    n = (v[-1] + 1) if v else 1
-    df.select("object_name", "fingerprint").write.mode("errorifexists").parquet(f"{root}/version={n}")
-    return n
-
-
-def stale_objects(current: DataFrame, manifest: DataFrame) -> DataFrame:
+def stale_objects(current: DataFrame, recorded: DataFrame) -> DataFrame:
     """Objects whose key differs from the recorded one (or that were never recorded)."""
-    m = manifest.select("object_name", F.col("fingerprint").alias("_old"))
+    m = recorded.select("object_name", F.col("fingerprint").alias("_old"))
     return current.join(m, "object_name", "left").where(
         ~F.col("fingerprint").eqNullSafe(F.coalesce("_old", F.lit("0"))))
 
@@ -176,18 +146,22 @@ def stale_objects(current: DataFrame, manifest: DataFrame) -> DataFrame:
 
 @dataclass
 class RefreshResult:
-    rebuilt_sources: list[str]
+    """``sources``: (account, action) of the accounts that changed, action ``rebuilt``, ``extended`` or ``removed``."""
+    sources: DataFrame
     rebuilt_derived: list[str]
     ledger_rebuilt: bool
-    manifest_version: int
-    n_rebuilt_sources: int = 0
+    version: int
+
+    def accounts(self, action: str) -> list[str]:
+        """The accounts of one action, by name."""
+        return sorted(r["account"] for r in self.sources.where(F.col("action") == action).collect())
 
 
 def with_formats(accounts: DataFrame, account_formats: dict[str, str] | None) -> DataFrame:
     """``account`` with its bank format's name; accounts that are not named use the default."""
     spark = accounts.sparkSession
     named = spark.createDataFrame(list((account_formats or {}).items()), "account string, format string")
-    return accounts.join(named, "account", "left").select("account", F.coalesce("format", F.lit("default")).alias("format"))
+    return accounts.join(named, "account", "left").select(*accounts.columns, F.coalesce("format", F.lit("default")).alias("format"))
 
 
 def account_bucket(account_col: F.Column, buckets: int) -> F.Column:
@@ -196,88 +170,150 @@ def account_bucket(account_col: F.Column, buckets: int) -> F.Column:
     return F.pmod(F.xxhash64(account_col), F.lit(buckets)).cast("int")
 
 
+def _last_states(txn: DataFrame | None, accounts: DataFrame) -> DataFrame:
+    """(account, base, last_epoch) of the stored rows of some accounts."""
+    if txn is None:
+        return accounts.sparkSession.createDataFrame([], "account string, base long, last_epoch long")
+    own = txn.join(accounts.select("account").distinct(), "account", "left_semi")
+    return own.groupBy("account").agg(F.count(F.lit(1)).alias("base"), F.max("epoch").alias("last_epoch"))
+
+
+def _written_parts(df: DataFrame, store: str, table: str, column: str) -> DataFrame:
+    """``df`` as new data folders, one per value of the integer ``column``: (table, part, path)."""
+    spark = df.sparkSession
+    folder = f"{store}/data/{table}-{uuid.uuid4().hex}"
+    df.repartition(column).write.mode("errorifexists").partitionBy(column).parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder).select(column).distinct().select(
+        F.lit(table).alias("table"), F.col(column).cast("string").alias("part"), F.concat(F.lit(f"{folder}/{column}="), F.col(column)).alias("path"))
+
+
 def refresh_ledger(spark: SparkSession, src_root: str, accounts: DataFrame, mapping: AccountMapping,
                    store_root: str, prefix: str = "ledger", buckets: int = 1024, formats=None,
                    account_formats: dict[str, str] | None = None) -> RefreshResult:
-    """Rebuild what changed.  Tables: ``{prefix}_txn`` (partitioned by account bucket),
-    ``{prefix}_derived`` (partitioned by derived account), ``{prefix}_entries`` and
-    ``{prefix}_unaccounted``; manifest under ``store_root``.
+    """Bring the store under ``store_root`` up to date and publish it as one new version.
 
-    A stale account marks its bucket stale; every account of a stale bucket is re-read and the
-    bucket's partition replaced, so untouched buckets are never rewritten.  Derived accounts that left
-    the rules or match nothing any more lose their rows.  ``formats`` and ``account_formats`` are those
+    Tables ``txn``, ``derived``, ``entries`` and ``unaccounted`` are read by ``stored_table`` (or, in this session, as
+    the temporary views ``{prefix}_txn`` and so on).
+
+    * An account that only gained files, all of whose rows are later than its stored ones, is *extended*: just the
+      new files are read, their rows continue the stored positions, and a new folder joins its bucket.
+    * Any other change *rebuilds* the account from its own files; its bucket's folder is written anew from the stored
+      rows of the other accounts and the new ones.  Other buckets are not touched.
+    * Stale derived accounts are built anew, entries and the unaccounted list when the ledger's key moved.
+
+    Nothing is visible before the commit: when a step fails, or another refresh committed first
+    (``ConcurrentRefresh``), the store stays at its old version and keys.  ``formats`` and ``account_formats`` are those
     of ``read_account_folders``."""
-    manifest_root = f"{store_root.rstrip('/')}/manifest"
-    old = read_manifest(spark, manifest_root)
-    # Keys are written once: the folders may change while we run, and the manifest must record
-    # exactly the keys that were built.
-    sk = materialize(source_keys(accounts, folder_fingerprints(spark, src_root))
-                     .withColumn("bucket", account_bucket(F.col("account"), buckets)), "keys")
-    stale = stale_objects(sk, old).select("account", "bucket")
-    n_stale = stale.count()
-    stale_names = [r["account"] for r in stale.select("account").collect()]  # names from the configuration
-
-    txn_table, der_table = f"{prefix}_txn", f"{prefix}_derived"
-    stored = catalog.is_stored(spark, txn_table)
-    stale_buckets = stale.select("bucket")
-    if stored:  # buckets holding accounts that left the configuration
-        known = old.where("object_name like 'source:%'").select(F.expr("substr(object_name, 8)").alias("account"))
-        left = (known.join(sk.select("account"), "account", "left_anti")
-                .select(account_bucket(F.col("account"), buckets).alias("bucket")))
-        stale_buckets = stale_buckets.unionByName(left)
-    stale_buckets = materialize(stale_buckets.distinct(), "stale-buckets")
-    n_buckets = stale_buckets.count()
-    if n_buckets or not stored:
-        rebuild = sk.join(stale_buckets, "bucket", "left_semi").select("account")
-        if rebuild.count() <= GLOB_ACCOUNTS:
-            raw = read_account_folders(spark, src_root, {r["account"]: (account_formats or {}).get(r["account"], "default")
-                                                         for r in rebuild.collect()}, formats)
-        else:
-            raw = read_selected_folders(spark, src_root, with_formats(rebuild, account_formats), formats)
-        new_txn = materialize(identify(raw).withColumn("bucket", account_bucket(F.col("account"), buckets)),
-                              "refresh_txn")
-        catalog.replace_partitions(new_txn.repartition("bucket"), txn_table, ["bucket"])
-        # stale buckets with no rows any more
-        empty = stale_buckets.join(new_txn.select("bucket").distinct(), "bucket", "left_anti")
-        empty_buckets = [r["bucket"] for r in empty.collect()]  # at most ``buckets`` values
-        if empty_buckets and stored:
-            catalog.drop_partitions(spark, txn_table, "bucket", empty_buckets)
-    spark.catalog.refreshTable(txn_table)
-    txn = spark.table(txn_table).drop("bucket")
+    log = ManifestLog(spark, store_root)
+    base = log.snapshot()
+    store = log.root
+    # Listed once: the folders may change while we run, and the version must record exactly what was built.
+    listed = materialize(folder_files(spark, src_root).join(accounts.select(F.col("name").alias("account")), "account", "left_semi"), "files")
+    sk = materialize(source_keys(accounts, fingerprints(listed)), "keys")
+    stale = materialize(stale_objects(sk, base.keys).select("account"), "stale")
+    removed = materialize(base.files.select("account").distinct().join(sk.select("account"), "account", "left_anti"), "removed")
+    nobody = spark.createDataFrame([], "account string")
+    rebuilt, extended, parts = nobody, nobody, base.parts
+    txn_parts = parts.where("table = 'txn'")
+    if not (stale.isEmpty() and removed.isEmpty()):
+        rebuilt, extended, txn_parts = _new_txn_parts(base, store, listed, stale, removed, buckets, formats, account_formats)
+    txn = _read_parts(txn_parts, TXN_COLUMNS)
+    if txn is None:
+        txn = identify(spark.createDataFrame([], RAW_SCHEMA))
 
     dk = derived_keys(spark, mapping, sk)
     dk = spark.createDataFrame(dk.collect(), "object_name string, account string, fingerprint string")
-    stale_der = [r["account"] for r in stale_objects(dk, old).collect()]
-    der_stored = catalog.is_stored(spark, der_table)
-    if stale_der or not der_stored:
-        only = set(stale_der) if der_stored else None
-        d = rule_ops.derived_transactions(txn, mapping.derived, only=only).withColumnRenamed("derived_account", "account")
-        cols = [c for c in d.columns if c != "account"] + ["account"]
-        d = materialize(d.select(*cols), "refresh_derived")
-        catalog.replace_partitions(d, der_table, ["account"])
-        made = {r["account"] for r in d.select("account").distinct().collect()}  # at most the rules' accounts
-    else:
-        made = set()
-    if der_stored:  # accounts that left the rules, and rebuilt ones without rows
-        kept = {r.name for r in mapping.derived}
-        held = {r["account"] for r in spark.table(der_table).select("account").distinct().collect()}
-        gone = sorted((held - kept) | ((held & set(stale_der)) - made))
-        if gone:
-            catalog.drop_partitions(spark, der_table, "account", gone)
-    spark.catalog.refreshTable(der_table)
+    stale_der = [r["account"] for r in stale_objects(dk, base.keys).collect()]  # names of the rule file
+    der_parts = parts.where("table = 'derived'")
+    if stale_der:
+        d = rule_ops.derived_transactions(txn, mapping.derived, only=set(stale_der))
+        number = {r.name: i for i, r in enumerate(mapping.derived)}
+        made = _written_parts(d.withColumn("rule", F.col("rule_no")), store, "derived", "rule")
+        named = spark.createDataFrame([(str(i), n) for n, i in number.items()], "part string, name string")
+        der_parts = der_parts.where(~F.col("part").isin(stale_der)).unionByName(
+            made.join(named, "part").select("table", F.col("name").alias("part"), "path"))
+    der_parts = materialize(der_parts.where(F.col("part").isin([r.name for r in mapping.derived])), "parts")
+    derived = _read_parts(der_parts, DERIVED_COLUMNS)
+    if derived is None:
+        derived = rule_ops.derived_transactions(txn.where("false"), mapping.derived)
 
     mappings_df = mappings_frame(spark, mapping.transfers)
     lk = ledger_key(spark, mapping, sk, mappings_df)
     lk = spark.createDataFrame(lk.collect(), "object_name string, account string, fingerprint string")
-    ledger_stale = stale_objects(lk, old).count() > 0
-    if ledger_stale or not catalog.is_stored(spark, f"{prefix}_entries"):
-        der = spark.table(der_table).withColumnRenamed("account", "derived_account")
-        entries = ledger_ops.ledger_entries(rule_ops.derived_entries(der),
-                                            transfer_ops.transfer_entries(transfer_ops.transfer_matches(txn, mappings_df)))
-        catalog.update(entries, f"{prefix}_entries")
-        catalog.update(ledger_ops.unaccounted(txn, spark.table(f"{prefix}_entries")), f"{prefix}_unaccounted")
-
-    version = write_manifest(sk.select("object_name", "fingerprint")
-                             .unionByName(dk.select("object_name", "fingerprint"))
-                             .unionByName(lk.select("object_name", "fingerprint")), manifest_root)
-    return RefreshResult(sorted(stale_names), sorted(stale_der), ledger_stale, version, n_stale)
+    ledger_stale = not stale_objects(lk, base.keys).isEmpty() or not base.has("entries")
+    rest = parts.where("table in ('entries', 'unaccounted')")
+    if ledger_stale:
+        paths = {t: f"{store}/data/{t}-{uuid.uuid4().hex}" for t in ("entries", "unaccounted")}
+        ledger_ops.ledger_entries(rule_ops.derived_entries(derived), transfer_ops.transfer_entries(
+            transfer_ops.transfer_matches(txn, mappings_df))).write.parquet(paths["entries"])
+        ledger_ops.unaccounted(txn, spark.read.parquet(paths["entries"])).write.parquet(paths["unaccounted"])
+        rest = spark.createDataFrame([(t, "0", p) for t, p in paths.items()], PARTS)
+
+    version = log.commit(base, sk.select("object_name", "fingerprint").unionByName(dk.select("object_name", "fingerprint"))
+                         .unionByName(lk.select("object_name", "fingerprint")), listed,
+                         txn_parts.unionByName(der_parts.select("table", "part", "path")).unionByName(rest.select("table", "part", "path")))
+    for t in TABLES:
+        stored_table(spark, store_root, t).createOrReplaceTempView(f"{prefix}_{t}")
+    action = lambda df, a: df.select("account", F.lit(a).alias("action"))
+    changed = action(rebuilt, "rebuilt").unionByName(action(extended, "extended")).unionByName(action(removed, "removed"))
+    return RefreshResult(changed, sorted(stale_der), ledger_stale, version)
+
+
+TABLES = ("txn", "derived", "entries", "unaccounted")
+
+
+def _read_parts(parts: DataFrame, columns) -> DataFrame | None:
+    paths = [r["path"] for r in parts.select("path").distinct().collect()]  # folders: at most buckets x refreshes
+    return parts.sparkSession.read.parquet(*paths).select(*columns) if paths else None
+
+
+def _new_txn_parts(base, store: str, listed: DataFrame, stale: DataFrame, removed: DataFrame, buckets: int, formats, account_formats):
+    """(rebuilt accounts, extended accounts, the folders of ``txn``) for stale and removed accounts."""
+    spark = listed.sparkSession
+    bucket = account_bucket(F.col("account"), buckets)
+    nobody = spark.createDataFrame([], "account string")
+    readable = listed.where(F.col("rel").rlike(r"^[^/]+/[^/]+\.csv$"))
+
+    def rows_of(files: DataFrame, some: DataFrame) -> DataFrame:
+        return read_files(spark, with_formats(files.join(some.select("account").distinct(), "account", "left_semi"), account_formats), formats)
+
+    # accounts that only gained files, against those with a file that changed or went, or without a recorded key
+    same = ["account", "rel", "mtime", "length"]
+    recorded = base.keys.where("object_name like 'source:%'").select(F.expr("substr(object_name, 8)").alias("account"))
+    lost = base.files.join(listed.select(*same), same, "left_anti").select("account")
+    maybe = materialize(stale.join(recorded, "account", "left_semi").join(lost, "account", "left_anti").select("account"), "gained")
+    extended, more = nobody, None
+    if not maybe.isEmpty():
+        gained = readable.join(base.files.select(*same), same, "left_anti")
+        new_raw = materialize(rows_of(gained, maybe), "new-rows")
+        states = _last_states(base.table("txn"), maybe)
+        early = valid_raw(new_raw).groupBy("account").agg(F.min("epoch").alias("first")).join(states, "account").where("first <= last_epoch")
+        extended = materialize(maybe.join(early.select("account"), "account", "left_anti"), "extended")
+        more = identify(new_raw.join(extended, "account", "left_semi"), bases=states).withColumn("bucket", bucket)
+    rebuilt = materialize(stale.select("account").join(extended, "account", "left_anti"), "rebuilt")
+    gone = rebuilt.unionByName(removed).select("account", bucket.alias("bucket"))
+    if gone.isEmpty():
+        return rebuilt, extended, materialize(base.parts.where("table = 'txn'").unionByName(_written_parts(more, store, "txn", "bucket")), "parts")
+
+    # rewritten buckets: the other accounts' stored rows, the rebuilt ones and what extends an account beside them
+    touched = gone.select("bucket").distinct()
+    fresh = identify(rows_of(readable, rebuilt)).withColumn("bucket", bucket)
+    held = base.table("txn", touched.select(F.col("bucket").cast("string").alias("part")))
+    if held is not None:
+        fresh = fresh.unionByName(held.select(*TXN_COLUMNS).join(gone.select("account"), "account", "left_anti").withColumn("bucket", bucket))
+    made = []
+    if more is not None:
+        fresh = fresh.unionByName(more.join(touched, "bucket", "left_semi").select(*fresh.columns))
+        made.append(_written_parts(more.join(touched, "bucket", "left_anti"), store, "txn", "bucket"))
+    made.append(_written_parts(fresh, store, "txn", "bucket"))
+    kept = base.parts.where("table = 'txn'").join(touched.select(F.col("bucket").cast("string").alias("part")), "part", "left_anti")
+    out = kept.select("table", "part", "path")
+    for m in made:
+        out = out.unionByName(m)
+    return rebuilt, extended, materialize(out, "parts")
+
+
+def stored_table(spark: SparkSession, store_root: str, table: str, version: int | None = None) -> DataFrame:
+    """A table of the newest (or a given) version of a store; an empty frame when that version has no row of it."""
+    found = ManifestLog(spark, store_root).snapshot(version).table(table)
+    return spark.createDataFrame([], "empty string") if found is None else found

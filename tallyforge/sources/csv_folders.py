@@ -71,6 +71,10 @@ def _scan(spark: SparkSession, root: str, accounts: Sequence[str] | None, fmt: B
         glob = f"{root.rstrip('/')}/*/*.csv"
     else:
         glob = f"{root.rstrip('/')}/{{{','.join(_escape_glob(a) for a in accounts)}}}/*.csv"
+    return _scan_paths(spark, glob, fmt)
+
+
+def _scan_paths(spark: SparkSession, glob: str | list[str], fmt: BankFormat) -> DataFrame | None:
     try:
         if fmt.schema is None and str(fmt.options.get("header", "")).lower() == "true":
             return _scan_by_header(spark, glob, fmt)
@@ -83,6 +87,19 @@ def _scan(spark: SparkSession, root: str, accounts: Sequence[str] | None, fmt: B
     return _with_lineage(df, df.columns)
 
 
+def read_files(spark: SparkSession, files: DataFrame, formats: Mapping[str, BankFormat] | None = None) -> DataFrame:
+    """S1 for chosen files (columns ``path``, ``format``): txn_raw of just these.  Their paths pass through the driver,
+    which lists the files of every scan anyway."""
+    formats = {DEFAULT_FORMAT.name: DEFAULT_FORMAT} | dict(formats or {})
+    by_format: dict[str, list[str]] = {}
+    for r in files.select("path", "format").distinct().collect():
+        by_format.setdefault(r["format"], []).append(_escape_glob(r["path"]))
+    out = spark.createDataFrame([], RAW_SCHEMA)
+    for fname, paths in sorted(by_format.items()):
+        out = out.unionByName(_conform(_scan_paths(spark, sorted(paths), formats[fname]), formats[fname]))
+    return out
+
+
 def _account_dir() -> F.Column:
     """The folder name of the file.  File paths are URL-encoded; a plus sign stands for itself."""
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1)
@@ -100,7 +117,7 @@ def _with_lineage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _scan_by_header(spark: SparkSession, glob: str, fmt: BankFormat) -> DataFrame:
+def _scan_by_header(spark: SparkSession, glob: str | list[str], fmt: BankFormat) -> DataFrame:
     """Every file's columns under the names of its own first line.  The first lines are one row per
     file; where all agree the CSV reader names the columns, else values are picked by position."""
     lines = spark.read.text(glob).where(F.trim("value") != "").select(

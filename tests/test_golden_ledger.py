@@ -99,12 +99,3 @@ def test_account_lookup_source_then_derived(spark, workdir):
     assert [r["balance"] for r in lf.account_statement("visa").orderBy("seq").collect()] == [-26200, -6200, -9210, -8910]
     assert [r["balance"] for r in lf.account_statement("Salary").collect()] == [-99000]
     assert lf.account_statement("nobody").count() == 0
-
-
-def test_many_accounts_read_path(spark, workdir, monkeypatch):
-    """Configurations beyond the glob limit read every folder once and keep the configured ones."""
-    import tallyforge.plans.refresh as R
-    monkeypatch.setattr(R, "GLOB_ACCOUNTS", 0)
-    lf = _ledger(spark, workdir)
-    src = {r["name"]: r["end_value"] for r in lf.source_balances().collect()}
-    assert src == {"chequing": 79476, "visa": -8910}
