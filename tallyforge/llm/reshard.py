@@ -138,7 +138,7 @@ def reshard(rows: DataFrame, old: str, new_shards: int, folder: str) -> DataFram
     counts = rows.groupBy(*key).agg(F.count("*").alias("n"))
     before = Window.partitionBy("old", "klass").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("doc_id"))).join(firsts, key)
+    numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", "text"))).join(firsts, key)
     numbered = numbered.withColumn("at", F.col("first") + F.col("k") - 1).join(F.broadcast(plan.drop("groups")), ["old", "klass"])
     place = F.filter("places", lambda p: (p["first"] <= F.col("at")) & (F.col("at") < p["stop"]))[0]
     placed = numbered.withColumn("p", place).select(

@@ -23,6 +23,7 @@ import base64
 import bisect
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -39,6 +40,10 @@ HOT_SHARE = 500  # payloads of more than one in so many rows are joined by broad
 DATE = "2024-01-01T00:00:00Z"
 
 
+# Blanks, controls and line or paragraph separators are percent-encoded: a key is one word of one index line.
+_BREAKS = re.compile(r"[\x00-\x20\x7f-\xa0\u2028\u2029]")
+
+
 def surt(url: str | None) -> str:
     """``http://www.a.com:80/b?c`` -> ``com,a,www:80)/b?c`` (host lower-case, no scheme or fragment)."""
     rest = (url or "").partition("://")[2] or (url or "")
@@ -46,7 +51,7 @@ def surt(url: str | None) -> str:
     host, slash, path = rest.partition("/")
     host, colon, port = host.lower().partition(":")
     key = ",".join(reversed(host.split("."))) + colon + port + ")" + slash + path
-    return key.replace(" ", "%20").replace("\n", "%0A")
+    return _BREAKS.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), key)
 
 
 def digest32(payload: bytes) -> str:
@@ -203,7 +208,9 @@ class Index:
     def lines(self, name: str, blocks=None):
         f, directory = self.directory(name)
         for _, at, n in directory if blocks is None else blocks:
-            for line in zlib.decompress(f.read_at(n, at)).decode().splitlines():
+            for line in zlib.decompress(f.read_at(n, at)).decode().split("\n"):
+                if not line:
+                    continue
                 key, page, archive, offset, length = line.split(" ")
                 yield key, (None if page == "-" else int(page)), archive, int(offset), int(length)
 
