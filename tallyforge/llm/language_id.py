@@ -144,7 +144,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     spark = docs.sparkSession
     ship(spark)
     cols = docs.select(*keep, *[c for c in ("text",) if c not in keep])
-    shared = spark.sparkContext.broadcast(model)  # at most MAX_LANGUAGES * CENTROIDS vectors
+    shared = spark.sparkContext.broadcast(model)  # CENTROIDS vectors a label
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema if f.name in keep)
 
     def run(batches):

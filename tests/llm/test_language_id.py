@@ -63,3 +63,9 @@ def test_the_sample_is_bounded(spark):
     docs = spark.createDataFrame([(i, f"ka lo {i}", "aa") for i in range(3000)], "doc_id long, text string, lang string")
     model = L.fit(docs, fit_rows=50)
     assert len(model.languages) <= L.CENTROIDS and np.exp(model.idf.max() - 1) <= 51.01
+
+
+def test_more_than_a_thousand_languages(spark):
+    docs = [(i, f"word{i} text of label", f"l{i % 1100}") for i in range(2200)]
+    got = collect(L.op2_language_id(spark, tables(documents=docs)))
+    assert len(got) == 2200 and set(got.lang_pred) <= {f"l{k}" for k in range(1100)} | {"und"}

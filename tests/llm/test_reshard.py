@@ -91,3 +91,15 @@ def test_flow_equals_brute_force():
                 c += sum(sizes[keep:])
             best = c if best is None else min(best, c)
         assert cost == best
+
+
+def test_rows_that_share_an_id_have_one_order(spark):
+    """Equal ids with different texts: every row lands once, however the input is dealt."""
+    rows = [(i % 3, f"text {i:03d}", i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, old int")
+    seen = []
+    for n in (1, 5):
+        got = collect(R.reshard(df.repartition(n), "old", 5, scratch(spark, "test")))
+        assert sorted(zip(got.doc_id, got.text)) == sorted((a, b) for a, b, _ in rows)
+        seen.append(sorted(zip(got.doc_id, got.text, got["shard"], got.slot)))
+    assert seen[0] == seen[1]

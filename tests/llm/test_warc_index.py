@@ -78,3 +78,12 @@ def test_index_finds_urls_and_archives_are_gzip(spark, monkeypatch):
 def test_surt():
     assert W.surt("http://www.A.com:80/b?c#d") == "com,a,www:80)/b?c"
     assert W.surt(None) == W.surt("") == ")"
+
+
+def test_urls_with_separators(spark):
+    """Every character that line and word splitting treat specially."""
+    odd = [chr(c) for c in range(0x21)] + ["\x7f", "\x85", "\xa0", "\u2028", "\u2029"]
+    rows = [(i, f"http://h{i % 3}.org/a{c}b", f"<p>{i % 7}</p>") for i, c in enumerate(odd)]
+    assert result(spark, rows) == brute(rows)
+    assert all(len(W.surt(u).split()) == 1 and len(W.surt(u).splitlines()) == 1 for _, u, _ in rows)
+    assert len({W.surt(u) for _, u, _ in rows}) == len(rows)
