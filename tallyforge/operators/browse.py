@@ -68,10 +68,9 @@ def apply_transform(df: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> Data
 
 def browse(df: DataFrame, columns: Sequence[str], state: SortState, text: str = "",
            tie_break: Sequence[str] = ()) -> DataFrame:
-    """Sort, then filter, then show the chosen columns (the reference's refresh order)."""
-    shown = sort_frame(df, state, tie_break)
-    shown = filter_description(shown, text)
-    return shown.select(*columns)
+    """Sort, then filter, then show all columns in the chosen order (P9: any other list is an error)."""
+    shown = sort_frame(select_columns(df, columns), state, tie_break)
+    return filter_description(shown, text)
 
 
 def account_names(accounts: DataFrame, column: str = "name") -> DataFrame:
