@@ -20,7 +20,6 @@ from ..operators import checks as C
 from ..operators import hierarchy as H
 from ..operators import series as S
 from ..operators.balances import account_kinds
-from ..operators.identity import quarantine as _quarantine
 from ..session import materialize
 from . import edge_queries, probe_queries
 from . import oracle as O
@@ -605,23 +604,7 @@ def q_match_counts(spark, sf):
 
 
 def q_ledger_checks(spark, sf):
-    lf = orders_ledger(spark, sf)
-    rules = lf.mapping.derived
-    kinds = account_kinds(lf.accounts)
-    parts = [
-        C.self_sourced(lf.derived_txn).select(F.lit("V1").alias("check"), F.col("source_id").alias("subject")),
-        C.blank_matchings(spark, rules).select(F.lit("V3").alias("check"), F.col("derived_account").alias("subject")),
-        C.name_clashes(kinds).select(F.lit("V6").alias("check"), F.col("name").alias("subject")),
-        transfer_ops.self_transfers(lf.transfer_mappings).select(
-            F.lit("V7").alias("check"), F.concat(F.lit("mapping "), F.col("mapping_no").cast("string")).alias("subject")),
-        _quarantine(lf.raw).select(F.lit("V8").alias("check"), F.col("reason").alias("subject")),
-        C.unknown_rule_accounts(spark, rules, lf.transfer_mappings, lf.accounts).select(
-            F.lit("V10").alias("check"), F.col("account").alias("subject")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return probe_queries.check_rows(orders_ledger(spark, sf))
 
 
 def browse_queries() -> dict[str, Query]:

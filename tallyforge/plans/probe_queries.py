@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import balances as B
+from ..operators import checks as C
 from ..operators import rules as R
 from ..operators import series as S
 from ..operators import transfers as T
 from ..sources import driver_tables as dt
-from .config import MAPPING_SCHEMA, DerivedRule, Matching
-from .ledgers import events_ledger, orders_ledger, status_ledger
+from .config import MAPPING_SCHEMA, AccountMapping, DerivedRule, Matching, TransferMapping
+from .ledgers import build_ledger, events_ledger, orders_ledger, status_ledger
 
 
 def _shipments(spark, sf, account) -> DataFrame:
@@ -57,6 +58,56 @@ def q_hot_transfers(spark, sf) -> DataFrame:
     return found.select("mapping_no", "k", "from_account", "from_seq", "from_amount", "to_account", "to_seq", "to_amount")
 
 
+def check_rows(lf) -> DataFrame:
+    """(check, subject) of every row-level check of a ledger."""
+    rules = lf.mapping.derived
+    parts = [
+        C.self_sourced(lf.derived_txn).select(F.lit("V1").alias("check"), F.col("source_id").alias("subject")),
+        C.blank_matchings(lf.spark, rules).select(F.lit("V3").alias("check"), F.col("derived_account").alias("subject")),
+        C.name_clashes(B.account_kinds(lf.accounts)).select(F.lit("V6").alias("check"), F.col("name").alias("subject")),
+        T.self_transfers(lf.transfer_mappings).select(
+            F.lit("V7").alias("check"), F.concat(F.lit("mapping "), F.col("mapping_no").cast("string")).alias("subject")),
+        lf.quarantine.select(F.lit("V8").alias("check"), F.col("reason").alias("subject")),
+        C.unknown_rule_accounts(lf.spark, rules, lf.transfer_mappings, lf.accounts).select(
+            F.lit("V10").alias("check"), F.col("account").alias("subject")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def q_clashing_checks(spark, sf) -> DataFrame:
+    """Orders with a rule file full of mistakes: derived accounts named like source accounts (one takes rows from
+    itself), a blank matching among others, unknown accounts, a mapping onto itself."""
+    rules = [DerivedRule("C0000000003", (Matching("C0000000003", ("LOW",)), Matching("C0000000004", ("URGENT",)))),
+             DerivedRule("Both", (Matching("", ("HIGH",)), Matching("C0000000007", ("LOW",)))),
+             DerivedRule("C0000000010", (Matching("", ("MEDIUM",)),)), DerivedRule("Gone", (Matching("NOBODY", ("LOW",)),))]
+    transfers = [TransferMapping("C0000000001", ("URGENT",), "NOWHERE", ("LOW",)), TransferMapping("C0000000002", ("LOW",), "C0000000002", ("LOW",))]
+    lf = build_ledger(spark, "clashing", dt.orders_raw(spark, sf), dt.orders_accounts(spark, sf), AccountMapping(rules, transfers))
+    # rows that an account takes from itself are counted by account
+    own = lf.derived_txn.select(F.col("source_id").alias("subject"), "derived_account")
+    named = check_rows(lf).join(own.where("derived_account like 'C%'"), "subject", "left")
+    subject = F.when(F.col("check") == "V1", F.col("derived_account")).otherwise(F.col("subject"))
+    return named.where("check <> 'V1' or derived_account in ('C0000000003', 'C0000000010')").groupBy("check", subject.alias("subject")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def q_mirrored_transfers(spark, sf) -> DataFrame:
+    """Every customer's urgent orders against an account that mirrors them; for every third customer some mirrored
+    amounts are a cent off, and for another third one mirrored row in seven is missing."""
+    raw = dt.orders_raw(spark, sf)
+    key, row = F.substring("account", 2, 10).cast("bigint"), F.col("src_row")
+    off = F.when((key % 3 == 1) & (row % 5 == 0), 1).otherwise(0)
+    mirror = raw.where((F.col("description") == "1-URGENT") & ((key % 3 != 2) | (row % 7 != 0))).withColumn("amount", off - F.col("amount"))
+    mirror = mirror.withColumn("account", F.concat(F.lit("M"), F.substring("account", 2, 10)))
+    c = dt.table(spark, sf, "customer").select(F.col("c_custkey").cast("bigint").alias("mapping_no"), F.format_string("%010d", "c_custkey").alias("k"))
+    m = c.select("mapping_no", F.concat(F.lit("C"), "k").alias("from_account"), F.lit("URGENT").alias("from_regex"),
+                 F.concat(F.lit("M"), "k").alias("to_account"), F.lit("URGENT").alias("to_regex"))
+    lf = build_ledger(spark, "mirrored", raw.unionByName(mirror), dt.orders_accounts(spark, sf), AccountMapping(), m)
+    return T.transfer_report(m, lf.transfer_matches)
+
+
 MANY = 5000
 
 
@@ -69,7 +120,8 @@ def q_many_rules(spark, sf) -> DataFrame:
 
 def queries() -> dict:
     return {"balance_at_shipment": q_balance_at_shipment, "hot_balance_at_shipment": q_hot_balance_at_shipment, "event_balances": q_event_balances,
-            "derived_balance_by_day": q_derived_balance_by_day, "hot_transfers": q_hot_transfers, "many_rules": q_many_rules}
+            "derived_balance_by_day": q_derived_balance_by_day, "hot_transfers": q_hot_transfers, "many_rules": q_many_rules,
+            "clashing_checks": q_clashing_checks, "mirrored_transfers": q_mirrored_transfers}
 
 
 _ORDERS = """o AS (
@@ -90,6 +142,25 @@ _CUSTOMER = "printf('C%010d', o_custkey)"
 def oracle_sql() -> dict[str, str]:
     by_customer, by_status = _ORDERS.format(account=_CUSTOMER), _ORDERS.format(account="'S' || o_orderstatus")
     return {
+        "clashing_checks": """
+SELECT 'V1' AS "check", 'C0000000003' AS subject, count(*) AS n FROM orders WHERE o_custkey = 3 AND o_orderpriority = '5-LOW' HAVING count(*) > 0
+UNION ALL SELECT 'V1', 'C0000000010', count(*) FROM orders WHERE o_custkey = 10 AND o_orderpriority = '3-MEDIUM' HAVING count(*) > 0
+UNION ALL SELECT 'V3', 'Both', 1
+UNION ALL SELECT 'V6', printf('C%010d', c_custkey), 1 FROM customer WHERE c_custkey IN (3, 10)
+UNION ALL SELECT 'V7', 'mapping 1', 1
+UNION ALL SELECT 'V10', a, 1 FROM (VALUES ('NOBODY'), ('NOWHERE')) v(a)""",
+        "mirrored_transfers": """
+WITH u AS (SELECT c_custkey AS c, count(o_orderkey) AS n, count(o_orderkey) FILTER (c_custkey % 3 = 1 AND o_orderkey % 5 = 0) AS off,
+    count(o_orderkey) FILTER (c_custkey % 3 = 2 AND o_orderkey % 7 = 0) AS lost
+  FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT' GROUP BY c_custkey),
+o AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS pos,
+    CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END * cast(round(o_totalprice * 100) AS bigint) AS amount
+  FROM orders WHERE o_orderpriority = '1-URGENT'),
+m AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY pos) AS pos2 FROM o WHERE c % 3 <> 2 OR k % 7 <> 0),
+bad AS (SELECT o.c, bool_or(o.amount <> m.amount) AS bad FROM o JOIN m ON m.c = o.c AND m.pos2 = o.pos WHERE o.c % 3 = 2 GROUP BY o.c)
+SELECT cast(u.c AS bigint) AS mapping_no, printf('C%010d', u.c) AS from_account, printf('M%010d', u.c) AS to_account, n AS n_from, n - lost AS n_to,
+  n - lost AS n_paired, n - lost AS pair_count, off = 0 AND NOT coalesce(bad, false) AS in_sync, -lost AS diff_to_from
+FROM u LEFT JOIN bad ON bad.c = u.c""",
         "balance_at_shipment": _AT.format(orders=by_customer, account=_CUSTOMER, start="coalesce(cast(round(c_acctbal * 100) AS bigint), 0)",
                                           more="LEFT JOIN customer ON c_custkey = o_custkey"),
         "hot_balance_at_shipment": _AT.format(orders=by_status, account="'S' || o_orderstatus", start="cast(0 AS bigint)", more=""),
