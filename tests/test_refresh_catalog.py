@@ -61,6 +61,7 @@ def test_appended_files_extend_and_changes_rebuild(spark, workdir, monkeypatch):
     _add(root, "visa", "old.csv", "2019-12-09,,1.00,COFFEE OLD")
     r4 = refresh()
     assert r4.accounts("rebuilt") == ["visa"] and r4.accounts("extended") == [] and not any("chequing" in f for f in read)
+    _equals_fresh(spark, root, mapping, store, _accounts(spark), workdir, "b")
     # a file that changed, next to an appended one
     _add(root, "visa", "more.csv", "2020-02-09,,8.00,COFFEE TRUCK")
     _add(root, "chequing", "later.csv", "2021-01-01,5.00,,LATE", "2021-01-01,,2.00,LATER")
@@ -72,6 +73,7 @@ def test_appended_files_extend_and_changes_rebuild(spark, workdir, monkeypatch):
     r6 = refresh(only)
     assert r6.accounts("removed") == ["visa"] and r6.accounts("rebuilt") == [] and r6.ledger_rebuilt and read == []
     assert spark.table("rf_txn").where("account = 'visa'").count() == 0
+    _equals_fresh(spark, root, mapping, store, only, workdir, "d")
     assert stored_table(spark, store, "txn", version=3).where("account = 'visa'").count() == 6
 
 
@@ -151,7 +153,7 @@ def test_refresh_after_rule_edits_equals_a_fresh_build(spark, workdir):
     coffee, groceries, salary = base.derived
     nothing = DerivedRule(coffee.name, (Matching("", ("NO SUCH TEXT",)),))
     extra = DerivedRule("Misc", (Matching("visa", ("REFUND",)),))
-    edits = [[groceries, nothing, salary], [salary, groceries, coffee, extra], []]
+    edits = [[groceries, salary], [nothing, groceries, salary], [salary, groceries, coffee], [coffee, groceries, salary, extra], []]
     store = os.path.join(workdir, "store")
     refresh_ledger(spark, f"{root}/accounts", _accounts(spark), base, store, prefix="re")
     for k, rules in enumerate(edits):
