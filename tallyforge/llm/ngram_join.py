@@ -22,8 +22,9 @@ Only connectivity is asked for, so pairs inside a component are not expanded.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case.  Defined results: null and empty
 texts, and texts of blanks, have empty sets and are linked with nothing; fewer than five words are one
-shingle; repeated rows are linked; a null ``doc_id`` never names a component that has another id; an
-empty table gives no rows; other columns are not read.
+shingle; repeated rows are linked, and rows of one ``doc_id`` with different texts are documents of their
+own; a document whose ``doc_id`` is null links like any other, but never names a component that has
+another id; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -98,11 +99,11 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _survey(docs: DataFrame) -> DataFrame:
-    """A row per document (``doc_id, n, sid, bitmap``) and, marked by ``times``, counts of shingles that
-    are frequent among the documents of a task."""
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    names = ["doc_id", "n", "sid", "bitmap", "times"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+    """A row per document (``doc_id, text_hash, n, sid, bitmap``) and, marked by ``times``, counts of
+    shingles that are frequent among the documents of a task."""
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    names = ["doc_id", "text_hash", "n", "sid", "bitmap", "times"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
 
     def run(batches):
         held, size, docs_held = [], 0, 0
@@ -115,13 +116,13 @@ def _survey(docs: DataFrame) -> DataFrame:
             often = np.flatnonzero(times >= max(2, docs_held // COMMON))
             k = len(often)
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(s[starts[often]].view(np.int64)), pa.nulls(k, pa.binary()),
+                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(s[starts[often]].view(np.int64)), pa.nulls(k, pa.binary()),
                  pa.array(times[often])], names)
 
         for b in batches:
             rows = []
-            for doc, s in zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text").to_pylist())):
-                rows.append((doc, len(s), signature(s), parity_bitmap(s), None))
+            for doc, text, s in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), shingle_sets(b.column("text").to_pylist())):
+                rows.append((doc, text, len(s), signature(s), parity_bitmap(s), None))
                 held.append(s)
                 size += len(s)
                 docs_held += 1
@@ -133,7 +134,7 @@ def _survey(docs: DataFrame) -> DataFrame:
         if size:
             yield frequent()
 
-    return cols.mapInArrow(run, "doc_id long, n long, sid long, bitmap binary, times long")
+    return cols.mapInArrow(run, "doc_id long, text_hash long, n long, sid long, bitmap binary, times long")
 
 
 def _postings(docs: DataFrame, common) -> DataFrame:
@@ -199,7 +200,16 @@ def _shared(postings: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- verification
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, text`` of all rows; those without an id, which no id tells apart, once a text
+    and under the text's hash as their id."""
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    nameless = written(cols.where("doc_id is null and text is not null").dropDuplicates(["text_hash"]), "nameless")
+    nameless = nameless.withColumn("doc_id", F.col("text_hash"))
+    return cols.where("doc_id is not null").unionByName(nameless)
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (``a, b``) that link, by exact intersection.  The sorted hashes of each class travel
     once, from its text to the hubs ``a`` it meets; a hub of many is split in parts."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
@@ -207,10 +217,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     sends = pairs.join(parts, "a").select(F.col("b").alias("sid"), F.struct("a", place.alias("part")).alias("to"))
     hubs = parts.select(F.col("a").alias("sid"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     sends = sends.unionByName(hubs.select("sid", F.struct("a", "part").alias("to")))
-    wanted = sends.groupBy("sid").agg(F.collect_set("to").alias("to")).join(classes.select("sid", "doc_id"), "sid")
+    wanted = sends.groupBy("sid").agg(F.collect_set("to").alias("to")).join(classes.select("sid", "doc_id", "text_hash"), "sid")
     wanted = written(wanted, "wanted")
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    found = likely(cols, wanted.select("doc_id")).join(wanted, "doc_id").select("sid", "to", "text")
+    found = likely(texts, wanted.select("doc_id")).join(wanted, ["doc_id", "text_hash"]).select("sid", "to", "text")
 
     def spread(batches):
         names, types = ["a", "part", "other", "sid", "s"], (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
@@ -218,7 +227,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
         for b in batches:
             rows, size = [], 0
             for sid, to, s in zip(b.column("sid").to_pylist(), b.column("to").to_pylist(), shingle_sets(b.column("text").to_pylist())):
-                if signature(s) != sid:  # an id may also name a row with another text
+                if signature(s) != sid:  # two texts of one id and one hash
                     continue
                 packed = s.tobytes()
                 for t in to:
@@ -345,31 +354,36 @@ def _tiles(shared: DataFrame, classes: DataFrame, comps: DataFrame, every: bool)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row."""
+    """``doc_id, n_shingles, component_id, text_hash, leader_hash`` of every row.  The row of a component
+    whose id is ``component_id`` and whose ``text_hash`` is ``leader_hash`` leads it: the smallest id, of
+    its texts the one of least hash."""
     spark = docs.sparkSession
     ship(spark)
     survey = written(_survey(docs), "survey")
-    people = survey.where("times is null").select("doc_id", "n", "sid", "bitmap")
+    people = survey.where("times is null").select("doc_id", "text_hash", "n", "sid", "bitmap")
     total = people.count()
     often = survey.where("times is not null").groupBy("sid").agg(F.sum("times").alias("t"))
     often = often.where(F.col("t") > max(2, total // COMMON)).select("sid")
     # at most COMMON times the mean set size, since each holds more than 1 / COMMON of the documents
     common = np.sort(often.toPandas()["sid"].to_numpy(np.int64).view(np.uint64))
     shared = written(_shared(_postings(docs, spark.sparkContext.broadcast(common))), "shared")
+    named = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
     classes = people.where("n > 0").groupBy("sid").agg(
-        F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("bitmap").alias("bitmap"))
-    classes = written(classes, "classes")
+        F.min(named).alias("leader"), F.any_value("n").alias("n"), F.any_value("bitmap").alias("bitmap"))
+    classes = classes.withColumn("text_hash", F.col("leader.text_hash"))
+    classes = written(classes.withColumn("doc_id", F.coalesce("leader.doc_id", "text_hash")), "classes")
+    texts = _texts(docs)
     hubs = shared.where("sid <> low").groupBy(F.col("low").alias("a"), F.col("sid").alias("b")).count()
     best = Window.partitionBy("b").orderBy(F.desc("count"), "a")
     stars = hubs.withColumn("k", F.row_number().over(best)).where("k = 1").select("a", "b")
     tested = written(_near_bits(stars, classes), "pairs")
-    links = _verified(tested, classes, docs)
+    links = _verified(tested, classes, texts)
     every = False
     while True:
         comps = written(components(links), "components")
         pairs = _tiles(shared, classes, comps, every)
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = _verified(pairs, classes, docs)
+        more = _verified(pairs, classes, texts)
         tested, links = tested.unionByName(pairs), links.unionByName(more)
         found, tried = more.count(), pairs.count()
         if every:
@@ -378,17 +392,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         # the most similar pairs come first while most of them link; then all that are left
         every = found * 2 < tried or found == 0
 
-    ids = people.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    ids = ids.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    least = ids.groupBy("comp").agg(F.min("least").alias("component_id"))
-    ids = ids.join(least, "comp").select("sid", "component_id")
-    out = people.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(ids, "sid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    ids = classes.select("sid", "leader").join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    least = ids.groupBy("comp").agg(F.min("leader").alias("least"))
+    ids = ids.join(least, "comp").select("sid", F.col("least.doc_id").alias("component_id"), F.col("least.text_hash").alias("leader_hash"))
+    out = people.select("doc_id", "n", "text_hash", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(ids, "sid", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
+                      "text_hash", F.coalesce("leader_hash", "text_hash").alias("leader_hash"))
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE = r"""

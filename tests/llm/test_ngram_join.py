@@ -82,6 +82,17 @@ def test_repeats_nulls_and_empty_table(spark):
     assert result(spark, []) == []
 
 
+def test_documents_without_an_id_link_others(spark):
+    rng = random.Random(6)
+    w = words(rng, 140, 10**6)
+    a, b, c = w[:104], w[6:114], w[14:122]  # a-b and b-c link, a-c do not
+    docs = [(1, " ".join(a)), (None, " ".join(b)), (2, " ".join(c))]
+    assert result(spark, docs) == brute(docs) and {r[2] for r in result(spark, docs)} == {"1"}
+    assert {r[2] for r in brute([docs[0], docs[2]])} == {"1", "2"}
+    more = docs + [(None, " ".join(b))] * 3 + [(None, " ".join(words(rng, 30, 10**6)))] * 2 + [(2, " ".join(a[:50])), (2, "x y z")]
+    assert result(spark, more) == brute(more)
+
+
 def test_threshold_is_exact(spark):
     # 100 and 75 shingles of which 75 are shared: exactly 0.75; one fewer shared: below it
     a = [f"t{i}" for i in range(104)]
