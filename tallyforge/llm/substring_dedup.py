@@ -14,13 +14,14 @@ anchors at equal places.
    constant time, a binary search over the length finds the common extension of two suffixes, and a
    mergesort compares by it.  Neighbours that agree on LENGTH bytes by hash are verified by their bytes.
    In each class of equal strings all but those of the smallest id are marked.
-4. The marks of a document are united and cut.
+4. Marks carry the id and a hash of the text they belong to, since rows may repeat an id.  They leave a
+   task packed by the partition that unites them, a few blobs a task; then each text is cut.
 
 All steps work on numpy arrays; texts longer than a block pass through it whole.
 
 Defined results: null text is the empty text; a null ``doc_id`` counts as the smallest id; rows of equal
-``doc_id`` never cut each other and get the same marks, so they should hold equal texts; overlaps count,
-and strings are judged on the input; an empty table gives no rows; other columns are not read.
+``doc_id`` never cut each other, whatever their texts, and each is cut by what smaller ids hold; overlaps
+count, and strings are judged on the input; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ LENGTH, K = 50, 25
 BLOCK_BYTES = 1 << 19  # bytes of text that are worked on at a time
 BUCKET_ANCHORS = 1_000_000
 BUCKET_CONTEXTS = 60_000
+MARKS_HELD = 200_000  # marks that a task packs at a time
 SLICE_WINDOWS = 300_000  # suffixes sorted at a time in a bucket, cut between anchors
 NO_ID = -(2**63)
 
@@ -339,28 +341,73 @@ def _shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     return written(sent.mapInArrow(meet, "doc_id long, bucket int, keys binary"), "anchors", "none")
 
 
-_CONTEXT = np.dtype([("id", "<i8"), ("key", "<u8"), ("first", "<u4"), ("count", "u1"), ("ahead", "u1")])
+_CONTEXT = np.dtype([("id", "<i8"), ("tag", "<i8"), ("key", "<u8"), ("first", "<u4"), ("count", "u1"), ("ahead", "u1")])
+_MARK = np.dtype([("id", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("stop", "<u4")])
+
+
+def _runs(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Marks of the runs [start, stop) of neighbouring positions of each text."""
+    order = np.lexsort((pos, tags, ids))
+    ids, tags, pos = ids[order], tags[order], pos[order]
+    other = (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])
+    fresh = np.concatenate([[True], other | (pos[1:] != pos[:-1])])
+    ids, tags, pos = ids[fresh], tags[fresh], pos[fresh]
+    s = np.flatnonzero(np.concatenate([[True], (np.diff(pos) != 1) | (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])]))
+    out = np.zeros(len(s), _MARK)
+    out["id"], out["tag"], out["start"], out["stop"] = ids[s], tags[s], pos[s], pos[np.append(s[1:], len(pos)) - 1] + 1
+    return out
+
+
+class _Marks:
+    """Marks of a task, packed by the partition that unites those of a text."""
+
+    def __init__(self, parts: int):
+        self.parts, self.held, self.size = parts, [], 0
+
+    def add(self, marks: np.ndarray):
+        self.held.append(marks)
+        self.size += len(marks)
+        if self.size >= MARKS_HELD:
+            yield from self.flush()
+
+    def flush(self):
+        if not self.held:
+            return
+        marks = np.concatenate(self.held)
+        self.held, self.size = [], 0
+        part = (mixed(marks["tag"].astype(np.int64).view(np.uint64)) % np.uint64(self.parts)).astype(np.int32)
+        order = np.lexsort((marks["tag"], marks["id"], part))
+        marks, part = marks[order], part[order]
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        blobs = [_pack(marks[a:b].tobytes()) for a, b in zip(cuts, np.append(cuts[1:], len(part)))]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part[cuts]), pa.nulls(len(cuts), pa.int32()), pa.array(blobs, pa.binary())], ["part", "bucket", "blob"])
+
+
+def _pack(raw: bytes) -> bytes:
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], decompressed_size=int(np.frombuffer(blob, np.int64, 1)[0]), codec="zstd", asbytes=True)
 
 
 def _marks(docs: DataFrame, anchors: DataFrame, anchor_buckets: int, buckets: int) -> DataFrame:
-    """``doc_id, spans``: runs [start, stop) of starts of covered strings."""
+    """``doc_id, tag, blob``: runs [start, stop) of starts of covered strings of each text (``tag``: its
+    hash), one row a text."""
     held = anchors.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "keys")).alias("found"))  # bounded by a text
-    some = likely(docs, anchors).join(held, "doc_id")
-
-    def pack_spans(ids, spans):
-        return pa.RecordBatch.from_arrays(
-            [pa.nulls(len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array([s.astype("<i8").tobytes() for s in spans], pa.binary())],
-            ["bucket", "doc_id", "blob"])
+    some = likely(docs, anchors).withColumn("tag", F.xxhash64("text")).join(held, "doc_id")
 
     def cut(batches):
-        for ids, texts, more in _texts(batches, ("doc_id", "text"), ("found",)):
+        marks = _Marks(buckets)
+        for ids, texts, more in _texts(batches, ("doc_id", "text"), ("found", "tag")):
             a = Anchors(texts)
             if not len(a.key):
                 continue
             name = (a.key >> np.uint64(32)) % np.uint64(anchor_buckets) << np.uint64(32) | a.key & np.uint64(0xFFFFFFFF)
             keep = np.zeros(len(name), bool)
             edges = np.searchsorted(a.doc, np.arange(len(ids) + 1))
-            for k, (found,) in enumerate(more):
+            for k, (found, _) in enumerate(more):
                 own = np.concatenate([np.frombuffer(f["keys"], np.uint32).astype(np.uint64) | np.uint64(f["bucket"]) << np.uint64(32) for f in found.as_py()])
                 keep[edges[k] : edges[k + 1]] = np.isin(name[edges[k] : edges[k + 1]], own)
             first, last, at, doc, key = (x[keep] for x in (a.first, a.last, a.at, a.doc, a.key))
@@ -368,6 +415,7 @@ def _marks(docs: DataFrame, anchors: DataFrame, anchor_buckets: int, buckets: in
                 continue
             begin = np.concatenate([[0], a.stops])[doc]
             names = np.array(ids, np.int64)[doc]
+            tags = np.array([t.as_py() for _, t in more], np.int64)[doc]
             count = last - first + 1
             # what an earlier document of this block covers is marked here and does not travel
             hit = covered(a.data, first, count, at - first, names, key)
@@ -375,14 +423,7 @@ def _marks(docs: DataFrame, anchors: DataFrame, anchor_buckets: int, buckets: in
             if hit.any():
                 own = np.repeat(np.arange(len(first)), count)
                 pos = (np.repeat(first - begin, count) + np.arange(len(own)) - np.repeat(where, count))[hit]
-                owner = doc[own[hit]]
-                order = np.lexsort((pos, owner))
-                pos, owner = pos[order], owner[order]
-                new = np.concatenate([[True], (np.diff(pos) != 1) | (np.diff(owner) != 0)])
-                s = np.flatnonzero(new)
-                spans = np.stack([pos[s], pos[np.append(s[1:], len(pos)) - 1] + 1], axis=1)
-                cuts = np.flatnonzero(np.concatenate([[True], np.diff(owner[s]) != 0]))
-                yield pack_spans([ids[d] for d in owner[s[cuts]].tolist()], np.split(spans, cuts[1:]))
+                yield from marks.add(_runs(names[own[hit]], tags[own[hit]], pos))
             # the rest of each context: from its first to its last string that is open
             left = np.flatnonzero(~hit)
             if not len(left):
@@ -393,7 +434,7 @@ def _marks(docs: DataFrame, anchors: DataFrame, anchor_buckets: int, buckets: in
             c = owner[e]
             lo, hi = step[e], step[np.append(e[1:], len(owner)) - 1]
             rows = np.zeros(len(c), _CONTEXT)
-            rows["id"], rows["key"], rows["first"] = names[c], key[c], first[c] - begin[c] + lo
+            rows["id"], rows["tag"], rows["key"], rows["first"] = names[c], tags[c], key[c], first[c] - begin[c] + lo
             rows["count"], rows["ahead"] = hi - lo + 1, at[c] - first[c] - lo
             start = first[c] + lo
             bucket = (key[c] >> np.uint64(20)) % np.uint64(buckets)
@@ -407,11 +448,12 @@ def _marks(docs: DataFrame, anchors: DataFrame, anchor_buckets: int, buckets: in
                 raw = rows[part].tobytes() + a.data[idx].tobytes()
                 blobs.append(np.array([len(part), len(raw)], np.int64).tobytes() + pa.compress(raw, codec="zstd", asbytes=True))
                 where_.append(int(bucket[part[0]]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(where_, pa.int32()), pa.nulls(len(where_), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "doc_id", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(where_, pa.int32()), pa.array(where_, pa.int32()), pa.array(blobs, pa.binary())], ["part", "bucket", "blob"])
+        yield from marks.flush()
 
     def resolve(batches):
         at, held = None, []
+        marks = _Marks(buckets)
 
         def close():
             rows = np.concatenate([r for r, _ in held])
@@ -423,22 +465,12 @@ def _marks(docs: DataFrame, anchors: DataFrame, anchor_buckets: int, buckets: in
             if hit.any():
                 own = np.repeat(np.arange(len(rows)), count)
                 pos = (np.repeat(rows["first"].astype(np.int64) - (np.cumsum(count) - count), count) + np.arange(len(own)))[hit]
-                ids = rows["id"][own[hit]]
-                order = np.lexsort((pos, ids))
-                pos, ids = pos[order], ids[order]
-                fresh = np.concatenate([[True], (np.diff(pos) != 0) | (ids[1:] != ids[:-1])])
-                pos, ids = pos[fresh], ids[fresh]
-                s = np.flatnonzero(np.concatenate([[True], (np.diff(pos) != 1) | (ids[1:] != ids[:-1])]))
-                spans = np.stack([pos[s], pos[np.append(s[1:], len(pos)) - 1] + 1], axis=1)
-                cuts = np.flatnonzero(np.concatenate([[True], ids[s][1:] != ids[s][:-1]]))
-                owners, parts = ids[s[cuts]].tolist(), np.split(spans, cuts[1:])
-                for k in range(0, len(owners), 10_000):
-                    yield pack_spans(owners[k : k + 10_000], parts[k : k + 10_000]).select(["doc_id", "blob"])
+                yield from marks.add(_runs(rows["id"][own[hit]], rows["tag"][own[hit]], pos))
 
         for b in batches:
             marked = b.filter(pa.compute.is_null(b.column("bucket")))
             if marked.num_rows:
-                yield marked.select(["doc_id", "blob"])
+                yield marked
             for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("blob")):
                 if bucket is None:
                     continue
@@ -452,12 +484,29 @@ def _marks(docs: DataFrame, anchors: DataFrame, anchor_buckets: int, buckets: in
                 held.append((np.frombuffer(raw, _CONTEXT, n), np.frombuffer(raw, np.uint8, -1, n * _CONTEXT.itemsize)))
         if held:
             yield from close()
+        yield from marks.flush()
+
+    def unite(batches):
+        held = [np.frombuffer(_unpack(blob.as_py()), _MARK) for b in batches for blob in b.column("blob")]
+        if not held:
+            return
+        marks = np.concatenate(held)
+        marks = marks[np.lexsort((marks["tag"], marks["id"]))]
+        ids, tags = marks["id"], marks["tag"]
+        edges = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])]))
+        spans = np.stack([marks["start"], marks["stop"]], axis=1).astype("<i8")
+        for k in range(0, len(edges), 10_000):
+            at = edges[k : k + 10_000]
+            stops = np.append(at[1:], edges[k + 10_000] if k + 10_000 < len(edges) else len(marks))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[at].astype(np.int64)), pa.array(tags[at].astype(np.int64)), pa.array([spans[i:j].tobytes() for i, j in zip(at, stops)], pa.binary())],
+                ["doc_id", "tag", "blob"])
 
-    # marks are spread by their document, contexts by their bucket
-    part = F.coalesce("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    sent = some.mapInArrow(cut, "bucket int, doc_id long, blob binary").withColumn("part", part)
-    sent = sent.repartition(buckets, "part").sortWithinPartitions("bucket").drop("part")
-    return written(sent.mapInArrow(resolve, "doc_id long, blob binary"), "marks", "none")
+    # contexts go to their bucket, marks to the partition that unites them
+    sent = some.mapInArrow(cut, "part int, bucket int, blob binary")
+    sent = sent.repartition(buckets, "part").sortWithinPartitions("bucket")
+    found = written(sent.mapInArrow(resolve, "part int, bucket int, blob binary").select("part", "blob"), "marks", "none")
+    return found.repartition(buckets, "part").mapInArrow(unite, "doc_id long, tag long, blob binary")
 
 
 def _copies(docs: DataFrame) -> DataFrame:
@@ -485,8 +534,7 @@ def cut_repeats(docs: DataFrame, keep: tuple[str, ...] = (), texts: bool = False
     anchors = _shared_anchors(slim, buckets)
     shared = anchors.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
     marks = _marks(slim, anchors, buckets, max(spark.sparkContext.defaultParallelism, math.ceil(shared / 4 / BUCKET_CONTEXTS)))
-    spans = marks.groupBy("doc_id").agg(F.collect_list("blob").alias("marks")).withColumn("sha", F.lit(None).cast("string"))  # bounded by a text
-    spans = spans.unionByName(copies.select("doc_id", F.lit(None).cast("array<binary>").alias("marks"), "sha"))
+    marks = written(marks, "spans", "none")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([f"doc_id {kinds['doc_id']}", "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string",
                         *(f"`{c}` {kinds[c]}" for c in keep), *(["text string"] if texts else [])])
@@ -502,10 +550,9 @@ def cut_repeats(docs: DataFrame, keep: tuple[str, ...] = (), texts: bool = False
                     rest = b""
                 elif marked.is_valid:
                     gone = np.zeros(len(t) + 1, np.int32)
-                    for m in marked.as_py():
-                        s = np.frombuffer(m, "<i8").reshape(-1, 2)
-                        np.add.at(gone, s[:, 0], 1)
-                        np.add.at(gone, s[:, 1] + LENGTH - 1, -1)
+                    s = np.frombuffer(marked.as_py(), "<i8").reshape(-1, 2)
+                    np.add.at(gone, s[:, 0], 1)
+                    np.add.at(gone, s[:, 1] + LENGTH - 1, -1)
                     gone = np.cumsum(gone)[:-1] > 0
                     n_spans.append(len(_spans(gone)))
                     n_removed.append(int(gone.sum()))
@@ -523,13 +570,13 @@ def cut_repeats(docs: DataFrame, keep: tuple[str, ...] = (), texts: bool = False
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *keep, *(["text"] if texts else [])])
 
     # only texts that may have marks are shuffled to them
-    concerned = spans.select("doc_id").distinct()
-    text_of = likely(own, concerned)
-    whole = F.coalesce(F.col("sha") == F.sha2("text", 256), F.lit(False))
+    concerned = marks.select("doc_id").unionByName(copies.select("doc_id")).distinct()
+    text_of = likely(own, concerned).withColumn("tag", F.xxhash64("text")).withColumn("sha", F.sha2("text", 256))
     # an id has marks or a digest; rows of one id with several texts may have both
-    marked = text_of.join(spans.where("marks is not null").drop("sha"), "doc_id", "left").join(
-        spans.where("sha is not null").select("doc_id", "sha"), "doc_id", "left").withColumn("whole", whole).drop("sha")
-    clean = likely(own, concerned, others=True).withColumns({"marks": F.lit(None).cast("array<binary>"), "whole": F.lit(False)})
+    whole = copies.withColumn("whole", F.lit(True))
+    marked = text_of.join(marks.withColumnRenamed("blob", "marks"), ["doc_id", "tag"], "left").join(whole, ["doc_id", "sha"], "left")
+    marked = marked.withColumn("whole", F.coalesce("whole", F.lit(False))).drop("tag", "sha")
+    clean = likely(own, concerned, others=True).withColumns({"marks": F.lit(None).cast("binary"), "whole": F.lit(False)})
     return marked.unionByName(clean).mapInArrow(finish, schema)
 
 

@@ -74,6 +74,14 @@ def test_nulls_repeats_long_texts_and_empty_table(spark):
     assert result(spark, []) == []
 
 
+def test_rows_of_one_id_with_several_texts(spark):
+    rng = random.Random(8)
+    one, two, three = (" ".join(words(rng, 60, 10**6)) for _ in range(3))
+    docs = [(1, one), (1, one + two), (7, one), (7, "short"), (7, three + one[40:200]), (7, two[:150] + three), (None, three[:90]), (8, three + three), (8, None)]
+    assert result(spark, docs) == brute(docs)
+    assert result(spark, docs[:4] + docs[:4]) == brute(docs[:4] + docs[:4])
+
+
 def test_suffix_sort_orders_groups_by_their_bytes():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 4000).astype(np.uint8)
