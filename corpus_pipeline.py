@@ -5,8 +5,8 @@ that is written as Parquet and reread as the next one's documents.  All but the
 of ``documents``; other columns are dropped.
 
 1. Language ID learns from the labelled documents and drops what it rejects.
-2. Near duplicates (Jaccard of word 5-grams of 0.75 or more): the smallest id of each group stays; of
-   rows that repeat an id one stays.
+2. Near duplicates (Jaccard of word 5-grams of 0.75 or more): the smallest id of each group stays, of
+   its texts the one of least hash, once.
 3. Substring dedup cuts bytes that an earlier document holds; a document of which nothing is left goes.
 4. Decontamination drops documents that hold a benchmark passage.
 5. BPE encodes and decodes what is left.
@@ -34,12 +34,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     groups = written(ngram_join.near_duplicates(docs).where("n_shingles > 0"), "groups")
-    spare = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    # an id may name several texts, so rows are told apart by id and text
+    leads = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("leader_hash"))
+    spare = groups.where(~leads).select("doc_id", "text_hash").distinct()
+    repeated = groups.where(leads).groupBy("doc_id", "text_hash").count().where("count > 1").drop("count")
     known = written(spare.withColumn("one", F.lit(False)).unionByName(repeated.withColumn("one", F.lit(True))), "spare")
     # texts that no group may concern are not shuffled
-    met = likely(docs, known).join(known, "doc_id", "left")
-    once = met.where("one").select(*COLUMNS).dropDuplicates(["doc_id"])
+    own = docs.withColumn("text_hash", F.xxhash64("text"))
+    asked = known.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
+    met = likely(own, known).join(asked, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left")
+    once = met.where("one").dropDuplicates(["doc_id", "text_hash"]).select(*COLUMNS)
     return likely(docs, known, others=True).unionByName(met.where("one is null").select(*COLUMNS)).unionByName(once)
 
 
