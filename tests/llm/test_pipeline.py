@@ -56,6 +56,17 @@ def test_each_stage_equals_brute_force_and_run_applies_them(spark, folder):
     assert {i: int(n) for i, n in out.n_tokens.items()} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in rows[4]}
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    rng = random.Random(9)
+    w = words(rng, 80, 10**6)
+    other = " ".join(words(rng, 40, 10**6))
+    near = " ".join([*w[:-1], "end"])
+    rows = [(5, " ".join(w)), (7, near), (7, other), (7, other), (None, near + " x"), (None, "no one else holds these words"), (9, None)]
+    docs = spark.read.parquet(tables(documents=rows) + "/documents.parquet")
+    got = sorted(((r.doc_id, r.text) for r in P.near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([rows[0], rows[2], rows[5], rows[6]], key=str)
+
+
 def test_empty_tables(spark):
     path = tables(documents=[], benchmark=[])
     assert collect(P.run(spark, path)).empty
