@@ -1,9 +1,10 @@
 """Category tree as an edge table: H1-H9.
 
 The reference keeps the tree as a parent -> ordered-children map and walks it in memory.  Here
-the tree is ``edges(parent, child, ord)`` and every question is a join or an aggregate over it or
-over its closure ``(ancestor, node, depth)``, which is built by joins that double the distance they
-reach, so trees of any depth and of millions of leaves stay distributed.
+the tree is ``edges(parent, child, ord)``.  Heights, frontier, switches and sums over subtrees come from
+interval labels (``operators.intervals``), which need a valid tree.  Reports on broken trees and pairs of
+ancestor and descendant come from the closure ``(ancestor, node, depth)``, which is built by joins that
+double the distance they reach, so trees of any depth and of millions of leaves stay distributed.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
+from . import intervals
 from .cycles import nodes_on_cycles
 
 EDGE_SCHEMA = T.StructType([
@@ -98,12 +100,9 @@ def cycle_nodes(edges: DataFrame, root: str) -> DataFrame:
     return nodes_on_cycles(edges).unionByName(root_is_child).distinct()
 
 
-def heights(edges: DataFrame, clo: DataFrame | None = None) -> DataFrame:
+def heights(edges: DataFrame) -> DataFrame:
     """H6: height = longest distance to a leaf (leaves 0); ordering by it is children-first."""
-    clo = clo if clo is not None else closure(edges)
-    lv = leaves(edges)
-    h = clo.join(lv, "node", "left_semi").groupBy("ancestor").agg(F.max("depth").alias("height"))
-    return h.select(F.col("ancestor").alias("node"), "height")
+    return intervals.label(edges).select("node", F.col("height").cast("int").alias("height"))
 
 
 def subtree_leaves(edges: DataFrame, clo: DataFrame | None = None) -> DataFrame:
@@ -131,36 +130,22 @@ def coverage(edges: DataFrame, registry: DataFrame) -> DataFrame:
     return src_in.unionByName(der_out)
 
 
-def frontier(edges: DataFrame, root: str, open_nodes: DataFrame, clo: DataFrame | None = None) -> DataFrame:
+def frontier(edges: DataFrame, root: str, open_nodes: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """H8: visible nodes (every proper ancestor open; the root is the always-open display root)
     that are closed or leaves.  ``open_nodes`` has a ``node`` column."""
-    clo = clo if clo is not None else closure(edges, None)
-    is_open = open_nodes.select("node").distinct().withColumn("_open", F.lit(True))
-    anc = (clo.where((F.col("depth") > 0))
-           .join(is_open.withColumnRenamed("node", "ancestor"), "ancestor", "left")
-           .groupBy("node").agg(F.bool_and(F.coalesce("_open", F.lit(False)) | (F.col("ancestor") == F.lit(root)))
-                                .alias("visible")))
-    under_root = clo.where((F.col("ancestor") == F.lit(root)) & (F.col("depth") > 0)).select("node")
-    vis = under_root.join(anc, "node", "inner").where("visible").select("node")
-    lv = leaves(edges).withColumn("_leaf", F.lit(True))
-    v = vis.join(is_open, "node", "left").join(lv, "node", "left")
-    return v.where(~F.coalesce("_open", F.lit(False)) | F.coalesce("_leaf", F.lit(False))).select("node")
-
-
-def selection(edges: DataFrame, switches: DataFrame, clo: DataFrame | None = None) -> DataFrame:
+    return intervals.frontier(labels if labels is not None else intervals.label(edges), root, open_nodes)
+
+
+def selection(edges: DataFrame, switches: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """H9: switching a node sets its whole subtree; a node's state is the latest switch on it or
     an ancestor, on by default.  ``switches(switch_no, node, active)``."""
-    clo = clo if clo is not None else closure(edges, None)
-    s = switches.select(F.col("node").alias("ancestor"), "switch_no", "active")
-    latest = (clo.join(s, "ancestor", "inner").groupBy("node")
-              .agg(F.max_by("active", "switch_no").alias("active")))
-    return nodes(edges).join(latest, "node", "left").select(
-        "node", F.coalesce("active", F.lit(True)).alias("active"))
+    return intervals.selection(labels if labels is not None else intervals.label(edges), switches)
 
 
-def selected_groups(edges: DataFrame, root: str, open_nodes: DataFrame, switches: DataFrame) -> DataFrame:
+def selected_groups(edges: DataFrame, root: str, open_nodes: DataFrame, switches: DataFrame,
+                    labels: DataFrame | None = None) -> DataFrame:
     """L13 groups: switched-on frontier nodes."""
-    clo = closure(edges, None)
-    f = frontier(edges, root, open_nodes, clo)
-    sel = selection(edges, switches, clo).where("active")
+    labels = labels if labels is not None else intervals.label(edges)
+    f = frontier(edges, root, open_nodes, labels)
+    sel = selection(edges, switches, labels).where("active")
     return f.join(sel.select("node"), "node", "inner").withColumnRenamed("node", "grp")

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .intervals import subtree_sums
 from .sequencing import ordered_scan
 
 
@@ -23,6 +24,14 @@ def group_start(group_leaves: DataFrame, accounts: DataFrame) -> DataFrame:
             .agg((-F.sum("start_value")).alias("start")))
 
 
+def subtree_starts(labels: DataFrame, accounts: DataFrame) -> DataFrame:
+    """A3 for every node of a labelled tree at once: minus the sum of the start values of the accounts among its
+    leaves; a node that has none is left out."""
+    leaf = labels.where("height = 0").select("node")
+    own = accounts.select(F.col("name").alias("node"), "start_value", F.lit(1).cast("bigint").alias("n")).join(leaf, "node", "left_semi")
+    return subtree_sums(labels, own, ["start_value", "n"]).where("n > 0").select(F.col("node").alias("grp"), (-F.col("start_value")).alias("start"))
+
+
 def net_changes(group_leaves: DataFrame, txn: DataFrame, account_col: str = "account") -> DataFrame:
     """A2: per (group, timestamp), minus the sum of the leaves' amounts."""
     t = txn.select(F.col(account_col).alias("leaf"), "epoch", "amount")
@@ -60,11 +69,11 @@ def rolled_net_changes(edges: DataFrame, txn: DataFrame, groups: DataFrame | Non
 
 
 def full_series(group_leaves: DataFrame, txn: DataFrame, accounts: DataFrame,
-                account_col: str = "account", net: DataFrame | None = None) -> DataFrame:
-    """(grp, epoch, balance) including the first point (0, start).  ``net`` may be
-    given (e.g. from ``rolled_net_changes``); else it is computed from ``group_leaves``.  The start is
+                account_col: str = "account", net: DataFrame | None = None, starts: DataFrame | None = None) -> DataFrame:
+    """(grp, epoch, balance) including the first point (0, start).  ``net`` and ``starts`` may be
+    given (e.g. from ``rolled_net_changes`` and ``subtree_starts``); else they are computed from ``group_leaves``.  The start is
     the first element of a group's scan.  A group none of whose leaves is an account has no series."""
-    starts = group_start(group_leaves, accounts)
+    starts = starts if starts is not None else group_start(group_leaves, accounts)
     if net is None:
         net = net_changes(group_leaves, txn, account_col)
     first = starts.select("grp", F.lit(0).cast("bigint").alias("epoch"), F.col("start").alias("net"), F.lit(1).alias("_first"))

@@ -18,10 +18,11 @@ from ..functions.timefmt import bound_epoch
 from ..operators import browse as B
 from ..operators import checks as C
 from ..operators import hierarchy as H
+from ..operators import intervals as I
 from ..operators import series as S
 from ..operators.balances import account_kinds
 from ..session import materialize
-from . import edge_queries, probe_queries
+from . import edge_queries, probe_queries, tree_queries
 from . import oracle as O
 from .ledgers import events_ledger, orders_ledger, status_ledger
 
@@ -190,6 +191,7 @@ def queries() -> dict[str, Query]:
         **browse_queries(),
         **edge_queries.queries(),
         **probe_queries.queries(),
+        **tree_queries.queries(),
     }
 
 
@@ -302,6 +304,7 @@ def oracle_sql() -> dict[str, str]:
         **browse_oracle(),
         **edge_queries.oracle_sql(),
         **probe_queries.oracle_sql(),
+        **tree_queries.oracle_sql(),
     }
 
 
@@ -344,23 +347,17 @@ def q_geo_tree_problems(spark, sf):
     return dup.unionByName(iso).unionByName(cyc).unionByName(bad).unionByName(cov)
 
 
-def _group_leaves(spark, sf, e=None, clo=None):
-    e = e if e is not None else _geo(spark, sf)
-    return materialize(H.subtree_leaves(e, clo).join(H.interior(e).withColumnRenamed("node", "grp"), "grp",
-                                                     "left_semi"))
-
-
-def _series(spark, sf, group_leaves=None):
+def _series(spark, sf, e=None, labels=None, groups=None):
+    """Series and start values of ``groups`` (all inner nodes, if none are given)."""
     lf = orders_ledger(spark, sf)
-    e = _geo(spark, sf)
-    clo = H.closure(e)
-    gl = group_leaves if group_leaves is not None else _group_leaves(spark, sf, e, clo)
-    height = clo.agg(F.max("depth")).first()[0] or 0
+    e = e if e is not None else _geo(spark, sf)
+    labels = labels if labels is not None else I.label(e)
+    groups = groups if groups is not None else labels.where("height > 0").select(F.col("node").alias("grp"))
+    height = labels.agg(F.max("height")).first()[0] or 0
     # the transactions are shuffled once, then rolled up level by level
-    net = S.rolled_net_changes(e, lf.txn, gl.select("grp").distinct(), depth=height)
-    full = S.full_series(gl, lf.txn, lf.source_accounts, net=net)
-    starts = S.group_start(gl, lf.source_accounts)
-    return full, starts
+    net = S.rolled_net_changes(e, lf.txn, groups, depth=height)
+    starts = materialize(S.subtree_starts(labels, lf.source_accounts).join(groups, "grp", "left_semi"), "starts")
+    return S.full_series(None, lf.txn, lf.source_accounts, net=net, starts=starts), starts
 
 
 def q_geo_series(spark, sf):
@@ -398,9 +395,9 @@ def q_geo_selection(spark, sf):
 
 def q_selected_series_totals(spark, sf):
     e = _geo(spark, sf)
-    groups = H.selected_groups(e, dt.ROOT, _open(spark), _switches(spark))
-    gl = materialize(H.subtree_leaves(e).join(groups, "grp", "left_semi"))
-    full, starts = _series(spark, sf, gl)
+    labels = I.label(e)
+    groups = materialize(H.selected_groups(e, dt.ROOT, _open(spark), _switches(spark), labels), "groups")
+    full, starts = _series(spark, sf, e, labels, groups)
     clipped = S.clip_series(full, starts, bound_epoch(SERIES_FROM), bound_epoch(SERIES_TO))
     return S.series_totals(clipped)
 
