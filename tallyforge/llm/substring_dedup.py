@@ -510,11 +510,11 @@ def _marks(docs: DataFrame, anchors: DataFrame, anchor_buckets: int, buckets: in
 
 
 def _copies(docs: DataFrame) -> DataFrame:
-    """``doc_id, sha`` of the texts of at least LENGTH bytes that a smaller id holds whole."""
-    own = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", F.sha2("text", 256).alias("sha"))
+    """``doc_id, sha, tag`` of the texts of at least LENGTH bytes that a smaller id holds whole."""
+    own = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", F.sha2("text", 256).alias("sha"), F.xxhash64("text").alias("tag"))
     own = written(own, "digests")
     least = own.groupBy("sha").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    return written(own.join(least.select("sha", "least"), "sha").where("doc_id > least").select("doc_id", "sha").distinct(), "copies")
+    return written(own.join(least.select("sha", "least"), "sha").where("doc_id > least").select("doc_id", "sha", "tag").distinct(), "copies")
 
 
 def cut_repeats(docs: DataFrame, keep: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
@@ -571,11 +571,12 @@ def cut_repeats(docs: DataFrame, keep: tuple[str, ...] = (), texts: bool = False
 
     # only texts that may have marks are shuffled to them
     concerned = marks.select("doc_id").unionByName(copies.select("doc_id")).distinct()
-    text_of = likely(own, concerned).withColumn("tag", F.xxhash64("text")).withColumn("sha", F.sha2("text", 256))
-    # an id has marks or a digest; rows of one id with several texts may have both
-    whole = copies.withColumn("whole", F.lit(True))
-    marked = text_of.join(marks.withColumnRenamed("blob", "marks"), ["doc_id", "tag"], "left").join(whole, ["doc_id", "sha"], "left")
-    marked = marked.withColumn("whole", F.coalesce("whole", F.lit(False))).drop("tag", "sha")
+    # marks and digests of whole copies are one table with a row a text, so texts are shuffled once
+    known = marks.select("doc_id", "tag", F.col("blob").alias("marks"), F.lit(None).cast("string").alias("sha")).unionByName(
+        copies.select("doc_id", "tag", F.lit(None).cast("binary").alias("marks"), "sha"))
+    known = known.groupBy("doc_id", "tag").agg(F.max("marks").alias("marks"), F.max("sha").alias("sha"))
+    marked = likely(own, concerned).withColumn("tag", F.xxhash64("text")).join(known, ["doc_id", "tag"], "left")
+    marked = marked.withColumn("whole", F.coalesce(F.col("sha") == F.sha2("text", 256), F.lit(False))).drop("tag", "sha")
     clean = likely(own, concerned, others=True).withColumns({"marks": F.lit(None).cast("binary"), "whole": F.lit(False)})
     return marked.unionByName(clean).mapInArrow(finish, schema)
 
