@@ -14,8 +14,9 @@ narrow row each.  For the others:
    most, so a band meets itself and the next), in cells of bounded size, are compared by parity bitmaps,
    two bits a shingle: the number of differing bits is at most the size of the symmetric difference and
    so bounds the overlap from above.  Cells whose members are all one component already need no pair.
-   Rounds that give each class its most similar one of another component run while most of them link;
-   then all remaining pairs are checked, so that no link between components is missed.
+   Rounds in which a cell proposes a forest over its components (so many pairs as they are, less one) run
+   while most of them link; then all remaining pairs are checked, so that no link between components is
+   missed.
 5. Pairs that pass are verified by intersecting the sorted hash arrays.
 
 Only connectivity is asked for, so pairs inside a component are not expanded.
@@ -69,9 +70,9 @@ def prefix_size(n: int) -> int:
 
 
 def parity_bitmap(s: np.ndarray) -> bytes:
-    """Bit i is the parity of the shingles whose hash falls on i; the width follows the size, and halves
-    of a bitmap XORed give the bitmap of half the width."""
-    width = max(64, 1 << int(len(s) - 1).bit_length()) if len(s) else 64
+    """Bit i is the parity of the shingles whose hash falls on i; the width follows the size (two to four
+    bits a shingle), and halves of a bitmap XORed give the bitmap of half the width."""
+    width = max(64, 2 << int(len(s) - 1).bit_length()) if len(s) else 64
     at = (s >> np.uint64(7)).astype(np.int64) & (width - 1)
     return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -138,16 +139,22 @@ def _survey(docs: DataFrame) -> DataFrame:
 
 
 def _postings(docs: DataFrame, common) -> DataFrame:
-    """``h, sid``: the prefix shingles of every document."""
+    """``h, sid``: the prefix shingles of every document; copies that a task meets send them once."""
     def run(batches):
         last = common.value
+        seen: set[int] = set()
         for b in batches:
+            if len(seen) > LOCAL:  # forgotten, so that a task's memory is bounded; repeats are dropped later
+                seen.clear()
             sids, lists, sizes = [], [], []
             for s in shingle_sets(b.column("text").to_pylist()):
                 if len(s) == 0:
                     continue
                 k = prefix_size(len(s))
                 sid = signature(s)
+                if sid in seen:
+                    continue
+                seen.add(sid)
                 if len(last):
                     at = np.minimum(np.searchsorted(last, s), len(last) - 1)
                     is_last = last[at] == s
@@ -277,8 +284,8 @@ def _near_bits(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _tiles(shared: DataFrame, classes: DataFrame, comps: DataFrame, every: bool) -> DataFrame:
-    """Pairs of different components whose bitmaps allow a link: all of them, or for each class the most
-    similar one of each cell."""
+    """Pairs of different components whose bitmaps allow a link: all of them, or a forest over the
+    components of each cell, made of similar pairs."""
     named = shared.select("h", "sid").join(comps.withColumnRenamed("node", "sid"), "sid", "left")
     named = named.withColumn("comp", F.coalesce("comp", "sid"))
     mixed = named.groupBy("h").agg(
@@ -309,8 +316,9 @@ def _tiles(shared: DataFrame, classes: DataFrame, comps: DataFrame, every: bool)
         words = min(len(x) for x in rows["bitmap"]) // 8
         bits = np.stack([fold(np.frombuffer(x, np.uint64), words) for x in rows["bitmap"]])
         split = rows["i"] != rows["j"]
+        tree = comp.copy()  # components joined by the pairs proposed so far
         for k in range(len(comp) - 1):
-            ok = (comp[k + 1 :] != comp[k]) & (own[k] | own[k + 1 :])
+            ok = (tree[k + 1 :] != tree[k]) & (own[k] | own[k + 1 :])
             if split:
                 ok &= part[k + 1 :] != part[k]
             ok &= (4 * np.minimum(n[k], n[k + 1 :]) >= 3 * np.maximum(n[k], n[k + 1 :]))
@@ -320,10 +328,14 @@ def _tiles(shared: DataFrame, classes: DataFrame, comps: DataFrame, every: bool)
             differ = np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1, dtype=np.int64)
             near = 7 * differ <= n[at] + n[k]
             at, differ = at[near], differ[near]
-            if len(at):
-                for q in (at if every else at[differ.argmin() : differ.argmin() + 1]).tolist():
-                    x, y = rows["sid"][k], rows["sid"][q]
-                    out.append((x, y) if x < y else (y, x))
+            if not every:  # the most similar class of each tree is met once, all of them join
+                order = np.argsort(differ, kind="stable")
+                _, first = np.unique(tree[at[order]], return_index=True)
+                at = at[order][first]
+                tree[np.isin(tree, tree[at])] = tree[k]
+            for q in at.tolist():
+                x, y = rows["sid"][k], rows["sid"][q]
+                out.append((x, y) if x < y else (y, x))
 
     def run(batches):
         key, rows = None, None
