@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 from ..functions.money import readable_amount
 from ..functions.timefmt import epoch_seconds
+from ..session import materialize
+from .byte_ranges import first_records, list_files
 from .schemas import RAW_COLUMNS, RAW_SCHEMA
 
 BANK_COLUMNS = ["TransDate", "Credit", "Debit", "Description"]
@@ -118,15 +120,13 @@ def _with_lineage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _scan_by_header(spark: SparkSession, glob: str | list[str], fmt: BankFormat) -> DataFrame:
-    """Every file's columns under the names of its own first line.  The first lines are one row per
-    file; where all agree the CSV reader names the columns, else values are picked by position."""
-    lines = spark.read.text(glob).where(F.trim("value") != "").select(
-        F.col("_metadata.file_path").alias("_path"), "value",
-        F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("r")).alias("at"))
-    first = lines.groupBy("_path").agg(F.min_by("value", "at").alias("value"))
-    heads = first.select("_path", F.regexp_replace("value", "^\ufeff", "").alias("value"))
-    kinds = [r[0] for r in heads.select("value").distinct().collect()]  # distinct headers of a bank's export
+    """Every file's columns under the names of its own first record, found in a listing pass that reads the
+    files' heads only.  Where all agree the CSV reader names the columns, else values are picked by
+    position; the reader drops each file's header itself."""
     options = dict(fmt.options)
+    heads = first_records(list_files(spark, glob), options.get("quote", '"'), options.get("encoding", "utf-8"))
+    heads = materialize(heads.select(F.col("uri").alias("_path"), "value"), "csv-heads")  # a row a file
+    kinds = [r[0] for r in heads.select("value").distinct().collect()]  # distinct headers of a bank's export
     if len(kinds) <= 1:
         df = spark.read.options(**options).csv(glob)
         return _with_lineage(df, df.columns)
@@ -134,15 +134,14 @@ def _scan_by_header(spark: SparkSession, glob: str | list[str], fmt: BankFormat)
     slots = [f"_c{i}" for i in range(width)]
     text = T.StructType([T.StructField(c, T.StringType(), True) for c in slots])
     csv_options = {k: v for k, v in options.items() if k in ("sep", "quote", "escape")}
-    parsed = F.from_csv("value", F.lit(", ".join(f"{c} string" for c in slots)), csv_options)
+    parsed = F.from_csv("value", F.lit(", ".join(f"{c} string" for c in slots)), csv_options | {"multiLine": "true"})
     names = F.transform(F.array(*[F.col(f"h.{c}") for c in slots]), lambda x: F.trim(x))
     heads = heads.withColumn("h", parsed).select("_path", names.alias("_names"))
     wanted = [r[0] for r in heads.select(F.explode("_names").alias("n")).where("n is not null and n <> ''").distinct().collect()]
-    rows = spark.read.schema(text).options(**{**options, "header": "false"}).csv(glob)
+    rows = spark.read.schema(text).options(**options).csv(glob)
     rows = rows.select(F.array(*slots).alias("_values"), F.col("_metadata.file_path").alias("_path"), _account_dir().alias("_account_dir"),
                        F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
                        F.monotonically_increasing_id().alias("_row")).join(heads, "_path")
-    rows = rows.where(~F.transform("_values", lambda x: F.trim(F.regexp_replace(x, "^\ufeff", ""))).eqNullSafe(F.col("_names")))
     value = lambda n: F.try_element_at("_values", F.nullif(F.array_position("_names", F.lit(n)).cast("int"), F.lit(0)))
     return rows.select(*[value(n).alias(n) for n in sorted(wanted)], "_account_dir", "_file", "_block", "_row")
 

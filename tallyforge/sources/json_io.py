@@ -12,12 +12,14 @@ from __future__ import annotations
 import json
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.money import cents
 from ..plans.config import AccountMapping, DerivedRule, Matching, TransferMapping
+from ..session import materialize
+from .byte_ranges import PART_BYTES, json_array_parts, list_files
 
 # Fixed field names of the reference's JSON files.
 F_DEFAULT_LEDGER = "default ledger"
@@ -169,21 +171,34 @@ def tree_edges_from_rule_file(spark: SparkSession, path: str) -> DataFrame:
 
 # ---- account and frame files (S4, S6) -------------------------------------------------------
 
-def read_account_files(spark: SparkSession, path: str) -> DataFrame:
+def _account_parts(spark: SparkSession, path: str, part_bytes: int) -> tuple[DataFrame, DataFrame]:
+    files = list_files(spark, path)
+    rows, heads = json_array_parts(files, "transactions", part_bytes)
+    head = F.from_json("head", ACCOUNT_FILE_SCHEMA)
+    return rows, heads.select("path", head.alias("h")).select("path", "h.*")
+
+
+def read_account_files(spark: SparkSession, path: str, part_bytes: int = PART_BYTES) -> DataFrame:
     """Account JSON files -> identified transaction rows (account, seq, id, date, epoch,
-    amount, description); ``seq`` is the position in the stored array."""
-    acc = read_json_object(spark, path, ACCOUNT_FILE_SCHEMA)
-    rows = acc.select(F.col("name").alias("account"), F.coalesce("first_position", F.lit(0)).alias("first"),
-                      F.posexplode("transactions").alias("seq", "t"))
+    amount, description); ``seq`` is the position in the stored array.  A long file is cut at element
+    borders and read by many tasks, ``part_bytes`` each."""
+    rows, heads = _account_parts(spark, path, part_bytes)
+    rows = materialize(rows, "account-parts")
+    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = rows.where("first = 0").select("path", "start", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("base"))
+    named = heads.select("path", F.col("name").alias("account"), F.coalesce("first_position", F.lit(0)).alias("file_first"))
+    rows = rows.join(firsts.join(named, "path"), ["path", "start"])
+    rows = rows.select("account", (F.col("file_first") + F.col("base") + F.col("first")).alias("first"),
+                       F.posexplode(F.from_json("chunk", T.ArrayType(TXN_STRUCT))).alias("seq", "t"))
     return rows.select(
         "account", (F.col("first") + F.col("seq")).cast("bigint").alias("seq"), F.col("t.ID").alias("id"),
         F.to_date("t.date").alias("date"), F.floor("t.timestamp").cast("bigint").alias("epoch"),
         cents(F.col("t.delta")).alias("amount"), F.col("t.description").alias("description"))
 
 
-def read_account_headers(spark: SparkSession, path: str) -> DataFrame:
+def read_account_headers(spark: SparkSession, path: str, part_bytes: int = PART_BYTES) -> DataFrame:
     """Name, start and end values (cents) of account files."""
-    acc = read_json_object(spark, path, ACCOUNT_FILE_SCHEMA)
+    _, acc = _account_parts(spark, path, part_bytes)
     return acc.where(F.coalesce("first_position", F.lit(0)) == 0).select(
         F.col("name"), F.lit("source").alias("kind"), cents(F.col("start_value")).alias("start_value"),
         cents(F.col("end_value")).alias("end_value"))

@@ -142,3 +142,42 @@ def test_strict_load_and_all_ledgers(spark, workdir):
         build_ledger(spark, "x", lf.raw, lf.source_accounts, lf.mapping, strict=True)
     both = all_ledgers_from_folders(spark, root)
     assert {r.ledger for r in with_ledger(both, "txn").select("ledger").distinct().collect()} == {x.name for x in both}
+
+
+def test_long_account_file_is_read_by_ranges(spark, workdir):
+    """Parts of 40 to 700 bytes: borders inside strings, escapes and elements; arrays of other fields around."""
+    hard = ['q"uote', "back\\", 'a\\"b', "[{]}", '"transactions": [', "Ünï 漢", "", "\\\\\\", "x" * 300]
+    rows = [{"ID": f"i{k}", "date": "2020-01-02", "delta": k / 4, "description": hard[k % len(hard)], "timestamp": 1577836800.0 + k}
+            for k in range(60)]
+    docs = {"a b": {"notes": [{"x": [1]}], "name": "a b", "start_value": 1.5, "transactions": rows, "end_value": 2.5, "tail": [{"y": 1}]},
+            "none": {"name": "none", "start_value": 1.0, "end_value": 1.0, "transactions": []},
+            "bare": {"name": "bare", "start_value": 3.0, "end_value": 3.0}}
+    for name, doc in docs.items():
+        with open(os.path.join(workdir, f"{name}.json"), "w", encoding="utf-8-sig") as f:
+            json.dump(doc, f, ensure_ascii=name != "a b", indent=2 if name == "a b" else None)
+    want = [("a b", k, r["ID"], r["description"], 25 * k) for k, r in enumerate(rows)]
+    for size in (40, 211, 1 << 20):
+        got = read_account_files(spark, workdir, part_bytes=size).orderBy("seq").collect()
+        assert [(r.account, r.seq, r.id, r.description, r.amount) for r in got] == want
+    heads = read_account_headers(spark, workdir, part_bytes=97).collect()
+    assert sorted((r.name, r.start_value, r.end_value) for r in heads) == [("a b", 150, 250), ("bare", 300, 300), ("none", 100, 100)]
+
+
+def test_headers_are_read_from_heads_only(spark, workdir):
+    """Quoted line feeds and blank lines before and in headers, a header past the first read, an empty file."""
+    from tallyforge.sources.byte_ranges import PROBE_BYTES, first_records, list_files
+    long = ",".join(["TransDate", "Credit", "Debit", "Description", "m" * 2 * PROBE_BYTES])
+    texts = {"a": '\ufeff"TransDate","Credit","Debit","Description","two\nlines"\n2020-01-02,,5.00,in,x\n',
+             "b": "\r\n \r\n" + long + "\r\n2020-01-03,7.00,,out\r\n", "c": "", "d": "\n\n",
+             "e": "Description,Credit,TransDate,Debit\nDescription,Credit,TransDate,Debit\nlast,,2020-01-04,1.00\n"}
+    for name, text in texts.items():
+        os.makedirs(os.path.join(workdir, "acc", name))
+        with open(os.path.join(workdir, "acc", name, "x.csv"), "w", encoding="utf-8", newline="") as f:
+            f.write(text)
+    heads = first_records(list_files(spark, os.path.join(workdir, "acc", "*", "*.csv"))).collect()
+    assert {r.uri.split("/")[-2]: r.value for r in heads} == {
+        "a": '"TransDate","Credit","Debit","Description","two\nlines"', "b": long, "e": "Description,Credit,TransDate,Debit"}
+    fmt = BankFormat(options={"header": "true", "multiLine": "true"})
+    raw = read_account_folders(spark, os.path.join(workdir, "acc"), {n: "lines" for n in texts}, {"lines": fmt})
+    got = sorted((r.account, r.amount, r.description) for r in raw.where("date is not null").collect())
+    assert got == [("a", 500, "in"), ("b", -700, "out"), ("e", 100, "last")]
