@@ -62,7 +62,8 @@ class PieceEncoder:
         self.tails = {c: self._whole(c) for c in TAIL}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        done = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)  # it counts no offsets
+        return np.array(done[0].ids, self.dtype).tobytes()
 
     def _learn(self, names: list[str], pieces: list[str]) -> None:
         """One call for all new pieces: each starts with one blank or line feed, so that none reaches
@@ -85,8 +86,8 @@ class PieceEncoder:
         if len(self.ids_of) > CACHED_PIECES:
             self.ids_of = {}
         known = self.ids_of
-        words = set().union(*(s[1:] for s in split)) if split else set()
-        words.difference_update(known)
+        # not difference_update(), which would walk all that are known instead of the block's words
+        words = {w for w in set().union(*(s[1:] for s in split)) if w not in known}
         odd, new, tailed = set(), [], []
         for w in words:
             if w.isalpha():
@@ -99,7 +100,7 @@ class PieceEncoder:
                 odd.add(w)  # white space at an end of a piece, or an empty one: a longer run of white space
             else:
                 new.append(w)
-        new += {w[:-1] for w in tailed}.difference(known, new)
+        new += {b for w in tailed if (b := w[:-1]) not in known}.difference(new)
         plain = [w for w in new if "<|" not in w]
         for at in range(0, len(plain), 20_000):
             part = plain[at : at + 20_000]

@@ -68,3 +68,16 @@ def test_frequent_ids_take_the_lowest_ranks(spark):
     ranks = T.frequency_ranks(T.encode_ids(docs))
     library = Tokenizer.from_file(PATH)
     assert ranks[0] == library.encode(" the").ids[0] and ranks[1] == T.END_ID
+
+
+def test_the_work_of_a_block_does_not_grow_with_the_cache():
+    class Cache(dict):
+        def __iter__(self):
+            raise AssertionError("all known pieces are walked")
+
+    own, library = T.PieceEncoder(PATH), Tokenizer.from_file(PATH)
+    texts = ["", "word", "a new word", "a\nnew  blank", " lead", "new word, new mark!", "tail "] + hostile(200, 3)
+    own.ids_of = Cache({"old": own._whole(" old")})
+    for part in ([], texts, texts[3:] + ["an old word"]):
+        for t, ids in zip(part, own.encode(part), strict=True):
+            assert np.frombuffer(ids, own.dtype).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
