@@ -14,8 +14,9 @@ narrow row each.  For the others:
    most, so a band meets itself and the next), in cells of bounded size, are compared by parity bitmaps,
    two bits a shingle: the number of differing bits is at most the size of the symmetric difference and
    so bounds the overlap from above.  Cells whose members are all one component already need no pair.
+   A pair that several tiles hold is met in the first of them, told by the first tiles of each class.
    Rounds in which a cell proposes a forest over its components (so many pairs as they are, less one) run
-   while most of them link; then all remaining pairs are checked, so that no link between components is
+   while many of them link; then all remaining pairs are checked, so that no link between components is
    missed.
 5. Pairs that pass are verified by intersecting the sorted hash arrays.
 
@@ -49,6 +50,8 @@ BLOCK_CHARS = 500_000  # text hashed at a time
 SEND_BYTES = 4 << 20  # hash arrays sent on at a time
 PART = 500  # classes compared with a hub in one place, about
 CELL = 1024  # members of a tile that meet in one cell, about
+FIRSTS = 8  # tiles that a class names, so that its pairs are met in the first one that they share
+FOREST = 8  # rounds of forests go on while one in so many pairs links
 
 
 # bytes.lower() changes A-Z only; \x09 to \x0D become blanks
@@ -285,7 +288,8 @@ def _near_bits(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _tiles(shared: DataFrame, classes: DataFrame, comps: DataFrame, every: bool) -> DataFrame:
     """Pairs of different components whose bitmaps allow a link: all of them, or a forest over the
-    components of each cell, made of similar pairs."""
+    components of each cell, made of similar pairs.  A pair comes twice only if the tiles that it shares
+    are not among the first ``FIRSTS`` of its classes."""
     named = shared.select("h", "sid").join(comps.withColumnRenamed("node", "sid"), "sid", "left")
     named = named.withColumn("comp", F.coalesce("comp", "sid"))
     mixed = named.groupBy("h").agg(
@@ -294,19 +298,21 @@ def _tiles(shared: DataFrame, classes: DataFrame, comps: DataFrame, every: bool)
     # shingles of one passage that have the same members are one tile
     mixed = mixed.where("x <> y").groupBy("x", "y", "m", "low", "sum1", "sum2").agg(F.min("h").alias("h")).select("h")
     open_ = written(named.join(mixed, "h", "left_semi"), "open-tiles")
-    members = open_.join(classes.select("sid", "n", "bitmap"), "sid")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
     # a band is its own members and those of the band below it
+    members = open_.join(classes.select("sid", "n"), "sid")
     members = members.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("own", F.col("band") == band)
-    sizes = open_.join(classes.select("sid", "n"), "sid").withColumn("band", F.explode(F.array(band, band + 1)))
-    sizes = sizes.withColumn("own", F.col("band") == band)
-    sizes = sizes.groupBy("h", "band").agg(F.count("*").alias("m"), F.max("own").alias("any_own")).where("m > 1 and any_own")
+    sizes = members.groupBy("h", "band").agg(F.count("*").alias("m"), F.max("own").alias("any_own")).where("m > 1 and any_own")
     parts = F.ceil(F.col("m") / CELL).cast("int")
     sizes = sizes.select("h", "band", parts.alias("parts"))
     dealt = members.join(sizes, ["h", "band"])
     part = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, part).alias("i"), F.greatest(j, part).alias("j")))
-    dealt = dealt.withColumn("part", part).withColumn("cell", F.explode(cells)).select("h", "band", "cell", "part", "own", "sid", "comp", "n", "bitmap")
+    dealt = dealt.withColumn("part", part).withColumn("cell", F.explode(cells))
+    # bitmaps join when the cells are dealt, so that they travel there only; with them the first tiles of the class
+    firsts = open_.groupBy("sid").agg(F.slice(F.array_sort(F.collect_set("h")), 1, FIRSTS).alias("firsts"))  # bounded by a set's prefix
+    known = firsts.join(classes.select("sid", "bitmap"), "sid")
+    dealt = dealt.join(known, "sid").select("h", "band", "cell", "part", "own", "sid", "comp", "n", "bitmap", "firsts")
     dealt = dealt.repartition("h", "band", "cell").sortWithinPartitions("h", "band", "cell", "sid")
 
     def compare(rows: dict, out: list) -> None:
@@ -316,6 +322,10 @@ def _tiles(shared: DataFrame, classes: DataFrame, comps: DataFrame, every: bool)
         words = min(len(x) for x in rows["bitmap"]) // 8
         bits = np.stack([fold(np.frombuffer(x, np.uint64), words) for x in rows["bitmap"]])
         split = rows["i"] != rows["j"]
+        firsts = np.full((len(comp), FIRSTS), np.iinfo(np.int64).max)
+        for k, f in enumerate(rows["firsts"]):
+            firsts[k, : len(f)] = f
+        firsts[firsts >= rows["h"]] = np.iinfo(np.int64).max
         tree = comp.copy()  # components joined by the pairs proposed so far
         for k in range(len(comp) - 1):
             ok = (tree[k + 1 :] != tree[k]) & (own[k] | own[k + 1 :])
@@ -328,6 +338,13 @@ def _tiles(shared: DataFrame, classes: DataFrame, comps: DataFrame, every: bool)
             differ = np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1, dtype=np.int64)
             near = 7 * differ <= n[at] + n[k]
             at, differ = at[near], differ[near]
+            # a pair that meets in an earlier tile is left to that
+            earlier = firsts[k][firsts[k] < rows["h"]]
+            if len(earlier):
+                fresh = ~np.isin(firsts[at], earlier).any(axis=1)
+                at, differ = at[fresh], differ[fresh]
+            if not len(at):
+                continue
             if not every:  # the most similar class of each tree is met once, all of them join
                 order = np.argsort(differ, kind="stable")
                 _, first = np.unique(tree[at[order]], return_index=True)
@@ -341,15 +358,15 @@ def _tiles(shared: DataFrame, classes: DataFrame, comps: DataFrame, every: bool)
         key, rows = None, None
         for b in batches:
             out: list = []
-            cols = {c: b.column(c).to_pylist() for c in ("h", "band", "part", "own", "sid", "comp", "n", "bitmap")}
+            cols = {c: b.column(c).to_pylist() for c in ("h", "band", "part", "own", "sid", "comp", "n", "bitmap", "firsts")}
             cells_ = b.column("cell").to_pylist()
             for k in range(b.num_rows):
                 at = (cols["h"][k], cols["band"][k], cells_[k]["i"], cells_[k]["j"])
                 if at != key:
                     if rows:
                         compare(rows, out)
-                    key, rows = at, {c: [] for c in ("part", "own", "sid", "comp", "n", "bitmap")} | {"i": at[2], "j": at[3]}
-                for c in ("part", "own", "sid", "comp", "n", "bitmap"):
+                    key, rows = at, {c: [] for c in ("part", "own", "sid", "comp", "n", "bitmap", "firsts")} | {"h": at[0], "i": at[2], "j": at[3]}
+                for c in ("part", "own", "sid", "comp", "n", "bitmap", "firsts"):
                     rows[c].append(cols[c][k])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
@@ -359,7 +376,7 @@ def _tiles(shared: DataFrame, classes: DataFrame, comps: DataFrame, every: bool)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 # ---------------------------------------------------------------- the join
@@ -394,15 +411,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     while True:
         comps = written(components(links), "components")
         pairs = _tiles(shared, classes, comps, every)
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         more = _verified(pairs, classes, texts)
         tested, links = tested.unionByName(pairs), links.unionByName(more)
         found, tried = more.count(), pairs.count()
         if every:
             comps = written(components(links), "components") if found else comps
             break
-        # the most similar pairs come first while most of them link; then all that are left
-        every = found * 2 < tried or found == 0
+        # the most similar pairs come first while many of them link; then all that are left
+        every = found * FOREST < tried or found == 0
 
     ids = classes.select("sid", "leader").join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = ids.groupBy("comp").agg(F.min("leader").alias("least"))

@@ -76,6 +76,22 @@ def test_small_cells_and_common_shingles(spark, corpus, monkeypatch):
     assert result(spark, corpus) == brute(corpus)
 
 
+def test_a_pair_of_several_tiles_is_proposed_once(spark, monkeypatch):
+    # one near group whose members share most of 12 shingles, each with other members
+    rng = random.Random(14)
+    sets = {sid: sorted(rng.sample(range(100, 112), 9)) for sid in range(30)}
+    shared = spark.createDataFrame([(h, sid) for sid, s in sets.items() for h in s], "h long, sid long")
+    bits = J.parity_bitmap(np.arange(40, dtype=np.uint64) << np.uint64(7))
+    classes = spark.createDataFrame([(sid, 40, bits) for sid in sets], "sid long, n long, bitmap binary")
+    none = spark.createDataFrame([], "node long, comp long")
+    monkeypatch.setattr(type(shared), "distinct", lambda self: self)  # the rows as the cells propose them
+    for cell in (1024, 7):
+        monkeypatch.setattr(J, "CELL", cell)
+        pairs = [tuple(r) for r in J._tiles(shared, classes, none, True).collect()]
+        assert set(pairs) == {(a, b) for a in range(30) for b in range(a + 1, 30)}
+        assert len(pairs) < 1.1 * len(set(pairs))  # each pair shares six tiles or more
+
+
 def test_repeats_nulls_and_empty_table(spark):
     docs = [(4, "a b c d e f g"), (4, "a b c d e f g"), (None, "a b c d e f g"), (9, "A B c d e f g"), (2, "z"), (None, "q r"), (3, "w " * 50_000)]
     assert result(spark, docs) == brute(docs)
