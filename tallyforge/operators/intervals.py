@@ -1,10 +1,12 @@
 """Interval labels of a category tree (H6-H9, A10): every node has a place ``enter`` in depth-first order, and its
 subtree is the nodes that enter from there up to, not with, ``leave``.
 
-The labels need no table of ancestors.  Pointer doubling over the parents gives depth, subtree size and height:
-after round k a node knows what lies less than 2^k steps below it and points 2^k steps up, so every round has one
-row a node and a tree of depth d takes log2(d) rounds.  The subtree sizes of a node's earlier siblings (one ordered scan)
-are its offset in its parent, and the sum of offsets on the path to the root, doubled up again, is its place.
+The labels need no table of ancestors.  Nodes with one child and what follows them are a line; pointer doubling down the lines
+(narrow rows of 64-bit keys) tells each node its line and its place there.  What lies above a line's top and below its lowest
+node is the same for all of it, so the tree of lines is labelled and the nodes take their labels from their line.  Pointer doubling
+over the lines' parents gives depth, size and height: after round k a line knows what lies less than 2^k lines below it and points
+2^k lines up.  The sizes of earlier siblings (one ordered scan) are a line's offset in its parent, and the sum of offsets on the path
+to the root, doubled up again, is its place.
 
 On labelled trees questions are scans in order of places: what a subtree holds is the difference of two running sums, how many
 closed nodes lie above a node is the running sum of those begun less those ended.
@@ -39,45 +41,93 @@ def fold_up(tree: DataFrame, value: str, merge: Callable[[Column, Column], Colum
             return now.select("node", value)
 
 
-def _below(edges: DataFrame) -> DataFrame:
-    """``node, parent, ord, depth, size, height`` of every node."""
-    child = edges.select(F.col("child").alias("node"), "parent", "ord")
-    roots = edges.select(F.col("parent").alias("node")).distinct().join(child.select("node"), "node", "left_anti")
-    tree = child.unionByName(roots.select("node", F.lit(None).cast("string").alias("parent"), F.lit(0).cast("bigint").alias("ord")))
-    tree = materialize(tree, "tree")
-    n, distinct = tree.agg(F.count(F.lit(1)), F.count_distinct("node")).first()
-    if n != distinct:
-        raise ValueError("a node is listed as a child more than once")
-    now = tree.select("node", F.col("parent").alias("jump"), F.col("parent").isNotNull().cast("bigint").alias("depth"),
-                      F.lit(1).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("height"))
-    rounds, step = math.ceil(math.log2(n + 1)) + 1, 1
+def _key(name: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), name)
+
+
+def _nodes(edges: DataFrame) -> DataFrame:
+    """``id, node, parent, up, ord, down`` of every node, one row each: 64-bit keys of the node, its parent and, if it has
+    exactly one, its child.  Keys that two names share are found, and others are taken."""
+    if not edges.where("parent is null or child is null").isEmpty():
+        raise ValueError("a node has no name")
+    for seed in range(64):
+        child = edges.select(_key(F.col("child"), seed).alias("id"), F.col("child").alias("node"), "parent", _key(F.col("parent"), seed).alias("up"), "ord")
+        kids = child.groupBy("up").agg(F.count(F.lit(1)).alias("kids"), F.max("id").alias("down"), F.min("parent").alias("name"), F.max("parent").alias("other"))
+        tree = child.join(kids.withColumnRenamed("up", "id"), "id", "full").select(
+            "id", F.coalesce("node", "name").alias("node"), "parent", "up", F.coalesce("ord", F.lit(0)).cast("bigint").alias("ord"),
+            F.when(F.col("kids") == 1, F.col("down")).alias("down"), F.coalesce(F.expr("name <> other or node <> name"), F.lit(False)).alias("clash"))
+        tree = materialize(tree, "tree")
+        twice = tree.groupBy("id").count().where("count > 1")
+        if not twice.isEmpty():
+            names = tree.join(twice.select("id"), "id", "left_semi").groupBy("node").count().where("count > 1")
+            if not names.isEmpty():
+                raise ValueError("a node is listed as a child more than once")
+        elif tree.where("clash").isEmpty():
+            return tree.drop("clash")
+    raise RuntimeError("names without distinct keys")
+
+
+def _lines(tree: DataFrame, rounds: int) -> DataFrame:
+    """``id, line, below``: nodes with one child and what follows them are a line; ``line`` is the key of its lowest node,
+    that has several children or none, ``below`` the steps to it."""
+    now = tree.select("id", F.coalesce("down", "id").alias("line"), F.col("down").isNotNull().cast("bigint").alias("below"),
+                      F.col("down").isNotNull().alias("open"))
+    arrived = now.where("not open")
+    now = now.where("open")
+    while not now.isEmpty():
+        if rounds < 0:
+            raise ValueError("a node lies above itself")
+        to = now.unionByName(arrived).select(F.col("id").alias("line"), F.col("line").alias("_line"), F.col("below").alias("_below"), F.col("open").alias("_open"))
+        moved = now.select("id", "line", "below").join(to, "line").select(
+            "id", F.col("_line").alias("line"), (F.col("below") + F.col("_below")).alias("below"), F.col("_open").alias("open"))
+        moved = materialize(moved, "lines")
+        arrived = arrived.unionByName(moved.where("not open"))
+        now = moved.where("open")
+        rounds -= 1
+    return arrived.select("id", "line", "below")
+
+
+def _below(lines: DataFrame, rounds: int) -> DataFrame:
+    """``node, depth, size, height`` of every line of ``lines(node, parent, len)``: nodes from the root down to its lowest one
+    with both, nodes from its top down, steps from its lowest node to the lowest leaf."""
+    now = lines.select("node", F.col("parent").alias("jump"), F.col("len").alias("depth"), F.col("len").alias("size"), F.lit(0).cast("bigint").alias("height"))
     while True:
         above = now.select(F.col("node").alias("jump"), F.col("jump").alias("beyond"), F.col("depth").alias("more"))
         open_ = now.where("jump is not null")
         moved = open_.join(above, "jump").select(
             "node", F.col("beyond").alias("jump"), (F.col("depth") + F.col("more")).alias("depth"), "size", "height")
-        far = open_.groupBy(F.col("jump").alias("node")).agg(F.sum("size").alias("far_size"), F.max("height").alias("far_height"))
+        # until it arrives, depth is the way to where a line points
+        far = open_.groupBy(F.col("jump").alias("node")).agg(F.sum("size").alias("far_size"), F.max(F.col("height") + F.col("depth")).alias("far_height"))
         now = now.where("jump is null").unionByName(moved).join(far, "node", "left").select(
             "node", "jump", "depth", (F.col("size") + F.coalesce("far_size", F.lit(0))).alias("size"),
-            F.greatest("height", F.col("far_height") + step).alias("height"))
+            F.greatest("height", "far_height").alias("height"))
         now = materialize(now, "below")
         if now.where("jump is not null").isEmpty():
-            return tree.join(now.drop("jump"), "node")
+            return now.drop("jump")
         rounds -= 1
         if rounds < 0:  # no path is as long as the nodes are many
             raise ValueError("a node lies above itself")
-        step *= 2
 
 
 def label(edges: DataFrame) -> DataFrame:
     """``node, parent, depth, size, height, enter, leave`` of every node of ``edges(parent, child, ord)``.
     ``size`` counts the node itself; an empty table has no nodes."""
-    below = _below(edges)
-    run = ordered_scan(below, ["parent"], ["ord", "node"], sums=["size"], index="_i")
-    offset = F.col("_run_size") - F.col("size") + F.col("parent").isNotNull().cast("bigint")
+    tree = _nodes(edges)
+    rounds = math.ceil(math.log2(tree.count() + 1)) + 1
+    member = _lines(tree, rounds)
+    # the parent of a line's top has several children, so it is the lowest node of its own line
+    tops = tree.join(tree.select(F.col("down").alias("id")).where("id is not null"), "id", "left_anti").select("id", "node", "up", "ord")
+    lines = member.join(tops, "id").select(F.col("line").alias("node"), F.col("up").alias("parent"), (F.col("below") + 1).alias("len"), "ord", F.col("node").alias("name"))
+    lines = materialize(lines, "tops")
+    below = materialize(lines.join(_below(lines, rounds), "node"), "line-sizes")
+    run = ordered_scan(below, ["parent"], ["ord", "name"], sums=["size"], index="_i")
+    offset = F.col("_run_size") - F.col("size") + F.col("parent").isNotNull().cast("bigint") + F.col("len") - 1
     run = materialize(run.withColumn("enter", offset), "offsets")
     place = fold_up(run, "enter", lambda own, upper: own + upper)
-    out = run.select("node", "parent", "depth", "size", "height").join(place, "node")
+    ends = run.select("node", "len", "depth", "size", "height").join(place, "node").withColumnRenamed("node", "line")
+    out = member.join(ends, "line").join(tree.select("id", "node", "parent"), "id").select(
+        "node", "parent", (F.col("depth") - 1 - F.col("below")).alias("depth"), (F.col("size") - F.col("len") + 1 + F.col("below")).alias("size"),
+        (F.col("height") + F.col("below")).alias("height"), (F.col("enter") - F.col("below")).alias("enter"))
     return materialize(out.withColumn("leave", F.col("enter") + F.col("size")), "labels")
 
 

@@ -85,3 +85,27 @@ def test_broken_trees_are_refused_and_empty_ones_are_empty(spark):
         with pytest.raises(ValueError):
             I.label(spark.createDataFrame(rows, EDGES))
     assert I.label(spark.createDataFrame([], EDGES)).count() == 0
+
+
+def test_lines_are_contracted_before_the_doubling(spark, monkeypatch):
+    # a long line, one that forks, and one that forks at its root
+    line = [(f"a{i}", f"a{i + 1}", 5) for i in range(70)]
+    line += [(f"b{i}", f"b{i + 1}", 1) for i in range(9)] + [("b4", "c0", 0), ("c0", "c1", 0), ("b4", "d", 1), ("r", "s", 2), ("r", "q", 2), ("q", "p", 0)]
+    children = {}
+    for p, c, o in line:
+        children.setdefault(p, []).append((o, c))
+    walk = _walk(children, {p for p, _, _ in line} - {c for _, c, _ in line})
+    seen, below = [], I._below
+    monkeypatch.setattr(I, "_below", lambda lines, rounds: seen.append(lines.count()) or below(lines, rounds))
+    # keys that names share are noticed and replaced
+    key = I._key
+    monkeypatch.setattr(I, "_key", lambda name, seed: key(name, seed) if seed else key(name, 0) % 50)
+    got = {r["node"]: tuple(r)[1:] for r in I.label(spark.createDataFrame(line, EDGES)).collect()}
+    assert got == walk
+    assert seen == [8]  # a; b to b4, the rest of b, c, d; r, s, q
+
+
+def test_nodes_without_a_name_and_long_rings_are_refused(spark):
+    for rows in ([("a", "b", 0), (None, "c", 0)], [("a", None, 0)], [("a", "b", 0), ("a", "b", 0)], [("a", f"x{i}", 0) for i in range(3)] + [("x1", "a", 0)]):
+        with pytest.raises(ValueError):
+            I.label(spark.createDataFrame(rows, EDGES))
