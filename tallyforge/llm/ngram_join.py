@@ -15,9 +15,11 @@ narrow row each.  For the others:
    two bits a shingle: the number of differing bits is at most the size of the symmetric difference and
    so bounds the overlap from above.  Cells whose members are all one component already need no pair.
    A pair that several tiles hold is met in the first of them, told by the first tiles of each class.
-   Rounds in which a cell proposes a forest over its components (so many pairs as they are, less one) run
-   while many of them link; then all remaining pairs are checked, so that no link between components is
-   missed.
+   A cell proposes a forest over its components (so many pairs as they are, less one) and lists all its
+   other pairs beside it, which are checked where the forest has left them in different components: most
+   tiles are done after one round.  Tiles with a cell of more than ``REST`` such pairs a member come
+   again: with forests while many of their pairs link, then with all remaining pairs, so that no link
+   between components is missed.
 5. Pairs that pass are verified by intersecting the sorted hash arrays.
 
 Only connectivity is asked for, so pairs inside a component are not expanded.
@@ -46,11 +48,13 @@ from tallyforge.llm.hashing import gram_hashes, word_hashes
 WORDS = 5
 COMMON = 2000  # a shingle in more than one of so many documents comes last in the order
 LOCAL = 1_000_000  # shingles counted at a time in a task
+PAIR, OTHER, AGAIN = 0, 1, 2  # kinds of the rows that cells make
 BLOCK_CHARS = 500_000  # text hashed at a time
 SEND_BYTES = 4 << 20  # hash arrays sent on at a time
 PART = 500  # classes compared with a hub in one place, about
 CELL = 1024  # members of a tile that meet in one cell, about
 FIRSTS = 8  # tiles that a class names, so that its pairs are met in the first one that they share
+REST = 8  # pairs a member that a cell lists beside its forest
 FOREST = 8  # rounds of forests go on while one in so many pairs links
 
 
@@ -287,9 +291,10 @@ def _near_bits(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _tiles(shared: DataFrame, classes: DataFrame, comps: DataFrame, every: bool) -> DataFrame:
-    """Pairs of different components whose bitmaps allow a link: all of them, or a forest over the
-    components of each cell, made of similar pairs.  A pair comes twice only if the tiles that it shares
-    are not among the first ``FIRSTS`` of its classes."""
+    """``a, b``: pairs of different components whose bitmaps allow a link, with ``every`` all of them.  Else, with
+    ``kind``: as ``PAIR`` a forest over the components of each cell, made of similar pairs, as ``OTHER`` the
+    cell's others; a cell with too many of these names its shingle instead (``a``, as ``AGAIN``).  A pair comes
+    twice only if the tiles that it shares are not among the first ``FIRSTS`` of its classes."""
     named = shared.select("h", "sid").join(comps.withColumnRenamed("node", "sid"), "sid", "left")
     named = named.withColumn("comp", F.coalesce("comp", "sid"))
     mixed = named.groupBy("h").agg(
@@ -316,6 +321,7 @@ def _tiles(shared: DataFrame, classes: DataFrame, comps: DataFrame, every: bool)
     dealt = dealt.repartition("h", "band", "cell").sortWithinPartitions("h", "band", "cell", "sid")
 
     def compare(rows: dict, out: list) -> None:
+        rest, again = [], every
         comp, n, own, part = (np.array(rows[c]) for c in ("comp", "n", "own", "part"))
         if len(comp) < 2 or not own.any() or (comp == comp[0]).all():
             return
@@ -328,7 +334,7 @@ def _tiles(shared: DataFrame, classes: DataFrame, comps: DataFrame, every: bool)
         firsts[firsts >= rows["h"]] = np.iinfo(np.int64).max
         tree = comp.copy()  # components joined by the pairs proposed so far
         for k in range(len(comp) - 1):
-            ok = (tree[k + 1 :] != tree[k]) & (own[k] | own[k + 1 :])
+            ok = ((tree if again else comp)[k + 1 :] != (tree if again else comp)[k]) & (own[k] | own[k + 1 :])
             if split:
                 ok &= part[k + 1 :] != part[k]
             ok &= (4 * np.minimum(n[k], n[k + 1 :]) >= 3 * np.maximum(n[k], n[k + 1 :]))
@@ -346,13 +352,26 @@ def _tiles(shared: DataFrame, classes: DataFrame, comps: DataFrame, every: bool)
             if not len(at):
                 continue
             if not every:  # the most similar class of each tree is met once, all of them join
+                others, apart = at, tree[at] != tree[k]
+                at, differ = at[apart], differ[apart]
                 order = np.argsort(differ, kind="stable")
                 _, first = np.unique(tree[at[order]], return_index=True)
                 at = at[order][first]
                 tree[np.isin(tree, tree[at])] = tree[k]
-            for q in at.tolist():
-                x, y = rows["sid"][k], rows["sid"][q]
-                out.append((x, y) if x < y else (y, x))
+                if not again:
+                    rest += [(k, q) for q in np.setdiff1d(others, at).tolist()]
+                    if len(rest) > REST * len(comp):
+                        rest, again = [], True
+            out += [pair(rows["sid"][k], rows["sid"][q], PAIR) for q in at.tolist()]
+        out += [pair(rows["sid"][k], rows["sid"][q], OTHER) for k, q in rest]
+        if again and not every:
+            out.append((rows["h"], rows["h"], AGAIN))
+
+    def pair(x: int, y: int, kind: int) -> tuple:
+        return (x, y, kind) if x < y else (y, x, kind)
+
+    def pack(out: list):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32()))], ["a", "b", "kind"])
 
     def run(batches):
         key, rows = None, None
@@ -369,14 +388,22 @@ def _tiles(shared: DataFrame, classes: DataFrame, comps: DataFrame, every: bool)
                 for c in ("part", "own", "sid", "comp", "n", "bitmap", "firsts"):
                     rows[c].append(cols[c][k])
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+                yield pack(out)
         out = []
         if rows:
             compare(rows, out)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+            yield pack(out)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    out = dealt.mapInArrow(run, "a long, b long, kind int")
+    return out.select("a", "b") if every else out
+
+
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    for end in ("a", "b"):
+        pairs = pairs.join(comps.select(F.col("node").alias(end), F.col("comp").alias("_" + end)), end, "left")
+    return pairs.where("coalesce(_a, a) <> coalesce(_b, b)").select("a", "b")
 
 
 # ---------------------------------------------------------------- the join
@@ -408,16 +435,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tested = written(_near_bits(stars, classes), "pairs")
     links = _verified(tested, classes, texts)
     every = False
+    comps = written(components(links), "components")
     while True:
-        comps = written(components(links), "components")
-        pairs = _tiles(shared, classes, comps, every)
-        pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        rows = written(_tiles(shared, classes, comps, every).distinct(), "proposed")
+        pairs = rows if every else rows.where(F.col("kind") == PAIR).select("a", "b")
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = _verified(pairs, classes, texts)
         tested, links = tested.unionByName(pairs), links.unionByName(more)
         found, tried = more.count(), pairs.count()
+        comps = written(components(links), "components") if found else comps
         if every:
-            comps = written(components(links), "components") if found else comps
             break
+        others = rows.where(F.col("kind") == OTHER).select("a", "b").join(tested, ["a", "b"], "left_anti")
+        others = written(_apart(others, comps), "pairs")
+        if not others.isEmpty():
+            more = _verified(others, classes, texts)
+            tested, links = tested.unionByName(others), links.unionByName(more)
+            comps = written(components(links), "components") if not more.isEmpty() else comps
+        again = rows.where(F.col("kind") == AGAIN).select(F.col("a").alias("h")).distinct()
+        if again.isEmpty():
+            break
+        shared = shared.join(again, "h", "left_semi")
         # the most similar pairs come first while many of them link; then all that are left
         every = found * FOREST < tried or found == 0
 

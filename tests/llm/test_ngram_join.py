@@ -92,6 +92,22 @@ def test_a_pair_of_several_tiles_is_proposed_once(spark, monkeypatch):
         assert len(pairs) < 1.1 * len(set(pairs))  # each pair shares six tiles or more
 
 
+@pytest.mark.parametrize("rest", [8, 0])
+def test_other_pairs_of_a_cell_are_settled_in_its_round(spark, monkeypatch, rest):
+    # near in their bitmaps, linked or not: the forest's pairs alone do not tell all components
+    rng = random.Random(21)
+    docs = []
+    for g in range(6):
+        base = words(rng, 150, 10**6)
+        docs += [edited(rng, base, n) for n in (0, 2, 3, 4, 5, 5, 6, 6, 7, 7)]
+    docs = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    deals, tiles = [], J._tiles
+    monkeypatch.setattr(J, "REST", rest)
+    monkeypatch.setattr(J, "_tiles", lambda *args: deals.append(args[-1]) or tiles(*args))
+    assert result(spark, docs) == brute(docs)
+    assert deals == [False] if rest else deals[-1] is True
+
+
 def test_repeats_nulls_and_empty_table(spark):
     docs = [(4, "a b c d e f g"), (4, "a b c d e f g"), (None, "a b c d e f g"), (9, "A B c d e f g"), (2, "z"), (None, "q r"), (3, "w " * 50_000)]
     assert result(spark, docs) == brute(docs)
