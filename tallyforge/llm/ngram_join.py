@@ -10,8 +10,9 @@ narrow row each.  For the others:
 2. Prefix shingles that two classes hold are found by one shuffle of (shingle, class).
 3. Stars: each class meets the smaller class it shares most prefix shingles with; verified links make
    the first components.
-4. Tiles: the classes of one shared shingle and one size band (sizes of linked sets differ by 4/3 at
-   most, so a band meets itself and the next), in cells of bounded size, are compared by parity bitmaps,
+4. Tiles: the classes that meet the same smallest class in their shared shingles, each once, and of one
+   size band (sizes of linked sets differ by 4/3 at most, so a band meets itself and the next), in cells
+   of bounded size, are compared by parity bitmaps,
    two bits a shingle: the number of differing bits is at most the size of the symmetric difference and
    so bounds the overlap from above.  Cells whose members are all one component already need no pair.
    A pair that several tiles hold is met in the first of them, told by the first tiles of each class.
@@ -49,12 +50,13 @@ WORDS = 5
 COMMON = 2000  # a shingle in more than one of so many documents comes last in the order
 LOCAL = 1_000_000  # shingles counted at a time in a task
 PAIR, OTHER, AGAIN = 0, 1, 2  # kinds of the rows that cells make
+ANY = -(1 << 30)  # the band of a cell that holds a whole tile
 BLOCK_CHARS = 500_000  # text hashed at a time
 SEND_BYTES = 4 << 20  # hash arrays sent on at a time
 PART = 500  # classes compared with a hub in one place, about
 CELL = 1024  # members of a tile that meet in one cell, about
 FIRSTS = 8  # tiles that a class names, so that its pairs are met in the first one that they share
-REST = 8  # pairs a member that a cell lists beside its forest
+REST = 64  # pairs a member that a cell lists beside its forest
 FOREST = 8  # rounds of forests go on while one in so many pairs links
 
 
@@ -254,21 +256,23 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
                 yield pack(rows)
 
     def compare(batches):
-        hub, own = None, None
+        hub, own, last = None, None, None
         for b in batches:
             out = []
             for a, other, sid, s in zip(b.column("a").to_pylist(), b.column("other").to_pylist(), b.column("sid").to_pylist(), b.column("s")):
                 s = np.frombuffer(s.as_py(), np.uint64)
                 if not other:
                     hub, own = a, s
-                elif hub == a and linked(own, s):
-                    out.append((a, sid))
+                elif hub == a and (a, sid) != last:  # rows that come twice are neighbours
+                    last = (a, sid)
+                    if linked(own, s):
+                        out.append(last)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
     dealt = found.mapInArrow(spread, "a long, part int, other boolean, sid long, s binary")
-    dealt = dealt.repartition("a", "part").sortWithinPartitions("a", "part", "other")
-    return written(dealt.mapInArrow(compare, "a long, b long").distinct(), "links")
+    dealt = dealt.repartition("a", "part").sortWithinPartitions("a", "part", "other", "sid")
+    return written(dealt.mapInArrow(compare, "a long, b long"), "links")
 
 
 def _near_bits(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -295,30 +299,37 @@ def _tiles(shared: DataFrame, classes: DataFrame, comps: DataFrame, every: bool)
     ``kind``: as ``PAIR`` a forest over the components of each cell, made of similar pairs, as ``OTHER`` the
     cell's others; a cell with too many of these names its shingle instead (``a``, as ``AGAIN``).  A pair comes
     twice only if the tiles that it shares are not among the first ``FIRSTS`` of its classes."""
-    named = shared.select("h", "sid").join(comps.withColumnRenamed("node", "sid"), "sid", "left")
+    named = shared.select("h", "sid").join(comps.withColumnRenamed("node", "sid"), "sid", "left").join(classes.select("sid", "n"), "sid")
     named = named.withColumn("comp", F.coalesce("comp", "sid"))
-    mixed = named.groupBy("h").agg(
-        F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), F.min("sid").alias("low"),
-        F.sum(F.xxhash64("sid").cast("decimal(20,0)")).alias("sum1"), F.sum(F.hash("sid").cast("decimal(20,0)")).alias("sum2"))
-    # shingles of one passage that have the same members are one tile
-    mixed = mixed.where("x <> y").groupBy("x", "y", "m", "low", "sum1", "sum2").agg(F.min("h").alias("h")).select("h")
-    open_ = written(named.join(mixed, "h", "left_semi"), "open-tiles")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
+    mixed = named.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"))
+    open_ = written(named.join(mixed.where("x <> y").select("h", "m"), "h"), "open-tiles")
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
+    open_ = open_.withColumn("size", size)
+    # a tile that fits one cell is dealt whole and finds its bands there
+    whole = open_.where(F.col("m") <= CELL).select("h", "sid", "comp", "n", "size", *(F.lit(x).alias(c) for c, x in (("band", ANY), ("part", 0), ("i", 0), ("j", 0))))
     # a band is its own members and those of the band below it
-    members = open_.join(classes.select("sid", "n"), "sid")
-    members = members.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("own", F.col("band") == band)
-    sizes = members.groupBy("h", "band").agg(F.count("*").alias("m"), F.max("own").alias("any_own")).where("m > 1 and any_own")
-    parts = F.ceil(F.col("m") / CELL).cast("int")
-    sizes = sizes.select("h", "band", parts.alias("parts"))
-    dealt = members.join(sizes, ["h", "band"])
+    members = open_.where(F.col("m") > CELL).withColumn("band", F.explode(F.array("size", F.col("size") + 1)))
+    sizes = members.groupBy("h", "band").agg(F.count("*").alias("k"), F.max(F.col("size") == F.col("band")).alias("any_own")).where("k > 1 and any_own")
+    parts = F.ceil(F.col("k") / CELL).cast("int")
+    dealt = members.join(sizes.select("h", "band", parts.alias("parts")), ["h", "band"])
     part = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, part).alias("i"), F.greatest(j, part).alias("j")))
-    dealt = dealt.withColumn("part", part).withColumn("cell", F.explode(cells))
+    dealt = dealt.withColumn("part", part).withColumn("cell", F.explode(cells)).select(*whole.columns[:-2], "cell.i", "cell.j")
     # bitmaps join when the cells are dealt, so that they travel there only; with them the first tiles of the class
     firsts = open_.groupBy("sid").agg(F.slice(F.array_sort(F.collect_set("h")), 1, FIRSTS).alias("firsts"))  # bounded by a set's prefix
     known = firsts.join(classes.select("sid", "bitmap"), "sid")
-    dealt = dealt.join(known, "sid").select("h", "band", "cell", "part", "own", "sid", "comp", "n", "bitmap", "firsts")
-    dealt = dealt.repartition("h", "band", "cell").sortWithinPartitions("h", "band", "cell", "sid")
+    dealt = whole.unionByName(dealt).join(known, "sid").withColumn("firsts", F.filter("firsts", lambda x: x < F.col("h")))
+    cols = ["h", "band", "i", "j", "part", "size", "sid", "comp", "n", "bitmap", "firsts"]
+    dealt = dealt.select(*cols).repartition("h", "band", "i", "j").sortWithinPartitions("h", "band", "i", "j", "sid")
+
+    def bands(rows: dict, out: list) -> None:
+        if rows["band"] != ANY:
+            return compare(rows | {"own": [x == rows["band"] for x in rows["size"]]}, out)
+        each = np.array(rows["size"])
+        for band in np.unique(each):
+            at = np.flatnonzero((each == band) | (each == band - 1)).tolist()
+            if len(at) > 1:
+                compare(rows | {c: [rows[c][k] for k in at] for c in cols[4:]} | {"own": (each[at] == band).tolist()}, out)
 
     def compare(rows: dict, out: list) -> None:
         rest, again = [], every
@@ -331,7 +342,6 @@ def _tiles(shared: DataFrame, classes: DataFrame, comps: DataFrame, every: bool)
         firsts = np.full((len(comp), FIRSTS), np.iinfo(np.int64).max)
         for k, f in enumerate(rows["firsts"]):
             firsts[k, : len(f)] = f
-        firsts[firsts >= rows["h"]] = np.iinfo(np.int64).max
         tree = comp.copy()  # components joined by the pairs proposed so far
         for k in range(len(comp) - 1):
             ok = ((tree if again else comp)[k + 1 :] != (tree if again else comp)[k]) & (own[k] | own[k + 1 :])
@@ -377,21 +387,20 @@ def _tiles(shared: DataFrame, classes: DataFrame, comps: DataFrame, every: bool)
         key, rows = None, None
         for b in batches:
             out: list = []
-            cols = {c: b.column(c).to_pylist() for c in ("h", "band", "part", "own", "sid", "comp", "n", "bitmap", "firsts")}
-            cells_ = b.column("cell").to_pylist()
+            got = {c: b.column(c).to_pylist() for c in cols}
             for k in range(b.num_rows):
-                at = (cols["h"][k], cols["band"][k], cells_[k]["i"], cells_[k]["j"])
+                at = tuple(got[c][k] for c in cols[:4])
                 if at != key:
                     if rows:
-                        compare(rows, out)
-                    key, rows = at, {c: [] for c in ("part", "own", "sid", "comp", "n", "bitmap", "firsts")} | {"h": at[0], "i": at[2], "j": at[3]}
-                for c in ("part", "own", "sid", "comp", "n", "bitmap", "firsts"):
-                    rows[c].append(cols[c][k])
+                        bands(rows, out)
+                    key, rows = at, dict(zip(cols, at)) | {c: [] for c in cols[4:]}
+                for c in cols[4:]:
+                    rows[c].append(got[c][k])
             if out:
                 yield pack(out)
         out = []
         if rows:
-            compare(rows, out)
+            bands(rows, out)
         if out:
             yield pack(out)
 
@@ -422,40 +431,46 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     often = often.where(F.col("t") > max(2, total // COMMON)).select("sid")
     # at most COMMON times the mean set size, since each holds more than 1 / COMMON of the documents
     common = np.sort(often.toPandas()["sid"].to_numpy(np.int64).view(np.uint64))
-    shared = written(_shared(_postings(docs, spark.sparkContext.broadcast(common))), "shared")
+    shared = _shared(_postings(docs, spark.sparkContext.broadcast(common)))
     named = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
     classes = people.where("n > 0").groupBy("sid").agg(
         F.min(named).alias("leader"), F.any_value("n").alias("n"), F.any_value("bitmap").alias("bitmap"))
     classes = classes.withColumn("text_hash", F.col("leader.text_hash"))
     classes = written(classes.withColumn("doc_id", F.coalesce("leader.doc_id", "text_hash")), "classes")
     texts = _texts(docs)
-    hubs = shared.where("sid <> low").groupBy(F.col("low").alias("a"), F.col("sid").alias("b")).count()
+    # all shingles of one smallest class make one tile, so that a class comes there once
+    tiles = written(shared.groupBy(F.col("low").alias("h"), "sid").count(), "tiles")
+    hubs = tiles.where("sid <> h").select(F.col("h").alias("a"), F.col("sid").alias("b"), "count")
     best = Window.partitionBy("b").orderBy(F.desc("count"), "a")
     stars = hubs.withColumn("k", F.row_number().over(best)).where("k = 1").select("a", "b")
     tested = written(_near_bits(stars, classes), "pairs")
-    links = _verified(tested, classes, texts)
     every = False
-    comps = written(components(links), "components")
+    comps = written(components(_verified(tested, classes, texts)), "components")
+
+    def joined(more: DataFrame) -> DataFrame:
+        """The components with more links: the former ones stand for their links."""
+        return written(components(more.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "components")
+
     while True:
-        rows = written(_tiles(shared, classes, comps, every).distinct(), "proposed")
+        rows = written(_tiles(tiles, classes, comps, every).distinct(), "proposed")
         pairs = rows if every else rows.where(F.col("kind") == PAIR).select("a", "b")
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = _verified(pairs, classes, texts)
-        tested, links = tested.unionByName(pairs), links.unionByName(more)
+        tested = tested.unionByName(pairs)
         found, tried = more.count(), pairs.count()
-        comps = written(components(links), "components") if found else comps
+        comps = joined(more) if found else comps
         if every:
             break
         others = rows.where(F.col("kind") == OTHER).select("a", "b").join(tested, ["a", "b"], "left_anti")
         others = written(_apart(others, comps), "pairs")
         if not others.isEmpty():
             more = _verified(others, classes, texts)
-            tested, links = tested.unionByName(others), links.unionByName(more)
-            comps = written(components(links), "components") if not more.isEmpty() else comps
+            tested = tested.unionByName(others)
+            comps = joined(more) if not more.isEmpty() else comps
         again = rows.where(F.col("kind") == AGAIN).select(F.col("a").alias("h")).distinct()
         if again.isEmpty():
             break
-        shared = shared.join(again, "h", "left_semi")
+        tiles = tiles.join(again, "h", "left_semi")
         # the most similar pairs come first while many of them link; then all that are left
         every = found * FOREST < tried or found == 0
 

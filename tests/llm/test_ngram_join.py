@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from fixtures import collect, tables, words
 
+from tallyforge.llm import components as K
 from tallyforge.llm import ngram_join as J
 from tallyforge.llm.common import written
 from tallyforge.llm.components import components
@@ -92,6 +93,27 @@ def test_a_pair_of_several_tiles_is_proposed_once(spark, monkeypatch):
         assert len(pairs) < 1.1 * len(set(pairs))  # each pair shares six tiles or more
 
 
+def test_a_class_comes_once_to_the_tile_of_a_smallest_class(spark, monkeypatch):
+    # near texts share most of their shingles: tiles by shingle would deal each text some forty times
+    rng = random.Random(23)
+    base = words(rng, 160, 10**6)
+    docs = [(i, " ".join(edited(rng, base, 3))) for i in range(20)]
+    dealt, tiles = [], J._tiles
+    monkeypatch.setattr(J, "_tiles", lambda shared, *args: dealt.append(shared.select("h", "sid").collect()) or tiles(shared, *args))
+    assert result(spark, docs) == brute(docs)
+    assert len(dealt[0]) == len(set(dealt[0])) < 20 * 20
+
+
+def test_edges_that_are_stars_take_no_round(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(K, "written", lambda df, name: rounds.append(name) or written(df, name))
+    stars = spark.createDataFrame([(1, k) for k in range(2, 30)] + [(k, 50) for k in range(51, 60)] + [(50, 51), (7, 7)], "a long, b long")
+    assert dict(map(tuple, components(stars).collect())) == {k: 1 for k in range(1, 30)} | {k: 50 for k in range(50, 60)}
+    assert rounds == []
+    path = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    assert dict(map(tuple, components(path).collect())) == {1: 1, 2: 1, 3: 1} and len(rounds) == 1
+
+
 @pytest.mark.parametrize("rest", [8, 0])
 def test_other_pairs_of_a_cell_are_settled_in_its_round(spark, monkeypatch, rest):
     # near in their bitmaps, linked or not: the forest's pairs alone do not tell all components
