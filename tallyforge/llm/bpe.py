@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from tallyforge.llm.common import read_table, ship
 
 TOKENIZER = "word_bpe_49k.json"
-CACHED_CHUNKS = 1_000_000  # per Python worker; beyond it the cache starts anew
+CACHED_CHUNKS = 250_000  # per Python worker; beyond it the cache starts anew
 LONG_CHUNK = 200  # longer chunks are not kept
 
 # The white space of Unicode, and the printable stand-ins of bytes in byte-level BPE.

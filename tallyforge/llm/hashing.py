@@ -6,6 +6,7 @@ import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
+KEPT = 1 << 20  # powers that a worker keeps, at most
 _BYTE = np.random.default_rng(50).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -20,10 +21,11 @@ class PrefixHashes:
         n = len(data) + 1
         if len(PrefixHashes._powers) < n:
             size = max(n, 1 << 16)
+            keeper = PrefixHashes if size < KEPT else self  # longer data has its own
             for name, base in (("_powers", _BASE), ("_inverses", _INVERSE)):
                 steps = np.full(size + 1, base, np.uint64)
                 steps[0] = 1
-                setattr(PrefixHashes, name, np.cumprod(steps))
+                setattr(keeper, name, np.cumprod(steps, out=steps))
         self.prefix = np.zeros(n, np.uint64)
         np.cumsum(_BYTE[data] * self._powers[: n - 1], out=self.prefix[1:])
 

@@ -43,6 +43,7 @@ BUCKET_ANCHORS = 1_000_000
 BUCKET_CONTEXTS = 60_000
 MARKS_HELD = 200_000  # marks that a task packs at a time
 SLICE_WINDOWS = 300_000  # suffixes sorted at a time in a bucket, cut between anchors
+SLICE_BYTES = 1 << 19  # bytes of a bucket that are hashed at a time, cut between anchors
 NO_ID = -(2**63)
 
 class Suffixes(PrefixHashes):
@@ -345,6 +346,28 @@ _CONTEXT = np.dtype([("id", "<i8"), ("tag", "<i8"), ("key", "<u8"), ("first", "<
 _MARK = np.dtype([("id", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("stop", "<u4")])
 
 
+def covered_by_slices(data: np.ndarray, rows: np.ndarray):
+    """``covered`` for the contexts ``rows``, whose bytes follow one another in ``data``: pairs of some
+    contexts and their flags, for those with a covered string.  Hashes and sorts take about SLICE_BYTES at
+    a time, cut between anchors, so that they do not grow with a bucket."""
+    sizes = rows["count"].astype(np.int64) + LENGTH - 1
+    first = np.cumsum(sizes) - sizes
+    order = np.argsort(rows["key"], kind="stable")
+    key = rows["key"][order]
+    ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+    filled = np.cumsum(sizes[order])[ends - 1]
+    k = 0
+    while k < len(ends):
+        begin, done = (int(ends[k - 1]), filled[k - 1]) if k else (0, 0)
+        k = max(k + 1, int(np.searchsorted(filled, done + SLICE_BYTES, side="right")))
+        part = order[begin : int(ends[k - 1])]
+        own = np.cumsum(sizes[part]) - sizes[part]
+        text = data[np.repeat(first[part] - own, sizes[part]) + np.arange(int(sizes[part].sum()))]
+        hit = covered(text, own, rows["count"][part].astype(np.int64), rows["ahead"][part].astype(np.int64), rows["id"][part], rows["key"][part])
+        if hit.any():
+            yield part, hit
+
+
 def _runs(ids: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """Marks of the runs [start, stop) of neighbouring positions of each text."""
     order = np.lexsort((pos, tags, ids))
@@ -458,13 +481,11 @@ def _marks(docs: DataFrame, anchors: DataFrame, anchor_buckets: int, buckets: in
         def close():
             rows = np.concatenate([r for r, _ in held])
             data = np.concatenate([d for _, d in held])
-            count = rows["count"].astype(np.int64)
-            sizes = count + LENGTH - 1
-            first = np.cumsum(sizes) - sizes
-            hit = covered(data, first, count, rows["ahead"].astype(np.int64), rows["id"], rows["key"])
-            if hit.any():
-                own = np.repeat(np.arange(len(rows)), count)
-                pos = (np.repeat(rows["first"].astype(np.int64) - (np.cumsum(count) - count), count) + np.arange(len(own)))[hit]
+            held.clear()
+            for part, hit in covered_by_slices(data, rows):
+                count = rows["count"][part].astype(np.int64)
+                own = np.repeat(part, count)
+                pos = (np.repeat(rows["first"][part].astype(np.int64) - (np.cumsum(count) - count), count) + np.arange(len(own)))[hit]
                 yield from marks.add(_runs(rows["id"][own[hit]], rows["tag"][own[hit]], pos))
 
         for b in batches:

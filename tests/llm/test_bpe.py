@@ -69,3 +69,10 @@ def test_query_equals_the_library(spark, library):
         want.append((str(float("nan") if i is None else float(i)), len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
     assert found == sorted(want)
     assert len(collect(B.op3_bpe(spark, tables(documents=[])))) == 0
+
+
+def test_kept_chunks_are_bounded():
+    bpe = B.Bpe(PATH)
+    for k in range(5):
+        bpe.encode([" ".join(f"q{k}z{i}" for i in range(80_000))])
+    assert len(bpe.ids_of) < 350_000  # a worker that kept up to a million held 356 MB

@@ -1,10 +1,12 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 from fixtures import collect, tables, words
 
+from tallyforge.llm import hashing as H
 from tallyforge.llm import substring_dedup as S
 
 
@@ -100,3 +102,51 @@ def test_suffix_sort_orders_groups_by_their_bytes():
 def test_common_extension():
     text = S.Suffixes(np.frombuffer(b"abcabcabcx-abcabcabcy", np.uint8))
     assert text.common(np.array([0, 0, 3]), np.array([3, 11, 14]), 7).tolist() == [6, 7, 6]
+
+
+def contexts(n):
+    """``n`` anchors of four contexts each, of three texts, and their bytes one after another."""
+    rng = np.random.default_rng(4)
+    rows = np.zeros(4 * n, S._CONTEXT)
+    rows["key"] = np.tile(rng.permutation(n).astype(np.uint64) * np.uint64(7919), 4)
+    rows["id"] = np.repeat([5, 2, 9, 2], n)
+    rows["count"], rows["ahead"] = 13, 12
+    own = rng.integers(97, 101, (n, 62)).astype(np.uint8)
+    other = own.copy()
+    other[::2, :8] = 48  # strings from place 8 on are still shared
+    return np.concatenate([own, other, own, own]).ravel(), rows
+
+
+@pytest.mark.parametrize("size", [1, 700, 10**9])
+def test_slices_of_a_bucket_cover_what_the_whole_covers(size, monkeypatch):
+    monkeypatch.setattr(S, "SLICE_BYTES", size)
+    data, rows = contexts(300)
+    count = rows["count"].astype(np.int64)
+    first = np.cumsum(count + 49) - count - 49
+    want = S.covered(data, first, count, rows["ahead"].astype(np.int64), rows["id"], rows["key"]).reshape(-1, 13)
+    got = np.zeros_like(want)
+    for part, hit in S.covered_by_slices(data, rows):
+        got[part] |= hit.reshape(-1, 13)
+    assert want.any() and not want.all() and (got == want).all()
+    assert list(S.covered_by_slices(data[:62], rows[:1])) == []
+
+
+def test_memory_of_a_bucket_is_bounded(monkeypatch):
+    monkeypatch.setattr(H.PrefixHashes, "_powers", np.ones(1, np.uint64))
+    monkeypatch.setattr(H.PrefixHashes, "_inverses", np.ones(1, np.uint64))
+    data, rows = contexts(30_000)  # 7 MB
+    tracemalloc.start()
+    n = sum(int(hit.sum()) for _, hit in S.covered_by_slices(data, rows))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 0 and peak < 60 << 20  # 239 MB when the bucket was hashed as a whole, 25 MB in slices
+
+
+def test_powers_of_long_data_are_not_kept(monkeypatch):
+    monkeypatch.setattr(H.PrefixHashes, "_powers", np.ones(1, np.uint64))
+    monkeypatch.setattr(H.PrefixHashes, "_inverses", np.ones(1, np.uint64))
+    data = np.tile(np.frombuffer(b"abcdefg", np.uint8), 200_000)
+    text = H.PrefixHashes(data)
+    assert text.piece(np.array([3]), 50) == text.piece(np.array([7 * 190_000 + 3]), 50)
+    assert H.PrefixHashes(data[:100]).piece(np.array([3]), 50) == text.piece(np.array([3]), 50)
+    assert len(H.PrefixHashes._powers) <= H.KEPT and len(H.PrefixHashes._inverses) <= H.KEPT
