@@ -6,13 +6,16 @@ as its anchor (least hash of its LENGTH - K + 1 grams, the first of equals), so
 anchors at equal places.
 
 0. A text that a smaller id holds whole is covered whole (if it has LENGTH bytes) and takes no further part.
-1. Each document sends the hashes of its anchors to buckets; anchors of one document only are dropped.
+1. A task sends the hashes of its documents' anchors to buckets, packed by the million; anchors of one
+   document only are dropped.  The others go to the parts of the texts that have them, once a part.
 2. Documents that share anchors cut out, around each shared one, the bytes of the strings that picked
-   it.  Strings already covered by an earlier document of the same task are marked there and not sent,
-   so what many documents share travels once a task.
+   it.  Strings already covered by an earlier document of the same block are marked there and not sent.
+   The others leave a task packed by bucket, some megabytes a time, so that the number of packets does not
+   grow with blocks times buckets.
 3. Each bucket sorts the suffixes: prefix polynomial hashes over its bytes give the hash of any piece in
    constant time, a binary search over the length finds the common extension of two suffixes, and a
-   mergesort compares by it.  Neighbours that agree on LENGTH bytes by hash are verified by their bytes.
+   mergesort compares by it.  Strings that agree by hash and by their bytes enter it once.  Neighbours
+   that agree on LENGTH bytes by hash are verified by their bytes.
    In each class of equal strings all but those of the smallest id are marked.
 4. Marks carry the id and a hash of the text they belong to, since rows may repeat an id.  They leave a
    task packed by the partition that unites them, a few blobs a task; then each text is cut.
@@ -34,17 +37,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import likely, read_table, ship, written
+from tallyforge.llm.common import FILTER_BITS, likely, read_table, ship, written
 from tallyforge.llm.hashing import PrefixHashes, mixed
 
 LENGTH, K = 50, 25
 BLOCK_BYTES = 1 << 19  # bytes of text that are worked on at a time
 BUCKET_ANCHORS = 1_000_000
-BUCKET_CONTEXTS = 60_000
+BUCKET_CONTEXTS = 100_000
+PART_BYTES = 1 << 24  # bytes of text that meet their shared anchors at a time
+ANCHORS_HELD = 1_000_000  # anchors that a task packs at a time
+CONTEXTS_HELD = 12 << 20  # bytes of contexts that a task packs at a time
 MARKS_HELD = 200_000  # marks that a task packs at a time
 SLICE_WINDOWS = 300_000  # suffixes sorted at a time in a bucket, cut between anchors
 SLICE_BYTES = 1 << 19  # bytes of a bucket that are hashed at a time, cut between anchors
+HOT_STRINGS = 2_000_000  # strings of one anchor that are held at a time
+IDS_TOLD = 4 * FILTER_BITS  # pairs of a bucket of anchors and an id, at most, that are told for a filter
 NO_ID = -(2**63)
+SMALL_GROUP = 4  # suffixes that are sorted by their extensions alone
 
 class Suffixes(PrefixHashes):
     """Comparison of suffixes by the hashes of their pieces."""
@@ -52,9 +61,10 @@ class Suffixes(PrefixHashes):
     def common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         """Length of the common extension of the suffixes at a and b, up to ``most``, by binary search."""
         low, high = np.zeros(len(a), np.int64), np.full(len(a), most, np.int64)
+        a0, b0, a1, b1 = self.prefix[a], self.prefix[b], self._inverses[a], self._inverses[b]
         while (low < high).any():
             mid = (low + high + 1) >> 1
-            same = self.piece(a, mid) == self.piece(b, mid)
+            same = (self.prefix[a + mid] - a0) * a1 == (self.prefix[b + mid] - b0) * b1
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         return low
 
@@ -69,12 +79,27 @@ class Suffixes(PrefixHashes):
 
 
 def suffix_sort(text: Suffixes, starts: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """A stable order of ``starts`` (already grouped) by suffix inside each group: bottom-up mergesort of
-    all groups at once; an element's place in a merge is its rank in its run plus the number of elements
-    of the neighbouring run before it, found by binary search."""
+    """A stable order of ``starts`` (already grouped) by suffix inside each group.  Groups of more than
+    SMALL_GROUP are first cut by their next eight bytes, as long as there are such; then a bottom-up
+    mergesort of all groups at once: an element's place in a merge is its rank in its run plus the number
+    of elements of the neighbouring run before it, found by binary search."""
     n = len(starts)
     order = np.arange(n)
-    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.zeros(0, np.int64)
+    begins = np.concatenate([[True], group[1:] != group[:-1]]) if n else np.zeros(0, bool)
+    words = np.ndarray(max(0, len(text.data) - 7), ">u8", text.data, strides=(1,)) if len(text.data) > 7 else None
+    for ahead in range(0, length - 7, 8):
+        edges = np.flatnonzero(begins)
+        sizes = np.diff(np.append(edges, n))
+        at = np.flatnonzero(np.repeat(sizes > SMALL_GROUP, sizes))
+        if not len(at):
+            break
+        own = np.cumsum(begins)[at]
+        word = words[starts[order[at]] + ahead].astype(np.uint64)
+        by_word = np.lexsort((word, own))
+        order[at] = order[at[by_word]]
+        word = word[by_word]
+        begins[at[1:]] |= (word[1:] != word[:-1])
+    edges = np.flatnonzero(begins)
     sizes = np.diff(np.append(edges, n))
     first = np.repeat(edges, sizes)
     last = first + np.repeat(sizes, sizes)
@@ -115,14 +140,22 @@ def equal_classes(text: Suffixes, starts: np.ndarray, group: np.ndarray, length:
     new = np.ones(len(starts), bool)
     if len(starts) > 1:
         near = np.flatnonzero((group[1:] == group[:-1]) & (text.piece(starts[1:], length) == text.piece(starts[:-1], length))) + 1
-        span = np.arange(length)
-        for k in range(0, len(near), 1 << 16):
-            part = near[k : k + (1 << 16)]
-            same = (text.data[starts[part][:, None] + span] == text.data[starts[part - 1][:, None] + span]).all(axis=1)
-            new[part[same]] = False
+        new[near[_same_bytes(text.data, starts[near], starts[near - 1], length)]] = False
     return new
 
 
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` bytes at a and b agree."""
+    words = np.ndarray(max(0, len(data) - 7), "<u8", data, strides=(1,)) if length >= 8 else data  # unaligned
+    wide = 8 if length >= 8 else 1
+    same = np.ones(len(a), bool)
+    for k in range(0, len(a), 1 << 16):
+        x, y, out = a[k : k + (1 << 16)], b[k : k + (1 << 16)], same[k : k + (1 << 16)]
+        for ahead in [*range(0, length - wide + 1, wide), length - wide]:
+            out &= words[x + ahead] == words[y + ahead]
+    return same
+
+
 class Anchors:
     """Anchors of the strings of a block of documents."""
 
@@ -135,76 +168,109 @@ class Anchors:
         self.first, self.last, self.at, self.doc, self.key = empty, empty, empty, empty, np.zeros(0, np.uint64)
         if n < LENGTH:
             return
-        hashes = PrefixHashes(self.data)
-        grams = hashes.piece(np.arange(n - K + 1), K)
+        self.hashes = Suffixes(self.data)
+        grams = self.hashes.prefix[K:] - self.hashes.prefix[:-K]
+        grams *= self.hashes._inverses[: n - K + 1]
         grams ^= grams >> np.uint64(31)
         grams *= np.uint64(0xBF58476D1CE4E5B9)
         grams ^= grams >> np.uint64(29)
-        low = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
+        low = grams & np.uint64(0xFFFFFFFF00000000)
+        low |= np.arange(len(grams), dtype=np.uint64)
         size, window = 1, LENGTH - K + 1
         while size * 2 <= window:
             low = np.minimum(low[: len(low) - size], low[size:])
             size *= 2
         if size < window:
             low = np.minimum(low[: len(low) - (window - size)], low[window - size :])
-        at = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        begin = np.arange(len(at))
-        doc = np.searchsorted(self.stops, begin, side="right")
-        valid = begin + LENGTH <= self.stops[np.minimum(doc, len(self.stops) - 1)]
-        start = valid.copy()
-        start[1:] &= ~valid[:-1] | (at[1:] != at[:-1])
-        stop = valid.copy()
-        stop[:-1] &= ~valid[1:] | (at[1:] != at[:-1])
-        self.first, self.last = np.flatnonzero(start), np.flatnonzero(stop)  # starts of the strings of each anchor
-        self.at, self.doc = at[self.first], doc[self.first]
+        at = low.astype(np.uint32)  # the lower half
+        # runs of strings of one anchor, cut at the first and after the last string of each text
+        begins = self.stops - sizes
+        ends = np.maximum(begins, self.stops - LENGTH + 1)
+        cuts = np.unique(np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, begins[begins < len(at)], ends[ends < len(at)]]))
+        doc = np.searchsorted(self.stops, cuts, side="right")
+        valid = cuts + LENGTH <= self.stops[np.minimum(doc, len(self.stops) - 1)]
+        self.first, self.last = cuts[valid], np.append(cuts[1:], len(at))[valid] - 1  # starts of the strings of each anchor
+        self.at, self.doc = at[self.first].astype(np.int64), doc[valid]
         self.key = grams[self.at]
 
 
-def covered(data: np.ndarray, first: np.ndarray, count: np.ndarray, ahead: np.ndarray, ids: np.ndarray, key: np.ndarray) -> np.ndarray:
+def covered(data, first: np.ndarray, count: np.ndarray, ahead: np.ndarray, ids: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Whether each string of each context is also in a context of a smaller id.  Context c holds the
-    strings at ``first[c] .. first[c] + count[c] - 1`` of ``data``, whose anchor lies ``ahead[c]`` bytes
-    after the first; the result is flat."""
+    strings at ``first[c] .. first[c] + count[c] - 1`` of ``data`` (bytes or their ``Suffixes``), whose
+    anchor lies ``ahead[c]`` bytes after the first; the result is flat."""
     total = int(count.sum())
     out = np.zeros(total, bool)
     if total == 0:
         return out
     # only anchors that several ids hold can cover anything
-    order = np.lexsort((ids, key))
+    order = np.argsort(key)
     k, d = key[order], ids[order]
     new = np.concatenate([[True], k[1:] != k[:-1]])
     edges = np.flatnonzero(new)
-    several = d[edges] != d[np.append(edges[1:], len(d)) - 1]
+    several = np.minimum.reduceat(d, edges) != np.maximum.reduceat(d, edges)
     some = np.sort(order[several[np.cumsum(new) - 1]])
     if not len(some):
         return out
     where = (np.cumsum(count) - count)[some]
     first, count, ahead, ids, key = (x[some] for x in (first, count, ahead, ids, key))
-    text = Suffixes(data)
-    keeper = _equal_contexts(text, first, count, ahead, ids, key)
+    text = data if isinstance(data, Suffixes) else None
+    data = text.data if text else data
+    if text is None and len(data) <= 4 * SLICE_BYTES:
+        text = Suffixes(data)
+    keeper = _equal_contexts(data, text, first, count, ahead, ids, key)
     alone = np.flatnonzero(keeper == np.arange(len(keeper)))
-    out_of = _covered_distinct(text, *(x[alone] for x in (first, count, ahead, ids, key)))
+    out_of = _covered_distinct(data, text, *(x[alone] for x in (first, count, ahead, ids, key)))
     # equal contexts: a larger id is covered whole, the smallest shares what its keeper has
     place = np.zeros(len(keeper), np.int64)
     place[alone] = np.cumsum(count[alone]) - count[alone]
-    step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    step = _steps(count)
     got = out_of[np.repeat(place[keeper], count) + step] | np.repeat(ids > ids[keeper], count)
     out[np.repeat(where, count) + step] = got
     return out
 
 
-def _equal_contexts(text: Suffixes, first, count, ahead, ids, key) -> np.ndarray:
+def _steps(count: np.ndarray) -> np.ndarray:
+    """0 .. count[c] - 1 for each c, one after another."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _chunks(sizes: np.ndarray, most: int):
+    """Ranges of neighbours whose sizes sum up to about ``most``."""
+    filled = np.cumsum(sizes)
+    k = 0
+    while k < len(sizes):
+        j = max(k + 1, int(np.searchsorted(filled, (filled[k - 1] if k else 0) + most, side="right")))
+        yield k, j
+        k = j
+
+
+def _pieces(data: np.ndarray, text, first: np.ndarray, size: np.ndarray, most: int):
+    """(range of contexts, a text that holds them, their places in it): the whole text, if it is hashed,
+    else their bytes by the slice."""
+    if text is not None:
+        yield 0, len(first), text, first
+        return
+    for k, j in _chunks(size, most):
+        own = np.cumsum(size[k:j]) - size[k:j]
+        yield k, j, Suffixes(data[np.repeat(first[k:j], size[k:j]) + _steps(size[k:j])]), own
+
+
+def _equal_contexts(data: np.ndarray, text, first, count, ahead, ids, key) -> np.ndarray:
     """For each context the one of least id among those with the same bytes and places (itself, if none)."""
     size = count + LENGTH - 1
-    whole = mixed(text.piece(first, size) + key * np.uint64(3) + (count * 64 + ahead).astype(np.uint64))
+    whole = np.zeros(len(first), np.uint64)
+    for k, j, part, own in _pieces(data, text, first, size, SLICE_BYTES):
+        whole[k:j] = part.piece(own, size[k:j])
+    whole = mixed(whole + key * np.uint64(3) + (count * 64 + ahead).astype(np.uint64))
     order = np.lexsort((ids, whole))
-    f, c, a, k = (x[order] for x in (first, count, ahead, key))
+    f, c, a, k, w = (x[order] for x in (first, count, ahead, key, whole))
     same = np.zeros(len(order), bool)
-    same[1:] = (k[1:] == k[:-1]) & (a[1:] == a[:-1]) & (c[1:] == c[:-1]) & (text.piece(f[1:], size[order][1:]) == text.piece(f[:-1], size[order][:-1]))
+    same[1:] = (w[1:] == w[:-1]) & (k[1:] == k[:-1]) & (a[1:] == a[:-1]) & (c[1:] == c[:-1])
     at = np.flatnonzero(same)
     for part in np.array_split(at, max(1, len(at) // 20_000)):  # verified by the bytes
         n = size[order[part]]
-        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        differ = text.data[np.repeat(f[part], n) + step] != text.data[np.repeat(f[part - 1], n) + step]
+        step = _steps(n)
+        differ = data[np.repeat(f[part], n) + step] != data[np.repeat(f[part - 1], n) + step]
         same[part[np.unique(np.repeat(np.arange(len(part)), n)[differ])]] = False
     heads = np.flatnonzero(~same)
     keeper = np.empty(len(order), np.int64)
@@ -212,7 +278,7 @@ def _equal_contexts(text: Suffixes, first, count, ahead, ids, key) -> np.ndarray
     return keeper
 
 
-def _covered_distinct(text: Suffixes, first, count, ahead, ids, key) -> np.ndarray:
+def _covered_distinct(data: np.ndarray, text, first, count, ahead, ids, key) -> np.ndarray:
     out = np.zeros(int(count.sum()), bool)
     where = np.cumsum(count) - count
     order = np.argsort(key, kind="stable")
@@ -226,29 +292,72 @@ def _covered_distinct(text: Suffixes, first, count, ahead, ids, key) -> np.ndarr
         j = max(k + 1, int(np.searchsorted(windows[ends], windows[edges[k]] + SLICE_WINDOWS, side="right")))
         part = np.concatenate([order[a:b] for a, b in zip(edges[k:j], ends[k:j])])
         k = j
-        sizes = count[part]
-        own = np.repeat(part, sizes)
-        step = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        starts = first[own] + step
-        back = ahead[own] - step  # from the string's start to the anchor
-        numbers = np.repeat(np.cumsum(np.concatenate([[True], key[part][1:] != key[part][:-1]])), sizes)
-        group = numbers * 64 + back
-        by_group = np.argsort(group, kind="stable")
-        own, step, starts, group = own[by_group], step[by_group], starts[by_group], group[by_group]
-        new_group = np.concatenate([[True], group[1:] != group[:-1]])
-        alone = new_group & np.append(new_group[1:], True)
-        own, step, starts, group = own[~alone], step[~alone], starts[~alone], group[~alone]
-        if not len(own):
-            continue
-        by_suffix = suffix_sort(text, starts, group)
-        own, step, starts, group = own[by_suffix], step[by_suffix], starts[by_suffix], group[by_suffix]
-        new = equal_classes(text, starts, group)
-        least = np.minimum.reduceat(ids[own], np.flatnonzero(new))[np.cumsum(new) - 1]
-        hit = ids[own] > least
-        out[where[own[hit]] + step[hit]] = True
+        number = np.cumsum(np.concatenate([[True], key[part][1:] != key[part][:-1]]))
+        total = int(count[part].sum())
+        # one anchor with very many strings: by the hash of the string, so that equal ones stay together
+        shares = -(-total // HOT_STRINGS) if text is None or total > 2 * SLICE_WINDOWS else 1
+        for share in range(shares):
+            held = []
+            for a, b, piece, own in _pieces(data, text, first[part], count[part] + LENGTH - 1, SLICE_BYTES):
+                sizes = count[part[a:b]]
+                owner, step = np.repeat(np.arange(a, b), sizes), _steps(sizes)
+                hash_ = piece.piece(np.repeat(own, sizes) + step, LENGTH)
+                back = ahead[part[owner]] - step  # from the string's start to the anchor
+                group = number[owner] * 64 + back
+                string = mixed(hash_ + group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                if shares > 1:
+                    mine = np.flatnonzero((string >> np.uint64(8)) % np.uint64(shares) == share)
+                    owner, step, group, string = owner[mine], step[mine], group[mine], string[mine]
+                held.append((part[owner].astype(np.int32), step.astype(np.uint8), group, string))
+            own, step, group, string = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            hit = ids[own] > _least_ids(data, text, first[own] + step, group, string, ids[own])
+            out[where[own[hit]] + step[hit]] = True
     return out
 
 
+def _least_ids(data: np.ndarray, text, starts: np.ndarray, group: np.ndarray, string: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The least id that holds each string in its group; ``string``: a hash of both.  What agrees by it
+    and by its bytes is met once; the suffixes that are left are sorted in their groups."""
+    least = ids.copy()
+    order = np.argsort(string)
+    s, g, h = starts[order], group[order], string[order]
+    new = np.ones(len(order), bool)
+    near = np.flatnonzero((h[1:] == h[:-1]) & (g[1:] == g[:-1])) + 1
+    new[near[_same_bytes(data, s[near], s[near - 1], LENGTH)]] = False
+    heads = np.flatnonzero(new)
+    if not len(heads):
+        return least
+    low = np.minimum.reduceat(ids[order], heads)
+    of = np.cumsum(new) - 1
+    # distinct strings of groups that have several
+    s, g, h = s[heads], g[heads], h[heads]
+    by_group = np.argsort(g, kind="stable") if text is not None else np.arange(len(g))
+    for a, b in [(0, len(g))] if text is not None else _chunks(np.full(len(g), LENGTH), SLICE_BYTES):
+        while text is None and b < len(g) and h[b] == h[b - 1]:
+            b += 1
+        part = by_group[a:b]
+        if text is None:
+            part = part[np.argsort(g[part], kind="stable")]
+        x = g[part]
+        fresh = np.concatenate([[True], x[1:] != x[:-1]])
+        part = part[~(fresh & np.append(fresh[1:], True))]
+        if not len(part):
+            continue
+        if text is None:
+            places = np.arange(len(part)) * LENGTH
+            own = Suffixes(data[(s[part][:, None] + np.arange(LENGTH)).ravel()])
+        else:
+            places, own = s[part], text
+        by_suffix = suffix_sort(own, places, g[part])
+        part, places = part[by_suffix], places[by_suffix]
+        begin = equal_classes(own, places, g[part])
+        if not begin.all():
+            low[part] = np.minimum.reduceat(low[part], np.flatnonzero(begin))[np.cumsum(begin) - 1]
+    least[order] = low[of]
+    return least
+
+
 def _spans(flags: np.ndarray) -> np.ndarray:
     """[start, stop) rows of the runs of True."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
@@ -258,88 +367,114 @@ def _spans(flags: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- the Spark steps
 
 
-def _texts(batches, columns, extra=()):
-    """Blocks of (ids, texts as bytes, extra columns) of about BLOCK_BYTES; a longer text is a block."""
-    ids, texts, more, size = [], [], [], 0
+def _texts(batches):
+    """Blocks of (parts, ids, texts as bytes) of about BLOCK_BYTES; a longer text is a block."""
+    parts, ids, texts, size = [], [], [], 0
     for b in batches:
-        cols = [b.column(c) for c in extra]  # Arrow values, unpacked when a text is worked on
-        for k, (doc, text) in enumerate(zip(b.column(columns[0]).to_pylist(), b.column(columns[1]).to_pylist())):
-            t = (text or "").encode()
-            ids.append(NO_ID if doc is None else doc)
-            texts.append(t)
-            more.append([c[k] for c in cols])
-            size += len(t)
+        for part, doc, text in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
+            parts.append(part)
+            ids.append(doc)
+            texts.append(text)
+            size += len(text)
             if size >= BLOCK_BYTES:
-                yield ids, texts, more
-                ids, texts, more, size = [], [], [], 0
+                yield parts, ids, texts
+                parts, ids, texts, size = [], [], [], 0
     if ids:
-        yield ids, texts, more
+        yield parts, ids, texts
 
 
 def _shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """``doc_id, bucket, keys``: the anchors (upper hash bits) that two ids hold."""
+    """``part, n, ids, keys``: the anchors (upper hash bits) that two ids hold, once for each part of the
+    texts with a text that has them; ``n``: how many anchors of texts they are, ``ids``: whose (null, if
+    the ids of all buckets would be more than a filter of ids can tell apart)."""
     def emit(batches):
-        for ids, texts, _ in _texts(batches, ("doc_id", "text")):
-            a = Anchors(texts)
-            if not len(a.key):
-                continue
-            bucket = (a.key >> np.uint64(32)) % np.uint64(buckets)
+        held, size = [], 0
+
+        def flush():
+            nonlocal size
+            texts = np.concatenate([[0], np.cumsum([len(ids) for _, ids, _, _ in held])])
+            parts = np.concatenate([p for p, _, _, _ in held])
+            ids = np.concatenate([i for _, i, _, _ in held])
+            doc = np.concatenate([d + n for (_, _, d, _), n in zip(held, texts)])
+            key = np.concatenate([k for _, _, _, k in held])
+            held.clear()
+            size = 0
+            bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int32)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
-            where, blobs = [], []
-            for s, e in zip(cuts, np.append(cuts[1:], len(order))):
-                part = order[s:e]
-                doc, local = np.unique(a.doc[part], return_inverse=True)
-                names = np.array([ids[d] for d in doc.tolist()], np.int64)
-                kind = np.uint16 if len(doc) < 1 << 16 else np.uint32
-                blobs.append(np.array([len(names), len(part), np.dtype(kind).itemsize], np.int64).tobytes() + names.tobytes()
-                             + (a.key[part] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + local.astype(kind).tobytes())
-                where.append(int(bucket[part[0]]))
-            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            bucket, doc, key = bucket[order], doc[order], key[order].astype(np.uint32)
+            edge = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+            own = np.flatnonzero(edge | np.concatenate([[True], doc[1:] != doc[:-1]]))  # a text's first anchor in a bucket
+            many = np.diff(np.append(own, len(key))).astype(np.uint32)
+            ids, parts = ids[doc[own]], parts[doc[own]]
+            cuts = np.append(np.flatnonzero(edge), len(key))
+            docs_at = np.searchsorted(own, cuts)
+            blobs = []
+            for s, e, i, j in zip(cuts[:-1], cuts[1:], docs_at[:-1], docs_at[1:]):
+                low = int(ids[i:j].min())
+                slim = int(ids[i:j].max()) - low < 1 << 32
+                few = int(many[i:j].max()) < 1 << 16 and int(parts[i:j].max()) < 1 << 16
+                names = (ids[i:j] - low).astype(np.uint32) if slim else ids[i:j]
+                kind = np.uint16 if few else np.uint32
+                blobs.append(b"".join([np.array([j - i, e - s, low, slim, few], np.int64).tobytes(), names.tobytes(), key[s:e].tobytes(),
+                                       many[i:j].astype(kind).tobytes(), parts[i:j].astype(kind).tobytes()]))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+        for parts, ids, texts in _texts(batches):
+            a = Anchors(texts)
+            if len(a.key):
+                held.append((np.array(parts, np.int32), np.array(ids, np.int64), a.doc, a.key))
+                size += len(a.key)
+            if size >= ANCHORS_HELD:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    def unpack(raw):
+        n, m, low, slim, few = np.frombuffer(raw, np.int64, 5).tolist()
+        kind, at = np.dtype(np.uint16 if few else np.uint32), 40
+        names = np.frombuffer(raw, np.uint32, n, at).astype(np.int64) + low if slim else np.frombuffer(raw, np.int64, n, at)
+        at += n * (4 if slim else 8)
+        keys = np.frombuffer(raw, np.uint32, m, at)
+        many = np.frombuffer(raw, kind, n, at + 4 * m)
+        parts = np.frombuffer(raw, kind, n, at + 4 * m + n * kind.itemsize).astype(np.int32)
+        return np.repeat(names, many), np.repeat(parts, many), keys
 
     def meet(batches):
         at, held = None, []
 
         def close():
-            ids = np.concatenate([x for x, _ in held])
-            keys = np.concatenate([x for _, x in held])
-            order = np.lexsort((ids, keys))
-            ids, keys = ids[order], keys[order]
-            start = np.concatenate([[True], keys[1:] != keys[:-1]])
+            ids, parts, keys = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.argsort(keys)
+            start = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
             edges = np.flatnonzero(start)
-            low, high = np.minimum.reduceat(ids, edges), np.maximum.reduceat(ids, edges)
-            keep = (low != high)[np.cumsum(start) - 1]
-            ids, keys = ids[keep], keys[keep]
-            order = np.lexsort((keys, ids))
-            ids, keys = ids[order], keys[order]
-            fresh = np.ones(len(ids), bool)
-            fresh[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])
-            ids, keys = ids[fresh], keys[fresh]
-            if len(ids):
-                cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-                blobs = [keys[s:e].tobytes() for s, e in zip(cuts, np.append(cuts[1:], len(ids)))]
-                for s in range(0, len(cuts), 10_000):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[cuts[s : s + 10_000]]), pa.array([at] * len(cuts[s : s + 10_000]), pa.int32()), pa.array(blobs[s : s + 10_000], pa.binary())],
-                        ["doc_id", "bucket", "keys"])
+            low, high = np.minimum.reduceat(ids[order], edges), np.maximum.reduceat(ids[order], edges)
+            keep = order[(low != high)[np.cumsum(start) - 1]]
+            if not len(keep):
+                return
+            ids, parts, keys = ids[keep], parts[keep], keys[keep]
+            order = np.lexsort((keys, parts))
+            ids, parts, keys = ids[order], parts[order], keys[order]
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])), len(parts))
+            names = [np.unique(ids[s:e]) for s, e in zip(cuts[:-1], cuts[1:])]
+            told = sum(map(len, names)) * buckets <= IDS_TOLD
+            blobs = [np.int64(at).tobytes() + np.unique(keys[s:e]).tobytes() for s, e in zip(cuts[:-1], cuts[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(parts[cuts[:-1]]), pa.array(np.diff(cuts)), pa.array([x.tobytes() if told else None for x in names], pa.binary()), pa.array(blobs, pa.binary())],
+                ["part", "n", "ids", "keys"])
 
         for b in batches:
             for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("blob")):
                 if bucket != at:
                     if held:
                         yield from close()
-                    at, held = bucket, []
-                raw = blob.as_py()
-                n, m, width = np.frombuffer(raw, np.int64, 3)
-                names = np.frombuffer(raw, np.int64, n, 24)
-                keys = np.frombuffer(raw, np.uint32, m, 24 + 8 * n)
-                local = np.frombuffer(raw, np.uint16 if width == 2 else np.uint32, m, 24 + 8 * n + 4 * m)
-                held.append((names[local], keys))
+                    at = bucket
+                held.append(unpack(blob.as_py()))
         if held:
             yield from close()
 
-    sent = docs.mapInArrow(emit, "bucket int, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return written(sent.mapInArrow(meet, "doc_id long, bucket int, keys binary"), "anchors", "none")
+    sent = docs.select("part", "doc_id", "text").mapInArrow(emit, "bucket int, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return written(sent.mapInArrow(meet, "part int, n long, ids binary, keys binary"), "anchors", "none")
 
 
 _CONTEXT = np.dtype([("id", "<i8"), ("tag", "<i8"), ("key", "<u8"), ("first", "<u4"), ("count", "u1"), ("ahead", "u1")])
@@ -415,33 +550,99 @@ def _unpack(blob: bytes) -> bytes:
     return pa.decompress(blob[8:], decompressed_size=int(np.frombuffer(blob, np.int64, 1)[0]), codec="zstd", asbytes=True)
 
 
-def _marks(docs: DataFrame, anchors: DataFrame, anchor_buckets: int, buckets: int) -> DataFrame:
+class _Contexts:
+    """Contexts of a task and their bytes, packed by the bucket that meets them."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.size = buckets, [], 0
+
+    def add(self, rows: np.ndarray, data: np.ndarray):
+        self.held.append((rows, data))
+        self.size += rows.nbytes + len(data)
+        if self.size >= CONTEXTS_HELD:
+            yield from self.flush()
+
+    def flush(self):
+        if not self.held:
+            return
+        rows, data = (np.concatenate(x) for x in zip(*self.held))
+        self.held, self.size = [], 0
+        size = rows["count"].astype(np.int64) + LENGTH - 1
+        first = np.cumsum(size) - size
+        bucket = ((rows["key"] >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.uint16 if self.buckets < 1 << 16 else np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, rows = bucket[order], rows[order]
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(rows))
+        blobs = []
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            part = order[s:e]
+            raw = rows[s:e].tobytes() + data[np.repeat(first[part], size[part]) + _steps(size[part])].tobytes()
+            blobs.append(np.array([e - s, len(raw)], np.int64).tobytes() + pa.compress(raw, codec="zstd", asbytes=True))
+        where = pa.array(bucket[cuts[:-1]].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([where, where, pa.array(blobs, pa.binary())], ["part", "bucket", "blob"])
+
+
+def _met_texts(batches):
+    """Blocks of (shared anchors, ids, tags, texts) of about BLOCK_BYTES, each of one part; the rows of a
+    part with anchors come before those with texts."""
+    at, keys, names = None, [], None
+    ids, tags, texts, size = [], [], [], 0
+    for b in batches:
+        columns = (b.column(c).to_pylist() for c in ("part", "doc_id", "tag"))
+        for part, doc, tag, text, blob in zip(*columns, b.column("text").cast(pa.binary()), b.column("keys")):
+            if part != at:
+                if texts:
+                    yield names, ids, tags, texts
+                    ids, tags, texts, size = [], [], [], 0
+                at, keys, names = part, [], None
+            if blob.is_valid:
+                raw = blob.as_py()
+                keys.append(np.frombuffer(raw, np.uint32, -1, 8).astype(np.uint64) | np.frombuffer(raw, np.uint64, 1) << np.uint64(32))
+                continue
+            if names is None:
+                names, keys = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64), []
+            if not len(names):
+                continue
+            ids.append(doc)
+            tags.append(tag)
+            texts.append(text.as_py())
+            size += len(texts[-1])
+            if size >= BLOCK_BYTES:
+                yield names, ids, tags, texts
+                ids, tags, texts, size = [], [], [], 0
+    if texts:
+        yield names, ids, tags, texts
+
+
+def _marks(docs: DataFrame, anchors: DataFrame, anchor_buckets: int, buckets: int, parts: int) -> DataFrame:
     """``doc_id, tag, blob``: runs [start, stop) of starts of covered strings of each text (``tag``: its
     hash), one row a text."""
-    held = anchors.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "keys")).alias("found"))  # bounded by a text
-    some = likely(docs, anchors).withColumn("tag", F.xxhash64("text")).join(held, "doc_id")
+    def told(batches):
+        for b in batches:
+            ids = [np.frombuffer(x.as_py(), np.int64) for x in b.column("ids")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(ids)) if ids else np.zeros(0, np.int64))], ["doc_id"])
+
+    some = docs
+    if anchors.where("ids is null").isEmpty():
+        some = likely(docs, anchors.select("ids").mapInArrow(told, "doc_id long"))
 
     def cut(batches):
-        marks = _Marks(buckets)
-        for ids, texts, more in _texts(batches, ("doc_id", "text"), ("found", "tag")):
+        marks, contexts = _Marks(parts), _Contexts(buckets)
+        for shared, ids, tags, texts in _met_texts(batches):
             a = Anchors(texts)
             if not len(a.key):
                 continue
             name = (a.key >> np.uint64(32)) % np.uint64(anchor_buckets) << np.uint64(32) | a.key & np.uint64(0xFFFFFFFF)
-            keep = np.zeros(len(name), bool)
-            edges = np.searchsorted(a.doc, np.arange(len(ids) + 1))
-            for k, (found, _) in enumerate(more):
-                own = np.concatenate([np.frombuffer(f["keys"], np.uint32).astype(np.uint64) | np.uint64(f["bucket"]) << np.uint64(32) for f in found.as_py()])
-                keep[edges[k] : edges[k + 1]] = np.isin(name[edges[k] : edges[k + 1]], own)
+            keep = shared[np.minimum(np.searchsorted(shared, name), len(shared) - 1)] == name
             first, last, at, doc, key = (x[keep] for x in (a.first, a.last, a.at, a.doc, a.key))
             if not len(first):
                 continue
             begin = np.concatenate([[0], a.stops])[doc]
             names = np.array(ids, np.int64)[doc]
-            tags = np.array([t.as_py() for _, t in more], np.int64)[doc]
+            tags = np.array(tags, np.int64)[doc]
             count = last - first + 1
             # what an earlier document of this block covers is marked here and does not travel
-            hit = covered(a.data, first, count, at - first, names, key)
+            hit = covered(a.hashes, first, count, at - first, names, key)
             where = np.cumsum(count) - count
             if hit.any():
                 own = np.repeat(np.arange(len(first)), count)
@@ -459,24 +660,14 @@ def _marks(docs: DataFrame, anchors: DataFrame, anchor_buckets: int, buckets: in
             rows = np.zeros(len(c), _CONTEXT)
             rows["id"], rows["tag"], rows["key"], rows["first"] = names[c], tags[c], key[c], first[c] - begin[c] + lo
             rows["count"], rows["ahead"] = hi - lo + 1, at[c] - first[c] - lo
-            start = first[c] + lo
-            bucket = (key[c] >> np.uint64(20)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
-            where_, blobs = [], []
-            for s, t in zip(cuts, np.append(cuts[1:], len(order))):
-                part = order[s:t]
-                sizes = rows["count"][part].astype(np.int64) + LENGTH - 1
-                idx = np.repeat(start[part] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-                raw = rows[part].tobytes() + a.data[idx].tobytes()
-                blobs.append(np.array([len(part), len(raw)], np.int64).tobytes() + pa.compress(raw, codec="zstd", asbytes=True))
-                where_.append(int(bucket[part[0]]))
-            yield pa.RecordBatch.from_arrays([pa.array(where_, pa.int32()), pa.array(where_, pa.int32()), pa.array(blobs, pa.binary())], ["part", "bucket", "blob"])
+            sizes = rows["count"].astype(np.int64) + LENGTH - 1
+            yield from contexts.add(rows, a.data[np.repeat(first[c] + lo, sizes) + _steps(sizes)])
+        yield from contexts.flush()
         yield from marks.flush()
 
     def resolve(batches):
         at, held = None, []
-        marks = _Marks(buckets)
+        marks = _Marks(parts)
 
         def close():
             rows = np.concatenate([r for r, _ in held])
@@ -523,11 +714,14 @@ def _marks(docs: DataFrame, anchors: DataFrame, anchor_buckets: int, buckets: in
                 [pa.array(ids[at].astype(np.int64)), pa.array(tags[at].astype(np.int64)), pa.array([spans[i:j].tobytes() for i, j in zip(at, stops)], pa.binary())],
                 ["doc_id", "tag", "blob"])
 
-    # contexts go to their bucket, marks to the partition that unites them
-    sent = some.mapInArrow(cut, "part int, bucket int, blob binary")
+    # shared anchors and texts meet by parts; contexts go to their bucket, marks to the partition that unites them
+    none = {"doc_id": F.lit(None).cast("long"), "tag": F.lit(None).cast("long"), "text": F.lit(None).cast("string")}
+    met = anchors.select("part", "keys").withColumns(none).unionByName(some.withColumn("keys", F.lit(None).cast("binary")))
+    met = met.withColumn("kind", F.col("keys").isNull()).repartition(parts, "part").sortWithinPartitions("part", "kind")
+    sent = met.select("part", "doc_id", "tag", "text", "keys").mapInArrow(cut, "part int, bucket int, blob binary")
     sent = sent.repartition(buckets, "part").sortWithinPartitions("bucket")
     found = written(sent.mapInArrow(resolve, "part int, bucket int, blob binary").select("part", "blob"), "marks", "none")
-    return found.repartition(buckets, "part").mapInArrow(unite, "doc_id long, tag long, blob binary")
+    return found.repartition(parts, "part").mapInArrow(unite, "doc_id long, tag long, blob binary")
 
 
 def _copies(docs: DataFrame) -> DataFrame:
@@ -549,12 +743,16 @@ def cut_repeats(docs: DataFrame, keep: tuple[str, ...] = (), texts: bool = False
     slim = own.select("doc_id", "text")
     maybe = likely(slim, copies).withColumn("sha", F.sha2("text", 256)).join(copies, ["doc_id", "sha"], "left_anti").drop("sha")
     slim = likely(slim, copies, others=True).unionByName(maybe)
+    slim = slim.where(F.octet_length("text") >= LENGTH)
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     expected = total * 2 / (LENGTH - K + 2)  # anchors
-    buckets = max(spark.sparkContext.defaultParallelism, math.ceil(expected / BUCKET_ANCHORS))
+    least = spark.sparkContext.defaultParallelism
+    parts = max(least, math.ceil(total / PART_BYTES))
+    slim = slim.withColumn("tag", F.xxhash64("text")).withColumn("part", F.pmod("tag", F.lit(parts)).cast("int"))
+    buckets = max(least, math.ceil(expected / BUCKET_ANCHORS))
     anchors = _shared_anchors(slim, buckets)
-    shared = anchors.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
-    marks = _marks(slim, anchors, buckets, max(spark.sparkContext.defaultParallelism, math.ceil(shared / 4 / BUCKET_CONTEXTS)))
+    shared = anchors.agg(F.sum("n")).first()[0] or 0
+    marks = _marks(slim, anchors, buckets, max(least, math.ceil(shared / BUCKET_CONTEXTS)), parts)
     marks = written(marks, "spans", "none")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([f"doc_id {kinds['doc_id']}", "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string",
